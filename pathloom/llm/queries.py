@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pathloom.llm import lines, mixing, sharding
+from pathloom.llm import language, lines, media, mixing, sharding, simhash, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_ring_shards": sharding.op2_ring_shards,
+    "op3_media_columns": media.op3_media_columns,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_url_filters": urls.op9_url_filters,
+    "op10_language_id": language.op10_language_id,
 }
 
 ORACLES = {
     "op1_line_dedup": lines.OP1_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op9_url_filters": urls.OP9_SQL,
 }
