@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pathloom.llm import language, lines, media, mixing, sharding, simhash, urls
+from pathloom.llm import language, lines, media, mixing, packing, sharding, simhash, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_ring_shards": sharding.op2_ring_shards,
     "op3_media_columns": media.op3_media_columns,
+    "op4_pack_sequences": packing.op4_pack_sequences,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_url_filters": urls.op9_url_filters,
