@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import language, lines, media, mixing, packing, sharding, simhash, urls
+from pathloom.llm import language, lines, media, mixing, packing, sharding, simhash, suffixes, urls, winnowing
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_media_columns": media.op3_media_columns,
     "op4_pack_sequences": packing.op4_pack_sequences,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_winnowing": winnowing.op6_winnowing,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_url_filters": urls.op9_url_filters,
     "op10_language_id": language.op10_language_id,
