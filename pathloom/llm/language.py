@@ -106,23 +106,25 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return Model(langs, tables[0], tables[1:], np.zeros(len(langs)))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1) and the columns `keep`, for every row of docs, from its whole text alone.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, lang_pred, score (0 to 1), for every row of docs, from its whole text alone.
 
-    A text that is null or has no letter is "und" with score 0. The model, of bounded size, is broadcast.
+    A text that is null or has no letter is "und" with score 0. The model, of bounded size, is broadcast. Columns of `keep` may have any
+    name; what carries them to Python and back has names of its own.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.floor))
+    carried = [f"_k{i}" for i in range(len(keep))]
 
     def run(batches):
         own = Model(*sent.value)
         for b in batches:
             said = [own.predict(t) for t in b.column("_text").to_pylist()]
             new = [pa.array([x for x, _ in said], pa.string()), pa.array([min(1.0, x) for _, x in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), *new, *(b.column(c) for c in keep)], names=["doc_id", "lang_pred", "score", *keep])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *new], names=[*carried, "_lang", "_score"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
-    kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['_id'].dataType.simpleString()}, lang_pred string, score double{kept}")
+    rows = docs.select(*[F.col(c).alias(x) for c, x in zip(keep, carried, strict=True)], F.col(text_col).alias("_text"))
+    kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carried)
+    return rows.mapInArrow(run, f"{kept}_lang string, _score double").toDF(*keep, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -132,5 +134,5 @@ def held_out(id_col: str = "doc_id"):
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out()))
-    found = identify(docs.select("doc_id", "text"), model)
+    found = identify(docs, model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.lineage import checkpointed
@@ -27,6 +27,12 @@ def word_count(text_col: str):
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Sixty bits of a digest of id and text: the shuffled place of a row within its source."""
+    said = F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """source, source_size long, source_no int, target double: shares by weight, no target above `most` times its source.
 
@@ -87,9 +93,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     times its size (rounded up). The shuffle is a hash of id and text (row_key): reruns agree. Other columns of docs
     are not read. An empty table gives no rows.
     """
-    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
-    # Sixty bits of the digest. Small rows, cut here: the texts are read once.
-    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("row_key")))
+    # Small rows, cut here: the texts are read once.
+    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row_key(F.col(id_col), F.col(text_col)).alias("row_key")))
     targets = checkpointed(source_targets(sized, share, most, weights))
     plan = schedule(targets, block)
     placed = running_total(sized, ["source"], F.col("row_key"), ["doc_id", "size"], F.col("size"), "start", buckets)
