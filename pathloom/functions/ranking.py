@@ -31,3 +31,15 @@ def running_total(df: DataFrame, group: list[str], order_hash: Column, order: li
 def dense_rank_in(df: DataFrame, group: list[str], order_hash: Column, order: list[str], out: str, buckets: int) -> DataFrame:
     """df with `out`: 0, 1, 2, ... within each group, in the order of running_total."""
     return running_total(df, group, order_hash, order, F.lit(1), out, buckets)
+
+
+def ordered_rank(df: DataFrame, key: str, order: list[str], out: str, run: int = 4096) -> DataFrame:
+    """df with `out`: 0, 1, 2, ... in the order of (key, *order). key is a long spread over about as many values as rows.
+
+    Runs of `run` values are ranked by themselves; one row per run gives the ranks that the runs begin at.
+    """
+    dealt = df.withColumn("_run", F.floor(F.col(key) / run))
+    sizes = dealt.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select(F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy("_run").orderBy(key, *order))
+    return dealt.withColumn("_nth", nth).join(base, F.col("_run") == F.col("_r")).withColumn(out, F.col("_base") + F.col("_nth") - 1).drop("_run", "_r", "_nth", "_base")

@@ -1,6 +1,404 @@
-"""Named queries over the driver's tables and their SQL."""
+"""Named queries over the driver's tables and their SQL.
+
+Two graphs: suppliers and parts that share an order line (ids 2 * supplier and 2 * part + 1, weight the least quantity, both directions),
+and the path through each user's events (weight the seconds between neighbours, both directions).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pathloom.functions.lineage import checkpointed, shared_folder
+from pathloom.operators import chains, graph, partition, regions, reorder, sssp, stats, validate
+from pathloom.plans import planner
+
+#: Fixed parameters of the queries.
+SOURCE = 0
+DELTA = 4
+PARTS = 4
+BATCH = 3
+TOP = 200
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eid, src, dst, weight of the supplier-part graph."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_quantity")
+    pairs = lines.groupBy((F.col("l_suppkey") * 2).alias("s"), (F.col("l_partkey") * 2 + 1).alias("p")).agg(F.min("l_quantity").cast("long").alias("weight"))
+    ends = F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("p").alias("dst")), F.struct(F.col("p").alias("src"), F.col("s").alias("dst"))))
+    both = pairs.select(ends.alias("e"), "weight").select("e.src", "e.dst", "weight")
+    # Pairs are distinct: a hash of both ends is an eid that needs no global order.
+    return both.select((F.col("src") * F.lit(1 << 31) + F.col("dst")).alias("eid"), "src", "dst", "weight")
+
+
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eid, src, dst, weight of the users' event paths."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.unix_timestamp("ts").alias("t"), "ts")
+    turn = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = events.select("event_id", F.lag("event_id").over(turn).alias("p"), (F.col("t") - F.lag("t").over(turn)).alias("weight")).where("p IS NOT NULL")
+    ends = F.explode(F.array(F.struct(F.col("p").alias("src"), F.col("event_id").alias("dst")), F.struct(F.col("event_id").alias("src"), F.col("p").alias("dst"))))
+    return steps.select(ends.alias("e"), "weight").select((F.col("e.src") * F.lit(1 << 31) + F.col("e.dst")).alias("eid"), "e.src", "e.dst", "weight")
+
+
+def size_of(edges: DataFrame) -> int:
+    return (edges.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0) + 1
+
+
+def _vertices(edges: DataFrame) -> DataFrame:
+    return edges.sparkSession.range(size_of(edges))
+
+
+def _solved(strategy: str, **options):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges = trade_edges(spark, sf_dir)
+        return sssp.solve(edges, sssp.sources_frame(edges, [SOURCE]), strategy, **options).select("v", "dist")
+
+    return query
+
+
+def graph_edges(spark, sf_dir):
+    return trade_edges(spark, sf_dir).select("src", "dst", "weight")
+
+
+def graph_stats(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    found = stats.graph_stats(edges, _vertices(edges))
+    return found.select("vertices", "edges", "max_degree", "max_weight", *[F.round(c, 6).alias(c) for c in ("avg_degree", "dev_degree", "avg_weight", "dev_weight")], "diameter")
+
+
+def weight_stats(spark, sf_dir):
+    return stats.weight_stats(trade_edges(spark, sf_dir)).select("max_weight", *[F.round(c, 6).alias(c) for c in ("avg_weight", "dev_weight")])
+
+
+def degree_histogram(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return stats.degree_histogram(edges, _vertices(edges))
+
+
+def out_degrees(spark, sf_dir):
+    return graph.out_degrees(trade_edges(spark, sf_dir))
+
+
+def adjacency_order(spark, sf_dir):
+    """Each vertex's first and last neighbour and their number, out of the packed adjacency."""
+    packed = graph.adjacency(trade_edges(spark, sf_dir))
+    return packed.select("src", F.size("nbrs").cast("long").alias("degree"), F.col("nbrs")[0]["dst"].alias("first_dst"), F.element_at("nbrs", -1)["dst"].alias("last_dst"))
+
+
+def edge_iteration(spark, sf_dir):
+    return graph.iterate_edges(graph.adjacency(trade_edges(spark, sf_dir))).select("src", "dst", "weight")
+
+
+def valid_edges(spark, sf_dir):
+    """Edges whose destination is in the lower half of the ids."""
+    edges = trade_edges(spark, sf_dir)
+    return graph.valid_nodes(edges, "dst", size_of(edges) // 2).select("src", "dst", "weight")
+
+
+def cross_edges_by_cut(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return graph.cross_edges(edges, size_of(edges) // 2)
+
+
+def min_combine(spark, sf_dir):
+    return graph.min_combine(trade_edges(spark, sf_dir).select("dst", F.col("weight").alias("d")))
+
+
+def _parts(edges: DataFrame, bounds: list[int]) -> DataFrame:
+    held = edges.groupBy(partition.owner(F.col("src"), bounds).alias("part")).agg(F.count(F.lit(1)).alias("edges"))
+    made = edges.sparkSession.createDataFrame([(i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)], "part int, first_id long, end_id long")
+    return made.join(held, "part", "left").select("part", "first_id", "end_id", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
+
+
+def partition_vertex_balanced(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return _parts(edges, partition.vertex_balanced(size_of(edges), PARTS))
+
+
+def partition_edge_balanced(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return _parts(edges, partition.edge_balanced(edges, size_of(edges), PARTS))
+
+
+def sssp_hops(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return sssp.solve(edges, sssp.sources_frame(edges, [SOURCE])).select("v", "dist", "hops")
+
+
+def sssp_predecessors(spark, sf_dir):
+    return sssp.sssp(trade_edges(spark, sf_dir), SOURCE).select("v", "dist", "hops", "pred")
+
+
+def sssp_all_vertices(spark, sf_dir):
+    """A row for every id, null where it isn't reached."""
+    edges = trade_edges(spark, sf_dir)
+    return sssp.sssp(edges, SOURCE, _vertices(edges)).select("v", "dist")
+
+
+def sssp_planned(spark, sf_dir):
+    """The strategy that the planner picks from the graph's statistics."""
+    edges = checkpointed(trade_edges(spark, sf_dir))
+    s = stats.graph_stats(edges, _vertices(edges)).first()
+    choice = planner.adaptive(s["avg_degree"], s["dev_degree"], s["avg_weight"], s["dev_weight"])
+    return sssp.solve(edges, sssp.sources_frame(edges, [SOURCE]), choice.strategy, delta=choice.delta).select("v", "dist")
+
+
+def sssp_auto_delta(spark, sf_dir):
+    """Buckets of the initial width that mean weight and degree suggest."""
+    edges = checkpointed(trade_edges(spark, sf_dir))
+    s = stats.graph_stats(edges, _vertices(edges)).first()
+    return sssp.solve(edges, sssp.sources_frame(edges, [SOURCE]), "delta", delta=planner.initial_delta(s["avg_weight"], s["avg_degree"])).select("v", "dist")
+
+
+def sssp_float(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir).withColumn("weight", F.col("weight") / F.lit(4.0))
+    return sssp.solve(edges, sssp.sources_frame(edges, [SOURCE])).select("v", "dist")
+
+
+def sssp_batch(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return sssp.sssp_batch(edges, size_of(edges), BATCH).select("source", "v", "dist")
+
+
+def sssp_seeded(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    seeds = spark.createDataFrame([(0, 0, 5), (0, 3, 0), (0, 4, 2)], "q long, v long, dist long")
+    return sssp.solve(edges, seeds).select("v", "dist")
+
+
+def bfs_levels(spark, sf_dir):
+    return sssp.bfs_levels(trade_edges(spark, sf_dir), SOURCE)
+
+
+def boundary_vertices(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return partition.boundary_vertices(edges, partition.vertex_balanced(size_of(edges), PARTS))
+
+
+def ghost_closure(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return partition.ghost_closure(edges, partition.vertex_balanced(size_of(edges), PARTS), 0, 1)
+
+
+def remote_candidates_min(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    dist = spark.range(size_of(edges)).select(F.col("id").alias("v"), (F.col("id") % 7).alias("dist"))
+    return partition.remote_candidates(dist, edges, partition.vertex_balanced(size_of(edges), PARTS))
+
+
+def total_work(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return stats.total_work(sssp.solve(edges, sssp.sources_frame(edges, [SOURCE])), edges)
+
+
+def hop_histogram(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return stats.hop_histogram(sssp.solve(edges, sssp.sources_frame(edges, [SOURCE])))
+
+
+def chain_eligible(spark, sf_dir):
+    edges = event_edges(spark, sf_dir)
+    return chains.chain_eligible(edges, chains.halves(size_of(edges)), SOURCE)
+
+
+def chain_shortcuts(spark, sf_dir):
+    edges = event_edges(spark, sf_dir)
+    return chains.add_shortcuts(edges, size_of(edges), SOURCE).where("hops > 1").select("src", "dst", "weight", "hops")
+
+
+def sssp_with_shortcuts(spark, sf_dir):
+    edges = event_edges(spark, sf_dir)
+    more = chains.add_shortcuts(edges, size_of(edges), SOURCE)
+    return sssp.solve(more, sssp.sources_frame(more, [SOURCE]), "owner").select("v", "dist")
+
+
+def chain_segments(spark, sf_dir):
+    edges = event_edges(spark, sf_dir)
+    found = chains.chain_segments(edges, chains.halves(size_of(edges)))
+    return found.select("v", "pos", "fwd", "rev")
+
+
+def event_reach(spark, sf_dir):
+    """Seconds from each user's first event, as one seeded query solved by owners."""
+    edges = event_edges(spark, sf_dir)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first = events.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("f")).select(F.lit(0).cast("long").alias("q"), F.col("f.event_id").alias("v"), F.lit(0).cast("long").alias("dist"))
+    return sssp.solve(edges, first, "owner").select("v", "dist")
+
+
+def path_rows(spark, sf_dir):
+    """Lengths and ends of the paths to every reached vertex, rebuilt by pointer doubling."""
+    edges = trade_edges(spark, sf_dir)
+    solved = sssp.sssp(edges, SOURCE)
+    paths = sssp.path_to(solved, solved.select("v"))
+    return paths.groupBy("target").agg(F.max("step").alias("hops"), F.min_by("v", "step").alias("start"))
+
+
+def region_index(spark, sf_dir):
+    """Regions within owners; members of all regions are the owners' vertices."""
+    edges = trade_edges(spark, sf_dir)
+    found = regions.region_index(edges, partition.vertex_balanced(size_of(edges), PARTS))
+    return found.groupBy("owner").agg(F.count(F.lit(1)).alias("vertices"), (F.max("slot") < 32).alias("within_width"))
+
+
+def bfs_order(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return reorder.bfs_order(edges, size_of(edges)).groupBy("level").agg(F.count(F.lit(1)).alias("vertices"), F.min("new_id").alias("first_id"))
+
+
+def reordered_cut(spark, sf_dir):
+    """Edges that cross the middle before and after splitting breadth-first layers."""
+    edges = trade_edges(spark, sf_dir)
+    n = size_of(edges)
+    mapping = checkpointed(reorder.layer_split(reorder.bfs_order(edges, n), n))
+    after = reorder.rebuild(edges, mapping)
+    reorder.check_mapping(edges, after, mapping, n)
+    parts = [graph.cross_edges(e, n // 2).select(F.lit(name).alias("stage"), "crossing", "edges") for name, e in (("before", edges), ("after", after))]
+    return parts[0].unionByName(parts[1])
+
+
+def fixpoint_certificate(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    seeds = sssp.sources_frame(edges, [SOURCE])
+    return validate.certificate(sssp.solve(edges, seeds), edges, seeds)
+
+
+def strategy_errors(spark, sf_dir):
+    """Vertices on which the frontier and the owner strategy differ; both solve a batch."""
+    edges = trade_edges(spark, sf_dir)
+    seeds = sssp.sources_frame(edges, sssp.batch_sources(size_of(edges), BATCH))
+    bad = validate.errors_by_query(sssp.solve(edges, seeds, "frontier"), sssp.solve(edges, seeds, "owner", owners=PARTS))
+    return seeds.select("q").join(bad, "q", "left").select("q", F.coalesce("errors", F.lit(0)).cast("long").alias("errors"))
+
+
+def gr_round_trip(spark, sf_dir):
+    """Edges written as a .gr file and read back."""
+    from pathloom.functions.ranking import ordered_rank
+    from pathloom.sources import gr
+
+    edges = ordered_rank(trade_edges(spark, sf_dir).withColumnRenamed("eid", "_e"), "src", ["dst"], "eid").select("eid", "src", "dst", "weight")
+    path = f"{shared_folder(spark, 'gr')}.gr".removeprefix("file:")
+    gr.write_gr(edges, size_of(edges), path)
+    return gr.read_gr(spark, path)[1].select("src", "dst", "weight")
+
+
+def timing_summary(spark, sf_dir):
+    found = stats.timing_summary(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], "value")
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "q1", "q3", "iqr", "mad", "least", "most")])
+
+
+def geometric_mean(spark, sf_dir):
+    return stats.geometric_mean(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_quantity").select(F.round("geometric_mean", 6).alias("geometric_mean"))
+
+
+def decrease_only_updates(spark, sf_dir):
+    """Extension: distances kept up to date while edges arrive as a stream in two batches."""
+    from pathloom.streaming.updates import replay
+
+    edges = checkpointed(trade_edges(spark, sf_dir))
+    half = F.pmod(F.col("eid"), F.lit(2)) == 0
+    return replay(edges.where(half), [edges.where(~half)], sssp.sources_frame(edges, [SOURCE])).select("v", "dist")
+
+
+QUERIES = {
+    "graph_edges": graph_edges, "graph_stats": graph_stats, "weight_stats": weight_stats, "degree_histogram": degree_histogram,
+    "out_degrees": out_degrees, "adjacency_order": adjacency_order, "edge_iteration": edge_iteration, "valid_edges": valid_edges,
+    "cross_edges_by_cut": cross_edges_by_cut, "min_combine": min_combine, "partition_vertex_balanced": partition_vertex_balanced,
+    "partition_edge_balanced": partition_edge_balanced, "sssp_frontier": _solved("frontier"), "sssp_delta": _solved("delta", delta=DELTA),
+    "sssp_near_far": _solved("near_far", delta=DELTA), "sssp_topk": _solved("topk", k=TOP), "sssp_owner": _solved("owner", owners=PARTS),
+    "sssp_planned": sssp_planned, "sssp_auto_delta": sssp_auto_delta, "sssp_float": sssp_float, "sssp_hops": sssp_hops,
+    "sssp_predecessors": sssp_predecessors, "sssp_all_vertices": sssp_all_vertices, "sssp_batch": sssp_batch, "sssp_seeded": sssp_seeded,
+    "bfs_levels": bfs_levels, "boundary_vertices": boundary_vertices, "ghost_closure": ghost_closure,
+    "remote_candidates_min": remote_candidates_min, "total_work": total_work, "hop_histogram": hop_histogram,
+    "chain_eligible": chain_eligible, "chain_shortcuts": chain_shortcuts, "sssp_with_shortcuts": sssp_with_shortcuts,
+    "chain_segments": chain_segments, "event_reach": event_reach, "path_rows": path_rows, "region_index": region_index,
+    "bfs_order": bfs_order, "reordered_cut": reordered_cut, "fixpoint_certificate": fixpoint_certificate, "strategy_errors": strategy_errors,
+    "gr_round_trip": gr_round_trip, "timing_summary": timing_summary, "geometric_mean": geometric_mean,
+    "decrease_only_updates": decrease_only_updates,
+}
+
+TRADE = """e0 AS (SELECT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS p, CAST(min(l_quantity) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2),
+e AS (SELECT s AS src, p AS dst, w FROM e0 UNION ALL SELECT p, s, w FROM e0),
+size AS (SELECT max(greatest(src, dst)) + 1 AS n FROM e),
+vs AS (SELECT unnest(range(n)) AS id FROM size),
+deg AS (SELECT vs.id, count(e.src) AS degree FROM vs LEFT JOIN e ON e.src = vs.id GROUP BY vs.id)"""
+WALK = """steps AS (SELECT event_id, user_id, ts, CAST(floor(epoch(ts)) AS BIGINT) AS t, lag(event_id) OVER u AS p, CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER u AS gap,
+  row_number() OVER u AS nth, count(*) OVER (PARTITION BY user_id) AS len FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+
+def _reach(start: str, weight: str = "e.w") -> str:
+    return f"""r(v, d) USING KEY (v) AS (
+  {start}
+  UNION
+  SELECT e.dst, min(f.d + {weight}) FROM r f JOIN e ON e.src = f.v LEFT JOIN recurring.r k ON k.v = e.dst
+  WHERE k.d IS NULL OR f.d + {weight} < k.d GROUP BY e.dst)"""
+
+
+def _sql(ctes: str, body: str) -> str:
+    return f"WITH RECURSIVE {ctes}\n{body}"
+
+
+_ONE = _reach("SELECT 0::BIGINT, 0::BIGINT")
+_DIST = _sql(f"{TRADE},\n{_ONE}", "SELECT v, d AS dist FROM r")
+#: Distance and hops in one number: hops count below 2 ** 20.
+_HOPS = _reach("SELECT 0::BIGINT, 0::BIGINT", "e.w * 1048576 + 1")
+_SPLIT = "h AS (SELECT v, d // 1048576 AS dist, d % 1048576 AS hops FROM r)"
+_OWNED = f"o AS (SELECT id, CASE {' '.join(f'WHEN id < n * {i + 1} // {PARTS} THEN {i}' for i in range(PARTS - 1))} ELSE {PARTS - 1} END AS owner FROM vs, size)"
+
+ORACLES = {
+    "graph_edges": _sql(TRADE, "SELECT src, dst, w AS weight FROM e"),
+    "edge_iteration": _sql(TRADE, "SELECT src, dst, w AS weight FROM e"),
+    "gr_round_trip": _sql(TRADE, "SELECT src, dst, w AS weight FROM e"),
+    "graph_stats": _sql(TRADE, "SELECT (SELECT n FROM size)::BIGINT AS vertices, (SELECT count(*) FROM e) AS edges, max(degree) AS max_degree, (SELECT max(w) FROM e) AS max_weight, round(avg(degree), 6) AS avg_degree, round(stddev_pop(degree), 6) AS dev_degree, (SELECT round(avg(w), 6) FROM e) AS avg_weight, (SELECT round(stddev_pop(w), 6) FROM e) AS dev_weight, NULL::BIGINT AS diameter FROM deg"),
+    "weight_stats": _sql(TRADE, "SELECT max(w) AS max_weight, round(avg(w), 6) AS avg_weight, round(stddev_pop(w), 6) AS dev_weight FROM e"),
+    "degree_histogram": _sql(TRADE, "SELECT degree, count(*) AS vertices FROM deg GROUP BY degree"),
+    "out_degrees": _sql(TRADE, "SELECT src AS id, count(*) AS degree FROM e GROUP BY src"),
+    "adjacency_order": _sql(TRADE, "SELECT src, count(*) AS degree, min(dst) AS first_dst, max(dst) AS last_dst FROM e GROUP BY src"),
+    "valid_edges": _sql(TRADE, "SELECT src, dst, w AS weight FROM e, size WHERE dst < n // 2"),
+    "cross_edges_by_cut": _sql(TRADE, "SELECT count(*) FILTER (WHERE (src < n // 2) <> (dst < n // 2)) AS crossing, count(*) AS edges, count(*) FILTER (WHERE (src < n // 2) <> (dst < n // 2)) / count(*)::DOUBLE AS ratio FROM e, size"),
+    "min_combine": _sql(TRADE, "SELECT dst, min(w) AS d FROM e GROUP BY dst"),
+    "partition_vertex_balanced": _sql(f"{TRADE}, {_OWNED}, c AS (SELECT owner, count(*) AS k FROM e JOIN o ON e.src = o.id GROUP BY owner)", f"SELECT i::INTEGER AS part, n * i // {PARTS} AS first_id, n * (i + 1) // {PARTS} AS end_id, coalesce(k, 0)::BIGINT AS edges FROM (SELECT unnest(range({PARTS})) AS i) x CROSS JOIN size LEFT JOIN c ON c.owner = i"),
+    "partition_edge_balanced": _sql(
+        f"""{TRADE}, st AS (SELECT id, coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f FROM deg),
+m AS (SELECT count(*) AS m FROM e), g AS (SELECT i, m * i // {PARTS} AS goal FROM (SELECT unnest(range(1, {PARTS})) AS i) x CROSS JOIN m),
+up AS (SELECT g.i, g.goal, min(st.id) AS hi FROM g JOIN st ON st.f >= g.goal GROUP BY g.i, g.goal),
+b AS (SELECT up.i, CASE WHEN up.hi > 0 AND up.goal - lo.f <= hf.f - up.goal THEN up.hi - 1 ELSE up.hi END AS bound FROM up JOIN st hf ON hf.id = up.hi LEFT JOIN st lo ON lo.id = up.hi - 1),
+a AS (SELECT 0 AS i, 0 AS bound UNION ALL SELECT i, bound FROM b UNION ALL SELECT {PARTS}, n FROM size),
+p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_id FROM a)""",
+        "SELECT part::INTEGER AS part, first_id::BIGINT AS first_id, end_id::BIGINT AS end_id, (SELECT count(*) FROM e WHERE e.src >= p.first_id AND e.src < p.end_id)::BIGINT AS edges FROM p WHERE end_id IS NOT NULL",
+    ),
+    **dict.fromkeys(("sssp_frontier", "sssp_delta", "sssp_near_far", "sssp_topk", "sssp_owner", "sssp_planned", "sssp_auto_delta", "decrease_only_updates"), _DIST),
+    "sssp_float": _sql(f"{TRADE},\n{_ONE}", "SELECT v, d / 4.0::DOUBLE AS dist FROM r"),
+    "sssp_hops": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT v, dist, hops FROM h"),
+    "sssp_predecessors": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT h.v, any_value(h.dist) AS dist, any_value(h.hops) AS hops, min(b.v) AS pred FROM h LEFT JOIN e ON e.dst = h.v AND h.hops > 0 LEFT JOIN h b ON b.v = e.src AND b.dist + e.w = h.dist AND b.hops + 1 = h.hops GROUP BY h.v"),
+    "sssp_all_vertices": _sql(f"{TRADE},\n{_ONE}", "SELECT vs.id AS v, r.d AS dist FROM vs LEFT JOIN r ON r.v = vs.id"),
+    "sssp_batch": _sql(f"{TRADE},\n" + """r(source, v, d) USING KEY (source, v) AS (
+  SELECT (n * i // 3)::BIGINT, (n * i // 3)::BIGINT, 0::BIGINT FROM size, (SELECT unnest(range(3)) AS i) x
+  UNION
+  SELECT f.source, e.dst, min(f.d + e.w) FROM r f JOIN e ON e.src = f.v LEFT JOIN recurring.r k ON k.source = f.source AND k.v = e.dst
+  WHERE k.d IS NULL OR f.d + e.w < k.d GROUP BY f.source, e.dst)""", "SELECT source, v, d AS dist FROM r"),
+    "sssp_seeded": _sql(f"{TRADE},\n" + _reach("SELECT v::BIGINT, d::BIGINT FROM (VALUES (0, 5), (3, 0), (4, 2)) x(v, d)"), "SELECT v, d AS dist FROM r"),
+    "bfs_levels": _sql(f"{TRADE},\n" + _reach("SELECT 0::BIGINT, 0::BIGINT", "1"), "SELECT v, d AS level FROM r"),
+    "boundary_vertices": _sql(f"{TRADE}, {_OWNED}", "SELECT DISTINCT e.dst AS v, b.owner::INTEGER AS owner FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst WHERE a.owner <> b.owner"),
+    "ghost_closure": _sql(f"{TRADE}, {_OWNED}", "SELECT DISTINCT e.dst AS v FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst WHERE a.owner = 0 AND b.owner <> 0"),
+    "remote_candidates_min": _sql(f"{TRADE}, {_OWNED}", "SELECT e.dst, min(e.src % 7 + e.w) AS d FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst WHERE a.owner <> b.owner GROUP BY e.dst"),
+    "total_work": _sql(f"{TRADE},\n{_ONE}", "SELECT sum(degree)::BIGINT AS total_work FROM r JOIN deg ON deg.id = r.v"),
+    "hop_histogram": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT hops, count(*) AS vertices FROM h GROUP BY hops"),
+    "path_rows": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT v AS target, hops, 0::BIGINT AS start FROM h"),
+    "bfs_order": _sql(f"{TRADE},\n" + _reach("SELECT 0::BIGINT, 0::BIGINT", "1") + ", c AS (SELECT vs.id, r.d::INTEGER AS level FROM vs LEFT JOIN r ON r.v = vs.id), k AS (SELECT level, count(*) AS vertices FROM c GROUP BY level)", "SELECT level, vertices, coalesce(sum(vertices) OVER (ORDER BY level NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_id FROM k"),
+    "region_index": _sql(f"{TRADE}, {_OWNED}", "SELECT owner::INTEGER AS owner, count(*) AS vertices, true AS within_width FROM o GROUP BY owner"),
+    "fixpoint_certificate": _sql(f"{TRADE},\n{_ONE}", "SELECT 0::BIGINT AS improvable, 0::BIGINT AS unsupported, count(*) AS reached FROM r"),
+    "strategy_errors": f"SELECT unnest(range({BATCH}))::BIGINT AS q, 0::BIGINT AS errors",
+    "chain_eligible": f"WITH {WALK} SELECT event_id AS v FROM steps WHERE nth > 1 AND nth < len AND event_id <> {SOURCE}",
+    "chain_segments": f"WITH {WALK}, a AS (SELECT *, t - min(t) OVER (PARTITION BY user_id) AS up, max(t) OVER (PARTITION BY user_id) - t AS down, first_value(event_id) OVER (PARTITION BY user_id ORDER BY nth) AS head, last_value(event_id) OVER (PARTITION BY user_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail FROM steps WHERE len >= 4) SELECT event_id AS v, CASE WHEN head < tail THEN nth - 1 ELSE len - nth END AS pos, (CASE WHEN head < tail THEN up ELSE down END)::BIGINT AS fwd, (CASE WHEN head < tail THEN up ELSE down END)::BIGINT AS rev FROM a",
+    "chain_shortcuts": f"""WITH {WALK}, a AS (SELECT *, nth = 1 OR nth = len OR event_id = {SOURCE} AS anchor FROM steps),
+b AS (SELECT user_id, event_id, t, nth, lead(event_id) OVER w AS e2, lead(t) OVER w AS t2, lead(nth) OVER w AS n2 FROM a WHERE anchor WINDOW w AS (PARTITION BY user_id ORDER BY nth)),
+c AS (SELECT * FROM b WHERE n2 - nth > 1)
+SELECT event_id AS src, e2 AS dst, t2 - t AS weight, n2 - nth AS hops FROM c UNION ALL SELECT e2, event_id, t2 - t, n2 - nth FROM c""",
+    "sssp_with_shortcuts": f"SELECT a.event_id AS v, abs(CAST(floor(epoch(a.ts)) AS BIGINT) - CAST(floor(epoch(b.ts)) AS BIGINT))::BIGINT AS dist FROM events a JOIN events b ON a.user_id = b.user_id WHERE b.event_id = {SOURCE}",
+    "event_reach": f"WITH {WALK} SELECT event_id AS v, t - min(t) OVER (PARTITION BY user_id) AS dist FROM steps",
+    "timing_summary": """WITH q AS (SELECT event_type, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, min(value) AS least, max(value) AS most FROM events GROUP BY event_type),
+d AS (SELECT e.event_type, quantile_cont(abs(e.value - q.median), 0.5) AS mad FROM events e JOIN q ON e.event_type = q.event_type GROUP BY e.event_type)
+SELECT q.event_type, round(median, 6) AS median, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, round(mad, 6) AS mad, round(least, 6) AS least, round(most, 6) AS most FROM q JOIN d ON q.event_type = d.event_type""",
+    "geometric_mean": "SELECT round(exp(avg(ln(l_quantity))), 6) AS geometric_mean FROM lineitem",
+}
