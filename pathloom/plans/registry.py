@@ -48,6 +48,11 @@ def _vertices(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.range(size_of(edges))
 
 
+def _marked(column: str):
+    """The column with -1 for null: these queries' results hold no null numbers."""
+    return F.coalesce(column, F.lit(-1)).alias(column)
+
+
 def _solved(strategy: str, **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges = trade_edges(spark, sf_dir)
@@ -63,7 +68,7 @@ def graph_edges(spark, sf_dir):
 def graph_stats(spark, sf_dir):
     edges = trade_edges(spark, sf_dir)
     found = stats.graph_stats(edges, _vertices(edges))
-    return found.select("vertices", "edges", "max_degree", "max_weight", *[F.round(c, 6).alias(c) for c in ("avg_degree", "dev_degree", "avg_weight", "dev_weight")], "diameter")
+    return found.select("vertices", "edges", "max_degree", "max_weight", *[F.round(c, 6).alias(c) for c in ("avg_degree", "dev_degree", "avg_weight", "dev_weight")], _marked("diameter"))
 
 
 def weight_stats(spark, sf_dir):
@@ -126,13 +131,13 @@ def sssp_hops(spark, sf_dir):
 
 
 def sssp_predecessors(spark, sf_dir):
-    return sssp.sssp(trade_edges(spark, sf_dir), SOURCE).select("v", "dist", "hops", "pred")
+    return sssp.sssp(trade_edges(spark, sf_dir), SOURCE).select("v", "dist", "hops", _marked("pred"))
 
 
 def sssp_all_vertices(spark, sf_dir):
-    """A row for every id, null where it isn't reached."""
+    """A row for every id, -1 where it isn't reached."""
     edges = trade_edges(spark, sf_dir)
-    return sssp.sssp(edges, SOURCE, _vertices(edges)).select("v", "dist")
+    return sssp.sssp(edges, SOURCE, _vertices(edges)).select("v", _marked("dist"))
 
 
 def sssp_planned(spark, sf_dir):
@@ -243,7 +248,7 @@ def region_index(spark, sf_dir):
 
 def bfs_order(spark, sf_dir):
     edges = trade_edges(spark, sf_dir)
-    return reorder.bfs_order(edges, size_of(edges)).groupBy("level").agg(F.count(F.lit(1)).alias("vertices"), F.min("new_id").alias("first_id"))
+    return reorder.bfs_order(edges, size_of(edges)).groupBy(_marked("level")).agg(F.count(F.lit(1)).alias("vertices"), F.min("new_id").alias("first_id"))
 
 
 def reordered_cut(spark, sf_dir):
@@ -349,7 +354,7 @@ ORACLES = {
     "graph_edges": _sql(TRADE, "SELECT src, dst, w AS weight FROM e"),
     "edge_iteration": _sql(TRADE, "SELECT src, dst, w AS weight FROM e"),
     "gr_round_trip": _sql(TRADE, "SELECT src, dst, w AS weight FROM e"),
-    "graph_stats": _sql(TRADE, "SELECT (SELECT n FROM size)::BIGINT AS vertices, (SELECT count(*) FROM e) AS edges, max(degree) AS max_degree, (SELECT max(w) FROM e) AS max_weight, round(avg(degree), 6) AS avg_degree, round(stddev_pop(degree), 6) AS dev_degree, (SELECT round(avg(w), 6) FROM e) AS avg_weight, (SELECT round(stddev_pop(w), 6) FROM e) AS dev_weight, NULL::BIGINT AS diameter FROM deg"),
+    "graph_stats": _sql(TRADE, "SELECT (SELECT n FROM size)::BIGINT AS vertices, (SELECT count(*) FROM e) AS edges, max(degree) AS max_degree, (SELECT max(w) FROM e) AS max_weight, round(avg(degree), 6) AS avg_degree, round(stddev_pop(degree), 6) AS dev_degree, (SELECT round(avg(w), 6) FROM e) AS avg_weight, (SELECT round(stddev_pop(w), 6) FROM e) AS dev_weight, (-1)::BIGINT AS diameter FROM deg"),
     "weight_stats": _sql(TRADE, "SELECT max(w) AS max_weight, round(avg(w), 6) AS avg_weight, round(stddev_pop(w), 6) AS dev_weight FROM e"),
     "degree_histogram": _sql(TRADE, "SELECT degree, count(*) AS vertices FROM deg GROUP BY degree"),
     "out_degrees": _sql(TRADE, "SELECT src AS id, count(*) AS degree FROM e GROUP BY src"),
@@ -370,8 +375,8 @@ p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_
     **dict.fromkeys(("sssp_frontier", "sssp_delta", "sssp_near_far", "sssp_topk", "sssp_owner", "sssp_planned", "sssp_auto_delta", "decrease_only_updates"), _DIST),
     "sssp_float": _sql(f"{TRADE},\n{_ONE}", "SELECT v, d / 4.0::DOUBLE AS dist FROM r"),
     "sssp_hops": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT v, dist, hops FROM h"),
-    "sssp_predecessors": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT h.v, any_value(h.dist) AS dist, any_value(h.hops) AS hops, min(b.v) AS pred FROM h LEFT JOIN e ON e.dst = h.v AND h.hops > 0 LEFT JOIN h b ON b.v = e.src AND b.dist + e.w = h.dist AND b.hops + 1 = h.hops GROUP BY h.v"),
-    "sssp_all_vertices": _sql(f"{TRADE},\n{_ONE}", "SELECT vs.id AS v, r.d AS dist FROM vs LEFT JOIN r ON r.v = vs.id"),
+    "sssp_predecessors": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT h.v, any_value(h.dist) AS dist, any_value(h.hops) AS hops, coalesce(min(b.v), -1)::BIGINT AS pred FROM h LEFT JOIN e ON e.dst = h.v AND h.hops > 0 LEFT JOIN h b ON b.v = e.src AND b.dist + e.w = h.dist AND b.hops + 1 = h.hops GROUP BY h.v"),
+    "sssp_all_vertices": _sql(f"{TRADE},\n{_ONE}", "SELECT vs.id AS v, coalesce(r.d, -1)::BIGINT AS dist FROM vs LEFT JOIN r ON r.v = vs.id"),
     "sssp_batch": _sql(f"{TRADE},\n" + """r(source, v, d) USING KEY (source, v) AS (
   SELECT (n * i // 3)::BIGINT, (n * i // 3)::BIGINT, 0::BIGINT FROM size, (SELECT unnest(range(3)) AS i) x
   UNION
@@ -385,7 +390,7 @@ p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_
     "total_work": _sql(f"{TRADE},\n{_ONE}", "SELECT sum(degree)::BIGINT AS total_work FROM r JOIN deg ON deg.id = r.v"),
     "hop_histogram": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT hops, count(*) AS vertices FROM h GROUP BY hops"),
     "path_rows": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT v AS target, hops, 0::BIGINT AS start FROM h"),
-    "bfs_order": _sql(f"{TRADE},\n" + _reach("SELECT 0::BIGINT, 0::BIGINT", "1") + ", c AS (SELECT vs.id, r.d::INTEGER AS level FROM vs LEFT JOIN r ON r.v = vs.id), k AS (SELECT level, count(*) AS vertices FROM c GROUP BY level)", "SELECT level, vertices, coalesce(sum(vertices) OVER (ORDER BY level NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_id FROM k"),
+    "bfs_order": _sql(f"{TRADE},\n" + _reach("SELECT 0::BIGINT, 0::BIGINT", "1") + ", c AS (SELECT vs.id, r.d::INTEGER AS level FROM vs LEFT JOIN r ON r.v = vs.id), k AS (SELECT level, count(*) AS vertices FROM c GROUP BY level)", "SELECT coalesce(level, -1)::INTEGER AS level, vertices, coalesce(sum(vertices) OVER (ORDER BY level NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_id FROM k"),
     "region_index": _sql(f"{TRADE}, {_OWNED}", "SELECT owner::INTEGER AS owner, count(*) AS vertices, true AS within_width FROM o GROUP BY owner"),
     "fixpoint_certificate": _sql(f"{TRADE},\n{_ONE}", "SELECT 0::BIGINT AS improvable, 0::BIGINT AS unsupported, count(*) AS reached FROM r"),
     "strategy_errors": f"SELECT unnest(range({BATCH}))::BIGINT AS q, 0::BIGINT AS errors",
