@@ -1,14 +1,16 @@
 """Suffix-array dedup: remove every byte covered by a string of `length` bytes that also starts anywhere else.
 
-1. Anchors. Of each window of `length` bytes the 32-byte gram with the smallest hash is an anchor, so equal windows hold the same
+1. Anchors. Of each window of `length` bytes the 64-byte gram with the smallest hash is an anchor, so equal windows hold the same
    anchor at the same place. An anchor's context is all the bytes that windows around it can reach.
-2. Only anchors that occur again matter. Contexts that occur again whole are covered whole, by counting their digests.
-3. The other contexts, each distinct one once, meet by anchor in blocks. A block gets a suffix array and its Burrows-Wheeler
-   transform. Breadth-first backward extension then derives the common prefixes in increasing value: the intervals of suffixes that share
-   l symbols, extended by each preceding symbol through the LF mapping, are those that share l + 1. It stops at `length`, or
-   when every interval is a single suffix. Windows in one interval, around the same anchor at the same distance, repeat.
-4. An anchor with more than `hot` occurrences would make a block too large for a task. Its windows are counted by digest instead.
-5. Spans are united per text. Equal texts are one text throughout; those of `length` bytes or more that occur twice go whole.
+2. Anchors meet by hash in one shuffle and are told apart in sorted order, as a stream. One that occurs once cannot matter. A context that
+   occurs again whole is covered whole. Other contexts of an anchor, each distinct one once, are marked.
+3. Marked contexts meet in blocks. Aligned at their anchors, a block's contexts have a Burrows-Wheeler transform in layers: layer x
+   lists the suffixes that start x bytes before the anchor in sorted order, with the symbols before them; its LF mapping leads to
+   layer x + 1. Breadth-first backward extension derives common prefixes in increasing value: the intervals of suffixes that share l
+   bytes, each extended by the preceding symbol, are the intervals that share l + 1 one layer on. It starts at the length of the gram, which
+   all suffixes of an anchor share, and stops at `length`. Suffixes in one interval there are windows that repeat.
+4. An anchor with more than `hot` marked contexts would make a block too large for a task. Its windows are counted by digest instead.
+5. Spans are united per text. Rows of equal text cover each other, like any other repeat.
 """
 
 from __future__ import annotations
@@ -21,13 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.lineage import checkpointed
+
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 HOT = 20_000
-#: Bytes of text that one pass over anchors, and one suffix array, takes at most (or one text, one anchor's contexts).
+#: Bytes of text that one pass over anchors takes at most (or one text), and contexts in one transform (or one anchor's).
 CHUNK = 1 << 21
-BLOCK = 1 << 20
+BLOCK = 1 << 12
+NONE = 256
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
+COVERED, SINGLE, SEVERAL = 0, 1, 2
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -52,9 +58,9 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
     grams, width = len(raw) - GRAM + 1, length - GRAM + 1
     words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     h = np.zeros(grams, dtype=np.uint64)
-    for k in range(4):
-        part = words[8 * k : 8 * k + grams] * MIX[k]
-        h += part ^ (part >> np.uint64(31))
+    for k in range(GRAM // 8):
+        part = words[8 * k : 8 * k + grams] * MIX[k % 4]
+        h = h * MIX[4] + (part ^ (part >> np.uint64(31)))
     h ^= h >> np.uint64(32)
     h *= MIX[4]
     h ^= h >> np.uint64(29)
@@ -76,72 +82,60 @@ def _context(text: bytes, pos: int, length: int) -> tuple[int, bytes]:
     return lo, text[lo : pos + length]
 
 
-def _suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` symbols (or more), by doubling; 0 ends a string."""
-    n = len(symbols)
-    rank, known = symbols.astype(np.int64), 1
-    while known < depth:
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(0, n - known)] = rank[known:] + 1
-        key = rank * (int(after.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        step = np.zeros(n, dtype=np.int64)
-        step[1:] = np.cumsum(sorted_key[1:] != sorted_key[:-1])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = step
-        known *= 2
-        if step[-1] == n - 1:
-            break
-    return np.argsort(rank, kind="stable")
-
-
-def common_intervals(symbols: np.ndarray, length: int) -> np.ndarray:
-    """For each position the number of its interval: equal for suffixes whose first `length` symbols are equal.
-
-    Level by level: an interval's suffixes, each preceded by a symbol, are carried by the LF mapping to where these
-    longer suffixes stand; a bound arises where the symbol or the former interval changes, which is where the
-    common prefix with the suffix before is as long as the level.
+def layered_intervals(contexts: list[bytes], lefts: list[int], groups: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each layer the contexts in sorted order and the number of the interval of suffixes that share `length` bytes.
+
+    contexts are sorted by (group, bytes from the anchor on). Suffixes that are too short to have `length` bytes, or start before their
+    context, are intervals of their own.
     """
-    n = len(symbols)
-    order = _suffix_array(symbols, length + 1)
-    bwt = symbols[order - 1]
-    lf = np.empty(n, dtype=np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
-    first = symbols[order]
-    new_symbol = np.ones(n, dtype=bool)
-    new_symbol[1:] = first[1:] != first[:-1]
-    interval, carried = np.zeros(n, dtype=np.int32), np.empty(n, dtype=np.int32)
-    bound = new_symbol.copy()
-    for _ in range(length):
-        carried[lf] = interval
-        bound[1:] = new_symbol[1:] | (carried[1:] != carried[:-1])
-        interval = np.cumsum(bound, dtype=np.int32)
-        if interval[-1] == n:
-            break
-    out = np.empty(n, dtype=np.int32)
-    out[order] = interval
-    return out
+    m, most = len(contexts), length - GRAM
+    left = np.array(lefts)
+    sizes = np.array([len(c) for c in contexts]) - left
+    right = np.frombuffer(b"".join(c[x : x + length].ljust(length, b"\0") for c, x in zip(contexts, lefts, strict=True)), dtype=np.uint8).reshape(m, length)
+    before = np.frombuffer(b"".join(c[max(0, x - most) : x].rjust(most, b"\0") for c, x in zip(contexts, lefts, strict=True)), dtype=np.uint8).reshape(m, most).astype(np.int64)
+    group = np.cumsum([0] + [a != b for a, b in zip(groups, groups[1:], strict=False)])
+    # Common prefixes of neighbours from the anchor on.
+    differ = right[1:] != right[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    common = np.minimum(np.minimum(common, sizes[1:]), sizes[:-1])
+    common[group[1:] != group[:-1]] = 0
+    common = np.concatenate([[0], common])
+    order, lf, new = np.empty((most + 1, m), dtype=np.int64), np.zeros((most + 1, m), dtype=np.int64), np.ones((most + 1, m), dtype=bool)
+    order[0] = np.arange(m)
+    for x in range(1, most + 1):
+        symbol = np.where(left >= x, before[:, most - x], NONE)
+        key = (group * (NONE + 1) + symbol)[order[x - 1]]
+        lf[x] = np.argsort(key, kind="stable")
+        order[x] = order[x - 1][lf[x]]
+        key = key[lf[x]]
+        new[x, 1:] = (key[1:] != key[:-1]) | (key[1:] % (NONE + 1) == NONE)
+    interval = np.zeros((most + 1, m), dtype=np.int64)
+    for level in range(GRAM, length + 1):
+        deep = level - GRAM  # deeper layers start from less than a gram
+        carried = np.take_along_axis(interval[:deep], lf[1 : deep + 1], axis=1)
+        bound = new[: deep + 1].copy()
+        bound[0] = common < level
+        bound[1:, 1:] |= carried[:, 1:] != carried[:, :-1]
+        interval[: deep + 1] = np.cumsum(bound, axis=1)
+    return order, interval
 
 
 def repeated_windows(contexts: list[bytes], lefts: list[int], groups: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each context the spans covered by windows that another context of its group has at the same distance from the anchor."""
-    symbols = np.frombuffer(b"".join(c + b"\0" for c in contexts), dtype=np.uint8).astype(np.int16) + 1
-    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    symbols[starts + sizes] = 0
-    found = common_intervals(symbols, length).astype(np.int64)
-    left = np.array(lefts, dtype=np.int64)
-    lows, highs = np.maximum(0, left - (length - GRAM)), np.minimum(left, sizes - length)
-    many = highs - lows + 1
-    owner = np.repeat(np.arange(len(contexts)), many)
-    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + lows[owner]
-    group = np.unique(np.array(groups), return_inverse=True)[1]
-    key = (found[starts[owner] + at] * (int(group.max()) + 1) + group[owner]) * length + (left[owner] - at)
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+    """For each context the spans covered by windows that another context of its group has at the same distance from the anchor.
+
+    contexts are sorted as layered_intervals wants them.
+    """
+    order, interval = layered_intervals(contexts, lefts, groups, length)
+    same = interval[:, 1:] == interval[:, :-1]
+    again = np.zeros(interval.shape, dtype=bool)
+    again[:, 1:] |= same
+    again[:, :-1] |= same
+    layer, place = np.nonzero(again)
+    owner = order[layer, place]
+    at = np.array(lefts)[owner] - layer
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    hit = counts[inverse] > 1
-    for o, p in zip(owner[hit].tolist(), at[hit].tolist(), strict=True):
+    by_place = np.lexsort((at, owner))
+    for o, p in zip(owner[by_place].tolist(), at[by_place].tolist(), strict=True):
         if out[o] and p <= out[o][-1][1]:
             out[o][-1] = (out[o][-1][0], p + length)
         else:
@@ -150,10 +144,18 @@ def repeated_windows(contexts: list[bytes], lefts: list[int], groups: list[int],
 
 
 def _anchor_rows(length: int):
+    """One row per anchor (two, if the batch has the text more than once): hash, context's digest, text's key, check << 32 | position."""
+
     def run(batches):
         for b in batches:
-            texts = [t.encode() for t in b.column("text").to_pylist()]
-            k, c = b.column("k"), b.column("c")
+            seen: dict[str, int] = {}
+            for t in b.column("text").to_pylist():
+                seen[t] = seen.get(t, 0) + 1
+            key = dict(zip(b.column("text").to_pylist(), zip(b.column("k").to_pylist(), b.column("c").to_pylist(), strict=True), strict=True))
+            names = list(seen)
+            texts = [t.encode() for t in names]
+            k, c = np.array([key[t][0] for t in names], dtype=np.int64), np.array([key[t][1] for t in names], dtype=np.int64)
+            times = np.array([min(2, seen[t]) for t in names], dtype=np.int64)
             first = 0
             while first < len(texts):
                 last, size = first, 0
@@ -166,13 +168,55 @@ def _anchor_rows(length: int):
                 for i, (t, p) in enumerate(zip(no.tolist(), pos.tolist(), strict=True)):
                     lo, ctx = _context(texts[t], p, length)
                     x[i] = xxhash.xxh3_64_intdigest(ctx, p - lo)
-                rows = pa.array(no)
-                yield pa.RecordBatch.from_arrays([k.take(rows), c.take(rows), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(x.view(np.int64))], names=["k", "c", "pos", "h", "x"])
+                twice = np.repeat(np.arange(len(no)), times[no])
+                cols = (h.view(np.int64), x.view(np.int64), k[no], (c[no] << 32) | pos)
+                yield pa.RecordBatch.from_arrays([pa.array(v[twice]) for v in cols], names=["h", "x", "k", "cp"])
                 first = last
 
     return run
 
 
+def _told_apart(batches):
+    """Anchor rows sorted by (h, x) -> (kind, h, k, cp) of those that matter. Holds one row of a hash and one of a context."""
+    h0 = x0 = first = held = None
+    run, runs = 0, 0
+    out: list[tuple] = []
+
+    def end_run():
+        nonlocal held, runs
+        mark = (SEVERAL if run > 1 else SINGLE, h0, *first)
+        runs += 1
+        if runs == 1:
+            held = mark
+            return
+        if runs == 2:
+            out.append(held)
+        out.append(mark)
+
+    def batch():
+        made = [pa.array([r[i] for r in out], pa.int8() if i == 0 else pa.int64()) for i in range(4)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(made, names=["kind", "h", "k", "cp"])
+
+    for b in batches:
+        for h, x, k, cp in zip(*(b.column(n).to_pylist() for n in ("h", "x", "k", "cp")), strict=True):
+            if h == h0 and x == x0:
+                run += 1
+                if run == 2:
+                    out.append((COVERED, h, *first))
+                out.append((COVERED, h, k, cp))
+                continue
+            if first is not None:
+                end_run()
+            if h != h0:
+                runs = 0
+            h0, x0, first, run = h, x, (k, cp), 1
+        yield batch()
+    if first is not None:
+        end_run()
+    yield batch()
+
+
 def _context_rows(length: int):
     def run(batches):
         for b in batches:
@@ -181,7 +225,7 @@ def _context_rows(length: int):
                 raw = text.encode()
                 for m in marks:
                     lo, ctx = _context(raw, m["pos"], length)
-                    out.append((m["h"], m["n"], k, c, lo, m["pos"] - lo, ctx))
+                    out.append((m["h"], 1 if m["kind"] == SINGLE else 2, k, c, lo, m["pos"] - lo, ctx))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["h", "n", "k", "c", "lo", "left", "ctx"])
 
@@ -197,12 +241,11 @@ def _block_rows(length: int):
                     yield r["k"], r["c"], r["lo"] + lo, r["lo"] + hi
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["h"])
+        rows = sorted(table.to_pylist(), key=lambda r: (r["h"], r["ctx"][r["left"] :]))
         out, at = [], 0
         while at < len(rows):
-            end, size = at, 0
-            while end < len(rows) and (size < BLOCK or rows[end]["h"] == rows[end - 1]["h"]):
-                size += len(rows[end]["ctx"])
+            end = at + 1
+            while end < len(rows) and (end - at < BLOCK or rows[end]["h"] == rows[end - 1]["h"]):
                 end += 1
             out += spans(rows[at:end])
             at = end
@@ -246,9 +289,9 @@ def _kept_rows(with_kept: bool):
     def run(batches):
         for b in batches:
             out = []
-            for text, copies, spans in zip(*(b.column(n).to_pylist() for n in ("text", "copies", "spans")), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 raw = text.encode()
-                out.append((*_cut(raw, [{"lo": 0, "hi": len(raw)}] if copies > 1 else spans or []), len(raw)))
+                out.append((*_cut(raw, spans or []), len(raw)))
             cols = [b.column("k"), b.column("c"), pa.array([r[3] for r in out], pa.int64()), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in out], pa.string())]
             if with_kept:
                 cols.append(pa.array([r[2] for r in out], pa.binary()))
@@ -269,30 +312,33 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = rows.withColumn("k", F.xxhash64("text")).withColumn("c", F.hash("text"))
     long = F.octet_length("text") >= length
-    texts = keyed.where(long).groupBy("k", "c").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    marked = texts.select("k", "c", "text").mapInArrow(_anchor_rows(length), "k long, c int, pos int, h long, x long")
-    again = marked.groupBy("h").agg(F.count(F.lit(1)).alias("nh"), F.min("x").alias("x0"), F.max("x").alias("x1")).where("nh > 1")
-    again = again.select(F.col("h").alias("h2"), "nh", (F.col("x0") != F.col("x1")).alias("mixed"))
-    repeated = marked.join(again, F.col("h") == F.col("h2")).drop("h2")
-    distinct = repeated.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.max("nh").alias("nh"), F.max("mixed").alias("mixed"), F.min(F.struct("k", "c", "pos")).alias("one"))
-    whole = distinct.where("n > 1").select(F.col("h").alias("h2"), F.col("x").alias("x2"))
-    whole = repeated.join(whole, (F.col("h") == F.col("h2")) & (F.col("x") == F.col("x2")))
-    # A context may end with its text; spans beyond it are cut off below.
-    covered = whole.select("k", "c", F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).alias("lo"), (F.col("pos") + length).alias("hi"))
-    marks = distinct.where("mixed").select("one.k", "one.c", F.struct("h", "n", "nh", "one.pos").alias("m")).groupBy("k", "c").agg(F.collect_list("m").alias("marks"))
+    marked = keyed.where(long).select("k", "c", "text").mapInArrow(_anchor_rows(length), "h long, x long, k long, cp long")
+    # One anchor is a small share even of a text that a third of all rows have; its rows pass through a task and are not held there.
+    told = marked.repartition("h").sortWithinPartitions("h", "x").mapInArrow(_told_apart, "kind byte, h long, k long, cp long")
+    row = F.struct("kind", "h", F.col("cp").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("pos"))
+    found = checkpointed(told.groupBy("k", F.shiftright("cp", 32).cast("int").alias("c")).agg(F.collect_set(row).alias("rows")))
+    texts = keyed.where(long).groupBy("k", "c").agg(F.any_value("text").alias("text"))
+    marks = found.select("k", "c", F.filter("rows", lambda m: m["kind"] != COVERED).alias("marks")).where(F.size("marks") > 0)
+    often = marks.select(F.explode("marks.h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h", F.lit(True).alias("often"))
     context = "h long, n long, k long, c int, lo int, left int, ctx binary"
-    met = texts.select("k", "c", "text").join(marks, ["k", "c"])
-    small = met.withColumn("marks", F.filter("marks", lambda m: m["nh"] <= hot)).mapInArrow(_context_rows(length), context)
-    large = met.withColumn("marks", F.filter("marks", lambda m: m["nh"] > hot)).where(F.size("marks") > 0).mapInArrow(_context_rows(length), context)
-    blocks = small.groupBy(F.pmod(F.xxhash64("h"), F.lit(8 * int(parts))).alias("block")).applyInArrow(_block_rows(length), "k long, c int, lo int, hi int")
-    windows = large.mapInArrow(_window_rows(length), "h long, r int, d long, n long, k long, c int, at int")
-    twice = windows.groupBy("h", "r", "d").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("d").alias("d2"))
-    counted = windows.join(twice, (F.col("h") == F.col("h2")) & (F.col("r") == F.col("r2")) & (F.col("d") == F.col("d2"))).where("n = 1")
-    counted = counted.select("k", "c", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    spans = covered.unionByName(blocks).unionByName(counted).groupBy(F.col("k").alias("k2"), F.col("c").alias("c2")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    around = texts.join(marks, ["k", "c"]).mapInArrow(_context_rows(length), context)
+    counted = None
+    if often.limit(1).count():
+        with_often = around.join(often, "h", "left")
+        around = with_often.where("often IS NULL").drop("often")
+        windows = with_often.where("often").drop("often").mapInArrow(_window_rows(length), "h long, r int, d long, n long, k long, c int, at int")
+        twice = windows.groupBy("h", "r", "d").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("d").alias("d2"))
+        counted = windows.join(twice, (F.col("h") == F.col("h2")) & (F.col("r") == F.col("r2")) & (F.col("d") == F.col("d2"))).where("n = 1")
+        counted = counted.select("k", "c", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    blocks = around.groupBy(F.pmod(F.xxhash64("h"), F.lit(8 * int(parts))).alias("block")).applyInArrow(_block_rows(length), "k long, c int, lo int, hi int")
+    spread = F.explode(F.filter("rows", lambda m: m["kind"] == COVERED)).alias("m")
+    # A context may end with its text; spans beyond it are cut off below.
+    covered = found.select("k", "c", spread).select("k", "c", F.greatest(F.col("m.pos") - (length - GRAM), F.lit(0)).alias("lo"), (F.col("m.pos") + length).alias("hi"))
+    blocks = blocks if counted is None else blocks.unionByName(counted)
+    spans = covered.unionByName(blocks).groupBy(F.col("k").alias("k2"), F.col("c").alias("c2")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     final = texts.join(spans, (F.col("k") == F.col("k2")) & (F.col("c") == F.col("c2")), "left")
     inside = F.transform("spans", lambda s: F.struct(s["lo"].alias("lo"), F.least(s["hi"], F.octet_length("text")).alias("hi")))
-    result = final.select("k", "c", "text", "copies", inside.alias("spans")).mapInArrow(_kept_rows(with_kept), "k long, c int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    result = final.select("k", "c", "text", inside.alias("spans")).mapInArrow(_kept_rows(with_kept), "k long, c int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     result = result.withColumnsRenamed({"k": "k2", "c": "c2"})
     extra = ["kept"] * with_kept
     done = keyed.where(long).select("doc_id", "k", "c").join(result, (F.col("k") == F.col("k2")) & (F.col("c") == F.col("c2"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *extra)
