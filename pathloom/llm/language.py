@@ -7,7 +7,7 @@ that are known, or a floor. A text's language has the largest sum; the score is
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,45 +27,64 @@ REMEMBERED = 200_000
 
 @dataclass
 class Model:
+    """langs; tables: of words and then of n-grams by length from 1, each the row of an entry and a row of scores per entry; floor."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length, from 1
+    tables: list[tuple[dict[str, int], np.ndarray]]
     floor: np.ndarray
-    _seen: dict[str, int] = field(default_factory=dict)
-    _rows: list[np.ndarray] = field(default_factory=list)
-
-    def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        inside = f" {word} "
+    _seen: dict[str, int] | None = None
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row of scores per word: its own where it is known, else the mean of its longest known n-grams, else the floor."""
+        out = np.tile(self.floor, (len(words), 1))
+        known = [self.tables[0][0].get(w, -1) for w in words]
+        rows = np.array(known, dtype=np.int64)
+        out[rows >= 0] = self.tables[0][1][rows[rows >= 0]]
+        left = [i for i, row in enumerate(known) if row < 0]
         for n in range(LONGEST, 0, -1):
-            table = self.grams[n - 1]
-            found = [table[g] for i in range(len(inside) - n + 1) if (g := inside[i : i + n]) in table]
-            if found:
-                return np.mean(found, axis=0)
-        return self.floor
+            at, scores = self.tables[n]
+            found, sizes = [], []
+            for i in left:
+                inside = f" {words[i]} "
+                own = [row for k in range(len(inside) - n + 1) if (row := at.get(inside[k : k + n])) is not None]
+                found += own
+                sizes.append(len(own))
+            size = np.array(sizes, dtype=np.int64)
+            hit = size > 0
+            if hit.any():
+                starts = (np.cumsum(size) - size)[hit]
+                out[np.array(left)[hit]] = np.add.reduceat(scores[found], starts, axis=0) / size[hit, None]
+            left = [i for i, h in zip(left, hit.tolist(), strict=True) if not h]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall((text or "").lower())
         if not words or not self.langs:
             return "und", 0.0
-        seen, rows = self._seen, self._rows
-        counts = np.zeros(len(self.langs))
-        if len(rows) > REMEMBERED:
-            seen.clear()
-            rows.clear()
-        at = []
-        for w in words:
-            i = seen.get(w)
-            if i is None:
-                i = seen[w] = len(rows)
-                rows.append(self.word_scores(w))
-            at.append(i)
-        for i, c in zip(*np.unique(at, return_counts=True), strict=True):
-            counts += rows[i] * c
-        best = int(counts.argmax())
-        return self.langs[best], float(1 / np.exp(counts - counts[best]).sum())
+        if self._seen is None or len(self._seen) > REMEMBERED:
+            self._seen = _Remembered(self)
+        sums = self._seen.rows_of(words).sum(axis=0)
+        best = int(sums.argmax())
+        return self.langs[best], float(1 / np.exp(sums - sums[best]).sum())
+
+
+class _Remembered(dict):
+    """word -> row of its scores, worked out when a text first has the word."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self.rows = np.zeros((1 << 10, len(model.langs)))
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if new:
+            first, last = len(self), len(self) + len(new)
+            while last > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[first:last] = self.model.score(new)
+            self.update(zip(new, range(first, last), strict=True))
+        return self.rows[[self[w] for w in words]]
 
 
 def _ngrams(n: int):
@@ -92,18 +111,22 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     both = words.select("lang", F.lit(0).alias("k"), F.col("word").alias("g"), "n").unionByName(grams.select("lang", "k", "g", "n"))
     top = Window.partitionBy("lang", "k").orderBy(F.desc("n"), "g")
     totals = {(r["lang"], r["k"]): (r["t"], r["d"]) for r in both.groupBy("lang", "k").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d")).collect()}
-    kept = both.withColumn("r", F.row_number().over(top)).where(F.col("r") <= per_lang).select("lang", "k", "g", "n").collect()
+    kept = both.withColumn("r", F.row_number().over(top)).where(F.col("r") <= per_lang).select("lang", "k", "g", "n").toArrow()
     langs = sorted({lang for lang, _ in totals})
     place = {x: i for i, x in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    # Add-a-half smoothing; a missing entry has the frequency of a half.
-    least = [np.array([np.log(0.5 / (totals.get((x, k), (0, 0))[0] + 0.5 * totals.get((x, k), (0, 0))[1] + 1)) for x in langs]) for k in range(LONGEST + 1)]
-    for r in kept:
-        row = tables[r["k"]].get(r["g"])
-        if row is None:
-            row = tables[r["k"]][r["g"]] = least[r["k"]].copy()
-        row[place[r["lang"]]] = least[r["k"]][place[r["lang"]]] + np.log(2 * r["n"] + 1)
-    return Model(langs, tables[0], tables[1:], np.zeros(len(langs)))
+    lang, kind, said, counts = (kept.column(c).to_pylist() for c in ("lang", "k", "g", "n"))
+    at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    row = [at[k].setdefault(g, len(at[k])) for k, g in zip(kind, said, strict=True)]
+    kind, column, row = np.array(kind, dtype=np.int64), np.array([place[x] for x in lang], dtype=np.int64), np.array(row, dtype=np.int64)
+    tables = []
+    for k in range(LONGEST + 1):
+        # Add-a-half smoothing; a missing entry has the frequency of a half.
+        sizes = [totals.get((x, k), (0, 0)) for x in langs]
+        scores = np.tile(np.log([0.5 / (t + 0.5 * d + 1) for t, d in sizes]), (len(at[k]), 1))
+        own = kind == k
+        scores[row[own], column[own]] += np.log(2 * np.array(counts, dtype=np.float64)[own] + 1)
+        tables.append((at[k], scores))
+    return Model(langs, tables, np.zeros(len(langs)))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -112,7 +135,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     A text that is null or has no letter is "und" with score 0. The model, of bounded size, is broadcast. Columns of `keep` may have any
     name; what carries them to Python and back has names of its own.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.floor))
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.floor))
     carried = [f"_k{i}" for i in range(len(keep))]
 
     def run(batches):

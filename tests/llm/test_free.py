@@ -129,7 +129,7 @@ def repeats(spark):
     return spark.createDataFrame([(i if i % 9 else None, t, i) for i, t in enumerate(said)], "doc_id long, text string, pos long"), [(t or "").encode() for t in said]
 
 
-@pytest.mark.parametrize("length,hot", [(200, 20_000), (200, 1), (64, 3)])
+@pytest.mark.parametrize("length,hot", [(200, 20_000), (200, 1), (128, 3)])
 def test_suffix_dedup(spark, length, hot):
     docs, raws = repeats(spark)
     rows = suffixes.drop_repeats(docs, length, id_col="pos", hot=hot, with_kept=True).collect()
@@ -151,15 +151,22 @@ def test_suffix_dedup_edges(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_intervals_are_equal_prefixes(seed):
+def test_intervals_are_equal_windows(seed):
     r = random.Random(seed)
-    symbols = np.array([r.choice([1, 2]) for _ in range(300)] + [0], dtype=np.int16)
-    length = 6
-    got = suffixes.common_intervals(symbols, length)
-    by = {}
-    for i in range(300 - length + 1):
-        by.setdefault(tuple(symbols[i : i + length]), set()).add(int(got[i]))
-    assert all(len(x) == 1 for x in by.values()) and len({min(x) for x in by.values()}) == len(by)
+    rows = []
+    for group in range(3):
+        gram = bytes(r.choice(b"ab") for _ in range(suffixes.GRAM))
+        for _ in range(25):
+            before = bytes(r.choice(b"ab") for _ in range(r.randrange(6))) + bytes(r.choice([b"", b"aaaa", b"abab"]) * 2)
+            rows.append((group, gram + bytes(r.choice(b"ab") for _ in range(r.randrange(14))), before))
+    rows.sort()
+    length = suffixes.GRAM + 8
+    contexts, lefts = [b[-8:] + a for _, a, b in rows], [len(b[-8:]) for _, _, b in rows]
+    found = suffixes.repeated_windows(contexts, lefts, [g for g, _, _ in rows], length)
+    windows = Counter((g, x, c[left - x : left - x + length]) for (g, _, _), c, left in zip(rows, contexts, lefts, strict=True) for x in range(min(left, 8) + 1) if len(c) >= left - x + length)
+    for (g, _, _), c, left, spans in zip(rows, contexts, lefts, found, strict=True):
+        want = {p for x in range(min(left, 8) + 1) if windows[g, x, c[left - x : left - x + length]] > 1 for p in range(left - x, left - x + length)}
+        assert {p for lo, hi in spans for p in range(lo, hi)} == want
 
 
 def brute_fingerprint(text):
@@ -264,6 +271,7 @@ def test_language(spark):
 
 
 def test_words_come_before_grams():
-    model = language.Model(["x", "y"], {"known": np.array([-1.0, -5.0])}, [{"k": np.array([-9.0, -1.0])}, {}, {}, {" unk": np.array([-3.0, -2.0])}], np.zeros(2))
-    assert model.word_scores("known").tolist() == [-1.0, -5.0] and model.word_scores("unk").tolist() == [-3.0, -2.0]
-    assert model.word_scores("k").tolist() == [-9.0, -1.0] and model.word_scores("q").tolist() == [0.0, 0.0]
+    none = ({}, np.zeros((0, 2)))
+    model = language.Model(["x", "y"], [({"known": 0}, np.array([[-1.0, -5.0]])), ({"k": 0}, np.array([[-9.0, -1.0]])), none, none, ({" unk": 0}, np.array([[-3.0, -2.0]]))], np.zeros(2))
+    got = model.score(["known", "unk", "k", "q"])
+    assert got.tolist() == [[-1.0, -5.0], [-3.0, -2.0], [-9.0, -1.0], [0.0, 0.0]] and model.score([]).shape == (0, 2)
