@@ -85,6 +85,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return rows.join(found, rows["fp"] == found["fp2"]).select("doc_id", "fp", "th", "component_id")
 
 
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, one of each root of found(doc_id, th, root): the smallest (id, hash of the text). Rows with a null id stay as they are."""
+    keep = found.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("_nd_id"), F.col("k.th").alias("_nd_th"))
+    marked = docs.withColumn("_nd_h", F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)))
+    stay = marked.join(keep, (F.col(id_col).cast("long") == F.col("_nd_id")) & F.col("_nd_h").eqNullSafe(F.col("_nd_th")))
+    # Repeated rows of the representative are copies too; other texts with its id are not.
+    nth = F.row_number().over(Window.partitionBy("_nd_id", "_nd_h").orderBy(*[F.col(c) for c in docs.columns if c != text_col]))
+    one = stay.withColumn("_nd_n", nth).where("_nd_n = 1")
+    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, one of each component: the smallest (id, hash of the text). Rows with a null id stay as they are."""
     found = near_duplicates(docs, radius, id_col, text_col)
