@@ -70,7 +70,7 @@ def linked_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp, th, component_id: the smallest id reachable over links, itself included. One row per row of docs.
+    """doc_id, fp, th, root (the component's smallest fingerprint), component_id (the smallest id reachable over links, itself included). One row per row of docs.
 
     Fingerprints link at `radius` or fewer differing bits. Texts without words (null, empty, blank) have fingerprint 0 and are
     linked like any other. A null id is no candidate for the smallest; a component of null ids alone has a null id.
@@ -81,8 +81,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     roots = connected_components(linked_pairs(nodes.select("fp"), radius))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(smallest, "root").select(F.col("fp").alias("fp2"), "component_id")
-    return rows.join(found, rows["fp"] == found["fp2"]).select("doc_id", "fp", "th", "component_id")
+    found = named.join(smallest, "root").select(F.col("fp").alias("fp2"), "root", "component_id")
+    return rows.join(found, rows["fp"] == found["fp2"]).select("doc_id", "fp", "th", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,15 +97,8 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, one of each component: the smallest (id, hash of the text). Rows with a null id stay as they are."""
-    found = near_duplicates(docs, radius, id_col, text_col)
-    keep = found.where(F.col("doc_id").isNotNull()).groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("_nd_id"), F.col("k.th").alias("_nd_th"))
-    marked = docs.withColumn("_nd_h", F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)))
-    stay = marked.join(keep, (F.col(id_col).cast("long") == F.col("_nd_id")) & F.col("_nd_h").eqNullSafe(F.col("_nd_th")))
-    # Repeated rows of the representative are copies too.
-    nth = F.row_number().over(Window.partitionBy("_nd_id").orderBy(*[F.col(c) for c in docs.columns if c != text_col]))
-    one = stay.withColumn("_nd_n", nth).where("_nd_n = 1")
-    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """Rows of docs, one of each component of near_duplicates."""
+    return one_of_each(docs, near_duplicates(docs, radius, id_col, text_col), id_col, text_col)
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -73,3 +73,12 @@ def test_the_order_of_shingles_changes_nothing(spark, monkeypatch):
         for r in likeness.near_copies(docs).collect():
             by.setdefault(r["root"], []).append(r["doc_id"])
         assert sorted(min(x) for x in by.values()) == sorted(set(want)) and sum(map(len, by.values())) == len(said)
+
+
+def test_different_texts_under_one_id_stay(spark):
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, b), (4, c)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == sorted([(1, a), (1, b), (4, c)])
+    assert sorted(map(tuple, simhash.one_of_each(docs, likeness.near_copies(docs)).collect())) == sorted([(1, a), (1, b), (4, c)])
