@@ -2,6 +2,10 @@
 
 Words are hashed once and every k consecutive word hashes make a k-gram hash. Of every window of w grams the smallest hash
 is chosen, the rightmost where it ties, and kept with its position. Texts that share a run of w + k - 1 words share a chosen hash.
+
+A character of a script without blanks counts as a word, and so does each of a run too long for a word. Short texts have smaller
+windows: what a large window chooses, the smaller ones inside it choose too, so texts of unlike lengths still share hashes.
+Texts of under SHORT characters are winnowed over characters as well.
 """
 
 from __future__ import annotations
@@ -14,6 +18,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GRAM = 3
 WINDOW = 10
+#: Scripts that put no blanks between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+SPACED = rf"[^\x20\x09-\x0D{UNSPACED}]"
+#: A run of at most 16 characters is a word; in a longer one, and in scripts without blanks, every character is.
+UNIT = rf"[{UNSPACED}]|(?<!{SPACED}){SPACED}{{1,16}}(?!{SPACED})|{SPACED}"
+#: Texts of fewer characters are winnowed over characters too.
+SHORT = 128
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,19 +32,40 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def _chosen(grams: Column, window: Column) -> Column:
+    """Of every window of grams (struct<h, p>) the least, each once."""
+    picks = _let(grams, lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - window + 1, F.lit(1))), lambda j: F.array_min(F.slice(g, j, window))))
+    # Windows slide, so equal picks are neighbours.
+    return _let(picks, lambda ps: F.filter(ps, lambda x, i: (i == 0) | (x["p"] != F.get(ps, i - 1)["p"])))
+
+
 def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """array<struct<h long, p int>>: chosen gram hashes in the order of the text; p is minus the gram's position.
 
-    Fewer than `gram` words are one gram, fewer than `window` grams one window. No words: an empty array.
+    Fewer than `gram` words are one gram, fewer than the window's grams one window. The window is whole from 32 * (window + 2) characters
+    on; below, two thirds of a text in words of 16 characters still hold one. No words: an empty array.
     """
-    hashed = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x))
+    hashed = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda x: F.xxhash64(x))
     grams = _let(hashed, lambda hs: F.transform(F.sequence(F.lit(0), F.greatest(F.size(hs) - gram, F.lit(0))), lambda i: F.struct(F.xxhash64(*[F.get(hs, i + d) for d in range(gram)]).alias("h"), (-i).alias("p"))))
-    picks = _let(grams, lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - window + 1, F.lit(1))), lambda j: F.array_min(F.slice(g, j, window))))
-    # Windows slide, so equal picks are neighbours.
-    chosen = _let(picks, lambda ps: F.filter(ps, lambda x, i: (i == 0) | (x["p"] != F.get(ps, i - 1)["p"])))
+    room = F.least(F.lit(window), F.greatest(F.lit(1), F.floor(F.char_length(text) / 32).cast("int") - 2))
+    chosen = _let(room, lambda w: _chosen(grams, w))
     return F.when(F.regexp_like(text, F.lit(WORD)), chosen).otherwise(F.slice(chosen, 1, 0))
 
 
+def winnow_characters(text: Column, gram: int = 3, window: int = 4) -> Column:
+    """winnow over the characters of a text of fewer than SHORT; longer texts and those without words have an empty array."""
+    n = F.char_length(text)
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - gram, F.lit(0))), lambda i: F.struct(F.xxhash64(F.lit("characters"), F.substring(text, i + 1, F.lit(gram))).alias("h"), (-i).alias("p")))
+    room = F.least(F.lit(window), F.greatest(F.lit(1), F.floor(n / 2).cast("int") - 1))
+    chosen = _let(room, lambda w: _chosen(grams, w))
+    return F.when((n < SHORT) & F.regexp_like(text, F.lit(WORD)), chosen).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
+
+
+def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """winnow and, after it, winnow_characters."""
+    return F.concat(winnow(text, gram, window), winnow_characters(text))
+
+
 def hashes(chosen: Column) -> Column:
     return F.array_distinct(F.transform(chosen, lambda x: x["h"]))
 
@@ -85,7 +117,7 @@ def with_next(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: s
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_chars, edited, chosen, edited_chosen (arrays of winnow), near_edited, near_next for every row of docs.
+    """doc_id, n_chars, edited, chosen, edited_chosen (arrays of fingerprint), near_edited, near_next for every row of docs.
 
     The edited text replaces the last third of the code points by the first as many of the next document (descending id, after the
     last the first; all, if it is shorter). A null text is an empty one. A single document is its own next one. Texts move once.
@@ -95,9 +127,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     third = F.floor(F.char_length("text") / 3).cast("int")
     both = dealt.withColumn("after", F.lead("text").over(order)).withColumn("n", F.char_length("text"))
     both = both.withColumn("edited", F.concat(F.left("text", F.col("n") - third), F.left(F.coalesce("after", F.lit("")), third)))
-    found = both.withColumn("chosen", winnow(F.col("text"), gram, window)).withColumn("own", hashes(F.col("chosen")))
+    found = both.withColumn("chosen", fingerprint(F.col("text"), gram, window)).withColumn("own", hashes(F.col("chosen")))
     found = found.withColumn("following", F.lead("own").over(order)).where("ghost = 0")
-    found = found.withColumn("edited_chosen", winnow(F.col("edited"), gram, window))
+    found = found.withColumn("edited_chosen", fingerprint(F.col("edited"), gram, window))
     return found.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited", "chosen", "edited_chosen", likeness(F.col("own"), hashes(F.col("edited_chosen"))).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
 
 
