@@ -10,13 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, group: list[str], order_hash: Column, order: list[str], amount: Column, out: str, buckets: int) -> DataFrame:
+def buckets_for(rows: int, each: int = 1 << 16) -> int:
+    """How many buckets hold about `each` rows of a group of that many: a power of two, so parallelism grows with the group."""
+    return 1 << min(20, max(0, -(-rows // each) - 1).bit_length())
+
+
+def running_total(df: DataFrame, group: list[str], order_hash: Column, order: list[str], amount: Column, out: str, buckets: int, width: int = 64) -> DataFrame:
     """df with `out`: the sum of `amount` over the rows of the same group that come earlier.
 
-    Rows come in the order of (bucket of order_hash, order_hash, *order). Rows that tie on all of these are
-    interchangeable: they get distinct ranges in an unspecified order. Groups may be null (one group).
+    Rows come in the order of (order_hash, *order), the hash an unsigned number of `width` bits; its first bits are the bucket, so the
+    number of buckets changes nothing. Rows that tie on all of these are interchangeable: they get distinct ranges in an unspecified
+    order. Groups may be null (one group).
     """
-    dealt = df.withColumn("_oh", order_hash).withColumn("_bk", F.shiftrightunsigned("_oh", 34) % buckets).withColumn("_am", amount.cast("long"))
+    bits = (buckets - 1).bit_length()
+    bucket = F.shiftrightunsigned("_oh", width - bits) if bits else F.lit(0).cast("long")
+    # Within a bucket the sign is the same; a single bucket needs it turned.
+    dealt = df.withColumn("_oh", order_hash).withColumn("_bk", bucket).withColumn("_am", amount.cast("long"))
+    if not bits and width == 64:
+        dealt = dealt.withColumn("_oh", F.col("_oh").bitwiseXOR(F.lit(-(1 << 63))))
     tail = Window.partitionBy(*group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy(*group, "_bk").agg(F.sum("_am").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(tail), F.lit(0)))
     base = base.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bk").alias("_bk2"), "_base")

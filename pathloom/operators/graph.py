@@ -10,10 +10,10 @@ INT_MAX = 2**31 - 1
 
 def from_pairs(pairs: DataFrame, src: str, dst: str, weight: str) -> DataFrame:
     """edges out of one row per directed edge; eid numbers them by (src, dst, weight) without one global window."""
-    from pathloom.functions.ranking import dense_rank_in
+    from pathloom.functions.ranking import buckets_for, dense_rank_in
 
     plain = pairs.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), F.col(weight).alias("weight"))
-    return dense_rank_in(plain.withColumn("_one", F.lit(0)), ["_one"], F.xxhash64("src"), ["src", "dst", "weight"], "eid", 1024).select("eid", "src", "dst", "weight")
+    return dense_rank_in(plain.withColumn("_one", F.lit(0)), ["_one"], F.xxhash64("src"), ["src", "dst", "weight"], "eid", buckets_for(pairs.count())).select("eid", "src", "dst", "weight")
 
 
 def check(edges: DataFrame, n: int | None = None) -> None:

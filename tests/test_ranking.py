@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pathloom.functions.ranking import dense_rank_in, ordered_rank, running_total
+from pathloom.functions.ranking import buckets_for, dense_rank_in, ordered_rank, running_total
 
 
 def test_ranks_and_totals(spark):
@@ -18,3 +18,14 @@ def test_ranks_and_totals(spark):
     done = ordered_rank(df, "i", ["n"], "k", run=16).collect()
     assert all(r["k"] == r["i"] for r in done)
     assert ordered_rank(df.where("false"), "i", [], "k").count() == 0
+
+
+def test_the_number_of_buckets_changes_nothing(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 2).alias("g"), F.xxhash64("id").alias("h"))
+    found = [sorted(tuple(r) for r in running_total(rows, ["g"], F.col("h"), ["id"], F.col("id"), "t", n).select("id", "t").collect()) for n in (1, 2, 64)]
+    want, sums = {}, {0: 0, 1: 0}
+    for r in sorted(rows.collect(), key=lambda r: r["h"] % 2**64):
+        want[r["id"]] = sums[r["g"]]
+        sums[r["g"]] += r["id"]
+    assert found[0] == found[1] == found[2] == sorted(want.items())
+    assert [buckets_for(n) for n in (0, 1, 1 << 16, (1 << 16) + 1, 10**6)] == [1, 1, 1, 2, 16]
