@@ -39,9 +39,9 @@ def running_total(df: DataFrame, group: list[str], order_hash: Column, order: li
     return ranked.join(base, same).withColumn(out, F.col("_base") + F.col("_within")).drop("_oh", "_bk", "_am", "_bk2", "_base", "_within", *[f"_g{i}" for i in range(len(group))])
 
 
-def dense_rank_in(df: DataFrame, group: list[str], order_hash: Column, order: list[str], out: str, buckets: int) -> DataFrame:
+def dense_rank_in(df: DataFrame, group: list[str], order_hash: Column, order: list[str], out: str, buckets: int, width: int = 64) -> DataFrame:
     """df with `out`: 0, 1, 2, ... within each group, in the order of running_total."""
-    return running_total(df, group, order_hash, order, F.lit(1), out, buckets)
+    return running_total(df, group, order_hash, order, F.lit(1), out, buckets, width)
 
 
 def ordered_rank(df: DataFrame, key: str, order: list[str], out: str, run: int = 4096) -> DataFrame:
