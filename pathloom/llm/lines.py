@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.batches import unused
+
 MIN_SITES = 10
 #: log2 of the sketch's registers; its relative error is about 1.04 / sqrt(2 ** LG_K).
 LG_K = 10
@@ -44,22 +46,25 @@ def _without(text: Column, drops: Column) -> Column:
     ).getItem(0)
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:
-    """All rows and columns of docs with cleaned texts, plus lines_removed long.
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", lg_k: int = LG_K, count_col: str | None = "lines_removed") -> DataFrame:
+    """All rows and columns of docs with cleaned texts, plus `count_col`, the number of removed lines (long), unless that is None.
 
     A line is compared without spaces at its ends; blank lines stay. A line of min_sites sites or more stays only where
     it occurs first: in the smallest id (null first), there at its first position. A null site is a site of its own. A null text stays null.
-    Rows alike in id and text are treated alike. A document of boilerplate alone ends with an empty text. docs must not
-    have columns named lines_removed or starting with _ld_.
+    Rows alike in id and text are treated alike. A document of boilerplate alone ends with an empty text. docs may have any
+    other columns; where one is named like count_col, the new column's name gets an underscore.
     """
     lines = _lines(docs, id_col, text_col, site_col)
     flagged = boilerplate_lines(lines, min_sites, lg_k).withColumnsRenamed({"h": "h2", "c": "c2"})
     # Occurrences meet the flagged hashes in an equi-join that AQE can broadcast by measured size or split where skewed.
     hits = lines.select("id", "th", "pos", "h", "c").join(flagged, (F.col("h") == F.col("h2")) & (F.col("c") == F.col("c2")))
     hits = hits.where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
-    drops = hits.groupBy(F.col("id").alias("_ld_id"), F.col("th").alias("_ld_th")).agg(F.collect_set("pos").alias("_ld_pos"))
-    met = docs.withColumn("_ld_h", F.xxhash64(text_col)).join(drops, F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.col("_ld_h") == F.col("_ld_th")), "left")
-    return met.withColumn(text_col, F.when(F.col("_ld_pos").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("_ld_pos")))).select(*docs.columns, F.coalesce(F.size("_ld_pos"), F.lit(0)).cast("long").alias("lines_removed"))
+    own, at_id, at_h, gone, said = unused(docs.columns, "_ld_h", "_ld_id", "_ld_th", "_ld_pos", count_col or "_")
+    drops = hits.groupBy(F.col("id").alias(at_id), F.col("th").alias(at_h)).agg(F.collect_set("pos").alias(gone))
+    met = docs.withColumn(own, F.xxhash64(text_col)).join(drops, F.col(id_col).eqNullSafe(F.col(at_id)) & (F.col(own) == F.col(at_h)), "left")
+    met = met.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(gone))))
+    counted = [F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(said)] if count_col else []
+    return met.select(*docs.columns, *counted)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.batches import bound_batches
 from pathloom.functions.lineage import checkpointed
 
 WIDTH = 64
@@ -103,6 +104,7 @@ def interleave(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
             parsed = pa.array([parse(x) for x in b.column("_html").to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), parsed], names=[*keep, "elements"])
 
+    bound_batches(pages.sparkSession)
     rows = pages.select(*keep, F.col(html_col).alias("_html"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, f"{kept}, elements array<struct<{', '.join(x.replace(' ', ':') for x in ELEMENT.split(', '))}>>")
@@ -164,6 +166,7 @@ def store_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     seen[key] = to_png(payload)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.binary())], names=["digest", "media"])
 
+    bound_batches(docs.sparkSession)
     return checkpointed(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digest string, media binary"))
 
 
@@ -191,6 +194,7 @@ def media_features(store: DataFrame) -> DataFrame:
             rows = [one(*x) for x in zip(b.column("digest").to_pylist(), b.column("media").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
+    bound_batches(store.sparkSession)
     read = store.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return read.groupBy("digest").agg(F.min(F.struct(*names[1:])).alias("f")).select("digest", "f.*")
 

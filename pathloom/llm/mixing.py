@@ -3,8 +3,8 @@
 Each source's documents, in a fixed shuffled order, form a stream of words that may be read twice; the stream is
 cut into blocks of equal length. Slot t of the schedule is the golden-ratio point frac((t + 1) * phi): the source
 whose interval of cumulative target shares holds the point gets the slot. A source's slots, ranked, take its
-blocks in order. So every stretch of the schedule is close to the target shares, and a source's total is exact:
-slots beyond its target are dropped, the few it lacks follow at the end, its last block is cut at the target.
+blocks in order, and what its slots do not reach is not taken. So every stretch of the schedule is close to the target shares, and a
+source's total is off by the points' discrepancy, a few blocks. Slots for which a stream has no words left stay empty.
 """
 
 from __future__ import annotations
@@ -14,12 +14,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.batches import unused
 from pathloom.functions.lineage import checkpointed
-from pathloom.functions.ranking import running_total
+from pathloom.functions.ranking import buckets_for, dense_rank_in, running_total
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 GOLDEN = 0.6180339887498949
+#: Slots of a schedule, about: a total is off by a few of so many parts. More, where there are many sources.
+SLOTS = 1 << 20
+SOURCE_SLOTS = 64
+#: Words of a block at most.
+BLOCK = 256
+#: Slots that share a file.
+STRETCH = 1 << 14
 GRID = 1 << 12
 
 
@@ -53,71 +61,89 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return per.withColumn("target", F.coalesce(F.least("stop", level["_level"] * F.col("weight")), F.col("stop"))).select("source", "source_size", "source_no", "target")
 
 
-def schedule(targets: DataFrame, block: int, grid: int = GRID) -> DataFrame:
-    """slot long, source_no, number long (of the source's block), words long: the mix, block by block.
+def block_words(targets: DataFrame) -> int:
+    """Words of a block: SLOTS blocks make the mix, or SOURCE_SLOTS for each source if these are more; 1 to BLOCK."""
+    all_of = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("words"), F.count(F.lit(1)).alias("sources")).first()
+    return min(BLOCK, max(1, int(all_of["words"] // max(SLOTS, SOURCE_SLOTS * all_of["sources"]))))
+
+
+def schedule(targets: DataFrame, block: int, grid: int = GRID, golden: float = GOLDEN) -> DataFrame:
+    """slot long, source_no, number long (of the source's block): the mix, block by block. number is 0, 1, ... within a source.
 
     The cumulative shares are an interval for each source; intervals and points meet on a grid of cells, so this is
-    an equi-join. Slots grow with the words to take, source rows with the sources.
+    an equi-join. There are as many slots as blocks in all targets.
     """
     spark = targets.sparkSession
     per = targets.select("source_no", F.round("target").cast("long").alias("quota")).where("quota > 0")
-    per = per.withColumn("need", F.ceil(F.col("quota") / block))
-    up = Window.orderBy("source_no")
-    per = per.withColumn("all", F.sum("need").over(Window.partitionBy(F.lit(1)))).withColumn("hi", F.sum("need").over(up)).withColumn("lo", F.col("hi") - F.col("need"))
-    cells = F.explode(F.sequence(F.floor(F.col("lo") * grid / F.col("all")), F.floor((F.col("hi") * grid - 1) / F.col("all"))))
-    spans = per.select("source_no", "need", (F.col("lo") / F.col("all")).alias("lo"), (F.col("hi") / F.col("all")).alias("hi"), cells.alias("cell"))
-    count = per.agg(F.coalesce(F.sum("need"), F.lit(0)).alias("n")).first()["n"]
-    slots = spark.range(count).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN)).alias("x")).withColumn("u", F.col("x") - F.floor("x"))
+    up = Window.orderBy("source_no")  # a row per source
+    per = per.withColumn("all", F.sum("quota").over(Window.partitionBy(F.lit(1)))).withColumn("hi", F.sum("quota").over(up)).withColumn("lo", F.col("hi") - F.col("quota"))
+    cells = F.explode(F.sequence(F.floor(F.col("lo") / F.col("all") * grid), F.least(F.floor(F.col("hi") / F.col("all") * grid), F.lit(grid - 1))))
+    spans = per.select("source_no", (F.col("lo") / F.col("all")).alias("lo"), (F.col("hi") / F.col("all")).alias("hi"), cells.alias("cell"))
+    count = -(-per.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("n")).first()["n"] // block)
+    slots = spark.range(count).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(golden)).alias("x")).withColumn("u", F.col("x") - F.floor("x"))
     slots = slots.withColumn("cell", F.floor(F.col("u") * grid))
-    drawn = slots.join(spans, "cell").where("u >= lo AND u < hi").select("slot", "source_no", "need")
-    # Runs of 4096 slots are ranked by themselves; their counts give the runs' first ranks.
-    drawn = drawn.withColumn("run", F.floor(F.col("slot") / 4096))
-    runs = drawn.groupBy("source_no", "run").agg(F.count(F.lit(1)).alias("c"))
-    first = runs.withColumn("base", F.coalesce(F.sum("c").over(Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    ranked = drawn.join(first, ["source_no", "run"]).withColumn("number", F.col("base") + F.row_number().over(Window.partitionBy("source_no", "run").orderBy("slot")) - 1)
-    main = ranked.where("number < need").select("slot", "source_no", "number")
-    got = runs.groupBy("source_no").agg(F.sum("c").alias("got"))
-    late = per.join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
-    late = late.select("source_no", F.explode(F.sequence("got", F.col("need") - 1)).alias("number"))
-    tail = late.select((F.lit(count) + F.col("number")).alias("slot"), "source_no", "number")
-    # Tail slots keep the order (number, source_no); they need not be dense.
-    words = F.least(F.lit(block), F.col("quota") - F.col("number") * block).cast("long")
-    return main.unionByName(tail).join(per.select("source_no", "quota"), "source_no").select("slot", "source_no", "number", words.alias("words"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int = 256, buckets: int = 1024) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), row_key.
+    drawn = slots.join(spans, "cell").where("u >= lo AND u < hi").select("slot", "source_no")
+    return dense_rank_in(drawn, ["source_no"], F.col("slot"), [], "number", buckets_for(count), width=max(1, (count - 1).bit_length()))
+
+
+def placements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed, reads). placed: a row per row of docs with doc_id, size, source_size, source_no, target, row_key and start, its place in its source's stream.
+    reads: source_no, start, row_key, size, read (0, 1, ...), slot (of the block in which this read begins), words (that it gives to the mix, at least one).
 
     A null text has no words. A null source is a source. Rows alike in id and text are interchangeable and each has
-    its own place in the stream. No target is above `most` times its source, so no document is taken more than `most`
-    times its size (rounded up). The shuffle is a hash of id and text (row_key): reruns agree. Other columns of docs
-    are not read. An empty table gives no rows.
+    its own place in the stream. Other columns of docs are not read.
     """
     # Small rows, cut here: the texts are read once.
     sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row_key(F.col(id_col), F.col(text_col)).alias("row_key")))
     targets = checkpointed(source_targets(sized, share, most, weights))
-    plan = schedule(targets, block)
-    placed = running_total(sized, ["source"], F.col("row_key"), ["doc_id", "size"], F.col("size"), "start", buckets)
-    known = targets.select(F.col("source").alias("_s"), "source_size", "source_no", "target", F.round("target").cast("long").alias("_quota"))
+    block = block or block_words(targets)
+    plan = checkpointed(schedule(targets, block))
+    placed = running_total(sized, ["source"], F.col("row_key"), ["doc_id", "size"], F.col("size"), "start", buckets_for(sized.count()), width=60)
+    got = plan.groupBy(F.col("source_no").alias("_no")).agg((F.count(F.lit(1)) * block).alias("_got"))
+    limit = F.least(F.coalesce("_got", F.lit(0)), F.floor(F.col("source_size") * F.lit(float(most)))).cast("long")
+    known = targets.join(got, F.col("source_no") == F.col("_no"), "left").select(F.col("source").alias("_s"), "source_size", "source_no", "target", limit.alias("_limit"))
     # AQE decides from the measured size whether the table of sources is broadcast.
-    placed = placed.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    reads = F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1))))
-    at = placed.where("size > 0").select("source_no", "start", "size", "source_size", "_quota", reads.alias("read")).withColumn("a", F.col("read") * F.col("source_size") + F.col("start"))
-    at = at.where("a < _quota").withColumn("z", F.least(F.col("a") + F.col("size"), F.col("_quota")))
-    parts = at.select("source_no", "start", "a", "z", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("z") - 1) / block))).alias("number"))
-    met = parts.join(plan, ["source_no", "number"])
-    overlap = F.least("z", F.col("number") * block + F.col("words")) - F.greatest("a", F.col("number") * block)
-    taken = met.groupBy(F.col("source_no").alias("_no"), F.col("start").alias("_st")).agg(F.sum(overlap).alias("_taken"))
+    placed = checkpointed(placed.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    again = F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1))))
+    reads = placed.where("size > 0").select("source_no", "start", "row_key", "size", "source_size", "_limit", again.alias("read")).withColumn("a", F.col("read") * F.col("source_size") + F.col("start"))
+    reads = reads.where(F.col("a") < F.col("_limit")).withColumn("words", F.least("size", F.col("_limit") - F.col("a"))).withColumn("number", F.floor(F.col("a") / block))
+    met = reads.join(plan, ["source_no", "number"])
+    return placed.drop("_limit"), met.select("source_no", "start", "row_key", "size", "read", "slot", "words")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), slot (where it first comes, or null).
+
+    Options and the rest are those of placements. Each source's words in the mix come near its target. No source is read more than `most` times, so no
+    document is taken more than `most` times its size. The shuffle is a hash of id and text (row_key): reruns agree. An empty table gives no rows.
+    """
+    placed, reads = placements(docs, **options)
+    taken = reads.groupBy(F.col("source_no").alias("_no"), F.col("start").alias("_st")).agg(F.sum("words").alias("_taken"), F.min("slot").alias("slot"))
     # (source_no, start) is unique among rows with words.
     out = placed.join(taken, (F.col("source_no") == F.col("_no")) & (F.col("start") == F.col("_st")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "row_key")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "slot")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows and columns of docs, each as often as the mix takes it, near each other in a file where the schedule has them near each other, in its order.
+
+    A read of a document counts if the mix takes half of its words or more, so a source's words come within half a document of what its
+    slots hold. Other columns of docs may have any names. Rows alike in id and text are taken alike.
+    """
+    key, read, slot, words, part = unused(docs.columns, "_mx_key", "_mx_read", "_mx_slot", "_mx_words", "_mx_part")
+    _, reads = placements(docs, id_col, text_col, **options)
+    whole = reads.where(F.col("words") * 2 >= F.col("size")).groupBy(F.col("row_key").alias(key), F.col("read").alias(read)).agg(F.min("slot").alias(slot))
+    keyed = docs.withColumn(words, row_key(F.col(id_col), F.col(text_col)))
+    met = keyed.join(whole, F.col(words) == F.col(key)).withColumn(part, F.floor(F.col(slot) / STRETCH))
+    return met.repartition(part).sortWithinPartitions(slot, key, read).select(*docs.columns)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
+    found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumn("slot", F.coalesce("slot", F.lit(-1)))
 
 
-OP5_SQL = """
+OP5_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS k
@@ -129,11 +155,19 @@ r AS (SELECT *, coalesce(sum(stop) OVER (ORDER BY stop / weight, no ROWS BETWEEN
          sum(source_size) OVER () AS total FROM w),
 l AS (SELECT *, (total * 1.5::DOUBLE - stopped) / open AS level FROM r),
 v AS (SELECT level AS lv FROM l WHERE stop / weight > level ORDER BY stop / weight, no LIMIT 1),
-t AS (SELECT source, source_size, coalesce(least(stop, (SELECT lv FROM v) * weight), stop) AS target FROM l),
-p AS (SELECT doc_id, source, size,
-         coalesce(sum(size) OVER (PARTITION BY source ORDER BY (k >> 34) % 1024, k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
-q AS (SELECT p.*, t.source_size, t.target, round(t.target)::BIGINT AS quota FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(quota, start + size) - start) + greatest(0, least(quota, source_size + start + size) - (source_size + start)))::BIGINT AS taken
-FROM q
+t AS (SELECT source, no, source_size, coalesce(least(stop, (SELECT lv FROM v) * weight), stop) AS target FROM l),
+b AS (SELECT least({BLOCK}, greatest(1, floor(sum(target) / greatest({SLOTS}, {SOURCE_SLOTS} * count(*)))))::BIGINT AS words FROM t),
+q AS (SELECT no, quota, sum(quota) OVER (ORDER BY no)::BIGINT AS hi, sum(quota) OVER ()::BIGINT AS whole FROM (SELECT no, round(target)::BIGINT AS quota FROM t) WHERE quota > 0),
+i AS (SELECT no, (hi - quota)::DOUBLE / whole::DOUBLE AS lo, hi::DOUBLE / whole::DOUBLE AS hi FROM q),
+n AS (SELECT unnest(range((SELECT (max(whole) + (SELECT words FROM b) - 1) // (SELECT words FROM b) FROM q))) AS slot),
+u AS (SELECT slot, (slot + 1) * {GOLDEN!r}::DOUBLE AS x FROM n),
+p AS (SELECT slot, i.no, row_number() OVER (PARTITION BY i.no ORDER BY slot) - 1 AS number FROM u JOIN i ON x - floor(x) >= i.lo AND x - floor(x) < i.hi),
+g AS (SELECT no, count(*) * (SELECT words FROM b) AS got FROM p GROUP BY no),
+a AS (SELECT doc_id, d.source, size, t.no, t.source_size, t.target, least(coalesce(g.got, 0), 2 * t.source_size) AS lim,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN g ON g.no = t.no)
+SELECT a.doc_id, a.size, a.source_size, a.target,
+       (greatest(0, least(lim, start + size) - start) + greatest(0, least(lim, source_size + start + size) - (source_size + start)))::BIGINT AS taken,
+       coalesce(CASE WHEN size > 0 AND start < lim THEN p.slot END, -1)::BIGINT AS slot
+FROM a LEFT JOIN p ON p.no = a.no AND p.number = a.start // (SELECT words FROM b)
 """

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.batches import bound_batches
 from pathloom.functions.lineage import checkpointed
 from pathloom.functions.ranking import dense_rank_in
 
@@ -108,6 +109,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols.append(pa.array(ids, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, names=names + ["ids"] * with_ids)
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids)
 

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.batches import bound_batches, unused
 from pathloom.functions.lineage import checkpointed
 from pathloom.llm.components import connected_components
 
@@ -49,6 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t, shingle) for t in b.column("text").to_pylist()), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), b.column("th")], names=["doc_id", "fp", "th"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)).alias("th"))
     return rows.mapInArrow(run, "doc_id long, fp long, th long")
 
@@ -86,13 +88,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, one of each root of found(doc_id, th, root): the smallest (id, hash of the text). Rows with a null id stay as they are."""
-    keep = found.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("_nd_id"), F.col("k.th").alias("_nd_th"))
-    marked = docs.withColumn("_nd_h", F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)))
-    stay = marked.join(keep, (F.col(id_col).cast("long") == F.col("_nd_id")) & F.col("_nd_h").eqNullSafe(F.col("_nd_th")))
+    """Rows and columns of docs, one of each root of found(doc_id, th, root): the smallest (id, hash of the text). Rows with a null id stay as they are.
+
+    Other columns of docs may have any names.
+    """
+    h, kept_id, kept_h, n = unused(docs.columns, "_nd_h", "_nd_id", "_nd_th", "_nd_n")
+    keep = found.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.th").alias(kept_h))
+    marked = docs.withColumn(h, F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)))
+    stay = marked.join(keep, (F.col(id_col).cast("long") == F.col(kept_id)) & F.col(h).eqNullSafe(F.col(kept_h)))
     # Repeated rows of the representative are copies too; other texts with its id are not.
-    nth = F.row_number().over(Window.partitionBy("_nd_id", "_nd_h").orderBy(*[F.col(c) for c in docs.columns if c != text_col]))
-    one = stay.withColumn("_nd_n", nth).where("_nd_n = 1")
+    nth = F.row_number().over(Window.partitionBy(kept_id, kept_h).orderBy(*[F.col(c) for c in docs.columns if c != text_col]))
+    one = stay.withColumn(n, nth).where(F.col(n) == 1)
     return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
