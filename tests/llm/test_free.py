@@ -125,11 +125,11 @@ def repeats(spark):
     word = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
     shared, other, edge = word(230), word(500), word(64)
     said = [word(300) + shared + word(40), shared + word(90), word(20) + shared, other, other[:150] + word(100) + other[150:], other[100:330], "ab" * 400, "x" * 199, "x" * 200, None, "", "x" * 700]
-    said += [word(r.randrange(80)) + edge + word(r.randrange(150)) for _ in range(12)] + [said[0], word(400)] + [other[:70] + word(80), word(30) + other[:70] + word(9)]
+    said += [word(r.randrange(80)) + edge + word(r.randrange(150)) for _ in range(12)] + [said[0], word(400), word(9) + "abc" * 300 + word(20), "q" * 450 + word(70) + "q" * 450, (word(77) + edge) * 4 + word(33)] + [other[:70] + word(80), word(30) + other[:70] + word(9)]
     return spark.createDataFrame([(i if i % 9 else None, t, i) for i, t in enumerate(said)], "doc_id long, text string, pos long"), [(t or "").encode() for t in said]
 
 
-@pytest.mark.parametrize("length,hot", [(200, 20_000), (200, 1), (128, 3)])
+@pytest.mark.parametrize("length,hot", [(200, 20_000), (200, 1), (128, 3)])  # below, some, and most anchors are too frequent for a block
 def test_suffix_dedup(spark, length, hot):
     docs, raws = repeats(spark)
     rows = suffixes.drop_repeats(docs, length, id_col="pos", hot=hot, with_kept=True).collect()
@@ -164,9 +164,9 @@ def test_intervals_are_equal_windows(seed):
     contexts, lefts = [b[-8:] + a for _, a, b in rows], [len(b[-8:]) for _, _, b in rows]
     found = suffixes.repeated_windows(contexts, lefts, [g for g, _, _ in rows], length)
     windows = Counter((g, x, c[left - x : left - x + length]) for (g, _, _), c, left in zip(rows, contexts, lefts, strict=True) for x in range(min(left, 8) + 1) if len(c) >= left - x + length)
-    for (g, _, _), c, left, spans in zip(rows, contexts, lefts, found, strict=True):
+    for (g, _, _), c, left, span in zip(rows, contexts, lefts, found, strict=True):
         want = {p for x in range(min(left, 8) + 1) if windows[g, x, c[left - x : left - x + length]] > 1 for p in range(left - x, left - x + length)}
-        assert {p for lo, hi in spans for p in range(lo, hi)} == want
+        assert set(range(*(span or (0, 0)))) == want
 
 
 def brute_fingerprint(text):
