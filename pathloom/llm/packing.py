@@ -1,7 +1,7 @@
 """Packing token sequences by cutting-stock column generation.
 
 Documents are tokenised once and cut at every `capacity` ids; what is packed is a table of pieces. The histogram of piece
-lengths (in bins of `grain` ids, rounded up, so at most capacity / grain numbers) defines a cutting-stock linear program. Its
+lengths (those over `fine` ids rounded up to multiples of `grain`, so at most fine + capacity / grain numbers) defines a cutting-stock linear program. Its
 columns are patterns, the multisets of lengths that fit one sequence; a knapsack dynamic program over the dual prices
 finds the next column until none improves. Patterns are used as often as the rounded-down solution says, what remains is
 filled from the largest piece down, each sequence as full as it gets. Pieces, ranked within their length, take the places of the patterns in order.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 import zlib
 from functools import cache
 
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.batches import bound_batches
 from pathloom.functions.lineage import checkpointed
-from pathloom.functions.ranking import dense_rank_in
+from pathloom.functions.ranking import buckets_for, dense_rank_in
 
 CAPACITY = 1024
+#: Lengths of at most FINE ids are packed as they are, longer ones rounded up to the next multiple of GRAIN.
 GRAIN = 4
+FINE = 64
 END = 0
 #: Fixed value: the pattern of pre-tokens of byte-level BPE.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,10 +41,10 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; special tokens' strings are ordinary text.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes: those of tokenizers with add_special_tokens=False, so the string of an added token has its id.
 
     The file is a `tokenizers` JSON file. If it is plain byte-level BPE whose ids ascend as its merges do, its own vocabulary runs in
-    tiktoken, which merges the same pairs in the same order, faster; any other file runs in tokenizers.
+    tiktoken, which merges the same pairs in the same order, faster. Texts with an added token's string, and any other file, run in tokenizers.
     """
 
     def __init__(self, path: str):
@@ -50,6 +53,7 @@ class Tokens:
             spec = json.load(f)
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         special = {x["content"] for x in spec["added_tokens"]}
+        self.path, self.special, self.whole = path, tuple(special), None
         letters = _byte_letters()
         merged = ["".join(x) if isinstance(x, list) else x.replace(" ", "", 1) for x in model.get("merges", ())]
         ids = [model["vocab"].get(x, -1) for x in merged]
@@ -59,13 +63,17 @@ class Tokens:
             import tiktoken
 
             ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-            self.ids = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            fast = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.ids = lambda text: self.slow(text) if any(x in text for x in self.special) else fast(text)
         else:
+            self.ids = self.slow
+
+    def slow(self, text: str) -> list[int]:
+        if self.whole is None:
             from tokenizers import Tokenizer
 
-            whole = Tokenizer.from_file(path)
-            whole.encode_special_tokens = True
-            self.ids = lambda text: whole.encode(text, add_special_tokens=False).ids
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         return np.array(self.ids(text), dtype="<u4").tobytes()
@@ -161,11 +169,11 @@ def _fullest(size: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
     return column
 
 
-def cutting_stock(sizes: list[int], counts: list[int], capacity: int, gap: float = 5e-4, most: int = 500) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(sizes: list[int], counts: list[int], capacity: int, gap: float = 5e-4, most: int = 5_000) -> list[tuple[np.ndarray, int]]:
     """Patterns (count of each size) and how often each is used; together they hold exactly counts[i] pieces of sizes[i].
 
     Column generation with a dense basis inverse. It ends at the optimum, when the price bound shows that the
-    solution is within `gap` of it, or after `most` columns; the result is whole in each case.
+    solution is within `gap` of it; the result is whole in each case. Should `most` columns not do, it says so in a warning and uses what it has.
     """
     if not sizes:
         return []
@@ -204,6 +212,8 @@ def cutting_stock(sizes: list[int], counts: list[int], capacity: int, gap: float
         others = np.arange(m) != out
         inverse[others] -= np.outer(step[others], inverse[out])
         columns[out] = pattern
+    else:
+        warnings.warn(f"{most} columns leave the packing within {1 - floor / x.sum():.4f} of the least number of sequences", stacklevel=2)
     left, used = need.copy(), []
     for column, times in sorted(zip(columns, x, strict=True), key=lambda p: -p[1]):
         held = column > 0
@@ -235,19 +245,19 @@ def _places(sizes: list[int], used: list[tuple[np.ndarray, int]]) -> dict[str, n
     return {n: np.array([r[i] for r in rows], dtype=np.int64) for i, n in enumerate(("key", "seq", "per", "place"))}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, buckets: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, fine: int = FINE) -> DataFrame:
     """All columns of pieces(doc_id, start, length, ...) plus sequence_id, offset: no sequence holds more than `capacity` ids.
 
     length is 1 to capacity. Pieces alike in doc_id and start are interchangeable. The plan has a row per pattern and length, a
     number bounded by the bins, and is broadcast. An empty table gives no rows.
     """
     sc = pieces.sparkSession.sparkContext
-    units = capacity // grain
-    binned = checkpointed(pieces.withColumn("_bin", F.least(F.ceil(F.col("length") / grain), F.lit(units)).cast("int")))
+    size = F.when(F.col("length") <= fine, F.col("length")).otherwise(F.least(F.ceil(F.col("length") / grain) * grain, F.lit(capacity)))
+    binned = checkpointed(pieces.withColumn("_bin", size.cast("int")))
     histogram = {r["_bin"]: r["n"] for r in binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = sorted(histogram)
     names = list(pieces.columns)
-    plan = sc.broadcast(_places(sizes, cutting_stock(sizes, [histogram[b] for b in sizes], units)))
+    plan = sc.broadcast(_places(sizes, cutting_stock(sizes, [histogram[b] for b in sizes], capacity)))
 
     def run(batches):
         p = plan.value
@@ -259,7 +269,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, bucket
             extra = [pa.array(p["seq"][i] + nth // p["per"][i]), pa.array(p["place"][i] + nth % p["per"][i])]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *extra], names=[*names, "sequence_id", "_place"])
 
-    ranked = dense_rank_in(binned, ["_bin"], F.xxhash64("doc_id", "start"), ["doc_id", "start"], "_rank", buckets)
+    ranked = dense_rank_in(binned, ["_bin"], F.xxhash64("doc_id", "start"), ["doc_id", "start"], "_rank", buckets_for(max(histogram.values(), default=0)))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     placed = ranked.select(*names, "_bin", "_rank").mapInArrow(run, f"{kept}, sequence_id long, _place long")
     before = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)

@@ -60,9 +60,7 @@ def test_interleave_keeps_order(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(packing.default_tokenizer())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(packing.default_tokenizer())
 
 
 def test_packing(spark, tmp_path):
@@ -93,6 +91,11 @@ def test_ids_equal_the_tokenizer():
     for _ in range(2000):
         text = "".join(r.choice(alphabet) for _ in range(r.randrange(12)))
         assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(own.encode("a <|endoftext|> b"), dtype="<u4").tolist() == [64, 220, 50256, 275]
+    for n in (3_000, 40_000):
+        text = "".join(r.choice([*alphabet, "the ", "word", "Größe ", "1234"]) for _ in range(n))
+        for said in (text, text.replace("<|endoftext|>", "")):
+            assert np.frombuffer(own.encode(said), dtype="<u4").tolist() == model.encode(said, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 300, 20_000])
@@ -107,6 +110,13 @@ def test_cutting_stock_is_whole_and_tight(n):
         assert bins <= least * 1.15 + 2 and (n < 20_000 or bins <= least * 1.01)
 
 
+def test_short_pieces_leave_no_room(spark):
+    pieces = spark.range(5000).selectExpr("id AS doc_id", "0L AS start", "CASE WHEN id % 3 = 0 THEN 1L ELSE 1 + id % 7 END AS length")
+    rows = packing.pack(pieces).collect()
+    total = sum(r["length"] for r in rows)
+    assert len(rows) == 5000 and len({r["sequence_id"] for r in rows}) == -(-total // 1024)
+
+
 def covered(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
