@@ -4,12 +4,13 @@ Fingerprints within `radius` 3 bits of each other agree but for at most one bit
 Half of the radius, rounded down, is one bit: every fingerprint emits each of its words and all variants of it within
 one bit. Variants collide in a shuffle; collisions between a word and a variant (or a word and the same word) are the
 candidates, and their 64 bits verify them. Of a word's variants only those that set a clear bit are emitted: where two
-words differ in one bit, one of them has it clear, so every pair still meets. Equal fingerprints are one node.
+words differ in one bit, one of them has it clear, so every pair still meets. Where many have a word in common, the other words are
+hashed into balls in turn. Equal fingerprints are one node.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pathloom.llm.components import connected_components
 
 RADIUS = 3
 STEP = 1 << 15
+#: Fingerprints with the same half that are compared in pairs.
+CROWD = 128
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -55,20 +58,72 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long, th long")
 
 
-def linked_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """nodes(fp), distinct -> (a, b): every pair of fingerprints that differ in 1 to `radius` bits, each once."""
-    if not 0 <= radius <= 3:
-        raise ValueError("two words and one flipped bit cover a radius of 3 at most")
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    own = nodes.select("fp", F.posexplode(F.array(low, F.shiftrightunsigned("fp", 32))).alias("w", "word"))
+def _masks(bits: int) -> list[int]:
+    """All 32-bit numbers with at most `bits` ones."""
+    return [sum(1 << i for i in ones) for n in range(bits + 1) for ones in combinations(range(32), n)]
+
+
+def _ball(word, bits: int):
+    """All variants of a 32-bit word within `bits` bits."""
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in _masks(bits)]), lambda m: word.bitwiseXOR(m))
+
+
+def _halves(nodes: DataFrame) -> DataFrame:
+    """fp, w, word (that half of it), other (the other half): two rows a fingerprint."""
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    both = F.array(F.struct(F.lit(0).alias("w"), low.alias("word"), high.alias("other")), F.struct(F.lit(1).alias("w"), high.alias("word"), low.alias("other")))
+    return nodes.select("fp", F.inline(both))
+
+
+def _near(own: DataFrame, radius: int) -> DataFrame:
+    """(a, b): pairs within the radius that share a half, or of which one has a half that the other has but for one more set bit."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.expr("word").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0)
-    ball = own.select(F.col("fp").alias("fp2"), F.col("w").alias("w2"), "word", F.explode(bits).alias("bit"))
-    ball = ball.select("fp2", "w2", F.col("word").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("word2"))
+    off = own.select(F.col("fp").alias("fp2"), F.col("w").alias("w2"), "word", F.explode(bits).alias("bit"))
+    off = off.select("fp2", "w2", F.col("word").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("word2"))
     same = own.select(F.col("fp").alias("fp2"), F.col("w").alias("w2"), F.col("word").alias("word2"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
     meet = (F.col("w") == F.col("w2")) & (F.col("word") == F.col("word2"))
-    pairs = own.join(same, meet & (F.col("fp") < F.col("fp2")) & near).select("fp", "fp2").unionByName(own.join(ball, meet & near).select("fp", "fp2"))
-    return pairs.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
+    pairs = own.join(same, meet & (F.col("fp") < F.col("fp2")) & near).select("fp", "fp2").unionByName(own.join(off, meet & near).select("fp", "fp2"))
+    return pairs.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
+
+
+def _stars(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(a, b): of each key the fingerprints of both tables(w, word, v, fp) with the smallest one of the inner table; keys without an inner one link nothing."""
+    both = inner.withColumn("inside", F.col("fp")).unionByName(outer.withColumn("inside", F.lit(None).cast("long")))
+    hub = F.min("inside").over(Window.partitionBy("w", "word", "v"))
+    return both.withColumn("hub", hub).where("hub <> fp").select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
+
+
+def linked_pairs(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """nodes(fp), distinct -> (a, b): pairs of fingerprints that differ in 1 to `radius` bits; whoever is linked is connected.
+
+    Up to `crowd` fingerprints with the same half, every pair comes once. In a crowd with a half in common, the other halves meet in the middle
+    in turn: each emits its variants within half of what is left of the radius, rounded down and up, and all that share a variant
+    are tied to one of them. So a crowd makes rows in proportion to its size, and no link between components is lost.
+    """
+    if not 0 <= radius <= 3:
+        raise ValueError("two words and one flipped bit cover a radius of 3 at most")
+    halves = _halves(nodes)
+    sizes = halves.groupBy("w", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select(F.col("w").alias("cw"), F.col("word").alias("cword"))
+    sizes = checkpointed(sizes)
+    if sizes.isEmpty():
+        return _near(halves, radius).distinct()
+    in_crowd = lambda rows: rows.join(sizes, (F.col("w") == F.col("cw")) & (F.col("word") == F.col("cword")), "left_semi")
+    members = checkpointed(in_crowd(halves))
+    # Pairs by halves, but for those that a crowd answers for.
+    calm = halves.join(sizes, (F.col("w") == F.col("cw")) & (F.col("word") == F.col("cword")), "left_anti")
+    pairs = _near(calm, radius)
+    lower, upper = radius // 2, radius - radius // 2
+    within = lambda rows, bits: rows.select("w", "word", "fp", F.explode(_ball(F.col("other"), bits)).alias("v"))
+    stars = [_stars(within(members, lower), within(members, upper))]
+    if radius:
+        # One bit of the crowd's half apart, on either side: what is left of the radius lies in the other half.
+        left = radius - 1
+        around = halves.select("fp", "w", "other", F.explode(F.transform(F.array(*[F.lit(1 << i).cast("long") for i in range(32)]), lambda m: F.col("word").bitwiseXOR(m))).alias("word"))
+        stars.append(_stars(within(members, left // 2), within(in_crowd(around), left - left // 2)))
+    for found in stars:
+        pairs = pairs.unionByName(found)
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -225,6 +225,19 @@ def test_all_links_within_the_radius(spark):
     assert len(got) == len(want) and {frozenset(x) for x in got} == want
 
 
+@pytest.mark.parametrize("radius,crowd", [(3, 4), (2, 4), (1, 2), (0, 1), (3, 60)])
+def test_crowds_lose_no_link(spark, radius, crowd):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(6)]
+    marks = {b ^ sum(1 << k for k in r.sample(range(64), d)) for b in base for d in range(6) for _ in range(12)}
+    marks |= {base[0] ^ (r.getrandbits(32) & r.getrandbits(32) & r.getrandbits(32) & r.getrandbits(32)) for _ in range(60)} | {0, 2**64 - 1}
+    sign = lambda m: m - 2**64 if m >> 63 else m
+    nodes = spark.createDataFrame([(sign(m),) for m in marks], "fp long")
+    pairs = [(x["a"] & (2**64 - 1), x["b"] & (2**64 - 1)) for x in simhash.linked_pairs(nodes, radius, crowd).collect()]
+    assert all(1 <= (a ^ b).bit_count() <= radius for a, b in pairs) and len(pairs) == len(set(pairs))
+    assert roots(marks, pairs) == roots(marks, [(a, b) for a in marks for b in marks if a != b and (a ^ b).bit_count() <= radius])
+
+
 def test_connected_components(spark):
     r = random.Random(7)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 160)] + [(200, k) for k in range(201, 260)] + [(5, 5)]
