@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from fixtures import documents, empty
 
@@ -287,14 +288,76 @@ def test_language(spark):
     assert len(test) > 50 and sum(by[i] == x for i, _, x in test) >= 0.98 * len(test)
     assert [by[i] for i in (1000, 1001, 1002)] == ["und"] * 3 and by[1003] == "aa" and by[None] == "bb" and by[1005] == "aa" and by[1004] in syllables
     kept = language.identify(docs, model, keep=tuple(docs.columns))
-    assert kept.columns == [*docs.columns, "lang_pred", "score"] and kept.count() == len(rows)
+    assert kept.columns == [*docs.columns, "lang_pred_", "score_"] and kept.count() == len(rows)
     nothing = language.train(docs.where("false"))
     assert {x["lang_pred"] for x in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(docs.where("false"), model).count() == 0
 
 
+def brute_model(rows):
+    """Counts of words (kind 0) and n-grams by language, and the sums over both."""
+    counts = Counter()
+    for text, lang in rows:
+        for w in regex.findall(r"\p{L}+", text.lower()):
+            counts[0, w, lang] += 1
+            inside = f" {w} "
+            for n in range(1, 5):
+                for i in range(len(inside) - n + 1):
+                    counts[n, inside[i : i + n], lang] += 1
+    total, distinct = Counter(), Counter()
+    for (kind, _, lang), n in counts.items():
+        total[kind, lang] += n
+        distinct[kind, lang] += 1
+    langs = sorted({x for _, x in rows})
+    said = {(k, g) for k, g, _ in counts}
+
+    def log(kind, entry, lang):
+        return np.log((counts[kind, entry, lang] + 0.5) / (total[kind, lang] + 0.5 * distinct[kind, lang] + 1))
+
+    def predict(text):
+        words = regex.findall(r"\p{L}+", (text or "").lower())
+        if not words:
+            return "und", 0.0
+        sums = np.zeros(len(langs))
+        for w in words:
+            if (0, w) in said:
+                sums += [log(0, w, x) for x in langs]
+                continue
+            inside = f" {w} "
+            for n in range(4, 0, -1):
+                known = [inside[i : i + n] for i in range(len(inside) - n + 1) if (n, inside[i : i + n]) in said]
+                if known:
+                    sums += np.mean([[log(n, g, x) for x in langs] for g in known], axis=0)
+                    break
+        share = np.exp(sums - sums.max())
+        return langs[int(sums.argmax())], float(share.max() / share.sum())
+
+    return predict
+
+
+def test_training_and_scores_by_hand(spark):
+    r = random.Random(8)
+    pool = {"aa": ["kato", "mi", "Ru-ru", "x"], "bb": ["Schung", "heit", "ver", "x"], "cc": ["eau", "oux", "tion", "é"], "dd": ["日本", "語", "a" * 60]}
+    rows = [(i, " ".join(r.choice(pool[x]) + r.choice(["", "a", "qz", "!"]) for _ in range(r.randrange(1, 9))), x) for i, x in enumerate(r.choice(list(pool)) for _ in range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    predict = brute_model([(t, x) for _, t, x in rows])
+    other = [(100 + i, t, None) for i, t in enumerate(["katomi verqq", "zzz", "日語本 b", "EAU!", None, "", "7 %", "²", "a" * 70, "İx ΣΑΣ"])]
+    asked = docs.unionByName(spark.createDataFrame(other, docs.schema))
+    for x in language.identify(asked, language.train(docs), keep=("doc_id", "text")).collect():
+        lang, score = predict(x["text"])
+        assert x["lang_pred"] == lang and abs(x["score"] - score) < 1e-4, x["text"]
+
+
+def test_rare_languages_are_drawn_and_models_bounded(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 1000 = 7 THEN concat('rare sel', id) ELSE concat('often kum', id) END AS text", "CASE WHEN id % 1000 = 7 THEN 'rr' ELSE 'oo' END AS lang")
+    model = language.train(docs, sample=20)
+    assert model.langs == ["oo", "rr"] and language.identify(docs.where("doc_id % 1000 = 7"), model).where("lang_pred <> 'rr'").count() == 0
+    words = docs.selectExpr("doc_id", "translate(cast(doc_id * 7919 AS string), '0123456789', 'abcdefghij') AS text", "lang")
+    assert 0 < len(language.train(words, sample=2000, entries=500).lang) <= 500 < len(language.train(words, sample=2000).lang)
+
+
 def test_words_come_before_grams():
-    none = ({}, np.zeros((0, 2)))
-    model = language.Model(["x", "y"], [({"known": 0}, np.array([[-1.0, -5.0]])), ({"k": 0}, np.array([[-9.0, -1.0]])), none, none, ({" unk": 0}, np.array([[-3.0, -2.0]]))], np.zeros(2))
+    keys = [language.word_keys(["known"])[0], language.gram_keys("k", 1)[0], language.gram_keys(" unk", 4)[0]]
+    model = language.Model.of(["x", "y"], np.repeat(np.array(keys, dtype=np.uint64), 2), np.tile([0, 1], 3), np.array([-1.0, -5.0, -9.0, -1.0, -3.0, -2.0]), np.zeros((5, 2)))
     got = model.score(["known", "unk", "k", "q"])
     assert got.tolist() == [[-1.0, -5.0], [-3.0, -2.0], [-9.0, -1.0], [0.0, 0.0]] and model.score([]).shape == (0, 2)
