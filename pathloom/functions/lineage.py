@@ -1,4 +1,4 @@
-"""Cutting lineage with reliable checkpoints in a folder that all executors share."""
+"""Cutting lineage with reliable checkpoints and written tables in a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -29,3 +29,25 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder's path below the checkpoint folder, for tables that a later step reads again."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
+class Stored:
+    """A table written as Parquet below the checkpoint folder, until it is dropped: frame reads it, rows counts it."""
+
+    def __init__(self, df: DataFrame, purpose: str = "stored"):
+        self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, purpose)
+        df.write.parquet(self.path)
+        self.frame = self.spark.read.schema(df.schema).parquet(self.path)
+        self._rows: int | None = None
+
+    @property
+    def rows(self) -> int:
+        if self._rows is None:
+            self._rows = self.frame.count()
+        return self._rows
+
+    def drop(self) -> None:
+        """Delete the files. Frames that still read them fail."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.search import place
 from pathloom.operators.graph import out_degrees
 
 RUN = 4096
@@ -45,8 +46,8 @@ def edge_balanced(edges: DataFrame, n: int, parts: int) -> list[int]:
 
 
 def owner(column: Column, bounds: list[int]) -> Column:
-    """The part of an id. Bounds are few: one number per part."""
-    return (F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds[1:-1]]), lambda b: b <= column)) if len(bounds) > 2 else F.lit(0)).cast("int")
+    """The part of an id, by binary search over the bounds: one number per part."""
+    return F.coalesce(place(column, bounds[1:-1]), F.lit(0)).cast("int")
 
 
 def owned_edges(edges: DataFrame, bounds: list[int], part: int) -> DataFrame:

@@ -1,31 +1,36 @@
 """Shortest paths by rounds of join and min-combine.
 
-The state is one row per reached (query, vertex): its distance, hops, and whether it must still be expanded (open). A round
-expands the open rows that the strategy chooses, joins them with their edges and merges state and candidates in a
-single aggregate: min of (dist, hops, open). A candidate that equals the state loses against a closed row, so only strict
-improvements stay open. Strategies change the order of expansion, never the result.
+A round expands the open rows that the strategy chooses: it joins them with their edges, keeps the least (distance, hops) of
+each (query, vertex) and compares these candidates with what is known of the same vertices. Improvements are written as a level of
+their own, so a round writes and shuffles in proportion to its frontier; what is known is the least of all levels. Levels are merged as
+they add up, and tables that a round has replaced are deleted. Strategies change the order of expansion, never the result.
 
 frontier  all open rows
-delta     open rows of the least bucket floor(dist / delta)
+delta     open rows of the least bucket floor(dist / delta); delta may adapt to how much a bucket holds
 near_far  open rows below a threshold, which moves up when none is left
 topk      the k open rows with the least distance
+multi_topk  the k open rows with the least distance of each of several parts of the ids
 owner     each owner of a range of ids solves its part to the end; only what crosses between owners takes a round
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.lineage import checkpointed
+from pathloom.functions.lineage import Stored, checkpointed
 from pathloom.operators import partition
 from pathloom.operators.graph import INT_MAX, check
+from pathloom.plans import planner
 
-STRATEGIES = ("frontier", "delta", "near_far", "topk", "owner")
+STRATEGIES = ("frontier", "delta", "near_far", "topk", "multi_topk", "owner")
+#: Levels that are read side by side before they are merged.
+LEVELS = 12
 
 
 def batch_sources(n: int, count: int) -> list[int]:
@@ -75,82 +80,163 @@ def _local(bounds: list[int]):
     return run
 
 
-def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta: float | None = None, k: int = 10_000, n: int | None = None, owners: int | None = None, owner_edges: int = 1_000_000, max_rounds: int | None = None) -> DataFrame:
+class _Known:
+    """The least (dist, hops) of each (q, v), as levels of written tables of which the least counts."""
+
+    def __init__(self):
+        self.levels: list[Stored] = []
+
+    def add(self, level: Stored) -> None:
+        self.levels.append(level)
+        if len(self.levels) > LEVELS:
+            # Merge the newest levels up to one that is much larger than all after it.
+            keep, later = len(self.levels), 0
+            while keep and self.levels[keep - 1].rows <= 4 * later + 1_000_000:
+                keep -= 1
+                later += self.levels[keep].rows
+            old, merged = self.levels[keep:], Stored(_least(self._union(self.levels[keep:])), "level")
+            self.levels = [*self.levels[:keep], merged]
+            for x in old:
+                x.drop()
+
+    def _union(self, levels: list[Stored]) -> DataFrame:
+        frames = [x.frame.select("q", "v", "dist", "hops") for x in levels]
+        return reduce(DataFrame.unionByName, frames)
+
+    def better(self, rows: DataFrame) -> DataFrame:
+        """Rows of rows(q, v, dist, hops), one of each (q, v), that are less than what is known."""
+        # A small frontier is broadcast by AQE, so levels are scanned and do not move.
+        near = _least(self._union(self.levels).join(rows.select("q", "v"), ["q", "v"], "left_semi")).select("q", "v", F.col("dist").alias("_d"), F.col("hops").alias("_h"))
+        met = rows.join(near, ["q", "v"], "left")
+        return met.where(F.col("_d").isNull() | (F.struct("dist", "hops") < F.struct("_d", "_h"))).select("q", "v", "dist", "hops")
+
+    def result(self) -> DataFrame:
+        found = checkpointed(_least(self._union(self.levels)))
+        for x in self.levels:
+            x.drop()
+        return found
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("q", "v").agg(F.min(F.struct("dist", "hops")).alias("m")).select("q", "v", "m.*")
+
+
+def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta: float | None = None, k: int = 10_000, n: int | None = None, owners: int | None = None, owner_edges: int = 1_000_000, max_rounds: int | None = None, parts: int = 8, bucket_rows: int | None = None) -> DataFrame:
     """q, v, dist, hops for every vertex that a query's seeds reach.
 
     seeds(q, v, dist): where queries start and at what distance; rows with the same q are one query. Weights must be
     non-negative; null or NaN weights and null ends raise ValueError. hops is the least number of edges among the shortest paths.
+    strategy may be a queue's name (planner.QUEUES). Rounds beyond max_rounds raise RuntimeError. With bucket_rows, delta doubles after a bucket with less than a
+    quarter as many rows and halves after one with more than four times as many. multi_topk takes k of each of `parts` parts.
     `owner` needs ids 0..n-1 (n defaults to the largest id + 1) and holds at most about owner_edges edges and their
     vertices in a task, more only for a single vertex of higher degree.
     """
+    strategy = planner.QUEUES.get(strategy, strategy)
     if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
+        raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}, or a queue's name")
     check(edges)
     kind = dict(edges.dtypes)["weight"]
     kind = "double" if kind in ("double", "float") else "long"
     if seeds.where(F.col("v").isNull() | F.col("dist").isNull() | (F.col("dist") < 0)).limit(1).collect():
         raise ValueError("seeds need a vertex and a non-negative distance")
-    plain = edges.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("weight").cast(kind).alias("w"))
-    state = seeds.select(F.col("q").cast("long").alias("q"), F.col("v").cast("long").alias("v"), F.col("dist").cast(kind).alias("dist"), F.lit(0).cast("long").alias("hops"), F.lit(1).alias("open"))
+    start = _least(seeds.select(F.col("q").cast("long").alias("q"), F.col("v").cast("long").alias("v"), F.col("dist").cast(kind).alias("dist"), F.lit(0).cast("long").alias("hops")))
     if strategy == "owner":
-        return _by_owner(edges, state, kind, n, owners, owner_edges)
+        return _by_owner(edges, start, kind, n, owners, owner_edges, max_rounds)
     if strategy in ("delta", "near_far") and not delta:
         raise ValueError(f"{strategy} needs a delta")
+    plain = edges.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("weight").cast(kind).alias("w"))
     adjacent = plain.repartition("s").persist(StorageLevel.MEMORY_AND_DISK)
+    known, rounds, base = _Known(), 0, 0
+    first = Stored(start, "level")
+    known.add(first)
+    # Tables of open rows; each row is the least of its (q, v) so far.
+    waiting, opened = first.frame, None
     try:
-        state, base, rounds = checkpointed(_merge(state)), 0, 0
         while True:
-            left = state.where("open = 1").agg(F.min("dist").alias("least"), F.count(F.lit(1)).alias("n")).first()
-            if left["n"] == 0 or rounds == max_rounds:
-                return state.select("q", "v", "dist", "hops")
+            left = waiting.agg(F.min("dist").alias("least"), F.count(F.lit(1)).alias("n")).first()
+            if left["n"] == 0:
+                return known.result()
+            if rounds == max_rounds:
+                raise RuntimeError(f"{left['n']} vertices are still open after {rounds} rounds")
             if strategy == "delta":
                 chosen = F.col("dist") < (left["least"] // delta + 1) * delta
             elif strategy == "near_far":
                 base = left["least"] if left["least"] >= base + delta else base
                 chosen = F.col("dist") < base + delta
             elif strategy == "topk":
-                last = state.where("open = 1").orderBy("dist").limit(k).agg(F.max("dist").alias("d")).first()["d"]
+                last = waiting.orderBy("dist").limit(k).agg(F.max("dist").alias("d")).first()["d"]
                 chosen = F.col("dist") <= F.lit(last)
+            elif strategy == "multi_topk":
+                # A number per part: the distance of its k-th row.
+                part = F.pmod(F.xxhash64("v"), F.lit(parts))
+                nth = F.row_number().over(Window.partitionBy("p").orderBy("dist"))
+                tops = waiting.select(part.alias("p"), "dist").withColumn("r", nth).where(F.col("r") <= k).groupBy("p").agg(F.max("dist").alias("d")).collect()
+                chosen = reduce(lambda x, y: x | y, [(part == r["p"]) & (F.col("dist") <= F.lit(r["d"])) for r in tops])
             else:
                 chosen = F.lit(True)
-            picked = (F.col("open") == 1) & chosen
-            grown = state.where(picked).join(adjacent, F.col("v") == F.col("s")).select("q", F.col("t").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.lit(1).alias("open"))
-            best = grown.groupBy("q", "v").agg(F.min(F.struct("dist", "hops", "open")).alias("m")).select("q", "v", "m.*")
-            kept = state.withColumn("open", F.when(picked, F.lit(0)).otherwise(F.col("open")))
-            state, rounds = checkpointed(_merge(kept.unionByName(best))), rounds + 1
+            grown = waiting.where(chosen).join(adjacent, F.col("v") == F.col("s")).select("q", F.col("t").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"))
+            if strategy == "delta" and bucket_rows:
+                held = waiting.where(chosen).count()
+            fresh, rounds = Stored(known.better(_least(grown)), "level"), rounds + 1
+            if strategy == "delta" and bucket_rows:
+                delta = delta * 2 if held * 4 < bucket_rows else max(1, delta / 2) if held > 4 * bucket_rows else delta
+            if strategy == "frontier":
+                waiting = fresh.frame
+            else:
+                rest = waiting.where(~chosen).join(fresh.frame.select("q", "v"), ["q", "v"], "left_anti")
+                before, opened = opened, Stored(rest.unionByName(fresh.frame), "open")
+                waiting = opened.frame
+                if before:
+                    before.drop()
+            # A level may be merged away while it is still the frontier: that is read first.
+            if strategy == "frontier" and len(known.levels) >= LEVELS:
+                before, opened = opened, Stored(fresh.frame, "open")
+                waiting = opened.frame
+                if before:
+                    before.drop()
+            known.add(fresh)
     finally:
         adjacent.unpersist()
+        if opened:
+            opened.drop()
 
 
-def _merge(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("q", "v").agg(F.min(F.struct("dist", "hops", "open")).alias("m")).select("q", "v", "m.*")
-
-
-def _by_owner(edges: DataFrame, state: DataFrame, kind: str, n: int | None, owners: int | None, owner_edges: int) -> DataFrame:
+def _by_owner(edges: DataFrame, start: DataFrame, kind: str, n: int | None, owners: int | None, owner_edges: int, max_rounds: int | None) -> DataFrame:
     if n is None:
         top = edges.agg(F.greatest(F.max("src"), F.max("dst"))).first()[0]
-        most = state.agg(F.max("v")).first()[0]
+        most = start.agg(F.max("v")).first()[0]
         n = max(x for x in (top, most, 0) if x is not None) + 1
     m = edges.count()
-    parts = owners or max(1, -(-m // owner_edges))
-    bounds = partition.edge_balanced(edges, n, min(parts, n))
-    owned = edges.select("src", "dst", F.col("weight").cast(kind).alias("weight"), partition.owner(F.col("src"), bounds).alias("owner")).persist(StorageLevel.MEMORY_AND_DISK)
+    count = owners or max(1, -(-m // owner_edges))
+    bounds = partition.edge_balanced(edges, n, min(count, n))
+    # Dealt by owner once: the rounds' cogroups find the edges where they are.
+    tasks = min(len(bounds) - 1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    owned = edges.select("src", "dst", F.col("weight").cast(kind).alias("weight"), partition.owner(F.col("src"), bounds).alias("owner")).repartition(tasks, "owner").persist(StorageLevel.MEMORY_AND_DISK)
     schema = f"q long, v long, dist {kind}, hops long, open int"
+    rounds, state = 0, Stored(start.withColumn("open", F.lit(1)), "owned")
     try:
-        state = checkpointed(_merge(state))
-        while state.where("open = 1").limit(1).count():
-            placed = state.withColumn("owner", partition.owner(F.col("v"), bounds))
-            active = placed.where("open = 1").select("owner").distinct()  # at most one row per owner
+        while state.frame.where("open = 1").limit(1).count():
+            if rounds == max_rounds:
+                raise RuntimeError(f"vertices are still open after {rounds} rounds")
+            placed = state.frame.withColumn("owner", partition.owner(F.col("v"), bounds))
+            active = F.broadcast(placed.where("open = 1").select("owner").distinct())  # at most one row per owner
             rows, own = placed.join(active, "owner", "left_semi"), owned.join(active, "owner", "left_semi")
             found = rows.groupBy("owner").cogroup(own.groupBy("owner")).applyInPandas(_local(bounds), schema)
-            kept = state.withColumn("open", F.lit(0))
+            kept = state.frame.withColumn("open", F.lit(0))
             # What an owner closes equals or improves the state; what it offers elsewhere may be new.
-            state = checkpointed(_merge(kept.unionByName(found)))
-        return state.select("q", "v", "dist", "hops")
+            before, state, rounds = state, Stored(_merge(kept.unionByName(found)), "owned"), rounds + 1
+            before.drop()
+        return checkpointed(state.frame.select("q", "v", "dist", "hops"))
     finally:
+        state.drop()
         owned.unpersist()
 
 
+def _merge(rows: DataFrame) -> DataFrame:
+    """Of equal distances and hops a closed row wins, so only improvements stay open."""
+    return rows.groupBy("q", "v").agg(F.min(F.struct("dist", "hops", "open")).alias("m")).select("q", "v", "m.*")
+
+
 def predecessors(solved: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """solved with pred: the least vertex before v on a shortest path of the fewest hops; null for seeds that are their own start."""
     before = solved.select("q", F.col("v").alias("u"), F.col("dist").alias("du"), F.col("hops").alias("hu"))
