@@ -29,6 +29,8 @@ BLOCK = 256
 #: Slots that share a file.
 STRETCH = 1 << 14
 GRID = 1 << 12
+#: Sources whose table is broadcast.
+FEW_SOURCES = 50_000
 
 
 def word_count(text_col: str):
@@ -102,7 +104,8 @@ def placements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     got = plan.groupBy(F.col("source_no").alias("_no")).agg((F.count(F.lit(1)) * block).alias("_got"))
     limit = F.least(F.coalesce("_got", F.lit(0)), F.floor(F.col("source_size") * F.lit(float(most)))).cast("long")
     known = targets.join(got, F.col("source_no") == F.col("_no"), "left").select(F.col("source").alias("_s"), "source_size", "source_no", "target", limit.alias("_limit"))
-    # AQE decides from the measured size whether the table of sources is broadcast.
+    # A hot source must not meet its row in one task: the table of sources is broadcast where it is small by count.
+    known = F.broadcast(known) if targets.count() <= FEW_SOURCES else known
     placed = checkpointed(placed.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
     again = F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1))))
     reads = placed.where("size > 0").select("source_no", "start", "row_key", "size", "source_size", "_limit", again.alias("read")).withColumn("a", F.col("read") * F.col("source_size") + F.col("start"))
