@@ -74,11 +74,17 @@ def add_shortcuts(edges: DataFrame, cut: int, source: int, strict: bool = True)
     return ordered_rank(rows, "src", ["kind", "old"], "eid").select("eid", "src", "dst", "weight", "hops")
 
 
+def overflowing(edges: DataFrame, cut: int, source: int, strict: bool = True) -> DataFrame:
+    """src, dst, weight: ways that would be shortcuts but cost INT_MAX or more."""
+    walks = _walks(edges, chain_eligible(edges, halves(cut), source, strict)).where("NOT from_chain AND hops > 0 AND end <> src")
+    return walks.select("src", F.col("end").alias("dst"), (F.col("weight") + F.col("cost")).cast("long").alias("weight")).where(f"weight >= {INT_MAX}")
+
+
 def shortcut_counters(edges: DataFrame, augmented: DataFrame, cut: int, source: int) -> DataFrame:
-    """eligible, shortcuts, represented_edges, longest_path; one row."""
+    """eligible, shortcuts, represented_edges, longest_path, overflows; one row."""
     eligible = chain_eligible(edges, halves(cut), source).agg(F.count(F.lit(1)).alias("eligible"))
     new = augmented.where("hops > 1").agg(F.count(F.lit(1)).alias("shortcuts"), F.coalesce(F.sum("hops"), F.lit(0)).cast("long").alias("represented_edges"), F.coalesce(F.max("hops"), F.lit(0)).cast("long").alias("longest_path"))
-    return eligible.join(new)  # one row each
+    return eligible.join(new).join(overflowing(edges, cut, source).agg(F.count(F.lit(1)).alias("overflows")))  # one row each
 
 
 def chain_segments(edges: DataFrame, side) -> DataFrame:

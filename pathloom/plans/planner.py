@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pathloom.functions.lineage import checkpointed
+
 #: Fixed values of the rules: degree spread of a power law, mean degree of a dense graph, least vertices and largest cut ratio for
 #: the queue choice, buckets, the initial divisor of the bucket width and its least value.
 SKEWED_DEGREES = 10
@@ -14,12 +19,24 @@ BAGS = 32
 DELTA_DIVISOR = 32
 LEAST_DELTA = 4
 
-#: Queue names and the expansion strategy that orders work as they do; a suffix names the second level.
-QUEUES = {
-    "L1_NONE": "frontier", "L1_VECTOR": "frontier", "L1_HOP": "frontier", "L1_FILTER": "near_far", "L1_FILTER_NEW": "near_far",
-    "L1_NEAR_FAR": "near_far", "L1_SLF": "owner", "L2_VECTOR": "frontier", "L2_BATCH_VECTOR": "frontier", "L2_MULTI_VECTOR": "frontier",
-    "L2_DELTA": "delta", "L2_HEAP": "topk", "L2_MULTI_HEAP": "topk",
-}
+#: The names of two-level queues that a solve accepts.
+QUEUE_NAMES = (
+    "L1V_L2DQ", "L1N_L2DQ", "L1NF_L2DQ", "L1V_L2V", "L1N_L2V", "L1NF_L2V", "L1FQ_L2DQ", "L1V_L2PQ", "L1NF_L2PQ", "L1FQ_L2PQ", "L1V_L2MPQ",
+    "L1NF_L2MPQ", "L1FQ_L2MPQ", "L1HQ_L2V", "L1HQ_L2DQ", "L1FQ_L2V", "L1N_L2MV", "L1N_L2BV", "L1V_L2BV", "L1SLF_L2DQ", "L1SLF_L2V",
+)
+
+
+def queue_strategy(name: str) -> str:
+    """The expansion strategy that orders work as the queue does. The second level holds all open work, so its order decides: buckets, one heap, or a heap
+    for each part. Plain vectors have no order of their own; there the first level decides: near and far, small labels first within owners, or none."""
+    if name not in QUEUE_NAMES:
+        raise ValueError(f"{name} is not a queue")
+    first, second = name.split("_")
+    ordered = {"L2DQ": "delta", "L2PQ": "topk", "L2MPQ": "multi_topk"}
+    return ordered.get(second) or {"L1NF": "near_far", "L1SLF": "owner"}.get(first, "frontier")
+
+
+QUEUES = {name: queue_strategy(name) for name in QUEUE_NAMES}
 
 
 @dataclass(frozen=True)
@@ -64,3 +81,20 @@ def by_cut(vertices: int, crossing: int, edges: int) -> str | None:
 def for_diameter(levels: int, vertices: int) -> str:
     """Many levels: owners solve their parts locally, so a round per crossing and not per level."""
     return "owner" if levels > 64 and levels * levels > vertices**0.5 else "frontier"
+
+
+def bag_of(distance: Column, base: float, shift: int) -> Column:
+    """bag for a column of distances."""
+    return F.least(F.greatest(F.floor(distance / 2**shift) - int(base // 2**shift), F.lit(0)), F.lit(BAGS - 1)).cast("int")
+
+
+def probed(edges: DataFrame, root: int, vertices: int, most: int = 128) -> str:
+    """owner or frontier, by the number of levels that a breadth-first probe from root finds, at most `most`."""
+    known = found = edges.sparkSession.createDataFrame([(root,)], "v long")
+    levels = 0
+    while levels < most:
+        found = checkpointed(found.join(edges, found["v"] == F.col("src")).select(F.col("dst").alias("v")).distinct().join(known, "v", "left_anti"))
+        if found.isEmpty():
+            break
+        known, levels = checkpointed(known.unionByName(found)) if levels % 8 == 7 else known.unionByName(found), levels + 1
+    return for_diameter(levels, vertices)

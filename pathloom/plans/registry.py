@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.lineage import checkpointed, shared_folder
+from pathloom.functions.ranking import ordered_rank
 from pathloom.operators import chains, graph, partition, regions, reorder, sssp, stats, validate
 from pathloom.plans import planner
+from pathloom.sources import gr, mtx, runs, sidecars
 
 #: Fixed parameters of the queries.
 SOURCE = 0
@@ -278,15 +280,187 @@ def strategy_errors(spark, sf_dir):
 
 def gr_round_trip(spark, sf_dir):
     """Edges written as a .gr file and read back."""
-    from pathloom.functions.ranking import ordered_rank
-    from pathloom.sources import gr
-
     edges = ordered_rank(trade_edges(spark, sf_dir).withColumnRenamed("eid", "_e"), "src", ["dst"], "eid").select("eid", "src", "dst", "weight")
-    path = f"{shared_folder(spark, 'gr')}.gr".removeprefix("file:")
+    path = f"{_stored_path(spark, 'gr')}.gr"
     gr.write_gr(edges, size_of(edges), path)
     return gr.read_gr(spark, path)[1].select("src", "dst", "weight")
 
 
+def _stored_path(spark, purpose: str) -> str:
+    """A path below the shared folder for a file that the sources write and read."""
+    return shared_folder(spark, purpose).removeprefix("file:")
+
+
+def sssp_int32(spark, sf_dir):
+    """Distances that are known to fit 32 bits."""
+    return sssp.sssp(trade_edges(spark, sf_dir), SOURCE, compat_int32=True).select("v", "dist")
+
+
+def bfs_positions(spark, sf_dir):
+    """The whole order of discovery."""
+    edges = trade_edges(spark, sf_dir)
+    return reorder.bfs_order(edges, size_of(edges)).select("new_id", "old_id", _marked("level"))
+
+
+def layer_positions(spark, sf_dir):
+    """The mapping that halves each breadth-first layer."""
+    edges = trade_edges(spark, sf_dir)
+    n = size_of(edges)
+    return reorder.layer_split(reorder.bfs_order(edges, n), n)
+
+
+def rebuilt_edges(spark, sf_dir):
+    """Edges under the mapping that turns the ids round."""
+    edges = trade_edges(spark, sf_dir)
+    n = size_of(edges)
+    mapping = spark.range(n).select((F.lit(n - 1) - F.col("id")).alias("new_id"), F.col("id").alias("old_id"))
+    after = checkpointed(reorder.rebuild(edges, mapping))
+    reorder.check_mapping(edges, after, mapping, n)
+    return after.select("eid", "src", "dst", "weight")
+
+
+def permutation_round_trip(spark, sf_dir):
+    """A permutation written as two files of numbers and read back."""
+    n = size_of(trade_edges(spark, sf_dir))
+    path = _stored_path(spark, "permutation")
+    sidecars.write_permutation(spark.range(n).select((F.lit(n - 1) - F.col("id")).alias("new_id"), F.col("id").alias("old_id")), n, path)
+    return sidecars.read_permutation(spark, path)
+
+
+def distance_text_round_trip(spark, sf_dir):
+    """Distances of all vertices as lines of text and back."""
+    edges = trade_edges(spark, sf_dir)
+    path = shared_folder(spark, "distances")
+    sidecars.write_distances_text(sssp.sssp(edges, SOURCE, _vertices(edges)), path)
+    return sidecars.read_distances_text(spark, path).select("v", _marked("dist"))
+
+
+def oracle_round_trip(spark, sf_dir):
+    """Distances as an array of 32-bit numbers and back."""
+    edges = trade_edges(spark, sf_dir)
+    n, path = size_of(edges), _stored_path(spark, "oracle")
+    sidecars.write_oracle(sssp.sssp(edges, SOURCE, spark.range(n)), n, path)
+    return sidecars.read_oracle(spark, path, n).select("v", _marked("dist"))
+
+
+def mtx_round_trip(spark, sf_dir):
+    """Edges as a coordinate file and back."""
+    edges, path = checkpointed(trade_edges(spark, sf_dir)), _stored_path(spark, "mtx") + ".mtx"
+    mtx.write_mtx(edges, size_of(edges), path)
+    return mtx.read_mtx(spark, path)[1].select("src", "dst", "weight")
+
+
+def mtx_to_gr(spark, sf_dir):
+    """A coordinate file made into a .gr file, read strictly."""
+    edges, path = checkpointed(trade_edges(spark, sf_dir)), _stored_path(spark, "mtx")
+    mtx.write_mtx(edges, size_of(edges), f"{path}.mtx")
+    mtx.mtx_to_gr(spark, f"{path}.mtx", f"{path}.gr")
+    return gr.read_gr(spark, f"{path}.gr", strict=True)[1].select("src", "dst", "weight")
+
+
+def augmented_round_trip(spark, sf_dir):
+    """The event paths with their shortcuts, exported as a .gr file and read back."""
+    edges = event_edges(spark, sf_dir)
+    n, path = size_of(edges), f"{_stored_path(spark, 'augmented')}.gr"
+    gr.write_gr(checkpointed(chains.add_shortcuts(edges, n, SOURCE)), n, path)
+    return gr.read_gr(spark, path)[1].select("src", "dst", "weight")
+
+
+def loose_shortcuts(spark, sf_dir):
+    edges = event_edges(spark, sf_dir)
+    return chains.add_shortcuts(edges, size_of(edges), SOURCE, strict=False).where("hops > 1").select("src", "dst", "weight", "hops")
+
+
+def shortcut_counters(spark, sf_dir):
+    edges = checkpointed(event_edges(spark, sf_dir))
+    n = size_of(edges)
+    return chains.shortcut_counters(edges, chains.add_shortcuts(edges, n, SOURCE), n, SOURCE)
+
+
+def bench_checks(spark, sf_dir):
+    """Benchmark lines made of events, parsed, and those that do not hold counted by type."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = events.select(F.concat(F.lit("BENCH kind="), "event_type", F.lit(" solve_ms="), (F.col("event_id") % 11).cast("string"), F.lit(" correct="), F.when(F.col("event_id") % 3 == 0, "0").otherwise("1")).alias("value"))
+    bad = sidecars.check_bench(sidecars.read_bench_lines(lines.unionByName(spark.createDataFrame([("noise",)], "value string"))))
+    return bad.groupBy(F.col("fields")["kind"].alias("kind")).agg(F.count(F.lit(1)).alias("bad"))
+
+
+def run_sinks(spark, sf_dir):
+    """A summary of runs written as JSON and CSV; rows of both."""
+    path = shared_folder(spark, "runs")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    runs.write_runs(events.groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), F.max("event_id").alias("last")), path)
+    both = runs.read_runs(spark, path, "event_type string, runs long, last long")
+    return both[0].withColumn("sink", F.lit("json")).unionByName(both[1].withColumn("sink", F.lit("csv")))
+
+
+def first_mismatch(spark, sf_dir):
+    """The first vertex whose distance differs after every one of the form 5k + 3 was raised."""
+    edges = trade_edges(spark, sf_dir)
+    found = sssp.solve(edges, sssp.sources_frame(edges, [SOURCE])).select("v", "dist")
+    return validate.first_mismatch(found, found.withColumn("dist", F.col("dist") + F.when(F.col("v") % 5 == 3, 2).otherwise(0)))
+
+
+def conservation(spark, sf_dir):
+    """Whether rebuilding keeps the number of edges, and dropping loops does."""
+    edges = trade_edges(spark, sf_dir)
+    kept = validate.conservation(edges, reorder.rebuild(edges, _vertices(edges).select(F.col("id").alias("new_id"), F.col("id").alias("old_id"))))
+    lost = validate.conservation(edges, edges.where("src > 0"))
+    return spark.createDataFrame([("rebuilt", kept), ("without vertex 0", lost)], "step string, conserved boolean")
+
+
+def partition_cut_percent(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return _parts(edges, partition.cut_percent(size_of(edges), 30))
+
+
+def row_starts(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    return partition.row_starts(edges, size_of(edges))
+
+
+def ghost_closure_2(spark, sf_dir):
+    """Two hops beyond what owner 0 reaches."""
+    edges = trade_edges(spark, sf_dir)
+    return partition.ghost_closure(edges, partition.vertex_balanced(size_of(edges), PARTS), 0, 2)
+
+
+def bags(spark, sf_dir):
+    """How many vertices fall into each bag of width 4, from distance 8 on."""
+    edges = trade_edges(spark, sf_dir)
+    found = sssp.solve(edges, sssp.sources_frame(edges, [SOURCE]))
+    return found.groupBy(planner.bag_of(F.col("dist"), 8, 2).alias("bag")).agg(F.count(F.lit(1)).alias("vertices"))
+
+
+def cut_rule(spark, sf_dir):
+    """What the cut in the middle says about the queue; none here, as the graph is small or densely cut."""
+    edges = trade_edges(spark, sf_dir)
+    n = size_of(edges)
+    c = graph.cross_edges(edges, n // 2).first()
+    return spark.createDataFrame([(n, c["crossing"], c["edges"], planner.by_cut(n, c["crossing"], c["edges"]) or "none")], "vertices long, crossing long, edges long, queue string")
+
+
+def diameter_rule(spark, sf_dir):
+    """The strategy that a probe of the levels picks: the events' paths are long in levels, the trade graph is not."""
+    trade, walks = checkpointed(trade_edges(spark, sf_dir)), checkpointed(event_edges(spark, sf_dir))
+    return spark.createDataFrame([("trade", planner.probed(trade, SOURCE, size_of(trade))), ("short", planner.for_diameter(12, 10**6)), ("long", planner.for_diameter(2050, 10**6))], "graph string, strategy string")
+
+
+def queue_strategies(spark, sf_dir):
+    return spark.createDataFrame(sorted(planner.QUEUES.items()), "queue string, strategy string")
+
+
+def sampled_weight(spark, sf_dir):
+    """The mean weight of a sample that holds every edge."""
+    return stats.sampled_weight(trade_edges(spark, sf_dir), 1.0).select(F.round("avg_weight", 6).alias("avg_weight"))
+
+
+def path_steps(spark, sf_dir):
+    """Every vertex on the path to each reached vertex."""
+    solved = checkpointed(sssp.sssp(trade_edges(spark, sf_dir), SOURCE))
+    return sssp.path_to(solved, solved.select("v")).select("target", "step", "v")
+
+
 def timing_summary(spark, sf_dir):
     found = stats.timing_summary(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], "value")
     return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "q1", "q3", "iqr", "mad", "least", "most")])
@@ -319,7 +493,15 @@ QUERIES = {
     "chain_segments": chain_segments, "event_reach": event_reach, "path_rows": path_rows, "region_index": region_index,
     "bfs_order": bfs_order, "reordered_cut": reordered_cut, "fixpoint_certificate": fixpoint_certificate, "strategy_errors": strategy_errors,
     "gr_round_trip": gr_round_trip, "timing_summary": timing_summary, "geometric_mean": geometric_mean,
-    "decrease_only_updates": decrease_only_updates,
+    "decrease_only_updates": decrease_only_updates, "sssp_int32": sssp_int32, "bfs_positions": bfs_positions, "layer_positions": layer_positions,
+    "rebuilt_edges": rebuilt_edges, "permutation_round_trip": permutation_round_trip, "distance_text_round_trip": distance_text_round_trip,
+    "oracle_round_trip": oracle_round_trip, "mtx_round_trip": mtx_round_trip, "mtx_to_gr": mtx_to_gr, "augmented_round_trip": augmented_round_trip,
+    "loose_shortcuts": loose_shortcuts, "shortcut_counters": shortcut_counters, "bench_checks": bench_checks, "run_sinks": run_sinks,
+    "first_mismatch": first_mismatch, "conservation": conservation, "partition_cut_percent": partition_cut_percent, "row_starts": row_starts,
+    "ghost_closure_2": ghost_closure_2, "bags": bags, "cut_rule": cut_rule, "diameter_rule": diameter_rule, "queue_strategies": queue_strategies,
+    "sampled_weight": sampled_weight, "path_steps": path_steps, "sssp_multi_topk": _solved("L1V_L2MPQ", k=TOP, parts=PARTS),
+    "sssp_queue_heap": _solved("L1FQ_L2PQ", k=TOP), "sssp_queue_small_label_first": _solved("L1SLF_L2V", owners=PARTS),
+    "sssp_dynamic_delta": _solved("L1N_L2DQ", delta=1, bucket_rows=TOP),
 }
 
 TRADE = """e0 AS (SELECT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS p, CAST(min(l_quantity) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2),
@@ -372,7 +554,25 @@ a AS (SELECT 0 AS i, 0 AS bound UNION ALL SELECT i, bound FROM b UNION ALL SELEC
 p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_id FROM a)""",
         "SELECT part::INTEGER AS part, first_id::BIGINT AS first_id, end_id::BIGINT AS end_id, (SELECT count(*) FROM e WHERE e.src >= p.first_id AND e.src < p.end_id)::BIGINT AS edges FROM p WHERE end_id IS NOT NULL",
     ),
-    **dict.fromkeys(("sssp_frontier", "sssp_delta", "sssp_near_far", "sssp_topk", "sssp_owner", "sssp_planned", "sssp_auto_delta", "decrease_only_updates"), _DIST),
+    **dict.fromkeys(("sssp_frontier", "sssp_delta", "sssp_near_far", "sssp_topk", "sssp_owner", "sssp_planned", "sssp_auto_delta", "decrease_only_updates", "sssp_int32", "sssp_multi_topk", "sssp_queue_heap", "sssp_queue_small_label_first", "sssp_dynamic_delta"), _DIST),
+    **dict.fromkeys(("mtx_round_trip", "mtx_to_gr"), _sql(TRADE, "SELECT src, dst, w AS weight FROM e")),
+    **dict.fromkeys(("distance_text_round_trip", "oracle_round_trip"), _sql(f"{TRADE},\n{_ONE}", "SELECT vs.id AS v, coalesce(r.d, -1)::BIGINT AS dist FROM vs LEFT JOIN r ON r.v = vs.id")),
+    "rebuilt_edges": _sql(TRADE, "SELECT row_number() OVER (ORDER BY n - 1 - src, dst) - 1 AS eid, n - 1 - src AS src, n - 1 - dst AS dst, w AS weight FROM e, size"),
+    "permutation_round_trip": _sql(TRADE, "SELECT n - 1 - id AS new_id, id AS old_id FROM vs, size"),
+    "first_mismatch": _sql(f"{TRADE},\n{_ONE}", "SELECT v, d AS found, d + 2 AS wanted FROM r WHERE v % 5 = 3 ORDER BY v LIMIT 1"),
+    "conservation": "SELECT * FROM (VALUES ('rebuilt', true), ('without vertex 0', false)) x(step, conserved)",
+    "partition_cut_percent": _sql(f"{TRADE}, c AS (SELECT n * 30 // 100 AS cut FROM size)", "SELECT 0 AS part, 0::BIGINT AS first_id, cut AS end_id, (SELECT count(*) FROM e WHERE src < cut) AS edges FROM c UNION ALL SELECT 1, cut, n, (SELECT count(*) FROM e WHERE src >= cut) FROM c, size"),
+    "row_starts": _sql(TRADE, "SELECT id, coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, degree FROM deg"),
+    "ghost_closure_2": _sql(f"{TRADE}, {_OWNED}, x AS (SELECT e.*, a.owner AS oa, b.owner AS ob FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst), g AS (SELECT DISTINCT dst AS v FROM x WHERE oa = 0 AND ob <> 0)", "SELECT v FROM g UNION SELECT x.dst FROM g JOIN x ON x.src = g.v WHERE x.ob <> 0"),
+    "bags": _sql(f"{TRADE},\n{_ONE}", "SELECT least(greatest(d // 4 - 2, 0), 31)::INTEGER AS bag, count(*) AS vertices FROM r GROUP BY 1"),
+    "cut_rule": _sql(f"{TRADE}, c AS (SELECT count(*) FILTER (WHERE (src < n // 2) <> (dst < n // 2)) AS crossing, count(*) AS edges FROM e, size)", "SELECT n AS vertices, crossing, edges, CASE WHEN n >= 300000 AND crossing > 0 AND crossing < edges * 0.0007 THEN 'delta' ELSE 'none' END AS queue FROM c, size"),
+    "diameter_rule": "SELECT * FROM (VALUES ('trade', 'frontier'), ('short', 'frontier'), ('long', 'owner')) x(graph, strategy)",
+    "sampled_weight": _sql(TRADE, "SELECT round(avg(w), 6) AS avg_weight FROM e"),
+    "queue_strategies": "SELECT queue, CASE WHEN queue LIKE '%\\_L2DQ' ESCAPE '\\' THEN 'delta' WHEN queue LIKE '%\\_L2PQ' ESCAPE '\\' THEN 'topk' WHEN queue LIKE '%\\_L2MPQ' ESCAPE '\\' THEN 'multi_topk' WHEN queue LIKE 'L1NF%' THEN 'near_far' WHEN queue LIKE 'L1SLF%' THEN 'owner' ELSE 'frontier' END AS strategy FROM (SELECT unnest([" + ", ".join(f"'{q}'" for q in planner.QUEUE_NAMES) + "]) AS queue)",
+    "bench_checks": "SELECT event_type AS kind, count(*) AS bad FROM events WHERE event_id % 3 = 0 OR event_id % 11 = 0 GROUP BY event_type",
+    "run_sinks": "SELECT event_type, count(*) AS runs, max(event_id) AS last, sink FROM events, (SELECT unnest(['json', 'csv']) AS sink) GROUP BY event_type, sink",
+    **dict.fromkeys(("bfs_positions", "layer_positions", "reordered_cut"), ""),
+    "path_steps": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT},\nb AS (SELECT h.v, any_value(h.hops) AS hops, min(p.v) AS pred FROM h LEFT JOIN e ON e.dst = h.v AND h.hops > 0 LEFT JOIN h p ON p.v = e.src AND p.dist + e.w = h.dist AND p.hops + 1 = h.hops GROUP BY h.v),\nw(target, step, v) AS (SELECT v, hops, v FROM b UNION ALL SELECT w.target, w.step - 1, b.pred FROM w JOIN b ON b.v = w.v WHERE b.hops > 0)", "SELECT target, step, v FROM w"),
     "sssp_float": _sql(f"{TRADE},\n{_ONE}", "SELECT v, d / 4.0::DOUBLE AS dist FROM r"),
     "sssp_hops": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT v, dist, hops FROM h"),
     "sssp_predecessors": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT h.v, any_value(h.dist) AS dist, any_value(h.hops) AS hops, coalesce(min(b.v), -1)::BIGINT AS pred FROM h LEFT JOIN e ON e.dst = h.v AND h.hops > 0 LEFT JOIN h b ON b.v = e.src AND b.dist + e.w = h.dist AND b.hops + 1 = h.hops GROUP BY h.v"),
@@ -407,3 +607,25 @@ d AS (SELECT e.event_type, quantile_cont(abs(e.value - q.median), 0.5) AS mad FR
 SELECT q.event_type, round(median, 6) AS median, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, round(mad, 6) AS mad, round(least, 6) AS least, round(most, 6) AS most FROM q JOIN d ON q.event_type = d.event_type""",
     "geometric_mean": "SELECT round(exp(avg(ln(l_quantity))), 6) AS geometric_mean FROM lineitem",
 }
+
+_SHORTCUTS = ORACLES["chain_shortcuts"]
+#: Breadth-first order: a vertex follows its earliest parent, then the order of its id among that parent's neighbours.
+_ORDER = """r(v, id, level) USING KEY (v) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0
+  UNION
+  SELECT dst, (SELECT count(*) FROM recurring.r) + row_number() OVER (ORDER BY p, dst) - 1, lv + 1
+  FROM (SELECT e.dst, min(f.id) AS p, any_value(f.level) AS lv FROM r f JOIN e ON e.src = f.v LEFT JOIN recurring.r k ON k.v = e.dst WHERE k.v IS NULL GROUP BY e.dst)),
+o AS (SELECT coalesce(r.id, (SELECT count(*) FROM r) + row_number() OVER (PARTITION BY r.v IS NULL ORDER BY vs.id) - 1) AS new_id, vs.id AS old_id, coalesce(r.level, -1) AS level FROM vs LEFT JOIN r ON r.v = vs.id)"""
+#: Up to the end of a layer min(n // 2, half of all so far, rounded up) are in the first part.
+_SPLIT_LAYERS = """l AS (SELECT level, min(new_id) AS b, max(new_id) + 1 AS z FROM o GROUP BY level),
+t AS (SELECT l.*, least(n // 2, (z + 1) // 2) AS upto FROM l, size),
+u AS (SELECT *, coalesce(max(upto) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM t),
+m AS (SELECT CASE WHEN o.new_id - b < upto - done THEN done + o.new_id - b ELSE n // 2 + b - done + (o.new_id - b) - greatest(upto - done, 0) END::BIGINT AS new_id, old_id FROM o JOIN u ON u.level = o.level, size)"""
+ORACLES |= {
+    "loose_shortcuts": _SHORTCUTS,
+    "shortcut_counters": f"SELECT (SELECT count(*) FROM ({ORACLES['chain_eligible']})) AS eligible, count(*) AS shortcuts, coalesce(sum(hops), 0)::BIGINT AS represented_edges, coalesce(max(hops), 0) AS longest_path, 0::BIGINT AS overflows FROM ({_SHORTCUTS})",
+    "augmented_round_trip": f"WITH {WALK} SELECT p AS src, event_id AS dst, gap AS weight FROM steps WHERE p IS NOT NULL UNION ALL SELECT event_id, p, gap FROM steps WHERE p IS NOT NULL UNION ALL SELECT src, dst, weight FROM ({_SHORTCUTS})",
+    "bfs_positions": _sql(f"{TRADE},\n{_ORDER}", "SELECT new_id::BIGINT AS new_id, old_id, level FROM o"),
+    "layer_positions": _sql(f"{TRADE},\n{_ORDER},\n{_SPLIT_LAYERS}", "SELECT new_id, old_id FROM m"),
+    "reordered_cut": _sql(f"{TRADE},\n{_ORDER},\n{_SPLIT_LAYERS}", "SELECT 'before' AS stage, count(*) FILTER (WHERE (src < n // 2) <> (dst < n // 2)) AS crossing, count(*) AS edges FROM e, size UNION ALL SELECT 'after', count(*) FILTER (WHERE (a.new_id < n // 2) <> (b.new_id < n // 2)), count(*) FROM e JOIN m a ON a.old_id = e.src JOIN m b ON b.old_id = e.dst, size"),
+}

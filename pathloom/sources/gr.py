@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions.lineage import Stored
 from pathloom.operators.graph import INT_MAX, check
 
 HEAD = 32
@@ -102,18 +103,17 @@ def write_gr(edges: DataFrame, n: int, path: str, floats: bool = False, overwrit
         ends[r["src"]] = r["d"]
     ends = np.cumsum(ends, dtype="<u8") if n else ends
     m = int(ends[-1]) if n else 0
+    # Sorted once, as rows of up to 2 ** 14 ends and weights; both passes over the file's arrays read these.
+    ordered = Stored(edges.orderBy("src", "eid").select("dst", F.col("weight").cast("double" if floats else "long").alias("weight"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "gr")
+    packed = ordered.frame.groupBy("part", F.floor(F.col("at") / (1 << 14)).alias("run")).agg(F.array_sort(F.collect_list(F.struct("at", "dst", "weight"))).alias("e"))
     with system.open_output_stream(inside) as out:
         out.write(struct.pack("<4Q", 1, 4, n, m))
         out.write(ends.tobytes())
-        ordered = edges.orderBy("src", "eid")
         for column, form, pad in (("dst", "<u4", m % 2), ("weight", "<f4" if floats else "<i4", 0)):
-            batch: list = []
-            for r in ordered.select("src", "eid", column).toLocalIterator(prefetchPartitions=True):
-                batch.append(r[column])
-                if len(batch) == 1 << 16:
-                    out.write(np.array(batch, dtype=form).tobytes())
-                    batch = []
-            out.write(np.array(batch, dtype=form).tobytes() + b"\0" * 4 * pad)
+            for r in packed.orderBy("part", "run").select(F.col(f"e.{column}").alias("x")).toLocalIterator(prefetchPartitions=True):
+                out.write(np.array(r["x"], dtype=form).tobytes())
+            out.write(b"\0" * 4 * pad)
+    ordered.drop()
 
 
 def _target(path: str, overwrite: bool):

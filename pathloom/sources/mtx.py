@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions.ranking import ordered_rank
+from pathloom.operators.graph import check
+from pathloom.sources.gr import _target
 
 
 @dataclass(frozen=True)
@@ -40,14 +42,30 @@ def read_banner(lines: list[str]) -> Banner:
     return Banner(first[3], first[4], *map(int, size))
 
 
-def read_mtx(spark: SparkSession, path: str, head_lines: int = 10_000) -> tuple[DataFrame, DataFrame, Banner]:
+def _head(path: str, step: int = 1 << 16) -> list[str]:
+    """The lines of a file up to its size line, however many comments there are."""
+    from pathloom.sources.gr import _open
+
+    file, _, _ = _open(path)
+    raw, at = b"", 0
+    with file:
+        while True:
+            part = file.read_at(min(step, file.size() - at), at) if at < file.size() else b""
+            raw, at = raw + part, at + len(part)
+            lines = raw.decode("utf-8", "replace").splitlines(keepends=True)
+            whole = [x for x in lines if x.endswith("\n") or not part]
+            if not part or any(x.strip() and not x.startswith("%") for x in whole[1:]):
+                return whole
+
+
+def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Banner]:
     """(vertices, edges, banner). Weights are doubles, or longs where the file holds integers or none.
 
-    eid orders a row's edges as the file does, a mirrored entry at its entry's place. Vertices are as many as the file's rows. The size
-    line must be within the first head_lines lines. Ends out of range, lines that aren't entries and a wrong number of entries raise.
+    eid orders a row's edges as the file does, a mirrored entry at its entry's place. Vertices are as many as the file's rows. The
+    head may be of any length. Ends out of range, lines that aren't entries and a wrong number of entries raise.
     """
     text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    banner = read_banner([r["value"] for r in spark.read.text(path).limit(head_lines).collect()])
+    banner = read_banner(_head(path))
     data = text.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     size = data.orderBy("line").limit(1).select(F.col("line").alias("size_line"))
     parts = F.split(F.trim("value"), r"\s+")
@@ -66,6 +84,24 @@ def read_mtx(spark: SparkSession, path: str, head_lines: int = 10_000) -> tuple[
     return spark.range(n), ordered_rank(edges, "src", ["line", "dst"], "eid").select("eid", "src", "dst", "weight"), banner
 
 
+def write_mtx(edges: DataFrame, n: int, path: str, field: str = "integer", overwrite: bool = False) -> None:
+    """Write edges, in the order of (src, eid), as a general coordinate file: one stream, through the driver, a partition at a time.
+
+    field is real, integer or pattern (without weights). Ends must be in 0..n-1. An existing file is refused.
+    """
+    if field not in ("real", "integer", "pattern"):
+        raise ValueError(f"{field} entries are not supported")
+    check(edges, n)
+    _, system, inside = _target(path, overwrite)
+    parts = [(F.col("src") + 1).cast("string"), (F.col("dst") + 1).cast("string")]
+    if field != "pattern":
+        parts.append(F.col("weight").cast("long" if field == "integer" else "double").cast("string"))
+    with system.open_output_stream(inside) as out:
+        out.write(f"%%MatrixMarket matrix coordinate {field} general\n{n} {n} {edges.count()}\n".encode())
+        for r in edges.orderBy("src", "eid").select(F.concat_ws(" ", *parts).alias("line")).toLocalIterator(prefetchPartitions=True):
+            out.write(r["line"].encode() + b"\n")
+
+
 def whole_weights(edges: DataFrame) -> DataFrame:
     """Weights truncated to whole numbers, as integer files need."""
     return edges.withColumn("weight", F.col("weight").cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +27,32 @@ def write_permutation(mapping: DataFrame, n: int, path: str) -> None:
 
 def read_permutation(spark: SparkSession, path: str) -> DataFrame:
     """new_id, old_id of path.perm.u32."""
-    file, _, _ = _open(f"{path}.perm.u32")
+    return _numbers(spark, f"{path}.perm.u32", "<u4").select(F.col("id").alias("new_id"), F.col("value").alias("old_id"))
+
+
+def _size(path: str) -> int:
+    file, _, _ = _open(path)
     with file:
-        values = np.frombuffer(file.read(), dtype="<u4")
-    return spark.createDataFrame([(i, int(v)) for i, v in enumerate(values)], "new_id long, old_id long")
+        return file.size()
+
+
+def _numbers(spark: SparkSession, path: str, kind: str, per_task: int = 1 << 20) -> DataFrame:
+    """id, value of an array of 4-byte numbers; a task reads its range of the file, which every task must reach."""
+    n = _size(path) // 4
+    tasks = max(1, -(-n // per_task))
+
+    def run(batches):
+        for b in batches:
+            for part in b.column("id").to_pylist():
+                lo, hi = n * part // tasks, n * (part + 1) // tasks
+                file, _, _ = _open(path)
+                with file:
+                    values = np.frombuffer(file.read_at(4 * (hi - lo), 4 * lo), dtype=kind).astype(np.int64)
+                for at in range(0, len(values), 1 << 16):
+                    own = values[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo + at, lo + at + len(own))), pa.array(own)], names=["id", "value"])
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, "id long, value long")
 
 
 def write_distances_text(found: DataFrame, path: str) -> None:
@@ -56,12 +79,10 @@ def write_oracle(found: DataFrame, n: int, path: str) -> None:
 
 def read_oracle(spark: SparkSession, path: str, n: int) -> DataFrame:
     """v, dist (null where INT_MAX). ValueError unless the file has exactly n values."""
-    file, _, _ = _open(path)
-    with file:
-        values = np.frombuffer(file.read(), dtype="<i4")
-    if len(values) != n:
-        raise ValueError(f"{len(values)} values for {n} vertices")
-    return spark.createDataFrame([(i, None if v == INT_MAX else int(v)) for i, v in enumerate(values)], "v long, dist long")
+    values = _size(path) // 4
+    if values != n:
+        raise ValueError(f"{values} values for {n} vertices")
+    return _numbers(spark, path, "<i4").select(F.col("id").alias("v"), F.when(F.col("value") != INT_MAX, F.col("value")).alias("dist"))
 
 
 def bench_line(**values) -> str:
@@ -70,7 +91,7 @@ def bench_line(**values) -> str:
 
 def read_bench_lines(lines: DataFrame) -> DataFrame:
     """fields: map of each line `BENCH k=v ...` of a text table; other lines are skipped."""
-    return lines.where(F.col("value").startswith("BENCH ")).select(F.str_to_map(F.substring("value", 7, 1 << 20), F.lit(" "), F.lit("=")).alias("fields"))
+    return lines.where(F.col("value").startswith("BENCH ")).select(F.str_to_map(F.expr("substring(value, 7)"), F.lit(" "), F.lit("=")).alias("fields"))
 
 
 def check_bench(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,12 @@ import __spark_entry__
 from pathloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ("graph_edges", "graph_stats", "partition_edge_balanced", "sssp_frontier", "sssp_predecessors", "sssp_batch", "chain_shortcuts", "chain_segments", "timing_summary")
+QUICK = (
+    "graph_edges", "graph_stats", "partition_edge_balanced", "sssp_frontier", "sssp_predecessors", "sssp_batch", "chain_shortcuts", "chain_segments", "timing_summary",
+    "bfs_positions", "layer_positions", "rebuilt_edges", "permutation_round_trip", "oracle_round_trip", "mtx_to_gr", "augmented_round_trip", "loose_shortcuts",
+    "shortcut_counters", "bench_checks", "run_sinks", "first_mismatch", "conservation", "partition_cut_percent", "ghost_closure_2", "bags", "path_steps",
+    "sssp_multi_topk", "sssp_dynamic_delta", "reordered_cut", "queue_strategies",
+)
 
 
 def rows(frame):
