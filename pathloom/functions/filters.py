@@ -10,6 +10,11 @@ BITS = 27
 WIDE = 1 << 15
 
 
+def bits_for(keys: int) -> int:
+    """Bits of places for so many keys: 16 places a key, up to 2 ** BITS places however many keys there are."""
+    return min(BITS, max(16, (16 * keys).bit_length()))
+
+
 def key_filter(keys: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
     """_fb, _fm: bitmaps of a hash's places among 2 ** bits. At most 2 ** (bits - 15) rows of 4 KB, however many keys: 16 MB for 27 bits."""
     at = F.pmod(key, F.lit(1 << bits))
