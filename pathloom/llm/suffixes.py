@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.batches import bound_batches
-from pathloom.functions.filters import among, key_filter
+from pathloom.functions.filters import among, bits_for, key_filter
 from pathloom.functions.lineage import checkpointed
 
 LENGTH = 200
@@ -328,7 +328,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     def moved(wanted: DataFrame, side: DataFrame) -> DataFrame:
         """Each distinct text of the keys in wanted once, with the columns of side(k, c, ...)."""
-        passed = among(keyed.where(long), F.col("k"), key_filter(wanted, F.col("k")), "_in").where("_in").select("k", "c", "text")
+        bits = bits_for(wanted.count())
+        passed = among(keyed.where(long), F.col("k"), key_filter(wanted, F.col("k"), bits), "_in", bits).where("_in").select("k", "c", "text")
         once = passed.groupBy("k", "c").agg(F.any_value("text").alias("text"))
         return once.join(side.withColumnsRenamed({"k": "k2", "c": "c2"}), (F.col("k") == F.col("k2")) & (F.col("c") == F.col("c2"))).drop("k2", "c2")
 
@@ -358,7 +359,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     cut = moved(spans, spans).select("k", "c", "text", inside.alias("spans"))
     result = cut.mapInArrow(_kept_rows(with_kept), "k2 long, c2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     extra = ["kept"] * with_kept
-    checked = among(keyed, F.col("k"), key_filter(spans, F.col("k")), "_in").withColumn("_in", F.col("_in") & long)
+    bits = bits_for(spans.count())
+    checked = among(keyed, F.col("k"), key_filter(spans, F.col("k"), bits), "_in", bits).withColumn("_in", F.col("_in") & long)
     whole = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *[F.col("text").cast("binary").alias(x) for x in extra]]
     untouched = checked.where("NOT _in").select("doc_id", *whole)
     # What the filter lets pass in vain keeps its own hash.
