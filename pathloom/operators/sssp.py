@@ -1,9 +1,10 @@
 """Shortest paths by rounds of join and min-combine.
 
-A round expands the open rows that the strategy chooses: it joins them with their edges, keeps the least (distance, hops) of
-each (query, vertex) and compares these candidates with what is known of the same vertices. Improvements are written as a level of
-their own, so a round writes and shuffles in proportion to its frontier; what is known is the least of all levels. Levels are merged as
-they add up, and tables that a round has replaced are deleted. Strategies change the order of expansion, never the result.
+A round expands the open rows that the strategy chooses: it joins them with their edges and keeps the least (distance, hops) of
+each (query, vertex). A frontier that is a fair share of what is known is merged with it in one aggregate. A small one is compared with what is
+known of the same vertices, and improvements are written as a level of their own, so that such a round writes and shuffles in proportion to its
+frontier; what is known is the least of all levels. Levels are merged as they add up, and tables that a round has replaced are
+deleted. Strategies change the order of expansion, never the result.
 
 frontier  all open rows
 delta     open rows of the least bucket floor(dist / delta); delta may adapt to how much a bucket holds
@@ -31,6 +32,8 @@ from pathloom.plans import planner
 STRATEGIES = ("frontier", "delta", "near_far", "topk", "multi_topk", "owner")
 #: Levels that are read side by side before they are merged.
 LEVELS = 12
+#: A frontier of at least 1 / WIDE of the known rows is merged with them.
+WIDE = 16
 
 
 def batch_sources(n: int, count: int) -> list[int]:
@@ -110,6 +113,21 @@ class _Known:
         met = rows.join(near, ["q", "v"], "left")
         return met.where(F.col("_d").isNull() | (F.struct("dist", "hops") < F.struct("_d", "_h"))).select("q", "v", "dist", "hops")
 
+    @property
+    def rows(self) -> int:
+        return sum(x.rows for x in self.levels)
+
+    def merge(self, rest: DataFrame | None, grown: DataFrame) -> DataFrame:
+        """Replaces all levels by one that takes in grown; open rows: what grown improves, and of rest what it doesn't."""
+        rows = self._union(self.levels).withColumn("open", F.lit(0)).unionByName(grown.withColumn("open", F.lit(1)))
+        # What waits is known with the same values; it wins over the closed row.
+        rows = rows if rest is None else rows.unionByName(rest.withColumn("open", F.lit(-1)))
+        old, merged = self.levels, Stored(_merge(rows), "level")
+        self.levels = [merged]
+        for x in old:
+            x.drop()
+        return merged.frame.where("open <> 0").select("q", "v", "dist", "hops")
+
     def result(self) -> DataFrame:
         found = checkpointed(_least(self._union(self.levels)))
         for x in self.levels:
@@ -177,9 +195,15 @@ def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta:
             grown = waiting.where(chosen).join(adjacent, F.col("v") == F.col("s")).select("q", F.col("t").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"))
             if strategy == "delta" and bucket_rows:
                 held = waiting.where(chosen).count()
-            fresh, rounds = Stored(known.better(_least(grown)), "level"), rounds + 1
-            if strategy == "delta" and bucket_rows:
                 delta = delta * 2 if held * 4 < bucket_rows else max(1, delta / 2) if held > 4 * bucket_rows else delta
+            rounds += 1
+            if left["n"] * WIDE >= known.rows:
+                waiting = known.merge(None if strategy == "frontier" else waiting.where(~chosen), grown)
+                if opened:
+                    opened.drop()
+                opened = None
+                continue
+            fresh = Stored(known.better(_least(grown)), "level")
             if strategy == "frontier":
                 waiting = fresh.frame
             else:

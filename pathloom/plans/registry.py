@@ -42,6 +42,14 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select(ends.alias("e"), "weight").select((F.col("e.src") * F.lit(1 << 31) + F.col("e.dst")).alias("eid"), "e.src", "e.dst", "weight")
 
 
+def walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eid, src, dst, weight of one long path through all events by id, in both directions: as many levels as events. Ids count from 0."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.pmod(F.unix_timestamp("ts"), F.lit(9)) + 1).alias("weight"))
+    steps = events.join(events.select((F.col("event_id") - 1).alias("p")), F.col("event_id") == F.col("p")).select("event_id", F.col("event_id") + 1, "weight").toDF("a", "b", "weight")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return steps.select(ends.alias("e"), "weight").select((F.col("e.src") * 2 + (F.col("e.dst") > F.col("e.src")).cast("long")).alias("eid"), "e.src", "e.dst", "weight")
+
+
 def size_of(edges: DataFrame) -> int:
     return (edges.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0) + 1
 
@@ -233,6 +241,12 @@ def event_reach(spark, sf_dir):
     return sssp.solve(edges, first, "owner").select("v", "dist")
 
 
+def long_walk(spark, sf_dir):
+    """Distances along the long path, by owners: rounds count crossings, not levels."""
+    edges = walk_edges(spark, sf_dir)
+    return sssp.solve(edges, sssp.sources_frame(edges, [SOURCE]), "owner", owners=PARTS).select("v", "dist")
+
+
 def path_rows(spark, sf_dir):
     """Lengths and ends of the paths to every reached vertex, rebuilt by pointer doubling."""
     edges = trade_edges(spark, sf_dir)
@@ -493,7 +507,7 @@ QUERIES = {
     "chain_segments": chain_segments, "event_reach": event_reach, "path_rows": path_rows, "region_index": region_index,
     "bfs_order": bfs_order, "reordered_cut": reordered_cut, "fixpoint_certificate": fixpoint_certificate, "strategy_errors": strategy_errors,
     "gr_round_trip": gr_round_trip, "timing_summary": timing_summary, "geometric_mean": geometric_mean,
-    "decrease_only_updates": decrease_only_updates, "sssp_int32": sssp_int32, "bfs_positions": bfs_positions, "layer_positions": layer_positions,
+    "decrease_only_updates": decrease_only_updates, "sssp_int32": sssp_int32, "long_walk": long_walk, "bfs_positions": bfs_positions, "layer_positions": layer_positions,
     "rebuilt_edges": rebuilt_edges, "permutation_round_trip": permutation_round_trip, "distance_text_round_trip": distance_text_round_trip,
     "oracle_round_trip": oracle_round_trip, "mtx_round_trip": mtx_round_trip, "mtx_to_gr": mtx_to_gr, "augmented_round_trip": augmented_round_trip,
     "loose_shortcuts": loose_shortcuts, "shortcut_counters": shortcut_counters, "bench_checks": bench_checks, "run_sinks": run_sinks,
@@ -567,6 +581,7 @@ p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_
     "bags": _sql(f"{TRADE},\n{_ONE}", "SELECT least(greatest(d // 4 - 2, 0), 31)::INTEGER AS bag, count(*) AS vertices FROM r GROUP BY 1"),
     "cut_rule": _sql(f"{TRADE}, c AS (SELECT count(*) FILTER (WHERE (src < n // 2) <> (dst < n // 2)) AS crossing, count(*) AS edges FROM e, size)", "SELECT n AS vertices, crossing, edges, CASE WHEN n >= 300000 AND crossing > 0 AND crossing < edges * 0.0007 THEN 'delta' ELSE 'none' END AS queue FROM c, size"),
     "diameter_rule": "SELECT * FROM (VALUES ('trade', 'frontier'), ('short', 'frontier'), ('long', 'owner')) x(graph, strategy)",
+    "long_walk": "SELECT event_id AS v, coalesce(sum(w) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS dist FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) % 9 + 1 AS w FROM events)",
     "sampled_weight": _sql(TRADE, "SELECT round(avg(w), 6) AS avg_weight FROM e"),
     "queue_strategies": "SELECT queue, CASE WHEN queue LIKE '%\\_L2DQ' ESCAPE '\\' THEN 'delta' WHEN queue LIKE '%\\_L2PQ' ESCAPE '\\' THEN 'topk' WHEN queue LIKE '%\\_L2MPQ' ESCAPE '\\' THEN 'multi_topk' WHEN queue LIKE 'L1NF%' THEN 'near_far' WHEN queue LIKE 'L1SLF%' THEN 'owner' ELSE 'frontier' END AS strategy FROM (SELECT unnest([" + ", ".join(f"'{q}'" for q in planner.QUEUE_NAMES) + "]) AS queue)",
     "bench_checks": "SELECT event_type AS kind, count(*) AS bad FROM events WHERE event_id % 3 = 0 OR event_id % 11 = 0 GROUP BY event_type",

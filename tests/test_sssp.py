@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pathloom.operators import sssp, validate
 from pathloom.plans import planner
 
-OPTIONS = {"frontier": {}, "delta": {"delta": 3}, "near_far": {"delta": 3}, "topk": {"k": 4}, "owner": {"owners": 3}}
+OPTIONS = {"frontier": {}, "delta": {"delta": 3}, "near_far": {"delta": 3}, "topk": {"k": 4}, "multi_topk": {"k": 2, "parts": 3}, "owner": {"owners": 3}}
 
 
 @pytest.mark.parametrize("strategy", OPTIONS)
@@ -109,3 +109,26 @@ def test_planner():
     assert planner.by_cut(300_000, 1, 10_000) == "delta" and planner.by_cut(100, 1, 10_000) is None and planner.by_cut(300_000, 0, 10) is None
     assert [planner.bucket(d, 0, 10, 4) for d in (0, 9, 10, 99)] == [0, 0, 1, 3] and planner.bag(100, 0, 1) == 31
     assert planner.for_diameter(1000, 2000) == "owner" and planner.for_diameter(4, 2000) == "frontier"
+
+
+@pytest.mark.parametrize("strategy", ["frontier", "delta", "multi_topk"])
+def test_small_frontiers_write_levels(spark, strategy, monkeypatch):
+    monkeypatch.setattr(sssp, "WIDE", 0)
+    monkeypatch.setattr(sssp, "LEVELS", 2)
+    edges = random_graph(4)
+    df = frame(spark, edges)
+    assert solved(sssp.solve(df, sssp.sources_frame(df, [0]), strategy, **OPTIONS[strategy])) == dijkstra(edges, [(0, 0)])
+
+
+def test_rounds_that_do_not_do_raise_and_tables_go(spark):
+    from pathlib import Path
+
+    df = frame(spark, [(i, i + 1, 1) for i in range(6)])
+    with pytest.raises(RuntimeError, match="still open"):
+        sssp.solve(df, sssp.sources_frame(df, [0]), max_rounds=3)
+    with pytest.raises(ValueError):
+        sssp.solve(df, sssp.sources_frame(df, [0]), "L1V_L2XX")
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    assert len(solved(sssp.solve(df, sssp.sources_frame(df, [0]), "L1FQ_L2DQ", delta=1, bucket_rows=2))) == 7
+    assert not [p for p in folder.iterdir() if p.name not in before and p.name.startswith(("level", "open"))]
