@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles and checkpoints that nothing refers to any more, which it does when the driver collects garbage: for loops that make many."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stored:
     """A table written as Parquet below the checkpoint folder, until it is dropped: frame reads it, rows counts it."""
 
