@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.lineage import checkpointed
+from pathloom.functions.lineage import checkpointed, sweep
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,3 +28,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = checkpointed(small.where("a <> b").distinct())
+        sweep(now.sparkSession)
