@@ -25,7 +25,9 @@ WIDTH = 64
 REF = "media:"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ELEMENT = "position int, kind string, text string, ref string, caption string"
-MEDIA_TAGS = {"img", "audio", "video", "embed"}
+MEDIA_TAGS = {"img", "audio", "video", "embed", "iframe", "object"}
+#: Elements whose source children name what they show.
+HOLDERS = {"audio", "video", "picture"}
 SKIPPED = {"script", "style", "template", "noscript"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "title", "tr", "ul"}
 
@@ -38,6 +40,7 @@ class _Reader(HTMLParser):
         self.caption: list[str] | None = None
         self.figures: list[int] = []
         self.skip = 0
+        self.holders: list[dict] = []
 
     def flush(self):
         text, self.text = "".join(self.text), []
@@ -50,7 +53,19 @@ class _Reader(HTMLParser):
         elif tag in MEDIA_TAGS:
             given = dict(attrs)
             self.flush()
-            self.out.append({"kind": "media", "text": None, "ref": given.get("src"), "caption": given.get("alt") or None})
+            ref = given.get("data" if tag == "object" else "src")
+            if not ref and tag == "img" and self.holders:
+                ref = self.holders[-1]["ref"]
+            self.out.append({"kind": "media", "text": None, "ref": ref, "caption": given.get("alt") or None})
+            if tag in HOLDERS:
+                self.holders.append(self.out[-1])
+        elif tag == "picture":
+            self.flush()
+            self.holders.append({"ref": None})
+        elif tag == "source":
+            if self.holders and not self.holders[-1]["ref"]:
+                given = dict(attrs)
+                self.holders[-1]["ref"] = given.get("src") or next(iter((given.get("srcset") or "").split(",")[0].split()), None)
         elif tag in BLOCKS:
             self.flush()
             if tag == "figure":
@@ -62,10 +77,15 @@ class _Reader(HTMLParser):
         self.handle_starttag(tag, attrs)
         if tag in SKIPPED:
             self.skip -= 1
+        if tag in HOLDERS:
+            self.holders.pop()
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
+        elif tag in HOLDERS:
+            if self.holders:
+                self.holders.pop()
         elif tag in BLOCKS:
             if tag == "figcaption" and self.caption is not None:
                 self._caption()
@@ -85,7 +105,10 @@ class _Reader(HTMLParser):
 
 
 def parse(page: str | None) -> list[dict]:
-    """Elements of one page in reading order; a figure's caption goes to its media, else the alt text does. Null: none."""
+    """Elements of one page in reading order; a figure's caption goes to its media, else the alt text does. Null: none.
+
+    A video, audio or picture without a reference of its own has that of its first source that names one.
+    """
     reader = _Reader()
     reader.feed(page or "")
     reader.close()
@@ -200,13 +223,14 @@ def media_features(store: DataFrame) -> DataFrame:
 
 
 def resolve(elements: DataFrame, media: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The columns `keep`, position, caption and the columns of media for every media element whose digest is in media.
+    """The columns `keep`, position, caption, ref and the columns of media for every media element; these are null where the reference is missing, is no digest, or is not in media.
 
-    References without a row in media give none. Media rows are small here; payloads need not move with the references.
+    Media rows are small here; payloads need not move with the references.
     """
-    refs = elements.select(*keep, F.explode("elements").alias("e")).where("e.kind = 'media'").where(F.col("e.ref").startswith(REF))
-    refs = refs.select(*keep, F.col("e.position").alias("position"), F.col("e.caption").alias("caption"), F.substring("e.ref", len(REF) + 1, 1 << 20).alias("_digest"))
-    return refs.join(media, F.col("_digest") == F.col("digest")).drop("_digest")
+    refs = elements.select(*keep, F.explode("elements").alias("e")).where("e.kind = 'media'")
+    digest = F.when(F.col("e.ref").startswith(REF), F.expr(f"substring(e.ref, {len(REF) + 1})"))
+    refs = refs.select(*keep, F.col("e.position").alias("position"), F.col("e.caption").alias("caption"), F.col("e.ref").alias("ref"), digest.alias("_digest"))
+    return refs.join(media, F.col("_digest") == F.col("digest"), "left").drop("_digest")
 
 
 def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

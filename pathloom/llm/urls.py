@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.batches import bound_batches, unused
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -42,15 +44,16 @@ def reversed_labels(host):
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """All rows and columns of pages, plus host, path, rule (host + path, or null) and verdict.
+    """All rows and columns of pages, plus host, path, rule (host + path, or null) and verdict; where pages has such a column, the new one's name gets an underscore.
 
     rules(verdict, host, path): path starts with a slash. The longest fitting rule wins, by the length of host + path, then
     of the host, then the rule that sorts last. A null url, or one without "://", has an empty host and path and the
     default verdict. Each distinct URL is judged once. Rules are repeated for every bucket of URLs, so they move
     as often as there are shuffle partitions; they are streamed, never held. Of equal rules the largest verdict wins.
-    pages must not have columns host, path, rule, verdict or one starting with _uf_.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
+    host_out, path_out, rule_out, verdict_out, asked, found = unused(pages.columns, "host", "path", "rule", "verdict", "_uf_u", "_uf_url")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     host = F.translate(F.regexp_extract(F.col("url"), AFTER, 1), UPPER, LOWER)
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
@@ -71,13 +74,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     sorted_rows = keys.unionByName(opened).repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", "kind")
     hits = sorted_rows.mapInArrow(_sweep, "url string, rule string, verdict string")
     longest = F.max(F.struct(F.length("rule"), F.instr("rule", "/"), "rule", "verdict")).alias("w")
-    won = hits.groupBy(F.col("url").alias("_uf_url")).agg(longest).select("_uf_url", F.col("w.rule").alias("rule"), F.col("w.verdict").alias("verdict"))
-    met = pages.withColumn("_uf_u", F.col(url_col)).join(won, F.col("_uf_u") == F.col("_uf_url"), "left")
-    own = F.translate(F.regexp_extract(F.col("_uf_u"), AFTER, 1), UPPER, LOWER)
+    won = hits.groupBy(F.col("url").alias(found)).agg(longest).select(found, F.col("w.rule").alias(rule_out), F.col("w.verdict").alias(verdict_out))
+    met = pages.withColumn(asked, F.col(url_col)).join(won, F.col(asked) == F.col(found), "left")
+    own = F.translate(F.regexp_extract(F.col(asked), AFTER, 1), UPPER, LOWER)
     return met.select(
-        *[pages[c] for c in pages.columns],
-        F.coalesce(own, F.lit("")).alias("host"), F.coalesce(F.regexp_extract("_uf_u", AFTER, 2), F.lit("")).alias("path"),
-        "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"),
+        *pages.columns,
+        F.coalesce(own, F.lit("")).alias(host_out), F.coalesce(F.regexp_extract(asked, AFTER, 2), F.lit("")).alias(path_out),
+        rule_out, F.coalesce(verdict_out, F.lit(default)).alias(verdict_out),
     )
 
 

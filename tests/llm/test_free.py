@@ -18,6 +18,8 @@ def test_html_sequences():
     page = '<html><script>var t="</p>";</script><p>One &amp; two<br>three</p><figure><img src="media:a" alt="x"><p>in</p><figcaption>A <b>cap</b></figcaption></figure><img src="media:b" alt="alt">tail'
     got = [(e["position"], e["kind"], e["text"] or e["ref"], e["caption"]) for e in media.parse(page)]
     assert got == [(0, "text", "One & two", None), (1, "text", "three", None), (2, "media", "media:a", "A cap"), (3, "text", "in", None), (4, "media", "media:b", "alt"), (5, "text", "tail", None)]
+    page = '<video controls><source src="media:v1"><source src="media:v2">no</video><picture><source srcset="media:p 2x, media:q"><img alt="pic"></picture><object data="media:o"></object><iframe src="media:f"/><audio/><img>'
+    assert [(e["kind"], e["ref"], e["caption"]) for e in media.parse(page) if e["kind"] == "media"] == [("media", "media:v1", None), ("media", "media:p", "pic"), ("media", "media:o", None), ("media", "media:f", None), ("media", None, None), ("media", None, None)]
     assert media.parse(None) == [] and media.parse("") == [] and media.parse("<figcaption>x")[0]["text"] == "x"
     assert len(media.parse("<p>" * 5000 + "x" * 100_000)) == 1
 
@@ -51,11 +53,12 @@ def test_media_columns(spark, tmp_path):
 
 
 def test_interleave_keeps_order(spark):
-    pages = spark.createDataFrame([(1, "<p>a</p><img src='media:d1'><p>b</p><img src='media:d2'>"), (2, None)], "page_id long, html string")
+    pages = spark.createDataFrame([(1, "<p>a</p><img src='media:d1'><p>b</p><img src='media:d2' alt='two'><img src='http://x/y.png'><img src='media:d9'>"), (2, None)], "page_id long, html string")
     seq = media.interleave(pages)
     store = spark.createDataFrame([("d2", "two"), ("d1", "one")], "digest string, what string")
-    assert sorted((r["page_id"], r["position"], r["what"]) for r in media.resolve(seq, store, ("page_id",)).collect()) == [(1, 1, "one"), (1, 3, "two")]
-    assert {r["page_id"]: len(r["elements"]) for r in seq.collect()} == {1: 4, 2: 0}
+    found = sorted((r["page_id"], r["position"], r["caption"], r["ref"], r["what"]) for r in media.resolve(seq, store, ("page_id",)).collect())
+    assert found == [(1, 1, None, "media:d1", "one"), (1, 3, "two", "media:d2", "two"), (1, 4, None, "http://x/y.png", None), (1, 5, None, "media:d9", None)]
+    assert {r["page_id"]: len(r["elements"]) for r in seq.collect()} == {1: 6, 2: 0}
 
 
 def tokenizer():
@@ -269,6 +272,8 @@ def test_url_filters(spark):
     assert len(got.columns) == 7
     for r in got.collect():
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute_verdict(r["url"], rules), r["url"]
+    clash = urls.judge_urls(pages.selectExpr("*", "1 AS host", "2 AS rule", "3 AS _uf_u"), frame)
+    assert clash.columns == [*pages.columns, "host", "rule", "_uf_u", "host_", "path", "rule_", "verdict"] and clash.where("host = 1 AND rule = 2").count() == len(said) + 2
     assert got.count() == len(said) + 2 and urls.judge_urls(pages.limit(0), frame).count() == 0
     assert urls.judge_urls(pages, frame.limit(0), default="block").where("verdict <> 'block'").count() == 0
 
