@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import language, lines, media, mixing, packing, sharding, simhash, suffixes, urls, winnowing
+from pathloom.llm import audit, language, lines, media, middle, mixing, packing, sharding, simhash, suffixes, urls, vectors, winnowing
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_url_filters": urls.op9_url_filters,
     "op10_language_id": language.op10_language_id,
+    "op11_fill_in_middle": middle.op11_fill_in_middle,
+    "op12_embedding_near_dedup": vectors.op12_embedding_near_dedup,
+    "op13_source_divergence": audit.op13_source_divergence,
 }
 
 ORACLES = {
     "op1_line_dedup": lines.OP1_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op9_url_filters": urls.OP9_SQL,
+    "op11_fill_in_middle": middle.OP11_SQL,
+    "op12_embedding_near_dedup": vectors.OP12_SQL,
+    "op13_source_divergence": audit.OP13_SQL,
 }
