@@ -54,41 +54,41 @@ def _handed(held: dict[tuple, Counter], names: tuple[str, ...]) -> pa.RecordBatc
     for key, counts in held.items():
         for i, k in enumerate(key):
             columns[i] += [k] * len(counts)
-        columns[-2] += counts.keys()
+        columns[-2] += [t.decode("utf-8", "replace") for t in counts]
         columns[-1] += counts.values()
     held.clear()
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:-1]), pa.array(columns[-1], pa.int64())], names=list(names))
 
 
 def document_frequencies(texts: DataFrame, least: int) -> DataFrame:
-    """lang, term: terms in at least `least` documents of the language, counted exactly; partial counts come from the tasks."""
+    """lang, term, df: terms in at least `least` documents of the language, counted exactly; partial counts come from the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Counter] = defaultdict(Counter)
         for b in batches:
             for key, said in _grouped(b, ("lang",)).items():
                 for text in said:
-                    held[key].update({w.decode("utf-8", "replace") for w in text.split()})
+                    held[key].update(set(text.split()))
             if sum(map(len, held.values())) > HELD:
                 yield _handed(held, ("lang", "term", "n"))
         yield _handed(held, ("lang", "term", "n"))
 
     bound_batches(texts.sparkSession)
-    return texts.select("lang", "raw").mapInArrow(run, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "term")
+    return texts.select("lang", "raw").mapInArrow(run, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("df")).where(F.col("df") >= least)
 
 
 def _units(kept: DataFrame, rows: int, size: int) -> DataFrame:
-    """kept(lang, term) with `unit`: consecutive units of at most `size` bytes and one term, a language's terms in as few units as that allows."""
+    """kept(lang, term, df) with `unit`: consecutive units of at most `size` bytes and one term, a language's terms in as few units as that allows."""
     order = F.shiftleft(F.hash("lang").cast("long"), 32).bitwiseOR(F.hash("term").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     placed = running_total(kept.withColumn("_all", F.lit(0)), ["_all"], order, ["lang", "term"], F.octet_length("term") + 16, "_at", buckets_for(rows))
-    return placed.select("lang", "term", F.floor(F.col("_at") / size).cast("long").alias("unit"))
+    return placed.select("lang", "term", "df", F.floor(F.col("_at") / size).cast("long").alias("unit"))
 
 
 _automata: dict = {}
 
 
 def _automaton(terms: list[str]) -> ahocorasick.Automaton:
-    """Matches each term between blanks, whose number in the list is the value."""
+    """Matches each term between blanks, whose number in the list is the value. A node tries its branches in the order of the list, so frequent terms come first."""
     made = ahocorasick.Automaton()
     for i, t in enumerate(terms):
         made.add_word(f" {t} ", i)
@@ -105,7 +105,7 @@ def occurrences(texts: DataFrame, kept: DataFrame, size: int = UNIT_BYTES) -> Da
     for u in range(0 if last is None else last + 1):
         # At most `size` bytes: what one automaton holds.
         vocabulary: dict[str, list[str]] = defaultdict(list)
-        for r in units.where(F.col("unit") == u).select("lang", "term").orderBy("lang", "term").toLocalIterator():
+        for r in units.where(F.col("unit") == u).orderBy("lang", F.desc("df"), "term").collect():
             vocabulary[r["lang"]].append(r["term"])
         if not vocabulary:
             continue
@@ -129,7 +129,7 @@ def _recount(sent):
         held: dict[tuple, Counter] = defaultdict(Counter)
 
         def handed() -> pa.RecordBatch:
-            named = {key: Counter({vocabulary[key[0]][i]: n for i, n in counts.items()}) for key, counts in held.items()}
+            named = {key: Counter({vocabulary[key[0]][i].encode(): n for i, n in counts.items()}) for key, counts in held.items()}
             held.clear()
             return _handed(named, ("lang", "source", "term", "n"))
 
@@ -200,8 +200,8 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     groups = checkpointed(groups.withColumn("total", F.col("said") + 2 * F.col("v")).withColumn("none", F.when(F.col("v") > 0, _share("0", "total")).otherwise(F.lit(1))))
     few = groups.count() <= FEW_GROUPS
     near = lambda t: F.broadcast(t) if few else t
-    shares = counts.join(near(groups.select("lang", "source", "total", "none")), ["lang", "source"]).withColumn("p", _share("n", "total"))
-    blocks = buckets_for(counts.count(), BLOCK)
+    shares = checkpointed(counts.join(near(groups.select("lang", "source", "total", "none")), ["lang", "source"]).withColumn("p", _share("n", "total")).drop("total"))
+    blocks = buckets_for(shares.count(), BLOCK)
 
     met = shares.withColumn("block", F.pmod(F.hash("term"), F.lit(blocks))).groupBy("lang", "block").applyInPandas(_meetings, "lang string, a string, b string, shared long, more long").groupBy("lang", "a", "b").agg(F.sum("shared").alias("shared"), F.sum("more").alias("more"))
     # A source's terms against none of another's: terms with the same share count together.
