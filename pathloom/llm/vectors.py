@@ -25,8 +25,8 @@ from pathloom.llm.components import connected_components
 
 #: Vectors that codebooks are fitted on, at most.
 SAMPLE = 8192
-#: Vectors of a list that one coarse centre stands for, as long as the sample has 16 for each centre.
-PER_LIST = 512
+#: Lists: this many times the square root of the number of vectors, as long as the sample has 16 vectors for each.
+LISTS = 0.25
 #: Subspaces of a residual and codewords of each.
 SPACES, WORDS = 8, 256
 #: Vectors of a tile, on either side.
@@ -132,7 +132,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[int, Codebooks]:
         h = F.pmod(F.xxhash64("x", "vec_id"), F.lit(bits))
         drawn = known.where((F.col("dim") == d) & (h < F.lit(bits if n <= 4 * want else 2 * want * bits // n))).select("x", h.alias("h")).orderBy("h", "x").limit(want).collect()
         x = np.frombuffer(b"".join(r["x"] for r in drawn), dtype="<f8").reshape(-1, d)
-        out[d] = Codebooks(x, max(1, min(-(-n // PER_LIST), len(x) // 16)))
+        out[d] = Codebooks(x, max(1, min(round(LISTS * n**0.5), len(x) // 16)))
     return out
 
 

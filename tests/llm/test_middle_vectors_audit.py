@@ -92,7 +92,7 @@ def awkward_vectors():
 
 @pytest.mark.parametrize("options", [{"slack": 1.0, "tile": 16, "sample": 200}, {}])
 def test_near_vectors(spark, options, monkeypatch):
-    monkeypatch.setattr(vectors, "PER_LIST", 24)
+    monkeypatch.setattr(vectors, "LISTS", 1)
     rows = awkward_vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS row", "vec_id AS core", "'x' AS x")
     assert Counter(tuple(r) for r in vectors.near_vectors(df, **options).collect()) == near(rows)
@@ -100,7 +100,7 @@ def test_near_vectors(spark, options, monkeypatch):
 
 
 def test_large_cells_are_joined_and_probes_suffice(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PER_LIST", 16)
+    monkeypatch.setattr(vectors, "LISTS", 2)
     monkeypatch.setattr(vectors, "FEW_CELLS", 0)
     r = np.random.default_rng(5)
     base = r.normal(size=(300, 64))
