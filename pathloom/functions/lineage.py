@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -39,22 +40,35 @@ def sweep(spark: SparkSession) -> None:
 
 
 class Stored:
-    """A table written as Parquet below the checkpoint folder, until it is dropped: frame reads it, rows counts it."""
+    """A table written as Parquet below the checkpoint folder, until it is dropped: frame reads it, rows counts it.
 
-    def __init__(self, df: DataFrame, purpose: str = "stored"):
-        self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, purpose)
-        df.write.parquet(self.path)
-        self.frame = self.spark.read.schema(df.schema).parquet(self.path)
-        self._rows: int | None = None
+    With bucket, (a column, a number), rows lie in that many buckets of the column's hash, sorted by it: joins on that column alone find them where they are, and a filter on a
+    few of its values reads those values' buckets. With part the table is partitioned by that column. seen names aggregates that are taken while the
+    table is written; rows come from there too.
+    """
 
-    @property
-    def rows(self) -> int:
-        if self._rows is None:
-            self._rows = self.frame.count()
-        return self._rows
+    def __init__(self, df: DataFrame, purpose: str = "stored", bucket: tuple[str, int] | None = None, part: str | None = None, seen: dict[str, Column] | None = None):
+        self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, purpose)
+        watch = Observation()
+        counted = df.observe(watch, F.count(F.lit(1)).alias("_rows"), *[c.alias(k) for k, c in (seen or {}).items()])
+        self.table = None
+        if bucket:
+            column, n = bucket
+            # Each task holds whole buckets, so a bucket is one file.
+            out = counted.repartition(n, column).write.bucketBy(n, column).sortBy(column)
+            self.table = f"{purpose}_{uuid.uuid4().hex}"
+            (out.partitionBy(part) if part else out).option("path", self.path).saveAsTable(self.table, format="parquet")
+            self.frame = self.spark.table(self.table)
+        else:
+            (counted.write.partitionBy(part) if part else counted.write).parquet(self.path)
+            self.frame = self.spark.read.schema(df.schema).parquet(self.path)
+        self.seen = watch.get
+        self.about: int = self.seen["_rows"]
 
     def drop(self) -> None:
-        """Delete the files. Frames that still read them fail."""
+        """Delete the files. Frames that still read them fail. Needs a classic session: files are deleted through Hadoop's file systems."""
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

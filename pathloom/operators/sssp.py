@@ -1,39 +1,55 @@
 """Shortest paths by rounds of join and min-combine.
 
-A round expands the open rows that the strategy chooses: it joins them with their edges and keeps the least (distance, hops) of
-each (query, vertex). A frontier that is a fair share of what is known is merged with it in one aggregate. A small one is compared with what is
-known of the same vertices, and improvements are written as a level of their own, so that such a round writes and shuffles in proportion to its
-frontier; what is known is the least of all levels. Levels are merged as they add up, and tables that a round has replaced are
-deleted. Strategies change the order of expansion, never the result.
+A round expands the open rows that the strategy chooses along their stored edges (adjacency) and keeps the least (distance, hops) of each (query, vertex). Three ways, by
+the size of the frontier; the result is the same:
+
+- A fair share of what is known: it is merged with all of it in one aggregate.
+- Less: candidates are compared with what is known of the same vertices, and improvements are written as a level of their own; what is known is the least of all levels.
+  Neither edges nor large levels move; they lie in buckets of the key that the join is on.
+- Few rows: their edges, and what is known of the heads, are read by key from the buckets that hold them, without a shuffle. Those rows are at hand, a bounded number.
+
+Levels are merged as they add up, and tables that a round has replaced are deleted.
 
 frontier  all open rows
 delta     open rows of the least bucket floor(dist / delta); delta may adapt to how much a bucket holds
+delta_stepping  the same, along light edges (weight of delta or less) until the bucket has no open row, then once along the heavy edges of all that it settled
 near_far  open rows below a threshold, which moves up when none is left
 topk      the k open rows with the least distance
 multi_topk  the k open rows with the least distance of each of several parts of the ids
 owner     each owner of a range of ids solves its part to the end; only what crosses between owners takes a round
+
+The least open distance is always chosen, so each round makes progress whatever floating weights round to.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections import defaultdict
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.hashing import hash_of
 from pathloom.functions.lineage import Stored, checkpointed
 from pathloom.operators import partition
+from pathloom.operators.adjacency import BLOCK_EDGES, FEW_HUBS, Adjacency, local_rows
 from pathloom.operators.graph import INT_MAX, check
 from pathloom.plans import planner
 
-STRATEGIES = ("frontier", "delta", "near_far", "topk", "multi_topk", "owner")
+STRATEGIES = ("frontier", "delta", "delta_stepping", "near_far", "topk", "multi_topk", "owner")
 #: Levels that are read side by side before they are merged.
 LEVELS = 12
 #: A frontier of at least 1 / WIDE of the known rows is merged with them.
 WIDE = 16
+#: Open rows that are kept at hand, what they may reach in a round, and improved rows before they are written.
+FEW, MET, LATE = 1024, 4096, 32_768
+#: Rows of a level that lies in buckets.
+BUCKETED = 1 << 20
 
 
 def batch_sources(n: int, count: int) -> list[int]:
@@ -47,7 +63,7 @@ def sources_frame(edges: DataFrame, sources: list[int]) -> DataFrame:
 
 
 def _local(bounds: list[int]):
-    """One owner's rows and edges -> its improved rows (closed) and candidates for other owners (open)."""
+    """One owner's rows and edges -> its improved rows (closed) and candidates for other owners and for hubs (open)."""
 
     def run(key, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         lo, hi = bounds[int(key[0])], bounds[int(key[0]) + 1]
@@ -58,7 +74,7 @@ def _local(bounds: list[int]):
         src, dst, weight = (edges[c].to_numpy()[order] for c in ("src", "dst", "weight"))
         first, last = src.searchsorted(src, "left"), src.searchsorted(src, "right")
         where = dict(zip(src.tolist(), zip(first.tolist(), last.tolist(), strict=True), strict=True))
-        dst, weight = dst.tolist(), weight.tolist()
+        dst, weight, beyond = dst.tolist(), weight.tolist(), edges["away"].to_numpy()[order].tolist()
         for q, own in rows.groupby("q"):
             best = dict(zip(own["v"].tolist(), zip(own["dist"].tolist(), own["hops"].tolist(), strict=True), strict=True))
             heap = [(*best[v], v) for v in own.loc[own["open"] == 1, "v"].tolist()]
@@ -71,7 +87,7 @@ def _local(bounds: list[int]):
                 done.add(v)
                 for e in range(*where.get(v, (0, 0))):
                     u, new = dst[e], (d + weight[e], h + 1)
-                    if lo <= u < hi:
+                    if lo <= u < hi and not beyond[e]:
                         if u not in best or new < best[u]:
                             best[u] = new
                             heapq.heappush(heap, (*new, u))
@@ -84,20 +100,31 @@ def _local(bounds: list[int]):
 
 
 class _Known:
-    """The least (dist, hops) of each (q, v), as levels of written tables of which the least counts."""
+    """The least (dist, hops) of each (q, v): levels of written tables, and a few rows that are not written yet, of which the least counts.
 
-    def __init__(self):
+    Rows carry kk, the hash of (q, v). A large level lies in buckets of kk, so candidates move to it and not the level to them.
+    """
+
+    def __init__(self, spark, kind: str):
+        self.spark, self.kind = spark, kind
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[Stored] = []
+        self.late: dict[tuple[int, int], tuple] = {}
+
+    def _stored(self, rows: DataFrame, about: int, seen: dict | None = None) -> Stored:
+        """rows with kk as a level; large ones in buckets of 2 ** 21 rows or so."""
+        bucket = ("kk", max(self.buckets, -(-about // (1 << 21)))) if about > BUCKETED else None
+        return Stored(rows.withColumn("kk", F.xxhash64("q", "v")), "level", bucket, seen=seen)
 
     def add(self, level: Stored) -> None:
         self.levels.append(level)
         if len(self.levels) > LEVELS:
             # Merge the newest levels up to one that is much larger than all after it.
             keep, later = len(self.levels), 0
-            while keep and self.levels[keep - 1].rows <= 4 * later + 1_000_000:
+            while keep and self.levels[keep - 1].about <= 4 * later + 1_000_000:
                 keep -= 1
-                later += self.levels[keep].rows
-            old, merged = self.levels[keep:], Stored(_least(self._union(self.levels[keep:])), "level")
+                later += self.levels[keep].about
+            old, merged = self.levels[keep:], self._stored(_least(self._union(self.levels[keep:])), later)
             self.levels = [*self.levels[:keep], merged]
             for x in old:
                 x.drop()
@@ -106,154 +133,363 @@ class _Known:
         frames = [x.frame.select("q", "v", "dist", "hops") for x in levels]
         return reduce(DataFrame.unionByName, frames)
 
+    def written(self) -> None:
+        """The late rows become a level."""
+        if self.late:
+            rows = local_rows(self.spark, [(*k, *x) for k, x in self.late.items()], {"q": "long", "v": "long", "dist": self.kind, "hops": "long"})
+            self.late = {}
+            self.add(self._stored(rows, 0))
+
     def better(self, rows: DataFrame) -> DataFrame:
         """Rows of rows(q, v, dist, hops), one of each (q, v), that are less than what is known."""
-        # A small frontier is broadcast by AQE, so levels are scanned and do not move.
-        near = _least(self._union(self.levels).join(rows.select("q", "v"), ["q", "v"], "left_semi")).select("q", "v", F.col("dist").alias("_d"), F.col("hops").alias("_h"))
-        met = rows.join(near, ["q", "v"], "left")
-        return met.where(F.col("_d").isNull() | (F.struct("dist", "hops") < F.struct("_d", "_h"))).select("q", "v", "dist", "hops")
+        self.written()
+        large, small = [x for x in self.levels if x.table], [x for x in self.levels if not x.table]
+        left = rows.withColumn("kk", F.xxhash64("q", "v"))
+        less = F.col("_d").isNull() | (F.struct("dist", "hops") < F.struct("_d", "_h"))
+        own = [F.col(f"r.{c}") for c in ("q", "v", "dist", "hops", "kk")]
+        for x in large:
+            # On the hash alone, by which the level lies; a row of another pair with this hash does not count.
+            found = x.frame.select(F.col("kk").alias("_k"), F.col("q").alias("_q"), F.col("v").alias("_v"), F.col("dist").alias("_d"), F.col("hops").alias("_h"))
+            same = (F.col("r.kk") == F.col("_k")) & (F.col("r.q") - F.col("_q") == 0) & (F.col("r.v") - F.col("_v") == 0)
+            left = left.alias("r").join(found, same, "left").where(less).select(*own)
+        if small:
+            found = _least(self._union(small)).select(F.xxhash64("q", "v").alias("_k"), F.col("q").alias("_q"), F.col("v").alias("_v"), F.col("dist").alias("_d"), F.col("hops").alias("_h"))
+            left = left.alias("r").join(found, (F.col("r.q") == F.col("_q")) & (F.col("r.v") == F.col("_v")), "left").where(less).select(*own)
+        return left.select("q", "v", "dist", "hops")
+
+    def few(self, pairs) -> dict[tuple[int, int], tuple]:
+        """What is known of a few (q, v): rows that are not written yet, else those of their buckets."""
+        found = {at: self.late[at] for at in pairs if at in self.late}
+        keys = [hash_of(*at) for at in pairs if at not in found]
+        if keys:
+            for r in reduce(DataFrame.unionByName, [x.frame.where(F.col("kk").isin(keys)).select("q", "v", "dist", "hops") for x in self.levels]).collect():
+                at, has = (r["q"], r["v"]), (r["dist"], r["hops"])
+                if at in pairs and (at not in found or has < found[at]):
+                    found[at] = has
+        return found
 
     @property
-    def rows(self) -> int:
-        return sum(x.rows for x in self.levels)
+    def about(self) -> int:
+        return sum(x.about for x in self.levels) + len(self.late)
 
-    def merge(self, rest: DataFrame | None, grown: DataFrame) -> DataFrame:
-        """Replaces all levels by one that takes in grown; open rows: what grown improves, and of rest what it doesn't."""
+    def merge(self, rest: DataFrame | None, grown: DataFrame) -> Stored:
+        """Replaces all levels by one that takes in grown. Its rows with open other than 0 are what grown improves, and of rest what it doesn't; seen has their number n and least distance."""
+        self.written()
         rows = self._union(self.levels).withColumn("open", F.lit(0)).unionByName(grown.withColumn("open", F.lit(1)))
         # What waits is known with the same values; it wins over the closed row.
         rows = rows if rest is None else rows.unionByName(rest.withColumn("open", F.lit(-1)))
-        old, merged = self.levels, Stored(_merge(rows), "level")
+        seen = {"n": F.count_if(F.col("open") != 0), "least": F.min(F.when(F.col("open") != 0, F.col("dist")))}
+        old, merged = self.levels, self._stored(_merge(rows), self.about, seen)
         self.levels = [merged]
         for x in old:
             x.drop()
-        return merged.frame.where("open <> 0").select("q", "v", "dist", "hops")
+        return merged
 
     def result(self) -> DataFrame:
-        found = checkpointed(_least(self._union(self.levels)))
+        self.written()
+        return checkpointed(_least(self._union(self.levels)))
+
+    def drop(self) -> None:
         for x in self.levels:
             x.drop()
-        return found
+        self.levels = []
 
 
 def _least(rows: DataFrame) -> DataFrame:
     return rows.groupBy("q", "v").agg(F.min(F.struct("dist", "hops")).alias("m")).select("q", "v", "m.*")
 
 
-def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta: float | None = None, k: int = 10_000, n: int | None = None, owners: int | None = None, owner_edges: int = 1_000_000, max_rounds: int | None = None, parts: int = 8, bucket_rows: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class _Choice:
+    """Which open rows a round expands: those below a bound or at the least distance, so some always; with parts, those up to a bound of each part."""
+
+    least: float
+    below: float | None = None
+    upto: tuple[tuple[int, float], ...] = ()
+    parts: int = 1
+
+    def column(self):
+        if self.upto:
+            part = F.pmod("v", F.lit(self.parts))
+            return reduce(lambda x, y: x | y, [(part == p) & (F.col("dist") <= F.lit(d)) for p, d in self.upto])
+        return F.lit(True) if self.below is None else (F.col("dist") < F.lit(self.below)) | (F.col("dist") <= F.lit(self.least))
+
+    def holds(self, v: int, dist: float) -> bool:
+        if self.upto:
+            return any(v % self.parts == p and dist <= d for p, d in self.upto)
+        return self.below is None or dist < self.below or dist <= self.least
+
+
+class _Rounds:
+    """Rounds of one solve. Open rows are a table, or while they are few rows at hand; rows are known in _Known either way."""
+
+    def __init__(self, adjacency: Adjacency, start: DataFrame, kind: str, strategy: str, delta: float | None, k: int, parts: int, bucket_rows: int | None, counts: dict):
+        self.edges, self.kind, self.strategy, self.delta, self.k, self.parts, self.bucket_rows, self.counts = adjacency, kind, strategy, delta, k, parts, bucket_rows, counts
+        self.spark, self.base = adjacency.spark, 0
+        self.known = _Known(self.spark, kind)
+        self.counts |= {"rounds": 0, "relaxed": 0}
+        self.opened: Stored | None = None  # a table of open rows that is no level
+        # Of the bucket under way: its rows that were expanded along light edges.
+        self.settled_rows: dict[tuple[int, int], tuple] = {}
+        self.settled: list[Stored] = []
+        self.ends: float | None = None
+        first = Stored(start.withColumn("kk", F.xxhash64("q", "v")), "level", seen={"least": F.min("dist")})
+        self.known.add(first)
+        self.table, self.n, self.least, self.rows = first.frame.drop("kk"), first.about, first.seen["least"], None
+
+    def gather(self) -> None:
+        """Few open rows come to hand, unless one is a hub."""
+        if self.rows is not None or self.n > FEW or self.edges.hub_ids is None:
+            return
+        got = self.table.select("q", "v", "dist", "hops").limit(FEW + 1).collect()
+        if len(got) <= FEW and not any(r["v"] in self.edges.hub_ids for r in got):
+            self.rows = {(r["q"], r["v"]): (r["dist"], r["hops"]) for r in got}
+            self.n = len(self.rows)
+            self.forget()
+
+    def spill(self) -> None:
+        """Rows at hand become a table."""
+        if self.rows is not None:
+            self.replace(Stored(self._frame(self.rows), "open"))
+            self.rows = None
+
+    def _frame(self, rows: dict) -> DataFrame:
+        return local_rows(self.spark, [(*at, *x) for at, x in rows.items()], {"q": "long", "v": "long", "dist": self.kind, "hops": "long"})
+
+    def replace(self, table: Stored) -> None:
+        before, self.opened, self.table = self.opened, table, table.frame
+        if before:
+            before.drop()
+
+    def forget(self) -> None:
+        if self.opened:
+            self.opened.drop()
+        self.opened = None
+
+    def choose(self) -> _Choice:
+        """By the strategy; self.least is the least open distance."""
+        least, dists = self.least, None if self.rows is None else [(at[1], x[0]) for at, x in self.rows.items()]
+        if self.strategy in ("delta", "delta_stepping"):
+            if self.strategy == "delta_stepping" and self.ends is not None:
+                return _Choice(min(least, self.ends), self.ends)
+            return _Choice(least, (least // self.delta + 1) * self.delta)
+        if self.strategy == "near_far":
+            self.base = least if least >= self.base + self.delta else self.base
+            return _Choice(least, self.base + self.delta)
+        if self.strategy == "topk":
+            if dists is not None:
+                return _Choice(least, upto=((0, sorted(d for _, d in dists)[: self.k][-1]),))
+            return _Choice(least, upto=((0, self.table.orderBy("dist").limit(self.k).agg(F.max("dist").alias("d")).first()["d"]),))
+        if self.strategy == "multi_topk":
+            if dists is not None:
+                own = [(p, sorted(d for v, d in dists if v % self.parts == p)[: self.k]) for p in range(self.parts)]
+                return _Choice(least, upto=tuple((p, x[-1]) for p, x in own if x), parts=self.parts)
+            # A number per part: the distance of its k-th row.
+            nth = F.row_number().over(Window.partitionBy("p").orderBy("dist"))
+            tops = self.table.select(F.pmod("v", F.lit(self.parts)).alias("p"), "dist").withColumn("r", nth).where(F.col("r") <= self.k).groupBy("p").agg(F.max("dist").alias("d")).collect()
+            return _Choice(least, upto=tuple((r["p"], r["d"]) for r in tops), parts=self.parts)
+        return _Choice(least)
+
+    def adapt(self, held: int) -> None:
+        if self.bucket_rows:
+            self.delta = self.delta * 2 if held * 4 < self.bucket_rows else max(1, self.delta / 2) if held > 4 * self.bucket_rows else self.delta
+
+    def by_hand(self, chosen: dict, heavy: bool | None) -> bool:
+        """A round of few rows: their edges and what is known of the heads are read by key. False, and nothing has changed, if that is too much or reaches a hub."""
+        edges = self.edges.of_few(sorted({v for _, v in chosen}), MET, heavy)
+        if edges is None:
+            return False
+        heads, offered, relaxed = defaultdict(list), {}, 0
+        for e in edges:
+            heads[e["s"]].append((e["t"], e["w"]))
+        for (q, v), (dist, hops) in chosen.items():
+            relaxed += len(heads[v])
+            if relaxed > MET:
+                return False
+            for t, w in heads[v]:
+                new = (dist + w, hops + 1)
+                if (q, t) not in offered or new < offered[q, t]:
+                    offered[q, t] = new
+        if any(t in self.edges.hub_ids for _, t in offered):
+            return False
+        self.counts["relaxed"] += relaxed
+        for at in chosen if heavy is not True else ():
+            del self.rows[at]
+        have = self.known.few(offered)
+        for at, new in offered.items():
+            if at not in have or new < have[at]:
+                self.known.late[at] = self.rows[at] = new
+        if len(self.known.late) > LATE:
+            self.known.written()
+        self.n, self.least = len(self.rows), min((x[0] for x in self.rows.values()), default=None)
+        return True
+
+    def by_tables(self, expanded: DataFrame, rest: DataFrame | None, heavy: bool | None) -> None:
+        """A round of a table's rows: expanded along their edges; rest stays open."""
+        watch = Observation()
+        grown = self.edges.expand(expanded, heavy).observe(watch, F.count(F.lit(1)).alias("n"))
+        if self.n * WIDE >= self.known.about:
+            merged = self.known.merge(rest, grown)
+            self.forget()
+            self.table, self.n, self.least = merged.frame.where("open <> 0").select("q", "v", "dist", "hops"), merged.seen["n"], merged.seen["least"]
+        else:
+            fresh = self.known._stored(self.known.better(_least(grown)), self.n, {"least": F.min("dist")})
+            if rest is None:
+                # A level may be merged away while it is still the frontier: that is read first.
+                if len(self.known.levels) >= LEVELS:
+                    self.replace(Stored(fresh.frame.select("q", "v", "dist", "hops"), "open"))
+                else:
+                    self.forget()
+                    self.table = fresh.frame.select("q", "v", "dist", "hops")
+                self.n, self.least = fresh.about, fresh.seen["least"]
+            else:
+                new = fresh.frame.select("q", "v", "dist", "hops")
+                left = rest.join(new.select("q", "v"), ["q", "v"], "left_anti")
+                opened = Stored(left.unionByName(new), "open", seen={"least": F.min("dist")})
+                self.replace(opened)
+                self.n, self.least = opened.about, opened.seen["least"]
+            self.known.add(fresh)
+        self.counts["relaxed"] += watch.get["n"]
+
+    def step(self) -> None:
+        """One round: the chosen rows along their edges; with light and heavy edges, along light ones until the bucket has no open row, then what it settled along heavy ones."""
+        self.gather()
+        split = self.strategy == "delta_stepping"
+        if split and self.ends is not None and (self.n == 0 or self.least >= self.ends):
+            return self._heavy()
+        choice = self.choose()
+        if split:
+            self.ends = max(choice.below, math.nextafter(self.least, math.inf)) if self.ends is None else self.ends
+        light = False if split else None
+        if self.rows is not None:
+            chosen = {at: x for at, x in self.rows.items() if choice.holds(at[1], x[0])}
+            if self.by_hand(chosen, light):
+                self.adapt(len(chosen))
+                if split:
+                    self.settled_rows.update(chosen)
+                return None
+            self.spill()
+        picked = choice.column()
+        rest = None if self.strategy == "frontier" else self.table.where(~picked)
+        expanded = self.table.where(picked)
+        if split:
+            self.settled.append(Stored(expanded, "settled"))
+            expanded = self.settled[-1].frame
+        if self.bucket_rows:
+            self.adapt(expanded.count())
+        return self.by_tables(expanded, rest, light)
+
+    def _heavy(self) -> None:
+        """What the bucket settled, along heavy edges, each row once at its last distance."""
+        tables, rows, self.ends = self.settled, self.settled_rows, None
+        self.settled, self.settled_rows = [], {}
+        if not tables and self.rows is not None and self.by_hand(rows, True):
+            return
+        self.spill()
+        frames = [x.frame for x in tables] + ([self._frame(rows)] if rows else [])
+        self.by_tables(_least(reduce(DataFrame.unionByName, frames)), self.table, True)
+        for x in tables:
+            x.drop()
+
+    def run(self, max_rounds: int | None) -> DataFrame:
+        try:
+            while self.n or self.ends is not None:
+                if self.counts["rounds"] == max_rounds:
+                    raise RuntimeError(f"{self.n} vertices are still open after {max_rounds} rounds")
+                self.step()
+                self.counts["rounds"] += 1
+            return self.known.result()
+        finally:
+            self.known.drop()
+            self.forget()
+            for x in self.settled:
+                x.drop()
+
+
+def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta: float | None = None, k: int = 10_000, n: int | None = None, owners: int | None = None, owner_edges: int = 1_000_000, max_rounds: int | None = None, parts: int = 8, bucket_rows: int | None = None, block_edges: int = BLOCK_EDGES, query_block: int = 8, counts: dict | None = None) -> DataFrame:
     """q, v, dist, hops for every vertex that a query's seeds reach.
 
     seeds(q, v, dist): where queries start and at what distance; rows with the same q are one query. Weights must be
     non-negative; null or NaN weights and null ends raise ValueError. hops is the least number of edges among the shortest paths.
     strategy may be a queue's name (planner.QUEUES). Rounds beyond max_rounds raise RuntimeError. With bucket_rows, delta doubles after a bucket with less than a
     quarter as many rows and halves after one with more than four times as many. multi_topk takes k of each of `parts` parts.
-    `owner` needs ids 0..n-1 (n defaults to the largest id + 1) and holds at most about owner_edges edges and their
-    vertices in a task, more only for a single vertex of higher degree.
+    Edges of a vertex with more than block_edges of them are dealt over several blocks. counts, if given, gets the rounds and the relaxed edges (a lost executor may count some twice).
+    `owner` needs ids 0..n-1 (n defaults to the largest id + 1). A task holds at most about owner_edges edges and, for about query_block queries, their
+    vertices; the edges of a vertex with more than that are joined to it outside the owners' tasks.
     """
     strategy = planner.QUEUES.get(strategy, strategy)
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}, or a queue's name")
-    check(edges)
     kind = dict(edges.dtypes)["weight"]
     kind = "double" if kind in ("double", "float") else "long"
     if seeds.where(F.col("v").isNull() | F.col("dist").isNull() | (F.col("dist") < 0)).limit(1).collect():
         raise ValueError("seeds need a vertex and a non-negative distance")
     start = _least(seeds.select(F.col("q").cast("long").alias("q"), F.col("v").cast("long").alias("v"), F.col("dist").cast(kind).alias("dist"), F.lit(0).cast("long").alias("hops")))
+    counts = {} if counts is None else counts
     if strategy == "owner":
-        return _by_owner(edges, start, kind, n, owners, owner_edges, max_rounds)
-    if strategy in ("delta", "near_far") and not delta:
-        raise ValueError(f"{strategy} needs a delta")
-    plain = edges.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("weight").cast(kind).alias("w"))
-    adjacent = plain.repartition("s").persist(StorageLevel.MEMORY_AND_DISK)
-    known, rounds, base = _Known(), 0, 0
-    first = Stored(start, "level")
-    known.add(first)
-    # Tables of open rows; each row is the least of its (q, v) so far.
-    waiting, opened = first.frame, None
+        return _by_owner(edges, start, kind, n, owners, owner_edges, query_block, max_rounds, counts)
+    if strategy in ("delta", "delta_stepping", "near_far") and not (delta and delta > 0):
+        raise ValueError(f"{strategy} needs a delta above 0")
+    adjacency = Adjacency(edges, kind, block_edges, delta if strategy == "delta_stepping" else None)
     try:
-        while True:
-            left = waiting.agg(F.min("dist").alias("least"), F.count(F.lit(1)).alias("n")).first()
-            if left["n"] == 0:
-                return known.result()
-            if rounds == max_rounds:
-                raise RuntimeError(f"{left['n']} vertices are still open after {rounds} rounds")
-            if strategy == "delta":
-                chosen = F.col("dist") < (left["least"] // delta + 1) * delta
-            elif strategy == "near_far":
-                base = left["least"] if left["least"] >= base + delta else base
-                chosen = F.col("dist") < base + delta
-            elif strategy == "topk":
-                last = waiting.orderBy("dist").limit(k).agg(F.max("dist").alias("d")).first()["d"]
-                chosen = F.col("dist") <= F.lit(last)
-            elif strategy == "multi_topk":
-                # A number per part: the distance of its k-th row.
-                part = F.pmod(F.xxhash64("v"), F.lit(parts))
-                nth = F.row_number().over(Window.partitionBy("p").orderBy("dist"))
-                tops = waiting.select(part.alias("p"), "dist").withColumn("r", nth).where(F.col("r") <= k).groupBy("p").agg(F.max("dist").alias("d")).collect()
-                chosen = reduce(lambda x, y: x | y, [(part == r["p"]) & (F.col("dist") <= F.lit(r["d"])) for r in tops])
-            else:
-                chosen = F.lit(True)
-            grown = waiting.where(chosen).join(adjacent, F.col("v") == F.col("s")).select("q", F.col("t").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"))
-            if strategy == "delta" and bucket_rows:
-                held = waiting.where(chosen).count()
-                delta = delta * 2 if held * 4 < bucket_rows else max(1, delta / 2) if held > 4 * bucket_rows else delta
-            rounds += 1
-            if left["n"] * WIDE >= known.rows:
-                waiting = known.merge(None if strategy == "frontier" else waiting.where(~chosen), grown)
-                if opened:
-                    opened.drop()
-                opened = None
-                continue
-            fresh = Stored(known.better(_least(grown)), "level")
-            if strategy == "frontier":
-                waiting = fresh.frame
-            else:
-                rest = waiting.where(~chosen).join(fresh.frame.select("q", "v"), ["q", "v"], "left_anti")
-                before, opened = opened, Stored(rest.unionByName(fresh.frame), "open")
-                waiting = opened.frame
-                if before:
-                    before.drop()
-            # A level may be merged away while it is still the frontier: that is read first.
-            if strategy == "frontier" and len(known.levels) >= LEVELS:
-                before, opened = opened, Stored(fresh.frame, "open")
-                waiting = opened.frame
-                if before:
-                    before.drop()
-            known.add(fresh)
+        return _Rounds(adjacency, start, kind, strategy, delta, k, parts, bucket_rows, counts).run(max_rounds)
     finally:
-        adjacent.unpersist()
-        if opened:
-            opened.drop()
-
-
-def _by_owner(edges: DataFrame, start: DataFrame, kind: str, n: int | None, owners: int | None, owner_edges: int, max_rounds: int | None) -> DataFrame:
-    if n is None:
-        top = edges.agg(F.greatest(F.max("src"), F.max("dst"))).first()[0]
-        most = start.agg(F.max("v")).first()[0]
-        n = max(x for x in (top, most, 0) if x is not None) + 1
-    m = edges.count()
-    count = owners or max(1, -(-m // owner_edges))
-    bounds = partition.edge_balanced(edges, n, min(count, n))
-    # Dealt by owner once: the rounds' cogroups find the edges where they are.
-    tasks = min(len(bounds) - 1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    owned = edges.select("src", "dst", F.col("weight").cast(kind).alias("weight"), partition.owner(F.col("src"), bounds).alias("owner")).repartition(tasks, "owner").persist(StorageLevel.MEMORY_AND_DISK)
-    schema = f"q long, v long, dist {kind}, hops long, open int"
-    rounds, state = 0, Stored(start.withColumn("open", F.lit(1)), "owned")
+        adjacency.drop()
+
+
+def _by_owner(edges: DataFrame, start: DataFrame, kind: str, n: int | None, owners: int | None, owner_edges: int, query_block: int, max_rounds: int | None, counts: dict) -> DataFrame:
+    """Rounds of local solves. A task has one owner's edges and what is known there of a block of queries. Vertices with more than owner_edges edges are hubs: they are
+    nobody's, and their edges are joined to them block by block."""
+    plain = edges.select("src", "dst", F.col("weight").cast(kind).alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
+    owned = state = hub_edges = None
     try:
-        while state.frame.where("open = 1").limit(1).count():
-            if rounds == max_rounds:
-                raise RuntimeError(f"vertices are still open after {rounds} rounds")
-            placed = state.frame.withColumn("owner", partition.owner(F.col("v"), bounds))
-            active = F.broadcast(placed.where("open = 1").select("owner").distinct())  # at most one row per owner
-            rows, own = placed.join(active, "owner", "left_semi"), owned.join(active, "owner", "left_semi")
-            found = rows.groupBy("owner").cogroup(own.groupBy("owner")).applyInPandas(_local(bounds), schema)
+        check(plain)
+        size = plain.agg(F.count(F.lit(1)).alias("m"), F.max(F.greatest("src", "dst")).alias("top")).first()
+        asked = start.agg(F.max("v").alias("top"), F.count_distinct("q").alias("queries")).first()
+        n = max(x for x in (size["top"], asked["top"], 0) if x is not None) + 1 if n is None else n
+        hubs = checkpointed(plain.groupBy(F.col("src").alias("hub")).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > owner_edges).select("hub"))
+        hub_count = hubs.count()
+        near = F.broadcast(hubs) if hub_count <= FEW_HUBS else hubs
+        rest = plain.join(near, F.col("src") == F.col("hub"), "left_anti") if hub_count else plain
+        if hub_count:
+            hub_edges = Adjacency(plain.join(near, F.col("src") == F.col("hub"), "left_semi"), kind, min(owner_edges, BLOCK_EDGES))
+        bounds = partition.edge_balanced(rest, n, min(owners or max(1, -(-size["m"] // owner_edges)), n))
+        blocks = -(-asked["queries"] // query_block)
+        block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
+        # Dealt by owner once: the rounds' cogroups find the edges where they are, unless they go to several blocks of queries.
+        tasks = min(len(bounds) - 1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        to_hub = F.col("hub").isNotNull()
+        met = rest.join(near, F.col("dst") == F.col("hub"), "left").withColumn("away", to_hub).drop("hub") if hub_count else rest.withColumn("away", F.lit(False))
+        owned = met.withColumn("owner", partition.owner(F.col("src"), bounds)).repartition(tasks, "owner").persist(StorageLevel.MEMORY_AND_DISK)
+        schema = f"q long, v long, dist {kind}, hops long, open int"
+        open_rows = F.col("open") == 1
+        state = Stored(start.withColumn("open", F.lit(1)), "owned", seen={"n": F.count_if(open_rows)})
+        counts["rounds"] = 0
+        keys = ["owner", "block"] if blocks > 1 else ["owner"]
+        while state.seen["n"]:
+            if counts["rounds"] == max_rounds:
+                raise RuntimeError(f"vertices are still open after {max_rounds} rounds")
+            placed = state.frame.withColumn("owner", partition.owner(F.col("v"), bounds)).withColumn("block", block)
+            placed = placed.join(near, F.col("v") == F.col("hub"), "left_anti") if hub_count else placed
+            active = checkpointed(placed.where(open_rows).select(*keys).distinct())  # at most one row per owner and block
+            rows, own = placed.join(F.broadcast(active), keys, "left_semi"), owned.join(F.broadcast(active), "owner")
+            found = rows.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(_local(bounds), schema)
+            if hub_count:
+                spokes = state.frame.where(open_rows).join(near, F.col("v") == F.col("hub"), "left_semi").drop("open")
+                found = found.unionByName(hub_edges.expand(spokes).withColumn("open", F.lit(1)))
             kept = state.frame.withColumn("open", F.lit(0))
             # What an owner closes equals or improves the state; what it offers elsewhere may be new.
-            before, state, rounds = state, Stored(_merge(kept.unionByName(found)), "owned"), rounds + 1
+            before, state = state, Stored(_merge(kept.unionByName(found)), "owned", seen={"n": F.count_if(open_rows)})
+            counts["rounds"] += 1
             before.drop()
         return checkpointed(state.frame.select("q", "v", "dist", "hops"))
     finally:
-        state.drop()
-        owned.unpersist()
+        for x in (state, hub_edges):
+            if x:
+                x.drop()
+        for x in (owned, plain):
+            if x is not None:
+                x.unpersist()
 
 
 def _merge(rows: DataFrame) -> DataFrame:

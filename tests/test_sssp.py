@@ -2,10 +2,12 @@ import pytest
 from graphs import dijkstra, frame, long_fixture, random_graph, solved
 from pyspark.sql import functions as F
 
+from pathloom.functions.hashing import hash_of
 from pathloom.operators import sssp, validate
+from pathloom.operators.adjacency import Adjacency
 from pathloom.plans import planner
 
-OPTIONS = {"frontier": {}, "delta": {"delta": 3}, "near_far": {"delta": 3}, "topk": {"k": 4}, "multi_topk": {"k": 2, "parts": 3}, "owner": {"owners": 3}}
+OPTIONS = {"frontier": {}, "delta": {"delta": 3}, "delta_stepping": {"delta": 3}, "near_far": {"delta": 3}, "topk": {"k": 4}, "multi_topk": {"k": 2, "parts": 3}, "owner": {"owners": 3}}
 
 
 @pytest.mark.parametrize("strategy", OPTIONS)
@@ -111,13 +113,78 @@ def test_planner():
     assert planner.for_diameter(1000, 2000) == "owner" and planner.for_diameter(4, 2000) == "frontier"
 
 
-@pytest.mark.parametrize("strategy", ["frontier", "delta", "multi_topk"])
-def test_small_frontiers_write_levels(spark, strategy, monkeypatch):
-    monkeypatch.setattr(sssp, "WIDE", 0)
-    monkeypatch.setattr(sssp, "LEVELS", 2)
+#: Rounds as tables that are merged, as levels in buckets, and as few rows that come and go.
+REGIMES = {"merged": {"FEW": 0}, "levels": {"FEW": 0, "WIDE": 0, "LEVELS": 2, "BUCKETED": 10}, "mixed": {"FEW": 6, "MET": 8, "WIDE": 0, "LEVELS": 2, "BUCKETED": 10, "LATE": 5}}
+
+
+@pytest.mark.parametrize("strategy,regime", [("frontier", "levels"), ("frontier", "mixed"), ("delta_stepping", "levels"), ("delta_stepping", "mixed"), ("multi_topk", "merged")])
+def test_regimes_and_hubs(spark, strategy, regime, monkeypatch):
+    for name, value in REGIMES[regime].items():
+        monkeypatch.setattr(sssp, name, value)
     edges = random_graph(4)
     df = frame(spark, edges)
-    assert solved(sssp.solve(df, sssp.sources_frame(df, [0]), strategy, **OPTIONS[strategy])) == dijkstra(edges, [(0, 0)])
+    got = sssp.solve(df, sssp.sources_frame(df, [0]), strategy, block_edges=5 if regime == "mixed" else 2, **OPTIONS[strategy])
+    assert solved(got) == dijkstra(edges, [(0, 0)])
+
+
+@pytest.mark.parametrize("strategy,regime,cases", [("delta", None, 2), ("delta_stepping", None, 4), ("near_far", None, 2), ("delta", "merged", 1)])
+def test_floating_buckets_end(spark, strategy, regime, cases, monkeypatch):
+    for name, value in REGIMES.get(regime, {}).items():
+        monkeypatch.setattr(sssp, name, value)
+    for weight, delta in ((1e17, 1.0), (172.33333333333331, 1 / 3), (0.1, 0.3), (5e-324, 1.0))[:cases]:
+        df = spark.createDataFrame([(i, i, i + 1, weight) for i in range(3)], "eid long, src long, dst long, weight double")
+        want = [0.0, weight, weight + weight, weight + weight + weight]
+        got = sssp.solve(df, sssp.sources_frame(df, [0]), strategy, delta=delta, max_rounds=20)
+        assert [r["dist"] for r in got.orderBy("v").collect()] == want
+
+
+def test_delta_stepping_relaxes_less(spark):
+    import random
+
+    r = random.Random(9)
+    edges = [(r.randrange(60), r.randrange(60), r.choice([1, 2, 3, 40, 50, 60])) for _ in range(600)]
+    df = frame(spark, edges)
+    seeds = sssp.sources_frame(df, [0])
+    whole, split = {}, {}
+    a, b = sssp.solve(df, seeds, "delta", delta=10, counts=whole), sssp.solve(df, seeds, "delta_stepping", delta=10, counts=split)
+    assert solved(a) == solved(b) == dijkstra(edges, [(0, 0)])
+    reached = {v for v in solved(b)}
+    heavy = sum(w > 10 for s, _, w in edges if s in reached)
+    assert heavy <= split["relaxed"] < whole["relaxed"]
+
+
+def test_batches_by_owner_in_blocks_of_queries(spark):
+    edges = random_graph(5)
+    df = frame(spark, edges)
+    for hub in (10**6, 4):
+        rows = sssp.sssp_batch(df, 40, 12, "owner", owners=3, query_block=4, owner_edges=hub).collect()
+        for s in sssp.batch_sources(40, 12):
+            assert {r["v"]: (r["dist"], r["hops"]) for r in rows if r["source"] == s} == dijkstra(edges, [(s, 0)])
+
+
+def test_narrow_rounds_move_no_edges(spark):
+    df = frame(spark, [(i, i + 1, 1) for i in range(200)] + [(500, i, 2) for i in range(900)])
+    edges = Adjacency(df, "long", block_edges=64)
+    try:
+        assert edges.hub_ids == {500} and edges.hubs.first()["blocks"] == 15
+        held = edges.stored.frame.where("s = 500").groupBy("k").count().collect()
+        assert len(held) == 15 and max(r["count"] for r in held) < 3 * 60
+        rows = spark.createDataFrame([(0, 500, 1, 0), (0, 3, 7, 2)], "q long, v long, dist long, hops long")
+        assert edges.expand(rows).count() == 901
+        assert sorted(tuple(r) for r in edges.of_few([3, 7], 10)) == [(3, 4, 1), (7, 8, 1)] and edges.of_few(list(range(30)), 10) is None
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = edges.expand(rows)._jdf.queryExecution().executedPlan().toString()
+        scan = plan.index("Bucketed: true")
+        assert "SortMergeJoin" in plan[:scan] and "Exchange" not in plan[plan.rindex("Sort [k#", 0, scan) : scan]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        edges.drop()
+
+
+def test_hashes_equal_sparks(spark):
+    rows = [(0, 0), (5, 1), (-1, 2**62), (2**63 - 1, -(2**63))]
+    got = spark.createDataFrame(rows, "a long, b long").select(F.xxhash64("a", "b").alias("two"), F.xxhash64("a").alias("one")).collect()
+    assert [(r["two"], r["one"]) for r in got] == [(hash_of(a, b), hash_of(a)) for a, b in rows]
 
 
 def test_rounds_that_do_not_do_raise_and_tables_go(spark):
@@ -131,4 +198,5 @@ def test_rounds_that_do_not_do_raise_and_tables_go(spark):
     folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
     before = {p.name for p in folder.iterdir()}
     assert len(solved(sssp.solve(df, sssp.sources_frame(df, [0]), "L1FQ_L2DQ", delta=1, bucket_rows=2))) == 7
-    assert not [p for p in folder.iterdir() if p.name not in before and p.name.startswith(("level", "open"))]
+    assert not [p for p in folder.iterdir() if p.name not in before and p.name.startswith(("level", "open", "edges", "settled"))]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("level", "edges"))]
