@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators import partition
+from pathloom.functions.lineage import Stored, checkpointed
+from pathloom.operators import partition, sssp
+from pathloom.operators.graph import check
+
+#: More edges than any path has.
+INF = 1 << 60
 
 
 def region_index(edges: DataFrame, bounds: list[int], width: int = 32) -> DataFrame:
@@ -15,7 +21,7 @@ def region_index(edges: DataFrame, bounds: list[int], width: int = 32) -> DataFr
     Searches depend on all earlier ones of their owner, so an owner is one task; its edges must fit there (edge_balanced bounds).
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
         lo, hi = bounds[part], bounds[part + 1]
         rows = rows.sort_values(["src", "eid"], kind="stable")
@@ -43,3 +49,65 @@ def region_index(edges: DataFrame, bounds: list[int], width: int = 32) -> DataFr
     every = spark.range(parts).select(F.lit(-1).cast("long").alias("eid"), F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"), F.col("id").cast("int").alias("owner"))
     owned = edges.select("eid", "src", "dst", partition.owner(F.col("src"), bounds).alias("owner")).unionByName(every)
     return owned.groupBy("owner").applyInPandas(run, "owner int, v long, region int, slot int")
+
+
+def _least_paths(size: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, edges) of the least path between any two of a region's vertices, by min-plus steps over whole arrays; unreachable pairs have INF edges."""
+    dist = np.zeros((size, size), dtype=weight.dtype)
+    hops = np.full((size, size), INF, dtype=np.int64)
+    hops[np.arange(size), np.arange(size)] = 0
+    order = np.lexsort((weight, dst, src))[::-1]  # of parallel edges the lightest is written last
+    off = order[src[order] != dst[order]]
+    dist[src[off], dst[off]], hops[src[off], dst[off]] = weight[off], 1
+    for k in range(size):
+        into, out = np.flatnonzero(hops[:, k] < INF), np.flatnonzero(hops[k] < INF)
+        at = np.ix_(into, out)
+        d, h = dist[into, k, None] + dist[k, out], hops[into, k, None] + hops[k, out]
+        less = (hops[at] >= INF) | (d < dist[at]) | ((d == dist[at]) & (h < hops[at]))
+        dist[at], hops[at] = np.where(less, d, dist[at]), np.where(less, h, hops[at])
+    return dist, hops
+
+
+def region_closure(edges: DataFrame, starts: DataFrame | None, width: int) -> DataFrame:
+    """b, v, dist, hops, to_boundary: the least path from each boundary vertex b of a region to each vertex v that it reaches inside the region, and whether v is a boundary vertex.
+
+    A region is `width` consecutive ids. Its boundary are the ends of edges between regions, and the vertices of starts(v). A task has one region: arrays of
+    width * width numbers, however many edges there are besides.
+    """
+    kind = dict(edges.dtypes)["weight"]
+    kind, number = ("double", np.float64) if kind in ("double", "float") else ("long", np.int64)
+    region = lambda c: F.floor(F.col(c) / width).cast("long")
+    crossing = region("src") != region("dst")
+    ends = edges.where(crossing).select(F.explode(F.array("src", "dst")).alias("v"))
+    marks = (ends if starts is None else ends.unionByName(starts.select("v"))).distinct().select(region("v").alias("region"), F.col("v").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast(kind).alias("weight"))
+    # Of parallel edges the lightest counts, so a region has at most width * width rows.
+    inner = edges.where(~crossing).groupBy("src", "dst").agg(F.min(F.col("weight").cast(kind)).alias("weight")).select(region("src").alias("region"), "src", "dst", "weight")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lo, mark = int(key[0]) * width, rows["dst"].isna().to_numpy()
+        boundary = np.unique(rows["src"].to_numpy()[mark] - lo)
+        e = rows[~mark]
+        dist, hops = _least_paths(width, e["src"].to_numpy(dtype=np.int64) - lo, e["dst"].to_numpy(dtype=np.int64) - lo, e["weight"].to_numpy(dtype=number))
+        b, v = np.nonzero(hops[boundary] < INF)
+        return pd.DataFrame({"b": boundary[b] + lo, "v": v + lo, "dist": dist[boundary[b], v], "hops": hops[boundary[b], v], "to_boundary": np.isin(v, boundary)})
+
+    return inner.unionByName(marks).groupBy("region").applyInPandas(run, f"b long, v long, dist {kind}, hops long, to_boundary boolean")
+
+
+def solve_by_regions(edges: DataFrame, seeds: DataFrame, width: int = 256, **options) -> DataFrame:
+    """q, v, dist of seeds(q, v, dist), over an overlay: within regions boundary vertices are joined by their distances, between regions by the edges there are.
+
+    The overlay is solved by sssp.solve with the options; a round crosses a region, whatever paths look like inside. Then each region's vertices take the least of their boundary's. For
+    graphs whose regions have few boundary vertices; reorder ids first if neighbours have distant ones.
+    """
+    check(edges)
+    region = lambda c: F.floor(F.col(c) / width).cast("long")
+    closed = Stored(region_closure(edges, seeds, width), "closure")
+    try:
+        kind = dict(closed.frame.dtypes)["dist"]
+        short = closed.frame.where("to_boundary AND b <> v").select(F.col("b").alias("src"), F.col("v").alias("dst"), F.col("dist").alias("weight"))
+        across = edges.where(region("src") != region("dst")).select("src", "dst", F.col("weight").cast(kind).alias("weight"))
+        at = sssp.solve(short.unionByName(across), seeds, **options).select("q", F.col("v").alias("b"), F.col("dist").alias("upto"))
+        return checkpointed(at.join(closed.frame, "b").groupBy("q", "v").agg(F.min(F.col("upto") + F.col("dist")).alias("dist")))
+    finally:
+        closed.drop()

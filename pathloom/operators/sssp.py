@@ -223,8 +223,9 @@ class _Choice:
 class _Rounds:
     """Rounds of one solve. Open rows are a table, or while they are few rows at hand; rows are known in _Known either way."""
 
-    def __init__(self, adjacency: Adjacency, start: DataFrame, kind: str, strategy: str, delta: float | None, k: int, parts: int, bucket_rows: int | None, counts: dict):
-        self.edges, self.kind, self.strategy, self.delta, self.k, self.parts, self.bucket_rows, self.counts = adjacency, kind, strategy, delta, k, parts, bucket_rows, counts
+    def __init__(self, adjacency: Adjacency, start: DataFrame, kind: str, strategy: str, delta: float | None, k: int, parts: int, bucket_rows: int | None, counts: dict | None):
+        self.edges, self.kind, self.strategy, self.delta, self.k, self.parts, self.bucket_rows = adjacency, kind, strategy, delta, k, parts, bucket_rows
+        self.watched, self.counts = counts is not None, {} if counts is None else counts
         self.spark, self.base = adjacency.spark, 0
         self.known = _Known(self.spark, kind)
         self.counts |= {"rounds": 0, "relaxed": 0}
@@ -326,8 +327,10 @@ class _Rounds:
 
     def by_tables(self, expanded: DataFrame, rest: DataFrame | None, heavy: bool | None) -> None:
         """A round of a table's rows: expanded along their edges; rest stays open."""
-        watch = Observation()
-        grown = self.edges.expand(expanded, heavy).observe(watch, F.count(F.lit(1)).alias("n"))
+        grown = self.edges.expand(expanded, heavy)
+        if self.watched:
+            watch = Observation()
+            grown = grown.observe(watch, F.count(F.lit(1)).alias("n"))
         if self.n * WIDE >= self.known.about:
             merged = self.known.merge(rest, grown)
             self.forget()
@@ -349,7 +352,8 @@ class _Rounds:
                 self.replace(opened)
                 self.n, self.least = opened.about, opened.seen["least"]
             self.known.add(fresh)
-        self.counts["relaxed"] += watch.get["n"]
+        if self.watched:
+            self.counts["relaxed"] += watch.get["n"]
 
     def step(self) -> None:
         """One round: the chosen rows along their edges; with light and heavy edges, along light ones until the bucket has no open row, then what it settled along heavy ones."""
@@ -425,9 +429,8 @@ def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta:
     if seeds.where(F.col("v").isNull() | F.col("dist").isNull() | (F.col("dist") < 0)).limit(1).collect():
         raise ValueError("seeds need a vertex and a non-negative distance")
     start = _least(seeds.select(F.col("q").cast("long").alias("q"), F.col("v").cast("long").alias("v"), F.col("dist").cast(kind).alias("dist"), F.lit(0).cast("long").alias("hops")))
-    counts = {} if counts is None else counts
     if strategy == "owner":
-        return _by_owner(edges, start, kind, n, owners, owner_edges, query_block, max_rounds, counts)
+        return _by_owner(edges, start, kind, n, owners, owner_edges, query_block, max_rounds, {} if counts is None else counts)
     if strategy in ("delta", "delta_stepping", "near_far") and not (delta and delta > 0):
         raise ValueError(f"{strategy} needs a delta above 0")
     adjacency = Adjacency(edges, kind, block_edges, delta if strategy == "delta_stepping" else None)
@@ -535,22 +538,33 @@ def bfs_levels(edges: DataFrame, root: int) -> DataFrame:
     return solved.select("v", F.col("dist").alias("level"))
 
 
-def path_to(solved: DataFrame, targets: DataFrame, max_doublings: int = 62) -> DataFrame:
-    """target, step, v: for every target (one column v) the path from its seed, by pointer doubling over pred.
+def path_to(solved: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, step, v: for every target (one column v) the path from its seed along pred.
 
-    solved(v, pred) is one query. A target that isn't reached gives no rows. The doublings stop when no pointer moves.
+    solved(v, hops, pred) is one query. A target that isn't reached gives no rows. Pointers over 2, 4, 8, ... steps are made only for vertices whose hops they divide, so
+    all of them together are no more rows than there are vertices. A target goes down by the bits of its hops, which leaves gaps of
+    such lengths; gaps are then halved until they are single steps. Rounds are as many as twice the bits of the longest path.
     """
-    jump = checkpointed(solved.select("v", F.col("pred").alias("up")))
-    on = checkpointed(targets.select(F.col("v").alias("target")).distinct().join(solved.select("v"), F.col("target") == F.col("v"), "left_semi").select("target", F.col("target").alias("v"), F.lit(0).cast("long").alias("back")))
-    size = 1
-    for _ in range(max_doublings):
-        # Vertices on the path at distance < size from the target are known; their jumps of `size` give the next as many.
-        more = on.join(jump.where("up IS NOT NULL"), "v").select("target", F.col("up").alias("v"), (F.col("back") + size).alias("back"))
-        more = checkpointed(more)
-        if more.limit(1).count() == 0:
-            break
-        on = on.unionByName(more)
-        twice = jump.join(jump.select(F.col("v").alias("m"), F.col("up").alias("up2")), F.col("up") == F.col("m"), "left")
-        jump, size = checkpointed(twice.select("v", F.col("up2").alias("up"))), size * 2
-    length = on.groupBy("target").agg(F.max("back").alias("most"))
-    return on.join(length, "target").select("target", (F.col("most") - F.col("back")).alias("step"), "v")
+    near = solved.select("v", "hops", F.col("pred").alias("up"))
+    front = checkpointed(targets.select(F.col("v").alias("target")).distinct().join(near, F.col("target") == F.col("v")).select("target", "v", "hops"))
+    most = front.agg(F.max("hops")).first()[0] or 0
+    jump, jumps, gaps, size = near.where((F.col("hops") > 0) & (F.col("hops") <= most)), [], [], 1
+    passed = [front]
+    while size <= most:
+        jumps.append(jump)
+        odd = front.where(F.col("hops").bitwiseAND(F.lit(size)) != 0)
+        moved = checkpointed(odd.join(jump.select("v", "up"), "v").select("target", F.col("up").alias("v"), (F.col("hops") - size).alias("hops")))
+        gaps.append(odd)
+        passed.append(moved)
+        front = checkpointed(front.where(F.col("hops").bitwiseAND(F.lit(size)) == 0).unionByName(moved))
+        even = jump.where(F.col("hops") % (2 * size) == 0)
+        jump = checkpointed(even.join(jump.select(F.col("v").alias("m"), F.col("up").alias("up2")), F.col("up") == F.col("m")).select("v", "hops", F.col("up2").alias("up")))
+        size *= 2
+    inner = None
+    for i in range(len(jumps) - 1, 0, -1):
+        size //= 2
+        open_gaps = gaps[i] if inner is None else gaps[i].unionByName(inner)
+        middle = checkpointed(open_gaps.join(jumps[i - 1].select("v", "up"), "v").select("target", F.col("up").alias("v"), (F.col("hops") - size // 2).alias("hops")))
+        passed.append(middle)
+        inner = checkpointed(open_gaps.unionByName(middle))
+    return reduce(DataFrame.unionByName, passed).select("target", F.col("hops").alias("step"), "v").distinct()

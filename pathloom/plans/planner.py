@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.lineage import checkpointed
+from pathloom.operators.stats import weight_estimate
 
 #: Fixed values of the rules: degree spread of a power law, mean degree of a dense graph, least vertices and largest cut ratio for
 #: the queue choice, buckets, the initial divisor of the bucket width and its least value.
@@ -88,6 +89,12 @@ def bag_of(distance: Column, base: float, shift: int) -> Column:
     return F.least(F.greatest(F.floor(distance / 2**shift) - int(base // 2**shift), F.lit(0)), F.lit(BAGS - 1)).cast("int")
 
 
+def sampled_delta(edges: DataFrame, vertices: int, stride: int = 16) -> int:
+    """initial_delta from a stride sample: its size gives the degree, its mean the weight. A sample too small to tell gives the least width."""
+    s = weight_estimate(edges, stride).first()
+    return initial_delta(s["avg_weight"], s["sampled"] * stride / vertices) if s["sampled"] and vertices else LEAST_DELTA
+
+
 def probed(edges: DataFrame, root: int, vertices: int, most: int = 128) -> str:
     """owner or frontier, by the number of levels that a breadth-first probe from root finds, at most `most`."""
     known = found = edges.sparkSession.createDataFrame([(root,)], "v long")

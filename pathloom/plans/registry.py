@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.lineage import checkpointed, shared_folder
 from pathloom.functions.ranking import ordered_rank
 from pathloom.operators import chains, graph, partition, regions, reorder, sssp, stats, validate
+from pathloom.operators.adjacency import Adjacency
 from pathloom.plans import planner
 from pathloom.sources import gr, mtx, runs, sidecars
 
@@ -21,6 +22,10 @@ DELTA = 4
 PARTS = 4
 BATCH = 3
 TOP = 200
+#: Edges of a hub's block, one of how many edges a sample takes, ids of a region.
+BLOCK = 4096
+STRIDE = 16
+REGION = 256
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,6 +480,81 @@ def path_steps(spark, sf_dir):
     return sssp.path_to(solved, solved.select("v")).select("target", "step", "v")
 
 
+def hub_star(spark, sf_dir):
+    """Distances over a star: every order line is an edge from vertex 0 to its order and one back, so one vertex has as many edges as there are lines; its edges lie in blocks."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") + 1).alias("o"), "l_linenumber", (F.col("l_quantity") * 10 + F.col("l_linenumber")).cast("long").alias("w"))
+    ends = F.inline(F.array(F.struct(F.lit(0).cast("long").alias("src"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.lit(0).cast("long").alias("dst"))))
+    edges = lines.select(ends, F.col("w").alias("weight"))
+    return sssp.solve(edges, sssp.sources_frame(edges, [1]), block_edges=BLOCK).select("v", "dist", "hops")
+
+
+def hub_blocks(spark, sf_dir):
+    """How the star's hub lies in blocks: its edges, and whether each block holds about as many as a block should."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    edges = lines.select(F.lit(0).cast("long").alias("src"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("dst"), F.col("l_quantity").cast("long").alias("weight"))
+    held = Adjacency(edges, "long", BLOCK)
+    found = checkpointed(held.frame().groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("edges"), F.count(F.lit(1)).alias("blocks"), (F.max("n") <= 2 * BLOCK).alias("even")))
+    held.drop()
+    return found
+
+
+def sssp_delta_float(spark, sf_dir):
+    """Buckets of a third over weights that are no whole numbers."""
+    edges = trade_edges(spark, sf_dir).withColumn("weight", F.col("weight") / F.lit(8.0))
+    return sssp.solve(edges, sssp.sources_frame(edges, [SOURCE]), "delta", delta=1 / 3).select("v", "dist")
+
+
+def sssp_stepping_float(spark, sf_dir):
+    """Light and heavy edges over weights that are no whole numbers."""
+    edges = trade_edges(spark, sf_dir).withColumn("weight", F.col("weight") / F.lit(8.0))
+    return sssp.solve(edges, sssp.sources_frame(edges, [SOURCE]), "delta_stepping", delta=1.5).select("v", "dist")
+
+
+def sssp_query_blocks(spark, sf_dir):
+    """Twelve queries by owners that take four at a time."""
+    edges = trade_edges(spark, sf_dir)
+    return sssp.sssp_batch(edges, size_of(edges), 12, "owner", owners=PARTS, query_block=4).select("q", "source", "v", "dist")
+
+
+def weight_estimate(spark, sf_dir):
+    """Mean weight of one edge in sixteen, and how far it may be off."""
+    return stats.weight_estimate(trade_edges(spark, sf_dir), STRIDE).select("sampled", *[F.round(c, 6).alias(c) for c in ("avg_weight", "error")])
+
+
+def sssp_sampled_delta(spark, sf_dir):
+    """Buckets of the width that a sample of the edges suggests."""
+    edges = checkpointed(trade_edges(spark, sf_dir))
+    return sssp.solve(edges, sssp.sources_frame(edges, [SOURCE]), "delta", delta=planner.sampled_delta(edges, size_of(edges), STRIDE)).select("v", "dist")
+
+
+def few_paths(spark, sf_dir):
+    """The whole paths to three far vertices of the long path."""
+    edges = checkpointed(walk_edges(spark, sf_dir))
+    n, seeds = size_of(edges), sssp.sources_frame(edges, [SOURCE])
+    solved = checkpointed(sssp.predecessors(sssp.solve(edges, seeds, "owner", owners=PARTS), edges, seeds))
+    return sssp.path_to(solved, spark.createDataFrame([(n - 1,), (n // 2,), (n // 3,)], "v long"))
+
+
+def gr_source(spark, sf_dir):
+    """Two columns of a range of vertices out of a .gr file, by the data source: a task reads its vertices only."""
+    edges = checkpointed(ordered_rank(trade_edges(spark, sf_dir).withColumnRenamed("eid", "_e"), "src", ["dst"], "eid").select("eid", "src", "dst", "weight"))
+    n, path = size_of(edges), f"{_stored_path(spark, 'gr')}.gr"
+    gr.write_gr(edges, n, path)
+    gr.register(spark)
+    return spark.read.format("gr").schema("src long, weight long").option("path", path).option("rowsPerTask", "64").load().where((F.col("src") >= n // 4) & (F.col("src") < n // 2))
+
+
+def region_overlay(spark, sf_dir):
+    """Distances along the long path over the overlay of its regions."""
+    edges = walk_edges(spark, sf_dir)
+    return regions.solve_by_regions(edges, sssp.sources_frame(edges, [SOURCE]), REGION, strategy="owner", owners=PARTS).select("v", "dist")
+
+
+def region_closure(spark, sf_dir):
+    """Distances between the ends of each region of the long path, by way of the region alone."""
+    return regions.region_closure(walk_edges(spark, sf_dir), None, REGION).where("to_boundary AND b <> v").select("b", "v", "dist", "hops")
+
+
 def timing_summary(spark, sf_dir):
     found = stats.timing_summary(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], "value")
     return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "q1", "q3", "iqr", "mad", "least", "most")])
@@ -485,7 +565,7 @@ def geometric_mean(spark, sf_dir):
 
 
 def decrease_only_updates(spark, sf_dir):
-    """Extension: distances kept up to date while edges arrive as a stream in two batches."""
+    """Extension: distances kept up to date while edges arrive in two batches."""
     from pathloom.streaming.updates import replay
 
     edges = checkpointed(trade_edges(spark, sf_dir))
@@ -493,6 +573,23 @@ def decrease_only_updates(spark, sf_dir):
     return replay(edges.where(half), [edges.where(~half)], sssp.sources_frame(edges, [SOURCE])).select("v", "dist")
 
 
+def streamed_updates(spark, sf_dir):
+    """Extension: order lines are read as a stream of files; the least weight of each edge is kept state of the stream, and what gets less improves the distances."""
+    from pathloom.streaming.updates import Followed
+
+    path = shared_folder(spark, "arrivals")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_quantity", (F.col("l_orderkey") % 3).alias("part"))
+    for part in range(3):
+        lines.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema("l_suppkey long, l_partkey long, l_quantity double").option("maxFilesPerTrigger", 1).parquet(path)
+    s, p = F.col("l_suppkey") * 2, F.col("l_partkey") * 2 + 1
+    ends = F.inline(F.array(F.struct(s.alias("src"), p.alias("dst")), F.struct(p.alias("src"), s.alias("dst"))))
+    edges = arriving.select(ends, F.col("l_quantity").cast("long").alias("weight"))
+    followed = Followed(spark, spark.createDataFrame([(0, SOURCE, 0)], "q long, v long, dist long"))
+    followed.start(edges, shared_folder(spark, "stream")).awaitTermination()
+    return followed.distances().select("v", "dist")
+
+
 QUERIES = {
     "graph_edges": graph_edges, "graph_stats": graph_stats, "weight_stats": weight_stats, "degree_histogram": degree_histogram,
     "out_degrees": out_degrees, "adjacency_order": adjacency_order, "edge_iteration": edge_iteration, "valid_edges": valid_edges,
@@ -515,7 +612,10 @@ QUERIES = {
     "ghost_closure_2": ghost_closure_2, "bags": bags, "cut_rule": cut_rule, "diameter_rule": diameter_rule, "queue_strategies": queue_strategies,
     "sampled_weight": sampled_weight, "path_steps": path_steps, "sssp_multi_topk": _solved("L1V_L2MPQ", k=TOP, parts=PARTS),
     "sssp_queue_heap": _solved("L1FQ_L2PQ", k=TOP), "sssp_queue_small_label_first": _solved("L1SLF_L2V", owners=PARTS),
-    "sssp_dynamic_delta": _solved("L1N_L2DQ", delta=1, bucket_rows=TOP),
+    "sssp_dynamic_delta": _solved("L1N_L2DQ", delta=1, bucket_rows=TOP), "sssp_delta_stepping": _solved("delta_stepping", delta=12), "hub_star": hub_star, "hub_blocks": hub_blocks,
+    "sssp_delta_float": sssp_delta_float, "sssp_stepping_float": sssp_stepping_float, "sssp_query_blocks": sssp_query_blocks, "weight_estimate": weight_estimate,
+    "sssp_sampled_delta": sssp_sampled_delta, "few_paths": few_paths, "gr_source": gr_source, "region_overlay": region_overlay, "region_closure": region_closure,
+    "streamed_updates": streamed_updates,
 }
 
 TRADE = """e0 AS (SELECT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS p, CAST(min(l_quantity) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2),
@@ -623,6 +723,26 @@ SELECT q.event_type, round(median, 6) AS median, round(q1, 6) AS q1, round(q3, 6
     "geometric_mean": "SELECT round(exp(avg(ln(l_quantity))), 6) AS geometric_mean FROM lineitem",
 }
 
+_WALKED = "w AS (SELECT event_id AS v, CAST(floor(epoch(ts)) AS BIGINT) % 9 + 1 AS w, count(*) OVER () AS n FROM events), d AS (SELECT v, n, coalesce(sum(w) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS dist FROM w)"
+_ESTIMATE = f"s AS (SELECT w FROM e WHERE ('0x' || md5('0:' || src || ':' || dst)[1:8])::BIGINT % {STRIDE} = 0)"
+_LINES = "x AS (SELECT l_orderkey + 1 AS o, CAST(l_quantity * 10 + l_linenumber AS BIGINT) AS w FROM lineitem), m AS (SELECT o, min(w) AS w FROM x GROUP BY o)"
+ORACLES |= {
+    **dict.fromkeys(("sssp_delta_stepping", "sssp_sampled_delta", "streamed_updates"), _DIST),
+    **dict.fromkeys(("sssp_delta_float", "sssp_stepping_float"), _sql(f"{TRADE},\n{_ONE}", "SELECT v, d / 8.0::DOUBLE AS dist FROM r")),
+    # Vertex 1 is the order of key 0 if there is one, and else alone.
+    "hub_star": f"WITH {_LINES}, f AS (SELECT w FROM m WHERE o = 1) SELECT 1::BIGINT AS v, 0::BIGINT AS dist, 0::BIGINT AS hops UNION ALL SELECT 0, w, 1 FROM f UNION ALL SELECT o, f.w + m.w, 2 FROM m, f WHERE o <> 1",
+    "hub_blocks": f"SELECT count(*) AS edges, ceil(count(*) / {BLOCK}.0)::BIGINT AS blocks, true AS even FROM lineitem",
+    "sssp_query_blocks": _sql(f"{TRADE},\n" + """r(q, source, v, d) USING KEY (q, v) AS (
+  SELECT i::BIGINT, (n * i // 12)::BIGINT, (n * i // 12)::BIGINT, 0::BIGINT FROM size, (SELECT unnest(range(12)) AS i) x
+  UNION
+  SELECT f.q, any_value(f.source), e.dst, min(f.d + e.w) FROM r f JOIN e ON e.src = f.v LEFT JOIN recurring.r k ON k.q = f.q AND k.v = e.dst
+  WHERE k.d IS NULL OR f.d + e.w < k.d GROUP BY f.q, e.dst)""", "SELECT q, source, v, d AS dist FROM r"),
+    "weight_estimate": _sql(f"{TRADE}, {_ESTIMATE}", "SELECT count(*) AS sampled, round(avg(w), 6) AS avg_weight, round(2.58 * stddev_samp(w) / sqrt(count(*)), 6) AS error FROM s"),
+    "few_paths": f"WITH {_WALKED} SELECT t.v AS target, d.v AS step, d.v FROM d JOIN d t ON d.v <= t.v WHERE t.v IN (t.n - 1, t.n // 2, t.n // 3)",
+    "gr_source": _sql(TRADE, "SELECT src, w AS weight FROM e, size WHERE src >= n // 4 AND src < n // 2"),
+    "region_overlay": f"WITH {_WALKED} SELECT v, dist FROM d",
+    "region_closure": f"WITH {_WALKED}, r AS (SELECT v // {REGION} AS r, min(v) AS lo, max(v) AS hi FROM d GROUP BY 1), x AS (SELECT CASE WHEN lo = 0 THEN NULL ELSE lo END AS a, CASE WHEN hi = (SELECT max(v) FROM d) THEN NULL ELSE hi END AS b FROM r) SELECT x.a AS b, x.b AS v, q.dist - p.dist AS dist, x.b - x.a AS hops FROM x JOIN d p ON p.v = x.a JOIN d q ON q.v = x.b WHERE x.a <> x.b UNION ALL SELECT x.b, x.a, q.dist - p.dist, x.b - x.a FROM x JOIN d p ON p.v = x.a JOIN d q ON q.v = x.b WHERE x.a <> x.b",
+}
 _SHORTCUTS = ORACLES["chain_shortcuts"]
 #: Breadth-first order: a vertex follows its earliest parent, then the order of its id among that parent's neighbours.
 _ORDER = """r(v, id, level) USING KEY (v) AS (

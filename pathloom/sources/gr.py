@@ -8,11 +8,14 @@ Reading is split by vertices: a task reads its rows' ends, destinations and weig
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from pathloom.functions.lineage import Stored
 from pathloom.operators.graph import INT_MAX, check
@@ -50,7 +53,7 @@ def read_gr(spark: SparkSession, path: str, floats: bool = False, strict: bool =
     not negative, or the read raises. Without weights they are default_weight, or 0. The path must be readable by every task.
     """
     head = header(path)
-    n, m, width = head["n"], head["m"], head["width"]
+    n, width = head["n"], head["width"]
     if strict and head["version"] != 1:
         raise ValueError(f"version {head['version']}")
     if strict and not width and default_weight is None:
@@ -61,34 +64,110 @@ def read_gr(spark: SparkSession, path: str, floats: bool = False, strict: bool =
     def run(batches):
         for b in batches:
             for part in b.column("id").to_pylist():
-                lo, hi = n * part // tasks, n * (part + 1) // tasks
-                file, _, _ = _open(path)
-                with file:
-                    first = lo - 1 if lo else 0
-                    ends = np.frombuffer(file.read_at(8 * (hi - first), HEAD + 8 * first), dtype="<u8").astype(np.int64)
-                    ends = ends if lo else np.concatenate([[0], ends])
-                    if (np.diff(ends) < 0).any() or ends[-1] > m or (hi == n and ends[-1] != m):
-                        raise ValueError("row ends do not ascend to the number of edges")
-                    a, z = int(ends[0]), int(ends[-1])
-                    at = HEAD + 8 * n
-                    dst = np.frombuffer(file.read_at(4 * (z - a), at + 4 * a), dtype="<u4").astype(np.int64)
-                    if width:
-                        weight = np.frombuffer(file.read_at(4 * (z - a), at + 4 * (m + m % 2 + a)), dtype="<f4" if floats else "<i4")
-                    else:
-                        weight = np.full(z - a, default_weight or 0)
-                if (dst >= n).any():
-                    raise ValueError("a destination is out of range")
-                if (weight < 0).any() or (floats and np.isnan(weight).any()):
-                    raise ValueError("a weight is negative")
-                src = np.repeat(np.arange(lo, hi), np.diff(ends))
-                for s in range(0, max(1, z - a), 1 << 16):
-                    e = min(z - a, s + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a + s, a + e)), pa.array(src[s:e]), pa.array(dst[s:e]), pa.array(weight[s:e].astype(np.float64 if floats else np.int64))], names=["eid", "src", "dst", "weight"])
+                yield from rows_of(path, head, n * part // tasks, n * (part + 1) // tasks, ("eid", "src", "dst", "weight"), floats, default_weight)
 
     edges = spark.range(0, tasks, 1, tasks).mapInArrow(run, f"eid long, src long, dst long, weight {kind}")
     return spark.range(n), edges
 
 
+def rows_of(path: str, head: dict[str, int], lo: int, hi: int, columns: tuple[str, ...], floats: bool = False, default_weight: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Edges of the vertices lo to hi - 1, as batches of the named columns; only their parts of the file are read, destinations and weights only if they are asked for."""
+    n, m, width = head["n"], head["m"], head["width"]
+    file, _, _ = _open(path)
+    with file:
+        first = lo - 1 if lo else 0
+        ends = np.frombuffer(file.read_at(8 * (hi - first), HEAD + 8 * first), dtype="<u8").astype(np.int64)
+        ends = ends if lo else np.concatenate([[0], ends])
+        if (np.diff(ends) < 0).any() or ends[-1] > m or (hi == n and ends[-1] != m):
+            raise ValueError("row ends do not ascend to the number of edges")
+        a, z = int(ends[0]), int(ends[-1])
+        held = {"eid": np.arange(a, z), "src": np.repeat(np.arange(lo, hi), np.diff(ends))}
+        at = HEAD + 8 * n
+        if "dst" in columns:
+            held["dst"] = np.frombuffer(file.read_at(4 * (z - a), at + 4 * a), dtype="<u4").astype(np.int64)
+            if (held["dst"] >= n).any():
+                raise ValueError("a destination is out of range")
+        if "weight" in columns:
+            weight = np.frombuffer(file.read_at(4 * (z - a), at + 4 * (m + m % 2 + a)), dtype="<f4" if floats else "<i4") if width else np.full(z - a, default_weight or 0)
+            if (weight < 0).any() or (floats and np.isnan(weight).any()):
+                raise ValueError("a weight is negative")
+            held["weight"] = weight.astype(np.float64 if floats else np.int64)
+    for s in range(0, max(1, z - a), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(held[c][s : s + (1 << 16)]) for c in columns], names=list(columns))
+
+
+@dataclass
+class Vertices(InputPartition):
+    """The edges of the vertices lo to hi - 1."""
+
+    lo: int
+    hi: int
+
+
+class GrReader(DataSourceReader):
+    """Tasks by ranges of vertices. Filters that compare src with numbers narrow the vertices that are read; Spark hands them on if spark.sql.python.filterPushdown.enabled is set."""
+
+    def __init__(self, options, columns: tuple[str, ...]):
+        self.path, self.columns = options["path"], columns
+        self.floats, self.rows = options.get("floats", "false").lower() == "true", int(options.get("rowsPerTask", 1 << 20))
+        self.default = int(options["defaultWeight"]) if "defaultWeight" in options else None
+        self.head = header(self.path)
+        strict = options.get("strict", "true").lower() == "true"
+        if strict and self.head["version"] != 1:
+            raise ValueError(f"version {self.head['version']}")
+        if strict and not self.head["width"] and self.default is None:
+            raise ValueError("no weights; give defaultWeight")
+        self.spans = [(0, self.head["n"])]
+
+    def _narrow(self, spans: list[tuple[int, int]]) -> None:
+        both = [(max(a, c), min(b, d)) for a, b in self.spans for c, d in spans]
+        self.spans = sorted((a, b) for a, b in both if a < b)
+
+    def pushFilters(self, filters):  # noqa: N802
+        n = self.head["n"]
+        for f in filters:
+            if getattr(f, "attribute", None) == ("src",):
+                if isinstance(f, (EqualTo, In)):
+                    wanted = [f.value] if isinstance(f, EqualTo) else f.value
+                    self._narrow([(v, v + 1) for v in sorted({v for v in wanted if v is not None})])
+                    continue
+                bound = {GreaterThan: lambda v: (v + 1, n), GreaterThanOrEqual: lambda v: (v, n), LessThan: lambda v: (0, v), LessThanOrEqual: lambda v: (0, v + 1), IsNotNull: lambda _: (0, n)}.get(type(f))
+                if bound:
+                    self._narrow([bound(getattr(f, "value", 0))])
+                    continue
+            yield f
+
+    def partitions(self):
+        return [Vertices(lo, min(lo + self.rows, hi)) for a, hi in self.spans for lo in range(a, hi, self.rows)] or [Vertices(0, 0)]
+
+    def read(self, partition):
+        if partition.lo < partition.hi:
+            yield from rows_of(self.path, self.head, partition.lo, partition.hi, self.columns, self.floats, self.default)
+
+
+class GrSource(DataSource):
+    """spark.read.format("gr"): the edges of a file in the option path. Options: floats, strict, defaultWeight, rowsPerTask. A schema of some of the columns reads only these."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gr"
+
+    def schema(self) -> str:
+        return f"eid long, src long, dst long, weight {'double' if self.options.get('floats', 'false').lower() == 'true' else 'long'}"
+
+    def reader(self, schema) -> GrReader:
+        unknown = [f.name for f in schema if f.name not in ("eid", "src", "dst", "weight")]
+        if unknown:
+            raise ValueError(f"no column {unknown[0]} in a .gr file")
+        return GrReader(self.options, tuple(f.name for f in schema))
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to the session, and let it see filters."""
+    spark.dataSource.register(GrSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 def write_gr(edges: DataFrame, n: int, path: str, floats: bool = False, overwrite: bool = False) -> None:
     """Write edges, in the order of (src, eid), as a .gr file. One file is one stream: the driver holds 8 bytes per vertex and a batch of edges.
 

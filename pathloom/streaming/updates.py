@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.lineage import checkpointed
+from pathloom.functions.lineage import Stored, checkpointed
 from pathloom.operators import sssp
 
 
@@ -31,12 +33,34 @@ def replay(edges: DataFrame, batches: list[DataFrame], seeds: DataFrame) -> Data
     return solved
 
 
-def follow(stream: DataFrame, state: dict, seeds: DataFrame, checkpoint: str):
-    """Start a stream of edges; state["edges"] and state["solved"] hold the graph and its distances after every micro-batch."""
+class Followed:
+    """Distances from seeds(q, v, dist) over a stream of edges (src, dst, weight) that may repeat.
+
+    The least weight of each (src, dst) is state that the stream keeps in its checkpoint. A micro-batch hands on only the edges that are new or became lighter; they are written
+    beside those of earlier batches, which stay as they are, and improve the distances from their heads on.
+    """
+
+    def __init__(self, spark, seeds: DataFrame):
+        self.spark, self.seeds, self.kept = spark, seeds, []
+        self.solved = seeds.select("q", "v", "dist", F.lit(0).cast("long").alias("hops"))
+
+    def edges(self) -> DataFrame:
+        """All that was handed on; of the same edge the lighter one counts, which a shortest path takes anyway."""
+        return reduce(DataFrame.unionByName, self.kept)
+
+    def start(self, stream: DataFrame, checkpoint: str):
+        """The running query; it ends when the source has nothing more."""
+        least = stream.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+
+        def each(batch: DataFrame, _: int) -> None:
+            held = Stored(batch, "arrived")
+            if held.about:
+                # A micro-batch has a session of its own; what is read again belongs to the solves' session.
+                new = self.spark.read.schema(batch.schema).parquet(held.path)
+                self.kept.append(new)
+                self.solved = absorb(self.solved, self.edges(), new, self.seeds)
 
-    def each(batch: DataFrame, _: int) -> None:
-        batch = checkpointed(batch)
-        state["edges"] = checkpointed(state["edges"].unionByName(batch))
-        state["solved"] = absorb(state["solved"], state["edges"], batch, seeds)
+        return least.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def distances(self) -> DataFrame:
+        return self.solved

@@ -11,7 +11,13 @@ from pathlib import Path
 import pyspark
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-os.environ |= {"PYTHONPATH": os.pathsep.join([ROOT, str(Path(__file__).parent)]), "SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": os.path.dirname(pyspark.__file__), "PYSPARK_PYTHON": sys.executable}
+#: Executors of a local cluster write below Spark's home, so it is a folder of ours that links to the parts of the real one, which may be read-only.
+FOLDER = tempfile.mkdtemp(prefix="fault-run-")
+for part in Path(pyspark.__file__).parent.iterdir():
+    if part.name != "work":
+        Path(FOLDER, "home").mkdir(exist_ok=True)
+        Path(FOLDER, "home", part.name).symlink_to(part)
+os.environ |= {"PYTHONPATH": os.pathsep.join([ROOT, str(Path(__file__).parent)]), "SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": f"{FOLDER}/home", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
 sys.path[:0] = [ROOT, str(Path(__file__).parent)]
 
 
@@ -41,16 +47,18 @@ def main() -> None:
 
     from pathloom.operators import sssp
 
-    os.chdir(folder := tempfile.mkdtemp())
+    os.chdir(FOLDER)
     spark = (
         SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", f"file://{folder}/shared").config("spark.driver.host", "127.0.0.1").getOrCreate()
+        .config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", f"file://{FOLDER}/shared").config("spark.sql.warehouse.dir", f"file://{FOLDER}/warehouse").config("spark.driver.host", "127.0.0.1").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     killed = []
 
     def strike() -> None:
-        time.sleep(4)
+        # The first table of a round is there, so rounds are under way.
+        while not any(Path(FOLDER).glob("shared/*/level-*/_SUCCESS")) and not any(Path(FOLDER).glob("shared/*/owned-*/_SUCCESS")):
+            time.sleep(0.05)
         killed.extend(executors()[:1])
         if killed:
             os.kill(killed[0], 9)

@@ -2,8 +2,10 @@ from collections import deque
 
 import pytest
 from graphs import dijkstra, frame, long_fixture, random_graph, solved
+from pyspark.sql import functions as F
 
 from pathloom.operators import chains, graph, partition, regions, reorder, sssp, stats
+from pathloom.plans import planner
 
 
 def rows_of(edges):
@@ -193,3 +195,25 @@ def test_partitions_and_statistics(spark):
     near = {d for s, d, _ in edges if s < 13 <= d}
     two = near | {d for s, d, _ in edges if s in near and d >= 13}
     assert {r["v"] for r in partition.ghost_closure(df, [0, 13, n], 0, 2).collect()} == two
+
+
+def test_regions_as_an_overlay(spark):
+    for seed, width, kind in ((1, 8, "long"), (6, 16, "double")):
+        edges = random_graph(seed)
+        df = frame(spark, edges).withColumn("weight", F.col("weight").cast(kind))
+        seeds = spark.createDataFrame([(0, 0, 0), (1, 25, 3), (1, 2, 0)], "q long, v long, dist long")
+        got = regions.solve_by_regions(df, seeds, width).collect()
+        for q, own in ((0, [(0, 0)]), (1, [(25, 3), (2, 0)])):
+            assert {r["v"]: r["dist"] for r in got if r["q"] == q} == {v: d for v, (d, _) in dijkstra(edges, own).items()}
+    closed = regions.region_closure(frame(spark, [(0, 1, 5), (0, 1, 2), (1, 2, 0), (2, 0, 1), (2, 9, 4), (9, 8, 3)]), None, 4).collect()
+    assert {tuple(r) for r in closed} == {(2, 2, 0, 0, True), (2, 0, 1, 1, False), (2, 1, 3, 2, False), (9, 9, 0, 0, True), (9, 8, 3, 1, False)}
+
+
+def test_stride_sample(spark):
+    df = frame(spark, [(i, i * 7 % 5000, i % 13) for i in range(5000)])
+    a, b = stats.stride_sample(df, 10), stats.stride_sample(df.repartition(7), 10)
+    assert 350 < a.count() < 650 and not a.exceptAll(b).count()
+    found = stats.weight_estimate(df, 10).first()
+    assert abs(found["avg_weight"] - sum(i % 13 for i in range(5000)) / 5000) <= found["error"] < 1
+    assert tuple(stats.weight_estimate(df.where("false"), 10).first()) == (0, None, None)
+    assert planner.sampled_delta(df, 5000, 10) == 4 and planner.sampled_delta(df.where("false"), 10) == planner.LEAST_DELTA

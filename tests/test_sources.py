@@ -97,10 +97,35 @@ def test_sidecars(spark, tmp_path):
 def test_stream_of_edges(spark, tmp_path):
     edges = random_graph(9)
     df = frame(spark, edges)
-    old, new = df.where("eid % 3 <> 0"), df.where("eid % 3 = 0")
     seeds = sssp.sources_frame(df, [0])
-    new.coalesce(1).write.parquet(str(tmp_path / "in"))
-    state = {"edges": old, "solved": sssp.solve(old, seeds)}
-    updates.follow(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), state, seeds, str(tmp_path / "ck")).awaitTermination(120)
-    got = {r["v"]: r["dist"] for r in state["solved"].collect()}
-    assert got == {v: d for v, (d, _) in dijkstra(edges, [(0, 0)]).items()}
+    for part in range(2):
+        df.where(f"eid % 2 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    followed = updates.Followed(spark, seeds)
+    followed.start(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "ck")).awaitTermination(120)
+    got = {r["v"]: r["dist"] for r in followed.distances().collect()}
+    assert len(followed.kept) == 2 and got == {v: d for v, (d, _) in dijkstra(edges, [(0, 0)]).items()}
+    # A heavier repeat changes no state, a lighter one does.
+    for w in (1000, 0):
+        spark.createDataFrame([(0, edges[0][0], edges[0][1], w)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        followed.start(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "ck")).awaitTermination(120)
+    got = {r["v"]: r["dist"] for r in followed.distances().collect()}
+    assert got == {v: d for v, (d, _) in dijkstra([*edges, (*edges[0][:2], 0)], [(0, 0)]).items()}
+
+
+def test_gr_data_source(spark, tmp_path):
+    edges = random_graph(3)
+    path = str(tmp_path / "g.gr")
+    gr.write_gr(frame(spark, sorted(edges)), 40, path)
+    gr.register(spark)
+    read = spark.read.format("gr").option("path", path).option("rowsPerTask", "7")
+    want = sorted(edges)
+    assert [(r["src"], r["dst"], r["weight"]) for r in read.load().orderBy("eid").collect()] == want
+    for condition, holds in (("src = 5", lambda s: s == 5), ("src > 3 AND src <= 21", lambda s: 3 < s <= 21), ("src IN (2, 30, 31)", lambda s: s in (2, 30, 31)), ("src < 0", lambda s: False), ("src >= 8 AND dst > 4", lambda s: s >= 8)):
+        got = read.load().where(condition)
+        assert sorted(r["src"] for r in got.collect()) == sorted(s for s, d, _ in want if holds(s) and ("dst" not in condition or d > 4))
+    options = {"path": path, "rowsPerTask": "7"}
+    reader = gr.GrReader(options, ("src", "weight"))
+    assert not list(reader.pushFilters([gr.In(("src",), (30, 2)), gr.GreaterThan(("src",), 4)])) and [(p.lo, p.hi) for p in reader.partitions()] == [(30, 31)]
+    assert sorted(tuple(r) for r in read.schema("weight long, src long").load().collect()) == sorted((w, s) for s, _, w in want)
+    with pytest.raises(Exception, match="no column"):
+        read.schema("colour string").load().collect()
