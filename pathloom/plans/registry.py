@@ -284,17 +284,22 @@ def reordered_cut(spark, sf_dir):
 
 
 def fixpoint_certificate(spark, sf_dir):
+    """What certifies distances, and what it says once every distance of a vertex of the form 7k + 3 was raised."""
     edges = trade_edges(spark, sf_dir)
     seeds = sssp.sources_frame(edges, [SOURCE])
-    return validate.certificate(sssp.solve(edges, seeds), edges, seeds)
+    found = sssp.solve(edges, seeds)
+    wrong = found.withColumn("dist", F.col("dist") + (F.col("v") % 7 == 3).cast("long"))
+    return validate.certificate(found, edges, seeds).withColumn("of", F.lit("solved")).unionByName(validate.certificate(wrong, edges, seeds).withColumn("of", F.lit("raised")))
 
 
 def strategy_errors(spark, sf_dir):
-    """Vertices on which the frontier and the owner strategy differ; both solve a batch."""
+    """Vertices on which the frontier and the owner strategy differ; both solve a batch. planted: the same after one query's distances of the vertices 5k + 3 were raised."""
     edges = trade_edges(spark, sf_dir)
     seeds = sssp.sources_frame(edges, sssp.batch_sources(size_of(edges), BATCH))
-    bad = validate.errors_by_query(sssp.solve(edges, seeds, "frontier"), sssp.solve(edges, seeds, "owner", owners=PARTS))
-    return seeds.select("q").join(bad, "q", "left").select("q", F.coalesce("errors", F.lit(0)).cast("long").alias("errors"))
+    one, other = sssp.solve(edges, seeds, "frontier"), sssp.solve(edges, seeds, "owner", owners=PARTS)
+    wrong = other.withColumn("dist", F.col("dist") + ((F.col("q") == 1) & (F.col("v") % 5 == 3)).cast("long"))
+    bad, planted = validate.errors_by_query(one, other), validate.errors_by_query(one, wrong).withColumnRenamed("errors", "planted")
+    return seeds.select("q").join(bad, "q", "left").join(planted, "q", "left").select("q", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("errors", "planted")])
 
 
 def gr_round_trip(spark, sf_dir):
@@ -421,11 +426,11 @@ def first_mismatch(spark, sf_dir):
 
 
 def conservation(spark, sf_dir):
-    """Whether rebuilding keeps the number of edges, and dropping loops does."""
+    """Whether rebuilding keeps the number of edges, and whether dropping those of vertex 0 does."""
     edges = trade_edges(spark, sf_dir)
-    kept = validate.conservation(edges, reorder.rebuild(edges, _vertices(edges).select(F.col("id").alias("new_id"), F.col("id").alias("old_id"))))
-    lost = validate.conservation(edges, edges.where("src > 0"))
-    return spark.createDataFrame([("rebuilt", kept), ("without vertex 0", lost)], "step string, conserved boolean")
+    same = _vertices(edges).select(F.col("id").alias("new_id"), F.col("id").alias("old_id"))
+    steps = [("rebuilt", reorder.rebuild(edges, same)), ("without vertex 0", edges.where("src > 0"))]
+    return spark.createDataFrame([(name, after.count(), validate.conservation(edges, after)) for name, after in steps], "step string, edges long, conserved boolean")
 
 
 def partition_cut_percent(spark, sf_dir):
@@ -460,9 +465,9 @@ def cut_rule(spark, sf_dir):
 
 
 def diameter_rule(spark, sf_dir):
-    """The strategy that a probe of the levels picks: the events' paths are long in levels, the trade graph is not."""
-    trade, walks = checkpointed(trade_edges(spark, sf_dir)), checkpointed(event_edges(spark, sf_dir))
-    return spark.createDataFrame([("trade", planner.probed(trade, SOURCE, size_of(trade))), ("short", planner.for_diameter(12, 10**6)), ("long", planner.for_diameter(2050, 10**6))], "graph string, strategy string")
+    """The strategy that a probe of the trade graph's levels picks."""
+    trade = checkpointed(trade_edges(spark, sf_dir))
+    return spark.createDataFrame([("trade", planner.probed(trade, SOURCE, size_of(trade)))], "graph string, strategy string")
 
 
 def queue_strategies(spark, sf_dir):
@@ -674,13 +679,13 @@ p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_
     "rebuilt_edges": _sql(TRADE, "SELECT row_number() OVER (ORDER BY n - 1 - src, dst) - 1 AS eid, n - 1 - src AS src, n - 1 - dst AS dst, w AS weight FROM e, size"),
     "permutation_round_trip": _sql(TRADE, "SELECT n - 1 - id AS new_id, id AS old_id FROM vs, size"),
     "first_mismatch": _sql(f"{TRADE},\n{_ONE}", "SELECT v, d AS found, d + 2 AS wanted FROM r WHERE v % 5 = 3 ORDER BY v LIMIT 1"),
-    "conservation": "SELECT * FROM (VALUES ('rebuilt', true), ('without vertex 0', false)) x(step, conserved)",
+    "conservation": _sql(TRADE, "SELECT 'rebuilt' AS step, count(*) AS edges, true AS conserved FROM e UNION ALL SELECT 'without vertex 0', count(*) FILTER (WHERE src > 0), count(*) FILTER (WHERE src > 0) = count(*) FROM e"),
     "partition_cut_percent": _sql(f"{TRADE}, c AS (SELECT n * 30 // 100 AS cut FROM size)", "SELECT 0 AS part, 0::BIGINT AS first_id, cut AS end_id, (SELECT count(*) FROM e WHERE src < cut) AS edges FROM c UNION ALL SELECT 1, cut, n, (SELECT count(*) FROM e WHERE src >= cut) FROM c, size"),
     "row_starts": _sql(TRADE, "SELECT id, coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, degree FROM deg"),
     "ghost_closure_2": _sql(f"{TRADE}, {_OWNED}, x AS (SELECT e.*, a.owner AS oa, b.owner AS ob FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst), g AS (SELECT DISTINCT dst AS v FROM x WHERE oa = 0 AND ob <> 0)", "SELECT v FROM g UNION SELECT x.dst FROM g JOIN x ON x.src = g.v WHERE x.ob <> 0"),
     "bags": _sql(f"{TRADE},\n{_ONE}", "SELECT least(greatest(d // 4 - 2, 0), 31)::INTEGER AS bag, count(*) AS vertices FROM r GROUP BY 1"),
     "cut_rule": _sql(f"{TRADE}, c AS (SELECT count(*) FILTER (WHERE (src < n // 2) <> (dst < n // 2)) AS crossing, count(*) AS edges FROM e, size)", "SELECT n AS vertices, crossing, edges, CASE WHEN n >= 300000 AND crossing > 0 AND crossing < edges * 0.0007 THEN 'delta' ELSE 'none' END AS queue FROM c, size"),
-    "diameter_rule": "SELECT * FROM (VALUES ('trade', 'frontier'), ('short', 'frontier'), ('long', 'owner')) x(graph, strategy)",
+    "diameter_rule": _sql(f"{TRADE},\n" + _reach("SELECT 0::BIGINT, 0::BIGINT", "1") + ", l AS (SELECT least(max(d), 128) AS l FROM r)", "SELECT 'trade' AS graph, CASE WHEN l > 64 AND l * l > sqrt(n) THEN 'owner' ELSE 'frontier' END AS strategy FROM l, size"),
     "long_walk": "SELECT event_id AS v, coalesce(sum(w) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS dist FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) % 9 + 1 AS w FROM events)",
     "sampled_weight": _sql(TRADE, "SELECT round(avg(w), 6) AS avg_weight FROM e"),
     "queue_strategies": "SELECT queue, CASE WHEN queue LIKE '%\\_L2DQ' ESCAPE '\\' THEN 'delta' WHEN queue LIKE '%\\_L2PQ' ESCAPE '\\' THEN 'topk' WHEN queue LIKE '%\\_L2MPQ' ESCAPE '\\' THEN 'multi_topk' WHEN queue LIKE 'L1NF%' THEN 'near_far' WHEN queue LIKE 'L1SLF%' THEN 'owner' ELSE 'frontier' END AS strategy FROM (SELECT unnest([" + ", ".join(f"'{q}'" for q in planner.QUEUE_NAMES) + "]) AS queue)",
@@ -707,8 +712,15 @@ p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_
     "path_rows": _sql(f"{TRADE},\n{_HOPS},\n{_SPLIT}", "SELECT v AS target, hops, 0::BIGINT AS start FROM h"),
     "bfs_order": _sql(f"{TRADE},\n" + _reach("SELECT 0::BIGINT, 0::BIGINT", "1") + ", c AS (SELECT vs.id, r.d::INTEGER AS level FROM vs LEFT JOIN r ON r.v = vs.id), k AS (SELECT level, count(*) AS vertices FROM c GROUP BY level)", "SELECT coalesce(level, -1)::INTEGER AS level, vertices, coalesce(sum(vertices) OVER (ORDER BY level NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_id FROM k"),
     "region_index": _sql(f"{TRADE}, {_OWNED}", "SELECT owner::INTEGER AS owner, count(*) AS vertices, true AS within_width FROM o GROUP BY owner"),
-    "fixpoint_certificate": _sql(f"{TRADE},\n{_ONE}", "SELECT 0::BIGINT AS improvable, 0::BIGINT AS unsupported, count(*) AS reached FROM r"),
-    "strategy_errors": f"SELECT unnest(range({BATCH}))::BIGINT AS q, 0::BIGINT AS errors",
+    "fixpoint_certificate": _sql(
+        f"{TRADE},\n{_HOPS},\n{_SPLIT}, x AS (SELECT of, v, dist + CASE WHEN of = 'raised' AND v % 7 = 3 THEN 1 ELSE 0 END AS dist, hops FROM h, (SELECT unnest(['solved', 'raised']) AS of)), p AS (SELECT a.of, b.v, a.dist + e.w < b.dist AS less, a.dist + e.w = b.dist AND a.hops + 1 = b.hops AS tight FROM x a JOIN e ON e.src = a.v JOIN x b ON b.of = a.of AND b.v = e.dst), t AS (SELECT DISTINCT of, v FROM p WHERE tight UNION SELECT of, v FROM x WHERE v = 0 AND dist = 0 AND hops = 0)",
+        "SELECT of, (SELECT count(*) FROM p WHERE p.of = x.of AND less) AS improvable, count(*) FILTER (WHERE (of, v) NOT IN (SELECT (of, v) FROM t)) AS unsupported, count(*) AS reached FROM x GROUP BY of",
+    ),
+    "strategy_errors": _sql(f"{TRADE},\n" + f"""r(q, v, d) USING KEY (q, v) AS (
+  SELECT i::BIGINT, (n * i // {BATCH})::BIGINT, 0::BIGINT FROM size, (SELECT unnest(range({BATCH})) AS i) x
+  UNION
+  SELECT f.q, e.dst, min(f.d + e.w) FROM r f JOIN e ON e.src = f.v LEFT JOIN recurring.r k ON k.q = f.q AND k.v = e.dst
+  WHERE k.d IS NULL OR f.d + e.w < k.d GROUP BY f.q, e.dst)""", "SELECT q, 0::BIGINT AS errors, count(*) FILTER (WHERE q = 1 AND v % 5 = 3) AS planted FROM r GROUP BY q"),
     "chain_eligible": f"WITH {WALK} SELECT event_id AS v FROM steps WHERE nth > 1 AND nth < len AND event_id <> {SOURCE}",
     "chain_segments": f"WITH {WALK}, a AS (SELECT *, t - min(t) OVER (PARTITION BY user_id) AS up, max(t) OVER (PARTITION BY user_id) - t AS down, first_value(event_id) OVER (PARTITION BY user_id ORDER BY nth) AS head, last_value(event_id) OVER (PARTITION BY user_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail FROM steps WHERE len >= 4) SELECT event_id AS v, CASE WHEN head < tail THEN nth - 1 ELSE len - nth END AS pos, (CASE WHEN head < tail THEN up ELSE down END)::BIGINT AS fwd, (CASE WHEN head < tail THEN up ELSE down END)::BIGINT AS rev FROM a",
     "chain_shortcuts": f"""WITH {WALK}, a AS (SELECT *, nth = 1 OR nth = len OR event_id = {SOURCE} AS anchor FROM steps),
