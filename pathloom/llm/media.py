@@ -40,7 +40,7 @@ class _Reader(HTMLParser):
         self.caption: list[str] | None = None
         self.figures: list[int] = []
         self.skip = 0
-        self.holders: list[dict] = []
+        self.holders: list[tuple[str, dict]] = []
 
     def flush(self):
         text, self.text = "".join(self.text), []
@@ -54,18 +54,18 @@ class _Reader(HTMLParser):
             given = dict(attrs)
             self.flush()
             ref = given.get("data" if tag == "object" else "src")
-            if not ref and tag == "img" and self.holders:
-                ref = self.holders[-1]["ref"]
+            if not ref and tag == "img":
+                ref = self._first(given) or (self.holders[-1][1]["ref"] if self.holders else None)
             self.out.append({"kind": "media", "text": None, "ref": ref, "caption": given.get("alt") or None})
             if tag in HOLDERS:
-                self.holders.append(self.out[-1])
+                self.holders.append((tag, self.out[-1]))
         elif tag == "picture":
             self.flush()
-            self.holders.append({"ref": None})
+            self.holders.append((tag, {"ref": None}))
         elif tag == "source":
-            if self.holders and not self.holders[-1]["ref"]:
+            if self.holders and not self.holders[-1][1]["ref"]:
                 given = dict(attrs)
-                self.holders[-1]["ref"] = given.get("src") or next(iter((given.get("srcset") or "").split(",")[0].split()), None)
+                self.holders[-1][1]["ref"] = given.get("src") or self._first(given)
         elif tag in BLOCKS:
             self.flush()
             if tag == "figure":
@@ -78,14 +78,25 @@ class _Reader(HTMLParser):
         if tag in SKIPPED:
             self.skip -= 1
         if tag in HOLDERS:
-            self.holders.pop()
+            self._close(tag)
+
+    @staticmethod
+    def _first(given: dict) -> str | None:
+        """The first reference of a srcset."""
+        return next(iter((given.get("srcset") or "").split(",")[0].split()), None)
+
+    def _close(self, tag: str) -> None:
+        """Ends the innermost open holder of that name and those inside it; an end tag without one ends nothing."""
+        for i in range(len(self.holders) - 1, -1, -1):
+            if self.holders[i][0] == tag:
+                del self.holders[i:]
+                return
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
         elif tag in HOLDERS:
-            if self.holders:
-                self.holders.pop()
+            self._close(tag)
         elif tag in BLOCKS:
             if tag == "figcaption" and self.caption is not None:
                 self._caption()
@@ -173,7 +184,7 @@ def from_png(stored: bytes) -> bytes:
 
 
 def store_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """digest (SHA-256 of the payload, hex), media (stored bytes), written to the shared checkpoint folder.
+    """digest (SHA-256 of the payload, hex), media (stored bytes), written to the shared checkpoint folder. Repeated rows store the same; an empty table stores nothing.
 
     The payload is the UTF-8 text (null: empty) with zero bytes up to a positive multiple of 64. A task stores a payload once per batch of
     rows; copies that several batches store are equal and count once when they are read.
@@ -233,6 +244,19 @@ def resolve(elements: DataFrame, media: DataFrame, keep: tuple[str, ...]) -> Dat
     return refs.join(media, F.col("_digest") == F.col("digest"), "left").drop("_digest")
 
 
+def sequences(pages: DataFrame, media: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The columns `keep` and elements: the page's texts and media in reading order, (position, kind, text, ref, caption, media). media is the row of media(digest, ...) that the
+    reference names, null for texts and for references that are missing, no digests, or not in media. One row per row of pages, repeated ones too; a null page has no elements.
+
+    Only references move to the digests; texts stay in their page's row, to which what was resolved is joined by position.
+    """
+    rows = checkpointed(interleave(pages, html_col, keep).withColumn("_row", F.monotonically_increasing_id()))
+    found = resolve(rows, media, keep=("_row",)).where("digest IS NOT NULL").select("_row", F.struct("position", F.struct(*media.columns).alias("media")).alias("m"))
+    by_page = found.groupBy("_row").agg(F.map_from_entries(F.collect_list("m")).alias("_found"))
+    held = lambda e: F.struct(*[e[c.split()[0]].alias(c.split()[0]) for c in ELEMENT.split(", ")], F.try_element_at(F.col("_found"), e["position"]).alias("media"))
+    return rows.join(by_page, "_row", "left").select(*keep, F.transform("elements", held).alias("elements"))
+
+
 def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, html: every text as a page that shows the text and refers to its payload in a captioned figure."""
 

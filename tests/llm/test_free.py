@@ -1,7 +1,10 @@
 """Media, packing, suffix dedup, SimHash, URL filters and language identification against brute force."""
 
 import hashlib
+import html
+import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -14,6 +17,69 @@ from fixtures import documents, empty
 from pathloom.llm import components, language, media, packing, simhash, suffixes, urls
 
 
+def test_media_end_tags_and_srcset():
+    found = media.parse('<video></audio><source src="media:v"></video><img srcset="media:s 1x, media:t 2x"><picture><audio><source src="media:a"></picture><source src="media:no"><img>')
+    assert [x["ref"] for x in found] == ["media:v", "media:s", "media:a", None]
+
+
+def decoded(stored):
+    """The samples of any 8-bit grey PNG, its filters undone row by row: a reader of its own."""
+    at, data = 8, b""
+    while stored[at + 4 : at + 8] != b"IEND":
+        n = int.from_bytes(stored[at : at + 4], "big")
+        if stored[at + 4 : at + 8] == b"IHDR":
+            width, height = int.from_bytes(stored[at + 8 : at + 12], "big"), int.from_bytes(stored[at + 12 : at + 16], "big")
+            assert stored[at + 16 : at + 21] == bytes([8, 0, 0, 0, 0])
+        elif stored[at + 4 : at + 8] == b"IDAT":
+            data += stored[at + 8 : at + 8 + n]
+        at += 12 + n
+    raw, before, out = zlib.decompress(data), bytes(width), b""
+    for y in range(height):
+        kind, row = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            a, b, c = row[x - 1] if x else 0, before[x], before[x - 1] if x else 0
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            row[x] = (row[x] + (0, a, b, (a + b) // 2, near)[kind]) % 256
+        before, out = bytes(row), out + bytes(row)
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "a", "é" * 63, "x" * 64, "word " * 5000, "\x00<\U0001f600>"])
+def test_stored_images_in_another_reader(text):
+    payload = media.padded(text.encode())
+    assert decoded(media.to_png(payload)) == payload and len(payload) % 64 == 0 and payload.rstrip(b"\0") == text.encode().rstrip(b"\0")
+
+
+def test_sequences(spark):
+    docs = spark.createDataFrame([("one",), ("two",), (None,), ("one",)], "text string")
+    held = media.media_features(media.store_media(docs))
+    name = lambda t: "media:" + hashlib.sha256(media.padded(t.encode())).hexdigest()
+    page = f'<p>a</p><figure><img src="{name("two")}"><figcaption>cap</figcaption></figure><p>b &amp; c</p><img src="http://x/y.png" alt="far"><img src="{name("none")}"><img src="{name("one")}">tail'
+    rows = [(1, page), (2, None), (3, ""), (1, page), (None, f'<img src="{name("")}">'), (4, "<p>only text</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "1 AS digest", "2 AS elements", "3 AS media", "4 AS _row")
+    got = media.sequences(pages, held).collect()
+    sizes = {name(t): len(media.padded(t.encode())) for t in ("one", "two", "")}
+    want = [(i, [(*(e[c] for c in ("position", "kind", "text", "ref", "caption")), sizes.get(e["ref"])) for e in media.parse(h)]) for i, h in rows]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(((r["page_id"], [(e["position"], e["kind"], e["text"], e["ref"], e["caption"], e["media"] and e["media"]["payload_bytes"]) for e in r["elements"]]) for r in got), key=key) == sorted(want, key=key)
+    assert sum(e["media"] is not None for r in got for e in r["elements"]) == 5
+    assert media.sequences(pages.where("false"), held).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_sequences_of_the_pages_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    none = spark.createDataFrame([], "digest string, payload_bytes long")
+    got = {r["page_id"]: [(e["kind"], e["text"], e["ref"], e["caption"]) for e in r["elements"]] for r in media.sequences(pages, none).collect()}
+    said = {r["page_id"]: r["html"] for r in pages.collect()}
+    assert set(got) == set(said) and all(x[0] == ("text" if x[2] is None else "media") or x[0] == "media" for e in got.values() for x in e)
+    for i, page in said.items():
+        plain = re.sub(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", page or "")
+        words = lambda t: Counter(re.findall(r"\w+", html.unescape(t)))
+        kept = words(" ".join([x[1] or "" for x in got[i]] + [x[3] or "" for x in got[i]]))
+        assert kept - words(page or "") == Counter() and not [w for w in words(plain) if w not in kept and len(w) > 3]
+
+
 def test_html_sequences():
     page = '<html><script>var t="</p>";</script><p>One &amp; two<br>three</p><figure><img src="media:a" alt="x"><p>in</p><figcaption>A <b>cap</b></figcaption></figure><img src="media:b" alt="alt">tail'
     got = [(e["position"], e["kind"], e["text"] or e["ref"], e["caption"]) for e in media.parse(page)]
