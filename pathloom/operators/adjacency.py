@@ -38,11 +38,13 @@ class Adjacency:
         try:
             check(plain)
             degrees = plain.groupBy(F.col("src").alias("hub")).agg(F.count(F.lit(1)).alias("degree"))
-            hubs = degrees.where(F.col("degree") > block_edges).select("hub", F.ceil(F.col("degree") / block_edges).cast("long").alias("blocks"))
-            self.hubs = checkpointed(hubs)
-            self.hub_count = self.hubs.count()
+            hub = F.col("degree") > block_edges
+            seen = degrees.agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("edges"), F.count(F.lit(1)).alias("sources"), F.count_if(hub).alias("hubs")).first()
+            self.hub_count, self.mean_degree = seen["hubs"], seen["edges"] / max(1, seen["sources"])
+            self.hubs = degrees.where(hub).select("hub", F.ceil(F.col("degree") / block_edges).cast("long").alias("blocks"))
+            self.hubs = checkpointed(self.hubs) if self.hub_count else None
             #: The hubs by id, unless there are too many to hold.
-            self.hub_ids = {r["hub"] for r in self.hubs.select("hub").collect()} if self.hub_count <= FEW_HUBS else None
+            self.hub_ids = None if self.hub_count > FEW_HUBS else {r["hub"] for r in self.hubs.select("hub").collect()} if self.hub_count else set()
             keyed = plain
             if self.hub_count:
                 block = F.pmod(F.xxhash64("dst", "weight"), F.coalesce("blocks", F.lit(1).cast("long")))
@@ -50,8 +52,7 @@ class Adjacency:
             key = F.xxhash64("src", F.col("block") if self.hub_count else F.lit(0).cast("long"))
             out = keyed.select(key.alias("k"), F.col("src").alias("s"), F.col("dst").alias("t"), F.col("weight").alias("w"), *([(F.col("weight") > heavy_over).alias("heavy")] if self.parted else []))
             least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            # The number of edges is known once they are cached.
-            self.buckets = max(least, -(-plain.count() // BUCKET_EDGES))
+            self.buckets = max(least, -(-seen["edges"] // BUCKET_EDGES))
             self.stored = Stored(out, "edges", ("k", self.buckets), "heavy" if self.parted else None)
         finally:
             plain.unpersist()

@@ -229,6 +229,8 @@ class _Rounds:
         self.spark, self.base = adjacency.spark, 0
         self.known = _Known(self.spark, kind)
         self.counts |= {"rounds": 0, "relaxed": 0}
+        # So many rows are few: what they reach should be so as well.
+        self.few = min(FEW, int(MET / max(1.0, adjacency.mean_degree)))
         self.opened: Stored | None = None  # a table of open rows that is no level
         # Of the bucket under way: its rows that were expanded along light edges.
         self.settled_rows: dict[tuple[int, int], tuple] = {}
@@ -240,10 +242,10 @@ class _Rounds:
 
     def gather(self) -> None:
         """Few open rows come to hand, unless one is a hub."""
-        if self.rows is not None or self.n > FEW or self.edges.hub_ids is None:
+        if self.rows is not None or self.n > self.few or self.edges.hub_ids is None:
             return
-        got = self.table.select("q", "v", "dist", "hops").limit(FEW + 1).collect()
-        if len(got) <= FEW and not any(r["v"] in self.edges.hub_ids for r in got):
+        got = self.table.select("q", "v", "dist", "hops").limit(self.few + 1).collect()
+        if len(got) <= self.few and not any(r["v"] in self.edges.hub_ids for r in got):
             self.rows = {(r["q"], r["v"]): (r["dist"], r["hops"]) for r in got}
             self.n = len(self.rows)
             self.forget()
@@ -372,6 +374,7 @@ class _Rounds:
                 if split:
                     self.settled_rows.update(chosen)
                 return None
+            self.few = min(self.few, len(chosen) // 2)
             self.spill()
         picked = choice.column()
         rest = None if self.strategy == "frontier" else self.table.where(~picked)
