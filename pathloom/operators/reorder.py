@@ -2,41 +2,81 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.lineage import checkpointed
-from pathloom.functions.ranking import ordered_rank
+from pathloom.functions.lineage import Stored, checkpointed, shared_folder
+from pathloom.functions.ranking import buckets_for, ordered_rank, running_total
+from pathloom.operators import sssp
 from pathloom.operators.graph import in_order
 
 
-def bfs_order(edges: DataFrame, n: int, root: int = 0) -> DataFrame:
+def _rank_levels(first: int):
+    """Edges (src, dst, pos, level) of consecutive levels, and the order (old_id, new_id) of the level before them -> new_id, old_id, level, numbered from `first` on."""
+
+    def run(edges: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(edges["level"].to_numpy(), kind="stable")
+        src, dst, pos, level = (edges[c].to_numpy()[order] for c in ("src", "dst", "pos", "level"))
+        ids, ranks, at, out = parents["old_id"].to_numpy(), parents["new_id"].to_numpy(), first, []
+        cuts = np.flatnonzero(np.diff(level, prepend=-1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(level)], strict=True):
+            by_id = np.argsort(ids)
+            parent = ranks[by_id][ids[by_id].searchsorted(src[lo:hi])]
+            # Of a vertex's finders the earliest, then vertices by that.
+            best = np.lexsort((pos[lo:hi], parent, dst[lo:hi]))
+            best = best[np.flatnonzero(np.diff(dst[lo:hi][best], prepend=-1))]
+            ids = dst[lo:hi][best[np.lexsort((pos[lo:hi][best], parent[best]))]]
+            ranks = np.arange(at, at + len(ids))
+            out.append(pd.DataFrame({"new_id": ranks, "old_id": ids, "level": level[lo]}))
+            at += len(ids)
+        return pd.concat(out)
+
+    return run
+
+
+def bfs_order(edges: DataFrame, n: int, root: int = 0, run_edges: int = 1 << 18) -> DataFrame:
     """new_id, old_id, level: the order in which a queue finds vertices; edges of a row in the order of eid.
 
     A vertex is found by the earliest parent and there by its earliest edge. What the root doesn't reach follows by old id
-    with a null level. One round per level.
+    with a null level. Levels come from a solve by owners. Then only edges from one level to the next matter: they lie by level, and consecutive levels with at most
+    `run_edges` of them together are ranked in one task, a wider level by a join. So rounds count such runs, each edge is read in one of them, and nothing found is written again.
     """
     if not 0 <= root < n:
         raise ValueError("the root is not a vertex")
     spark = edges.sparkSession
-    placed = in_order(edges.where(F.col("src") != F.col("dst"))).select("src", "dst", "pos").persist()
+    reached = checkpointed(sssp.solve(edges.select("src", "dst", F.lit(1).cast("long").alias("weight")), sssp.sources_frame(edges, [root]), "owner", n=n).select("v", F.col("dist").cast("int").alias("level")))
+    placed = in_order(edges.where(F.col("src") != F.col("dst"))).select("src", "dst", F.col("pos").cast("long").alias("pos"))
+    above, below = reached.select(F.col("v").alias("src"), F.col("level").alias("_up")), reached.select(F.col("v").alias("dst"), "level")
+    down = Stored(placed.join(above, "src").join(below, "dst").where("level = _up + 1").select("src", "dst", "pos", "level").repartitionByRange("level").sortWithinPartitions("level"), "layers")
+    folder = shared_folder(spark, "order")
+    kinds = "new_id long, old_id long, level int"
+    at = lambda i: f"{folder}/run={i}"
+    spark.createDataFrame([(0, root, 0)], kinds).coalesce(1).write.parquet(at(0))
     try:
-        found = checkpointed(spark.range(1).select(F.lit(0).cast("long").alias("new_id"), F.lit(root).cast("long").alias("old_id"), F.lit(0).alias("level")))
-        last, level, count = found, 0, 1
-        while True:
-            level += 1
-            reached = last.join(placed, F.col("old_id") == F.col("src")).groupBy("dst").agg(F.min(F.struct("new_id", "pos")).alias("by"))
-            fresh = reached.join(found.select("old_id"), F.col("dst") == F.col("old_id"), "left_anti").select("dst", F.col("by.new_id").alias("parent"), F.col("by.pos").alias("pos"))
-            ranked = ordered_rank(fresh, "parent", ["pos", "dst"], "nth")
-            last = checkpointed(ranked.select((F.col("nth") + count).alias("new_id"), F.col("dst").alias("old_id"), F.lit(level).alias("level")))
-            size = last.count()
-            if not size:
-                break
-            count += size
-            found = checkpointed(found.unionByName(last))
+        levels = reached.groupBy("level").agg(F.count(F.lit(1)).alias("vertices")).join(down.frame.groupBy("level").agg(F.count(F.lit(1)).alias("edges")), "level")
+        top = reached.agg(F.max("level"), F.count(F.lit(1))).first()
+        sized = running_total(levels.withColumn("_all", F.lit(0)), ["_all"], F.col("level").cast("long"), ["level"], F.col("edges"), "upto", buckets_for(top[0] + 1), max(1, int(top[0]).bit_length()))
+        wide = F.col("edges") > run_edges
+        runs = sized.groupBy(F.floor(F.col("upto") / run_edges).alias("part"), F.when(wide, F.col("level")).alias("alone")).agg(F.min("level").alias("lo"), F.max("level").alias("hi"), F.sum("vertices").alias("vertices")).orderBy("lo")
+        count = 1
+        for i, r in enumerate(runs.collect(), 1):  # at most two for each run_edges edges, and one
+            own = down.frame.where(F.col("level").between(r["lo"], r["hi"]))
+            before = spark.read.schema(kinds).parquet(at(i - 1)).where(F.col("level") == r["lo"] - 1)
+            if r["alone"] is None:
+                needed = before.join(own.where(F.col("level") == r["lo"]).select(F.col("src").alias("old_id")), "old_id", "left_semi").select("old_id", "new_id")
+                one = lambda rows: rows.withColumn("_all", F.lit(0)).groupBy("_all")
+                ranked = one(own).cogroup(one(needed)).applyInPandas(_rank_levels(count), kinds)
+            else:
+                found = before.join(own, F.col("old_id") == F.col("src")).groupBy("dst").agg(F.min(F.struct("new_id", "pos")).alias("by")).select("dst", F.col("by.new_id").alias("parent"), F.col("by.pos").alias("pos"))
+                ranked = ordered_rank(found, "parent", ["pos", "dst"], "nth").select((F.col("nth") + count).alias("new_id"), F.col("dst").alias("old_id"), F.lit(r["lo"]).alias("level"))
+            ranked.write.parquet(at(i))
+            count += r["vertices"]
     finally:
-        placed.unpersist()
-    rest = spark.range(n).withColumnRenamed("id", "old_id").join(found.select("old_id"), "old_id", "left_anti")
+        down.drop()
+    found = spark.read.schema(f"{kinds}, run int").parquet(folder).drop("run")
+    rest = spark.range(n).withColumnRenamed("id", "old_id").join(reached.select(F.col("v").alias("old_id")), "old_id", "left_anti")
     rest = ordered_rank(rest, "old_id", [], "nth").select((F.col("nth") + count).alias("new_id"), "old_id", F.lit(None).cast("int").alias("level"))
     return found.unionByName(rest)
 

@@ -197,6 +197,15 @@ def test_partitions_and_statistics(spark):
     assert {r["v"] for r in partition.ghost_closure(df, [0, 13, n], 0, 2).collect()} == two
 
 
+@pytest.mark.parametrize("run_edges", [3, 12])
+def test_order_in_runs_of_levels(spark, run_edges):
+    edges = random_graph(8) + [(u, u + 1, 1) for u in range(40, 60)] + [(3, 40, 0)]
+    got = reorder.bfs_order(frame(spark, edges), 62, run_edges=run_edges).collect()
+    order, level = queue_order(edges, 62, 0)
+    assert [r["old_id"] for r in sorted(got, key=lambda r: r["new_id"])] == order
+    assert {r["old_id"]: r["level"] for r in got if r["level"] is not None} == level
+
+
 def test_regions_as_an_overlay(spark):
     for seed, width, kind in ((1, 8, "long"), (6, 16, "double")):
         edges = random_graph(seed)
