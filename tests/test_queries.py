@@ -12,8 +12,8 @@ QUICK = (
     "graph_edges", "graph_stats", "partition_edge_balanced", "sssp_frontier", "sssp_predecessors", "sssp_batch", "chain_shortcuts", "chain_segments", "timing_summary",
     "bfs_positions", "layer_positions", "rebuilt_edges", "permutation_round_trip", "oracle_round_trip", "mtx_to_gr", "augmented_round_trip", "loose_shortcuts",
     "shortcut_counters", "bench_checks", "run_sinks", "first_mismatch", "conservation", "partition_cut_percent", "ghost_closure_2", "bags", "path_steps",
-    "sssp_multi_topk", "sssp_dynamic_delta", "reordered_cut", "queue_strategies", "hub_star", "hub_blocks", "sssp_delta_float", "sssp_delta_stepping",
-    "weight_estimate", "few_paths", "gr_source", "region_overlay", "region_closure", "fixpoint_certificate", "strategy_errors", "diameter_rule",
+    "sssp_multi_topk", "sssp_dynamic_delta", "reordered_cut", "queue_strategies", "hub_star", "hub_blocks", "sssp_delta_stepping",
+    "weight_estimate", "gr_source", "region_closure", "fixpoint_certificate", "diameter_rule",
 )
 
 
