@@ -6,9 +6,13 @@ earlier buckets are added. A group that holds most rows is spread over `buckets`
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.lineage import checkpointed
+
 
 def buckets_for(rows: int, each: int = 1 << 16) -> int:
     """How many buckets hold about `each` rows of a group of that many: a power of two, so parallelism grows with the group."""
@@ -44,13 +48,41 @@ def dense_rank_in(df: DataFrame, group: list[str], order_hash: Column, order: li
     return running_total(df, group, order_hash, order, F.lit(1), out, buckets, width)
 
 
-def ordered_rank(df: DataFrame, key: str, order: list[str], out: str, run: int = 4096) -> DataFrame:
-    """df with `out`: 0, 1, 2, ... in the order of (key, *order). key is a long spread over about as many values as rows.
+def ordered_rank(df: DataFrame, key: str, order: list[str], out: str, run: int = 4096, most: int = 1 << 20) -> DataFrame:
+    """df with `out`: 0, 1, 2, ... in the order of (key, *order). key is a long.
 
-    Runs of `run` values are ranked by themselves; one row per run gives the ranks that the runs begin at.
+    Runs of `run` values are cells that are ranked by themselves; one row per cell gives the ranks that the cells begin at. A run of more
+    than `most` rows has a cell for each of its keys, and for each range of the first column of order (if that is a whole number) where such a
+    key has several: so a key with many rows is many tasks. Rows that tie get distinct ranks in an unspecified order. df is read once to
+    size the runs, once for the result, and once more if a run is that large.
     """
+    whole = bool(order) and dict(df.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
+    at = F.col(order[0]).cast("double") if whole else F.lit(None).cast("double")
     dealt = df.withColumn("_run", F.floor(F.col(key) / run))
-    sizes = dealt.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.select(F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("_run").orderBy(key, *order))
-    return dealt.withColumn("_nth", nth).join(base, F.col("_run") == F.col("_r")).withColumn(out, F.col("_base") + F.col("_nth") - 1).drop("_run", "_r", "_nth", "_base")
+    sizes = checkpointed(dealt.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")))
+    large = sizes.where(F.col("_n") > most)
+    if large.isEmpty():
+        cell, cells = ["_run"], sizes.select("_run", "_n")
+    else:
+        cell = ["_run", "_ck", "_cp"]
+        # At most one row for each `most` rows of df.
+        pieces = F.broadcast(large.select("_run", "_lo", "_hi", F.ceil(F.col("_n") / most).alias("_of")))
+        # Casts to double, subtraction and scaling keep the order, so ranges do.
+        range_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.col("_of") - 1, F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_of")))).otherwise(F.lit(0))
+        # Nulls come first.
+        range_of = F.when(at.isNull(), F.lit(-1)).otherwise(range_of)
+        split = F.col("_of").isNotNull()
+        dealt = dealt.join(pieces, "_run", "left").withColumn("_ck", F.when(split, F.col(key).cast("long")).otherwise(0)).withColumn("_cp", F.when(split, range_of).otherwise(0).cast("long")).drop("_lo", "_hi", "_of")
+        cells = dealt.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    before = lambda group, by, n: F.coalesce(F.sum(n).over(Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Sums over runs of runs, so that the one window over all sees a row for each run * run values.
+    runs = sizes.select("_run", "_n", F.floor(F.col("_run") / run).alias("_block"))
+    blocks = runs.groupBy("_block").agg(F.sum("_n").alias("_bn")).select(F.col("_block").alias("_b"), before([], ["_block"], "_bn").alias("_upto"))
+    runs = runs.withColumn("_own", before(["_block"], ["_run"], "_n")).join(blocks, F.col("_block").eqNullSafe(F.col("_b"))).select(F.col("_run").alias("_r"), (F.col("_upto") + F.col("_own")).alias("_base"))
+    if len(cell) > 1:
+        cells = cells.withColumn("_in", before(["_run"], cell[1:], "_n")).join(runs, F.col("_run").eqNullSafe(F.col("_r"))).select(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(cell)], (F.col("_base") + F.col("_in")).alias("_base"))
+    else:
+        cells = runs.withColumnRenamed("_r", "_at0")
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy(key, *order))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_at{i}")) for i, c in enumerate(cell)])
+    return dealt.withColumn("_nth", nth).join(cells, same).withColumn(out, F.col("_base") + F.col("_nth") - 1).drop("_nth", "_base", *cell, *[f"_at{i}" for i in range(len(cell))])

@@ -14,6 +14,7 @@ frontier  all open rows
 delta     open rows of the least bucket floor(dist / delta); delta may adapt to how much a bucket holds
 delta_stepping  the same, along light edges (weight of delta or less) until the bucket has no open row, then once along the heavy edges of all that it settled
 near_far  open rows below a threshold, which moves up when none is left
+filter    of each of several parts of the ids the open rows of the part's least bucket; what lies beyond waits
 topk      the k open rows with the least distance
 multi_topk  the k open rows with the least distance of each of several parts of the ids
 owner     each owner of a range of ids solves its part to the end; only what crosses between owners takes a round
@@ -41,7 +42,7 @@ from pathloom.operators.adjacency import BLOCK_EDGES, FEW_HUBS, Adjacency, local
 from pathloom.operators.graph import INT_MAX, check
 from pathloom.plans import planner
 
-STRATEGIES = ("frontier", "delta", "delta_stepping", "near_far", "topk", "multi_topk", "owner")
+STRATEGIES = ("frontier", "delta", "delta_stepping", "near_far", "filter", "topk", "multi_topk", "owner")
 #: Levels that are read side by side before they are merged.
 LEVELS = 12
 #: A frontier of at least 1 / WIDE of the known rows is merged with them.
@@ -201,20 +202,28 @@ def _least(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Choice:
-    """Which open rows a round expands: those below a bound or at the least distance, so some always; with parts, those up to a bound of each part."""
+    """Which open rows a round expands: those below a bound or at the least distance, so some always; with parts, those up to a bound of each part, or below
+    a bound or at the least distance of each part."""
 
     least: float
     below: float | None = None
     upto: tuple[tuple[int, float], ...] = ()
     parts: int = 1
+    # (part, least distance, bound)
+    within: tuple[tuple[int, float, float], ...] = ()
 
     def column(self):
+        if self.within:
+            part = F.pmod("v", F.lit(self.parts))
+            return reduce(lambda x, y: x | y, [(part == p) & ((F.col("dist") < F.lit(b)) | (F.col("dist") <= F.lit(d))) for p, d, b in self.within])
         if self.upto:
             part = F.pmod("v", F.lit(self.parts))
             return reduce(lambda x, y: x | y, [(part == p) & (F.col("dist") <= F.lit(d)) for p, d in self.upto])
         return F.lit(True) if self.below is None else (F.col("dist") < F.lit(self.below)) | (F.col("dist") <= F.lit(self.least))
 
     def holds(self, v: int, dist: float) -> bool:
+        if self.within:
+            return any(v % self.parts == p and (dist < b or dist <= d) for p, d, b in self.within)
         if self.upto:
             return any(v % self.parts == p and dist <= d for p, d in self.upto)
         return self.below is None or dist < self.below or dist <= self.least
@@ -279,6 +288,15 @@ class _Rounds:
         if self.strategy == "near_far":
             self.base = least if least >= self.base + self.delta else self.base
             return _Choice(least, self.base + self.delta)
+        if self.strategy == "filter":
+            # A number per part.
+            if dists is None:
+                first = {r["p"]: r["d"] for r in self.table.groupBy(F.pmod("v", F.lit(self.parts)).alias("p")).agg(F.min("dist").alias("d")).collect()}
+            else:
+                first = {}
+                for v, d in dists:
+                    first[v % self.parts] = min(d, first.get(v % self.parts, d))
+            return _Choice(least, parts=self.parts, within=tuple((p, d, (d // self.delta + 1) * self.delta) for p, d in sorted(first.items())))
         if self.strategy == "topk":
             if dists is not None:
                 return _Choice(least, upto=((0, sorted(d for _, d in dists)[: self.k][-1]),))
@@ -419,7 +437,7 @@ def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta:
     seeds(q, v, dist): where queries start and at what distance; rows with the same q are one query. Weights must be
     non-negative; null or NaN weights and null ends raise ValueError. hops is the least number of edges among the shortest paths.
     strategy may be a queue's name (planner.QUEUES). Rounds beyond max_rounds raise RuntimeError. With bucket_rows, delta doubles after a bucket with less than a
-    quarter as many rows and halves after one with more than four times as many. multi_topk takes k of each of `parts` parts.
+    quarter as many rows and halves after one with more than four times as many. multi_topk and filter choose of each of `parts` parts.
     Edges of a vertex with more than block_edges of them are dealt over several blocks. counts, if given, gets the rounds and the relaxed edges (a lost executor may count some twice).
     `owner` needs ids 0..n-1 (n defaults to the largest id + 1). A task holds at most about owner_edges edges and, for about query_block queries, their
     vertices; the edges of a vertex with more than that are joined to it outside the owners' tasks.
@@ -434,7 +452,7 @@ def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta:
     start = _least(seeds.select(F.col("q").cast("long").alias("q"), F.col("v").cast("long").alias("v"), F.col("dist").cast(kind).alias("dist"), F.lit(0).cast("long").alias("hops")))
     if strategy == "owner":
         return _by_owner(edges, start, kind, n, owners, owner_edges, query_block, max_rounds, {} if counts is None else counts)
-    if strategy in ("delta", "delta_stepping", "near_far") and not (delta and delta > 0):
+    if strategy in ("delta", "delta_stepping", "near_far", "filter") and not (delta and delta > 0):
         raise ValueError(f"{strategy} needs a delta above 0")
     adjacency = Adjacency(edges, kind, block_edges, delta if strategy == "delta_stepping" else None)
     try:

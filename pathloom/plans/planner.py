@@ -29,12 +29,12 @@ QUEUE_NAMES = (
 
 def queue_strategy(name: str) -> str:
     """The expansion strategy that orders work as the queue does. The second level holds all open work, so its order decides: buckets, one heap, or a heap
-    for each part. Plain vectors have no order of their own; there the first level decides: near and far, small labels first within owners, or none."""
+    for each part. Plain vectors have no order of their own; there the first level decides: near and far, a filter of each part, small labels first within owners, or none."""
     if name not in QUEUE_NAMES:
         raise ValueError(f"{name} is not a queue")
     first, second = name.split("_")
     ordered = {"L2DQ": "delta", "L2PQ": "topk", "L2MPQ": "multi_topk"}
-    return ordered.get(second) or {"L1NF": "near_far", "L1SLF": "owner"}.get(first, "frontier")
+    return ordered.get(second) or {"L1NF": "near_far", "L1FQ": "filter", "L1SLF": "owner"}.get(first, "frontier")
 
 
 QUEUES = {name: queue_strategy(name) for name in QUEUE_NAMES}

@@ -28,14 +28,19 @@ STRIDE = 16
 REGION = 256
 
 
+def _eid(src, dst):
+    """Both ends in one number. Pairs are distinct, so it needs no global order; ids beyond 31 bits raise."""
+    held = src.between(0, (1 << 31) - 1) & dst.between(0, (1 << 31) - 1)
+    return F.when(held, src * F.lit(1 << 31) + dst).otherwise(F.raise_error(F.lit("ids of more than 31 bits")).cast("long")).alias("eid")
+
+
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """eid, src, dst, weight of the supplier-part graph."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_quantity")
     pairs = lines.groupBy((F.col("l_suppkey") * 2).alias("s"), (F.col("l_partkey") * 2 + 1).alias("p")).agg(F.min("l_quantity").cast("long").alias("weight"))
     ends = F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("p").alias("dst")), F.struct(F.col("p").alias("src"), F.col("s").alias("dst"))))
     both = pairs.select(ends.alias("e"), "weight").select("e.src", "e.dst", "weight")
-    # Pairs are distinct: a hash of both ends is an eid that needs no global order.
-    return both.select((F.col("src") * F.lit(1 << 31) + F.col("dst")).alias("eid"), "src", "dst", "weight")
+    return both.select(_eid(F.col("src"), F.col("dst")), "src", "dst", "weight")
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +49,7 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = Window.partitionBy("user_id").orderBy("ts", "event_id")
     steps = events.select("event_id", F.lag("event_id").over(turn).alias("p"), (F.col("t") - F.lag("t").over(turn)).alias("weight")).where("p IS NOT NULL")
     ends = F.explode(F.array(F.struct(F.col("p").alias("src"), F.col("event_id").alias("dst")), F.struct(F.col("event_id").alias("src"), F.col("p").alias("dst"))))
-    return steps.select(ends.alias("e"), "weight").select((F.col("e.src") * F.lit(1 << 31) + F.col("e.dst")).alias("eid"), "e.src", "e.dst", "weight")
+    return steps.select(ends.alias("e"), "weight").select(_eid(F.col("e.src"), F.col("e.dst")), "e.src", "e.dst", "weight")
 
 
 def walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +195,14 @@ def bfs_levels(spark, sf_dir):
     return sssp.bfs_levels(trade_edges(spark, sf_dir), SOURCE)
 
 
+def owned_slice(spark, sf_dir):
+    """What owner 1 holds: its edges with their own ends' ids, the number of the row in the slice, and whether the edge leaves it."""
+    edges = trade_edges(spark, sf_dir)
+    bounds = partition.vertex_balanced(size_of(edges), PARTS)
+    own = partition.owned_edges(edges, bounds, 1)
+    return own.select((F.col("src") - bounds[1]).alias("row"), "dst", "weight", (partition.owner(F.col("dst"), bounds) != 1).alias("leaves"))
+
+
 def boundary_vertices(spark, sf_dir):
     edges = trade_edges(spark, sf_dir)
     return partition.boundary_vertices(edges, partition.vertex_balanced(size_of(edges), PARTS))
@@ -617,6 +630,7 @@ QUERIES = {
     "ghost_closure_2": ghost_closure_2, "bags": bags, "cut_rule": cut_rule, "diameter_rule": diameter_rule, "queue_strategies": queue_strategies,
     "sampled_weight": sampled_weight, "path_steps": path_steps, "sssp_multi_topk": _solved("L1V_L2MPQ", k=TOP, parts=PARTS),
     "sssp_queue_heap": _solved("L1FQ_L2PQ", k=TOP), "sssp_queue_small_label_first": _solved("L1SLF_L2V", owners=PARTS),
+    "sssp_queue_filter": _solved("L1FQ_L2V", delta=DELTA, parts=PARTS), "owned_slice": owned_slice,
     "sssp_dynamic_delta": _solved("L1N_L2DQ", delta=1, bucket_rows=TOP), "sssp_delta_stepping": _solved("delta_stepping", delta=12), "hub_star": hub_star, "hub_blocks": hub_blocks,
     "sssp_delta_float": sssp_delta_float, "sssp_stepping_float": sssp_stepping_float, "sssp_query_blocks": sssp_query_blocks, "weight_estimate": weight_estimate,
     "sssp_sampled_delta": sssp_sampled_delta, "few_paths": few_paths, "gr_source": gr_source, "region_overlay": region_overlay, "region_closure": region_closure,
@@ -673,7 +687,7 @@ a AS (SELECT 0 AS i, 0 AS bound UNION ALL SELECT i, bound FROM b UNION ALL SELEC
 p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_id FROM a)""",
         "SELECT part::INTEGER AS part, first_id::BIGINT AS first_id, end_id::BIGINT AS end_id, (SELECT count(*) FROM e WHERE e.src >= p.first_id AND e.src < p.end_id)::BIGINT AS edges FROM p WHERE end_id IS NOT NULL",
     ),
-    **dict.fromkeys(("sssp_frontier", "sssp_delta", "sssp_near_far", "sssp_topk", "sssp_owner", "sssp_planned", "sssp_auto_delta", "decrease_only_updates", "sssp_int32", "sssp_multi_topk", "sssp_queue_heap", "sssp_queue_small_label_first", "sssp_dynamic_delta"), _DIST),
+    **dict.fromkeys(("sssp_frontier", "sssp_delta", "sssp_near_far", "sssp_topk", "sssp_owner", "sssp_planned", "sssp_auto_delta", "decrease_only_updates", "sssp_int32", "sssp_multi_topk", "sssp_queue_filter", "sssp_queue_heap", "sssp_queue_small_label_first", "sssp_dynamic_delta"), _DIST),
     **dict.fromkeys(("mtx_round_trip", "mtx_to_gr"), _sql(TRADE, "SELECT src, dst, w AS weight FROM e")),
     **dict.fromkeys(("distance_text_round_trip", "oracle_round_trip"), _sql(f"{TRADE},\n{_ONE}", "SELECT vs.id AS v, coalesce(r.d, -1)::BIGINT AS dist FROM vs LEFT JOIN r ON r.v = vs.id")),
     "rebuilt_edges": _sql(TRADE, "SELECT row_number() OVER (ORDER BY n - 1 - src, dst) - 1 AS eid, n - 1 - src AS src, n - 1 - dst AS dst, w AS weight FROM e, size"),
@@ -688,7 +702,7 @@ p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_
     "diameter_rule": _sql(f"{TRADE},\n" + _reach("SELECT 0::BIGINT, 0::BIGINT", "1") + ", l AS (SELECT least(max(d), 128) AS l FROM r)", "SELECT 'trade' AS graph, CASE WHEN l > 64 AND l * l > sqrt(n) THEN 'owner' ELSE 'frontier' END AS strategy FROM l, size"),
     "long_walk": "SELECT event_id AS v, coalesce(sum(w) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS dist FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) % 9 + 1 AS w FROM events)",
     "sampled_weight": _sql(TRADE, "SELECT round(avg(w), 6) AS avg_weight FROM e"),
-    "queue_strategies": "SELECT queue, CASE WHEN queue LIKE '%\\_L2DQ' ESCAPE '\\' THEN 'delta' WHEN queue LIKE '%\\_L2PQ' ESCAPE '\\' THEN 'topk' WHEN queue LIKE '%\\_L2MPQ' ESCAPE '\\' THEN 'multi_topk' WHEN queue LIKE 'L1NF%' THEN 'near_far' WHEN queue LIKE 'L1SLF%' THEN 'owner' ELSE 'frontier' END AS strategy FROM (SELECT unnest([" + ", ".join(f"'{q}'" for q in planner.QUEUE_NAMES) + "]) AS queue)",
+    "queue_strategies": "SELECT queue, CASE WHEN queue LIKE '%\\_L2DQ' ESCAPE '\\' THEN 'delta' WHEN queue LIKE '%\\_L2PQ' ESCAPE '\\' THEN 'topk' WHEN queue LIKE '%\\_L2MPQ' ESCAPE '\\' THEN 'multi_topk' WHEN queue LIKE 'L1NF%' THEN 'near_far' WHEN queue LIKE 'L1FQ%' THEN 'filter' WHEN queue LIKE 'L1SLF%' THEN 'owner' ELSE 'frontier' END AS strategy FROM (SELECT unnest([" + ", ".join(f"'{q}'" for q in planner.QUEUE_NAMES) + "]) AS queue)",
     "bench_checks": "SELECT event_type AS kind, count(*) AS bad FROM events WHERE event_id % 3 = 0 OR event_id % 11 = 0 GROUP BY event_type",
     "run_sinks": "SELECT event_type, count(*) AS runs, max(event_id) AS last, sink FROM events, (SELECT unnest(['json', 'csv']) AS sink) GROUP BY event_type, sink",
     **dict.fromkeys(("bfs_positions", "layer_positions", "reordered_cut"), ""),
@@ -704,6 +718,7 @@ p AS (SELECT i AS part, bound AS first_id, lead(bound) OVER (ORDER BY i) AS end_
   WHERE k.d IS NULL OR f.d + e.w < k.d GROUP BY f.source, e.dst)""", "SELECT source, v, d AS dist FROM r"),
     "sssp_seeded": _sql(f"{TRADE},\n" + _reach("SELECT v::BIGINT, d::BIGINT FROM (VALUES (0, 5), (3, 0), (4, 2)) x(v, d)"), "SELECT v, d AS dist FROM r"),
     "bfs_levels": _sql(f"{TRADE},\n" + _reach("SELECT 0::BIGINT, 0::BIGINT", "1"), "SELECT v, d AS level FROM r"),
+    "owned_slice": _sql(f"{TRADE}, {_OWNED}", "SELECT e.src - n * 1 // 4 AS row, e.dst, e.w AS weight, b.owner <> 1 AS leaves FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst, size WHERE a.owner = 1"),
     "boundary_vertices": _sql(f"{TRADE}, {_OWNED}", "SELECT DISTINCT e.dst AS v, b.owner::INTEGER AS owner FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst WHERE a.owner <> b.owner"),
     "ghost_closure": _sql(f"{TRADE}, {_OWNED}", "SELECT DISTINCT e.dst AS v FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst WHERE a.owner = 0 AND b.owner <> 0"),
     "remote_candidates_min": _sql(f"{TRADE}, {_OWNED}", "SELECT e.dst, min(e.src % 7 + e.w) AS d FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst WHERE a.owner <> b.owner GROUP BY e.dst"),

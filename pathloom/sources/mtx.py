@@ -64,7 +64,7 @@ def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Bann
     eid orders a row's edges as the file does, a mirrored entry at its entry's place. Vertices are as many as the file's rows. The
     head may be of any length. Ends out of range, lines that aren't entries and a wrong number of entries raise.
     """
-    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
     banner = read_banner(_head(path))
     data = text.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     size = data.orderBy("line").limit(1).select(F.col("line").alias("size_line"))

@@ -13,7 +13,7 @@ QUICK = (
     "bfs_positions", "layer_positions", "rebuilt_edges", "permutation_round_trip", "oracle_round_trip", "mtx_to_gr", "augmented_round_trip", "loose_shortcuts",
     "shortcut_counters", "bench_checks", "run_sinks", "first_mismatch", "conservation", "partition_cut_percent", "ghost_closure_2", "bags", "path_steps",
     "sssp_multi_topk", "sssp_dynamic_delta", "reordered_cut", "queue_strategies", "hub_star", "hub_blocks", "sssp_delta_stepping",
-    "weight_estimate", "gr_source", "region_closure", "fixpoint_certificate", "diameter_rule",
+    "weight_estimate", "gr_source", "region_closure", "fixpoint_certificate", "diameter_rule", "sssp_queue_filter", "owned_slice", "gr_round_trip",
 )
 
 

@@ -7,7 +7,7 @@ from pathloom.operators import sssp, validate
 from pathloom.operators.adjacency import Adjacency
 from pathloom.plans import planner
 
-OPTIONS = {"frontier": {}, "delta": {"delta": 3}, "delta_stepping": {"delta": 3}, "near_far": {"delta": 3}, "topk": {"k": 4}, "multi_topk": {"k": 2, "parts": 3}, "owner": {"owners": 3}}
+OPTIONS = {"frontier": {}, "delta": {"delta": 3}, "delta_stepping": {"delta": 3}, "near_far": {"delta": 3}, "filter": {"delta": 3, "parts": 3}, "topk": {"k": 4}, "multi_topk": {"k": 2, "parts": 3}, "owner": {"owners": 3}}
 
 
 @pytest.mark.parametrize("strategy", OPTIONS)
