@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from pathloom.functions.lineage import checkpointed, sweep
 
 
+def _star_step(now: DataFrame) -> DataFrame:
+    """One large-star and small-star step over now(a, b), a > b. All sides grow with the input, so none is sent to the driver to be broadcast, however few bytes its shuffle has."""
+    both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    joined = large.join(low.hint("merge"), "a")
+    small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    return small.where("a <> b").distinct()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, root): every node of an edge, with the smallest node of its component.
 
@@ -21,11 +32,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == before or mark["n"] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         before = mark
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = checkpointed(small.where("a <> b").distinct())
+        now = checkpointed(_star_step(now))
         sweep(now.sparkSession)

@@ -83,7 +83,7 @@ def _near(own: DataFrame, radius: int) -> DataFrame:
     same = own.select(F.col("fp").alias("fp2"), F.col("w").alias("w2"), F.col("word").alias("word2"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
     meet = (F.col("w") == F.col("w2")) & (F.col("word") == F.col("word2"))
-    pairs = own.join(same, meet & (F.col("fp") < F.col("fp2")) & near).select("fp", "fp2").unionByName(own.join(off, meet & near).select("fp", "fp2"))
+    pairs = own.join(same.hint("merge"), meet & (F.col("fp") < F.col("fp2")) & near).select("fp", "fp2").unionByName(own.join(off.hint("merge"), meet & near).select("fp", "fp2"))
     return pairs.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
 
 
@@ -100,6 +100,7 @@ def linked_pairs(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
     Up to `crowd` fingerprints with the same half, every pair comes once. In a crowd with a half in common, the other halves meet in the middle
     in turn: each emits its variants within half of what is left of the radius, rounded down and up, and all that share a variant
     are tied to one of them. So a crowd makes rows in proportion to its size, and no link between components is lost.
+    Joins have the merge hint: their sides grow with the input, and a side of a few MB in a shuffle may be a hundred in the driver that broadcasts it.
     """
     if not 0 <= radius <= 3:
         raise ValueError("two words and one flipped bit cover a radius of 3 at most")
@@ -108,10 +109,10 @@ def linked_pairs(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
     sizes = checkpointed(sizes)
     if sizes.isEmpty():
         return _near(halves, radius).distinct()
-    in_crowd = lambda rows: rows.join(sizes, (F.col("w") == F.col("cw")) & (F.col("word") == F.col("cword")), "left_semi")
+    in_crowd = lambda rows: rows.join(sizes.hint("merge"), (F.col("w") == F.col("cw")) & (F.col("word") == F.col("cword")), "left_semi")
     members = checkpointed(in_crowd(halves))
     # Pairs by halves, but for those that a crowd answers for.
-    calm = halves.join(sizes, (F.col("w") == F.col("cw")) & (F.col("word") == F.col("cword")), "left_anti")
+    calm = halves.join(sizes.hint("merge"), (F.col("w") == F.col("cw")) & (F.col("word") == F.col("cword")), "left_anti")
     pairs = _near(calm, radius)
     lower, upper = radius // 2, radius - radius // 2
     within = lambda rows, bits: rows.select("w", "word", "fp", F.explode(_ball(F.col("other"), bits)).alias("v"))
@@ -136,10 +137,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(linked_pairs(nodes.select("fp"), radius))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(smallest, "root").select(F.col("fp").alias("fp2"), "root", "component_id")
-    return rows.join(found, rows["fp"] == found["fp2"]).select("doc_id", "fp", "th", "root", "component_id")
+    found = named.join(smallest.hint("merge"), "root").select(F.col("fp").alias("fp2"), "root", "component_id")
+    return rows.join(found.hint("merge"), rows["fp"] == found["fp2"]).select("doc_id", "fp", "th", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +151,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     h, kept_id, kept_h, n = unused(docs.columns, "_nd_h", "_nd_id", "_nd_th", "_nd_n")
     keep = found.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.th").alias(kept_h))
     marked = docs.withColumn(h, F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)))
-    stay = marked.join(keep, (F.col(id_col).cast("long") == F.col(kept_id)) & F.col(h).eqNullSafe(F.col(kept_h)))
+    stay = marked.join(keep.hint("merge"), (F.col(id_col).cast("long") == F.col(kept_id)) & F.col(h).eqNullSafe(F.col(kept_h)))
     # Repeated rows of the representative are copies too; other texts with its id are not.
     nth = F.row_number().over(Window.partitionBy(kept_id, kept_h).orderBy(*[F.col(c) for c in docs.columns if c != text_col]))
     one = stay.withColumn(n, nth).where(F.col(n) == 1)
