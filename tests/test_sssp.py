@@ -200,3 +200,26 @@ def test_rounds_that_do_not_do_raise_and_tables_go(spark):
     assert len(solved(sssp.solve(df, sssp.sources_frame(df, [0]), "L1FQ_L2DQ", delta=1, bucket_rows=2))) == 7
     assert not [p for p in folder.iterdir() if p.name not in before and p.name.startswith(("level", "open", "edges", "settled"))]
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("level", "edges"))]
+
+
+def test_owners_are_bounded_by_edges_whatever_is_asked(spark, monkeypatch):
+    """Asked for two owners, a path of 200 edges gets as many as hold 20 edges each, so no task holds more than about that."""
+    held = []
+    cut = sssp.partition.edge_balanced
+    monkeypatch.setattr(sssp.partition, "edge_balanced", lambda *a: held.append(cut(*a)) or held[-1])
+    edges = [(i, i + 1, 1 + i % 3) for i in range(200)] + [(i + 1, i, 1 + i % 4) for i in range(0, 200, 2)]
+    df, counts = frame(spark, edges), {}
+    monkeypatch.setattr(sssp, "LEVELS", 3)
+    got = solved(sssp.solve(df, sssp.sources_frame(df, [0]), "owner", owners=2, owner_edges=20, counts=counts))
+    assert got == dijkstra(edges, [(0, 0)])
+    assert len(held[0]) - 1 == 15 and max(sum(a <= s < b for s, _, _ in edges) for a, b in zip(held[0], held[0][1:], strict=False)) <= 40
+    # A round goes on into the next owner, and offers that are worse open nothing.
+    assert counts["rounds"] == 15
+
+
+def test_owners_keep_floats_and_long_distances_exact(spark):
+    df = spark.createDataFrame([(0, 1, 1 / 3), (1, 2, 1 / 7), (0, 2, 0.9), (2, 3, 0.0)], "src long, dst long, weight double")
+    got = solved(sssp.solve(df, sssp.sources_frame(df, [0]), "owner", owners=3))
+    assert got == {0: (0.0, 0), 1: (1 / 3, 1), 2: (1 / 3 + 1 / 7, 2), 3: (1 / 3 + 1 / 7, 3)}
+    far = frame(spark, [(0, 1, 2**53), (1, 2, 1)])
+    assert solved(sssp.solve(far, sssp.sources_frame(far, [0]), "owner", owners=2)) == {0: (0, 0), 1: (2**53, 1), 2: (2**53 + 1, 2)}
