@@ -603,9 +603,9 @@ def _merge(rows: DataFrame) -> DataFrame:
 def predecessors(solved: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """solved with pred: the least vertex before v on a shortest path of the fewest hops; null for seeds that are their own start."""
     before = solved.select("q", F.col("v").alias("u"), F.col("dist").alias("du"), F.col("hops").alias("hu"))
-    tight = before.join(edges, F.col("u") == F.col("src")).select("q", F.col("dst").alias("v"), (F.col("du") + F.col("weight")).alias("dist"), (F.col("hu") + 1).alias("hops"), "u")
-    best = tight.join(solved, ["q", "v", "dist", "hops"]).groupBy("q", "v").agg(F.min("u").alias("pred"))
-    return solved.join(best, ["q", "v"], "left").select("q", "v", "dist", "hops", F.when(F.col("hops") > 0, F.col("pred")).alias("pred"))
+    tight = before.join(edges.hint("merge"), F.col("u") == F.col("src")).select("q", F.col("dst").alias("v"), (F.col("du") + F.col("weight")).alias("dist"), (F.col("hu") + 1).alias("hops"), "u")
+    best = tight.join(solved.hint("merge"), ["q", "v", "dist", "hops"]).groupBy("q", "v").agg(F.min("u").alias("pred"))
+    return solved.join(best.hint("merge"), ["q", "v"], "left").select("q", "v", "dist", "hops", F.when(F.col("hops") > 0, F.col("pred")).alias("pred"))
 
 
 def sssp(edges: DataFrame, source: int, vertices: DataFrame | None = None, strategy: str = "frontier", compat_int32: bool = False, **options) -> DataFrame:
@@ -644,27 +644,28 @@ def path_to(solved: DataFrame, targets: DataFrame) -> DataFrame:
     solved(v, hops, pred) is one query. A target that isn't reached gives no rows. Pointers over 2, 4, 8, ... steps are made only for vertices whose hops they divide, so
     all of them together are no more rows than there are vertices. A target goes down by the bits of its hops, which leaves gaps of
     such lengths; gaps are then halved until they are single steps. Rounds are as many as twice the bits of the longest path.
+    Pointers and ways grow with the graph and compress well, so a few MB of them in a shuffle are many in a driver: they are merged, never broadcast.
     """
     near = solved.select("v", "hops", F.col("pred").alias("up"))
-    front = checkpointed(targets.select(F.col("v").alias("target")).distinct().join(near, F.col("target") == F.col("v")).select("target", "v", "hops"))
+    front = checkpointed(targets.select(F.col("v").alias("target")).distinct().join(near.hint("merge"), F.col("target") == F.col("v")).select("target", "v", "hops"))
     most = front.agg(F.max("hops")).first()[0] or 0
     jump, jumps, gaps, size = near.where((F.col("hops") > 0) & (F.col("hops") <= most)), [], [], 1
     passed = [front]
     while size <= most:
         jumps.append(jump)
         odd = front.where(F.col("hops").bitwiseAND(F.lit(size)) != 0)
-        moved = checkpointed(odd.join(jump.select("v", "up"), "v").select("target", F.col("up").alias("v"), (F.col("hops") - size).alias("hops")))
+        moved = checkpointed(odd.join(jump.select("v", "up").hint("merge"), "v").select("target", F.col("up").alias("v"), (F.col("hops") - size).alias("hops")))
         gaps.append(odd)
         passed.append(moved)
         front = checkpointed(front.where(F.col("hops").bitwiseAND(F.lit(size)) == 0).unionByName(moved))
         even = jump.where(F.col("hops") % (2 * size) == 0)
-        jump = checkpointed(even.join(jump.select(F.col("v").alias("m"), F.col("up").alias("up2")), F.col("up") == F.col("m")).select("v", "hops", F.col("up2").alias("up")))
+        jump = checkpointed(even.join(jump.select(F.col("v").alias("m"), F.col("up").alias("up2")).hint("merge"), F.col("up") == F.col("m")).select("v", "hops", F.col("up2").alias("up")))
         size *= 2
     inner = None
     for i in range(len(jumps) - 1, 0, -1):
         size //= 2
         open_gaps = gaps[i] if inner is None else gaps[i].unionByName(inner)
-        middle = checkpointed(open_gaps.join(jumps[i - 1].select("v", "up"), "v").select("target", F.col("up").alias("v"), (F.col("hops") - size // 2).alias("hops")))
+        middle = checkpointed(open_gaps.join(jumps[i - 1].select("v", "up").hint("merge"), "v").select("target", F.col("up").alias("v"), (F.col("hops") - size // 2).alias("hops")))
         passed.append(middle)
         inner = checkpointed(open_gaps.unionByName(middle))
     return reduce(DataFrame.unionByName, passed).select("target", F.col("hops").alias("step"), "v").distinct()

@@ -238,3 +238,15 @@ def test_diameter_rule_has_all_its_graphs(spark, tmp_path):
     rows = [(s, p, 1.0 + (s + p) % 5) for s in range(3) for p in range(4)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert {tuple(r) for r in registry.QUERIES["diameter_rule"](spark, str(tmp_path)).collect()} == {("trade", "frontier"), ("short", "frontier"), ("long", "owner")}
+
+
+def test_paths_and_predecessors_broadcast_nothing(spark, monkeypatch):
+    plans, keep = [], sssp.checkpointed
+    monkeypatch.setattr(sssp, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    solved_rows = spark.createDataFrame([(v, v, v - 1 if v else None) for v in range(9)], "v long, hops long, pred long")
+    paths = sssp.path_to(solved_rows, spark.createDataFrame([(8,), (5,)], "v long"))
+    assert sorted((r["target"], r["step"]) for r in paths.collect()) == [(5, i) for i in range(6)] + [(8, i) for i in range(9)]
+    df = frame(spark, [(0, 1, 1), (1, 2, 1)])
+    solved_rows = spark.createDataFrame([(0, v, v, v) for v in range(3)], "q long, v long, dist long, hops long")
+    plans.append(sssp.predecessors(solved_rows, df, sssp.sources_frame(df, [0]))._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "BroadcastExchange" in p]
