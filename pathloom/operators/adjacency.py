@@ -6,6 +6,8 @@ no bucket holds more of a hub than a few blocks. Rows that are to be expanded ge
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ class Adjacency:
     """Edges (src, dst, weight) written by key, until dropped. kind is the type of weights; heavy_over parts edges heavier than that from the others."""
 
     def __init__(self, edges: DataFrame, kind: str, block_edges: int = BLOCK_EDGES, heavy_over: float | None = None):
-        self.spark, self.parted = edges.sparkSession, heavy_over is not None
+        self.spark, self.kind, self.parted = edges.sparkSession, kind, heavy_over is not None
         plain = edges.select("src", "dst", F.col("weight").cast(kind).alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             check(plain)
@@ -82,3 +84,44 @@ class Adjacency:
 
     def drop(self) -> None:
         self.stored.drop()
+
+
+class Layers:
+    """Adjacencies of the same vertices side by side, as edges arrive: a round reads them all, and none is written again."""
+
+    def __init__(self, spark):
+        self.spark, self.parts = spark, []
+
+    def add(self, part: Adjacency) -> None:
+        self.parts.append(part)
+
+    @property
+    def kind(self) -> str:
+        return "double" if any(x.kind == "double" for x in self.parts) else "long"
+
+    @property
+    def mean_degree(self) -> float:
+        """Not less than that of the union."""
+        return sum(x.mean_degree for x in self.parts)
+
+    @property
+    def hub_ids(self) -> set | None:
+        """What is a hub in one of them."""
+        return None if any(x.hub_ids is None for x in self.parts) else set().union(*(x.hub_ids for x in self.parts))
+
+    def expand(self, rows: DataFrame, heavy: bool | None = None) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x.expand(rows, heavy) for x in self.parts])
+
+    def of_few(self, vertices: list[int], most: int, heavy: bool | None = None) -> list | None:
+        found = []
+        for x in self.parts:
+            got = x.of_few(vertices, most - len(found), heavy)
+            if got is None:
+                return None
+            found += got
+        return found
+
+    def drop(self) -> None:
+        for x in self.parts:
+            x.drop()
+        self.parts = []

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.hashing import hash_of
 from pathloom.functions.lineage import Stored, checkpointed
 from pathloom.operators import partition
-from pathloom.operators.adjacency import BLOCK_EDGES, FEW_HUBS, Adjacency, local_rows
+from pathloom.operators.adjacency import BLOCK_EDGES, FEW_HUBS, Adjacency, Layers, local_rows
 from pathloom.operators.graph import INT_MAX, check
 from pathloom.plans import planner
 
@@ -451,7 +451,7 @@ class _Rounds:
                 x.drop()
 
 
-def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta: float | None = None, k: int = 10_000, n: int | None = None, owners: int | None = None, owner_edges: int = 1_000_000, max_rounds: int | None = None, parts: int = 8, bucket_rows: int | None = None, block_edges: int = BLOCK_EDGES, query_block: int = 8, counts: dict | None = None) -> DataFrame:
+def solve(edges: DataFrame | Layers, seeds: DataFrame, strategy: str = "frontier", delta: float | None = None, k: int = 10_000, n: int | None = None, owners: int | None = None, owner_edges: int = 1_000_000, max_rounds: int | None = None, parts: int = 8, bucket_rows: int | None = None, block_edges: int = BLOCK_EDGES, query_block: int = 8, counts: dict | None = None) -> DataFrame:
     """q, v, dist, hops for every vertex that a query's seeds reach.
 
     seeds(q, v, dist): where queries start and at what distance; rows with the same q are one query. Weights must be
@@ -461,11 +461,15 @@ def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta:
     Edges of a vertex with more than block_edges of them are dealt over several blocks. counts, if given, gets the rounds and the relaxed edges (a lost executor may count some twice).
     `owner` needs ids 0..n-1 (n defaults to the largest id + 1). A task holds at most about owner_edges edges and, for about query_block queries, their
     vertices; the edges of a vertex with more than that are joined to it outside the owners' tasks.
+    edges may be stored adjacency, which is not dropped; `owner` and `delta_stepping` store edges in their own way and refuse it.
     """
     strategy = planner.QUEUES.get(strategy, strategy)
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}, or a queue's name")
-    kind = dict(edges.dtypes)["weight"]
+    held = isinstance(edges, Layers)
+    if held and strategy in ("owner", "delta_stepping"):
+        raise ValueError(f"{strategy} takes a table of edges")
+    kind = edges.kind if held else dict(edges.dtypes)["weight"]
     kind = "double" if kind in ("double", "float") else "long"
     if seeds.where(F.col("v").isNull() | F.col("dist").isNull() | (F.col("dist") < 0)).limit(1).collect():
         raise ValueError("seeds need a vertex and a non-negative distance")
@@ -474,11 +478,12 @@ def solve(edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", delta:
         return _by_owner(edges, start, kind, n, owners, owner_edges, query_block, max_rounds, {} if counts is None else counts)
     if strategy in ("delta", "delta_stepping", "near_far", "filter") and not (delta and delta > 0):
         raise ValueError(f"{strategy} needs a delta above 0")
-    adjacency = Adjacency(edges, kind, block_edges, delta if strategy == "delta_stepping" else None)
+    adjacency = edges if held else Adjacency(edges, kind, block_edges, delta if strategy == "delta_stepping" else None)
     try:
         return _Rounds(adjacency, start, kind, strategy, delta, k, parts, bucket_rows, counts).run(max_rounds)
     finally:
-        adjacency.drop()
+        if not held:
+            adjacency.drop()
 
 
 class _Settled:
