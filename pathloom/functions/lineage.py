@@ -39,6 +39,12 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 class Stored:
     """A table written as Parquet below the checkpoint folder, until it is dropped: frame reads it, rows counts it.
 
@@ -71,6 +77,4 @@ class Stored:
         """Delete the files. Frames that still read them fail. Needs a classic session: files are deleted through Hadoop's file systems."""
         if self.table:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(self.spark, self.path)

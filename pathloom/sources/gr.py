@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from pathloom.functions.lineage import Stored
 from pathloom.operators.graph import INT_MAX, check
+from pathloom.operators.partition import row_starts
+from pathloom.sources.pieces import Pieces
 
 HEAD = 32
 
@@ -169,30 +170,23 @@ def register(spark: SparkSession) -> None:
 
 
 def write_gr(edges: DataFrame, n: int, path: str, floats: bool = False, overwrite: bool = False) -> None:
-    """Write edges, in the order of (src, eid), as a .gr file. One file is one stream: the driver holds 8 bytes per vertex and a batch of edges.
+    """Write edges, in the order of (src, eid), as a .gr file: sorted once, in pieces by tasks that are then copied to their places; the driver gets the pieces' sizes.
 
     Ends must be in 0..n-1, weights not negative and, unless floats, below 2**31. An existing file is refused.
     """
     check(edges, n)
     if not floats and edges.where(F.col("weight") > INT_MAX).limit(1).count():
         raise ValueError("a weight does not fit 32 bits")
-    _, system, inside = _target(path, overwrite)
-    ends = np.zeros(n, dtype="<u8")
-    for r in edges.groupBy("src").agg(F.count(F.lit(1)).alias("d")).toLocalIterator(prefetchPartitions=True):
-        ends[r["src"]] = r["d"]
-    ends = np.cumsum(ends, dtype="<u8") if n else ends
-    m = int(ends[-1]) if n else 0
-    # Sorted once, as rows of up to 2 ** 14 ends and weights; both passes over the file's arrays read these.
-    ordered = Stored(edges.orderBy("src", "eid").select("dst", F.col("weight").cast("double" if floats else "long").alias("weight"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "gr")
-    packed = ordered.frame.groupBy("part", F.floor(F.col("at") / (1 << 14)).alias("run")).agg(F.array_sort(F.collect_list(F.struct("at", "dst", "weight"))).alias("e"))
-    with system.open_output_stream(inside) as out:
-        out.write(struct.pack("<4Q", 1, 4, n, m))
-        out.write(ends.tobytes())
-        for column, form, pad in (("dst", "<u4", m % 2), ("weight", "<f4" if floats else "<i4", 0)):
-            for r in packed.orderBy("part", "run").select(F.col(f"e.{column}").alias("x")).toLocalIterator(prefetchPartitions=True):
-                out.write(np.array(r["x"], dtype=form).tobytes())
-            out.write(b"\0" * 4 * pad)
-    ordered.drop()
+    _target(path, overwrite)
+    pieces, form = Pieces(edges.sparkSession), "<f4" if floats else "<i4"
+    whole = lambda b, column, kind: b.column(column).to_numpy().astype(kind).tobytes()
+    try:
+        ends = pieces.write(row_starts(edges, n).select("id", (F.col("first") + F.col("degree")).alias("end")).orderBy("id").select("end"), lambda b: {"end": whole(b, "end", "<u8")})["end"]
+        arrays = pieces.write(edges.select("src", "eid", "dst", F.col("weight").cast("double" if floats else "long").alias("weight")).orderBy("src", "eid").select("dst", "weight"), lambda b: {"dst": whole(b, "dst", "<u4"), "weight": whole(b, "weight", form)})
+        m = sum(rows for _, _, rows in arrays["dst"])
+        pieces.join([struct.pack("<4Q", 1, 4, n, m), ends, arrays["dst"], b"\0" * 4 * (m % 2), arrays["weight"]], path)
+    finally:
+        pieces.drop()
 
 
 def _target(path: str, overwrite: bool):

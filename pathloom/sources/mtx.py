@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.ranking import ordered_rank
 from pathloom.operators.graph import check
 from pathloom.sources.gr import _target
+from pathloom.sources.pieces import Pieces
 
 
 @dataclass(frozen=True)
@@ -85,21 +86,23 @@ def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Bann
 
 
 def write_mtx(edges: DataFrame, n: int, path: str, field: str = "integer", overwrite: bool = False) -> None:
-    """Write edges, in the order of (src, eid), as a general coordinate file: one stream, through the driver, a partition at a time.
+    """Write edges, in the order of (src, eid), as a general coordinate file: sorted once, in pieces by tasks that are then copied to their places.
 
     field is real, integer or pattern (without weights). Ends must be in 0..n-1. An existing file is refused.
     """
     if field not in ("real", "integer", "pattern"):
         raise ValueError(f"{field} entries are not supported")
     check(edges, n)
-    _, system, inside = _target(path, overwrite)
+    _target(path, overwrite)
     parts = [(F.col("src") + 1).cast("string"), (F.col("dst") + 1).cast("string")]
     if field != "pattern":
         parts.append(F.col("weight").cast("long" if field == "integer" else "double").cast("string"))
-    with system.open_output_stream(inside) as out:
-        out.write(f"%%MatrixMarket matrix coordinate {field} general\n{n} {n} {edges.count()}\n".encode())
-        for r in edges.orderBy("src", "eid").select(F.concat_ws(" ", *parts).alias("line")).toLocalIterator(prefetchPartitions=True):
-            out.write(r["line"].encode() + b"\n")
+    pieces = Pieces(edges.sparkSession)
+    try:
+        lines = pieces.write(edges.orderBy("src", "eid").select(F.concat_ws(" ", *parts).alias("line")), lambda b: {"line": "".join(f"{x}\n" for x in b.column("line").to_pylist()).encode()})["line"]
+        pieces.join([f"%%MatrixMarket matrix coordinate {field} general\n{n} {n} {sum(rows for _, _, rows in lines)}\n".encode(), lines], path)
+    finally:
+        pieces.drop()
 
 
 def whole_weights(edges: DataFrame) -> DataFrame:

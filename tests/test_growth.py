@@ -1,10 +1,15 @@
 """What must not grow with a graph: state in a heap, edges that are written again, what the driver is sent."""
 
+import struct
+
 import pytest
 from graphs import dijkstra, frame, random_graph
 
+from pyspark.sql.classic.dataframe import DataFrame
+
 from pathloom.operators import sssp
 from pathloom.operators.adjacency import Adjacency, Layers
+from pathloom.sources import gr, mtx
 from pathloom.streaming import updates
 
 
@@ -32,3 +37,18 @@ def test_solve_over_layers(spark):
     with pytest.raises(ValueError):
         sssp.solve(layers, seeds, "owner")
     layers.drop()
+
+
+@pytest.mark.parametrize("m", [0, 121])
+def test_files_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch, m):
+    edges = sorted(random_graph(13, m=m)) if m else []
+    df = frame(spark, edges).repartition(5)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    gr.write_gr(df, 40, str(tmp_path / "g.gr"))
+    mtx.write_mtx(df, 40, str(tmp_path / "g.mtx"))
+    ends = [sum(e[0] <= v for e in edges) for v in range(40)]
+    dst, weights = [e[1] for e in edges], [e[2] for e in edges]
+    k = len(edges)
+    want = struct.pack("<4Q", 1, 4, 40, k) + struct.pack("<40Q", *ends) + struct.pack(f"<{k}I", *dst) + b"\0" * 4 * (k % 2) + struct.pack(f"<{k}i", *weights)
+    assert (tmp_path / "g.gr").read_bytes() == want
+    assert (tmp_path / "g.mtx").read_text().splitlines() == ["%%MatrixMarket matrix coordinate integer general", f"40 40 {k}", *[f"{s + 1} {d + 1} {w}" for s, d, w in edges]]
