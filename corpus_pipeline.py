@@ -2,7 +2,8 @@
 
 language_id       rows whose text is null or has no letter go; null languages become the predicted ones
 line_dedup        lines that spread over many sources go, but for their first occurrence
-simhash_near_dedup  one document of each group of near-duplicates stays: five-word shingles, Jaccard likeness of 0.8 or more
+simhash_near_dedup  one document of each group of near-duplicates stays: SimHash fingerprints of five-word shingles within three bits, verified at a Jaccard
+                  likeness of 0.8 or more; pairs that like whose fingerprints lie further apart are found exactly after that
 mix_sources       documents that the mix of sources does not take go, those it takes twice are repeated
 pack_sequences    the pieces of the documents' token ids and their places in sequences
 """
@@ -35,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of linked documents stays. Rows with a null id stay."""
-    return simhash.one_of_each(docs, likeness.near_copies(docs))
+    """The smallest id of each group of linked documents stays. Rows with a null id stay. Fingerprints link first, an exact pass what they miss."""
+    return simhash.one_of_each(docs, likeness.near_copies(docs, radius=simhash.RADIUS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The distinct shingles of a text are put in one order for all texts, those that a sample of texts shares most last. Two texts
 of likeness t share t of the larger one's shingles at least, so they share one of the first n - ceil(t * n) + 1 shingles of each.
-These prefixes meet in one shuffle. Texts with a shingle in common are first verified against one of its group, a
+These prefixes meet in one shuffle. Before that, where fingerprints are given (near_copies' `radius`), SimHash fingerprints of the same shingles link what
+differs in few bits, as far as whole shingle sets confirm it; prefixes then find what fingerprints miss. Texts with a shingle in common are first verified against one of its group, a
 few times; whoever is not in one component after that is verified against each other, unless their parity sketches already differ
 in more bits than their sets may differ in shingles. Equal shingle sets are one node.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.batches import bound_batches
 from pathloom.functions.filters import WIDE, bits_for, key_filter
 from pathloom.functions.lineage import checkpointed, sweep
+from pathloom.llm import simhash
 from pathloom.llm.components import connected_components
 
 SHINGLE = 5
@@ -82,8 +84,8 @@ def common_shingles(docs: DataFrame, text_col: str = "text", size: int = SHINGLE
     return h[order], count[order]
 
 
-def _prefixes(docs: DataFrame, id_col: str, text_col: str, likeness: float, size: int) -> DataFrame:
-    """doc_id, th (hash of the text), node (hash of the shingle set), n (its size), prefix, sketch: one row per row of docs."""
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, likeness: float, size: int, prints: bool = False) -> DataFrame:
+    """doc_id, th (hash of the text), node (hash of the shingle set), n (its size), prefix, sketch, fp (SimHash of the shingles, repeats included): one row per row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, size))
 
     def run(batches):
@@ -91,7 +93,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, likeness: float, size
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                node, ns, prefix, sketches = [], [], [], []
+                node, ns, prefix, sketches, fps = [], [], [], [], []
                 for t in b.column("text").to_pylist():
                     own = shingles(t, size)
                     n = len(own)
@@ -104,11 +106,12 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, likeness: float, size
                     ns.append(n)
                     prefix.append(ranked[: n - _least(likeness, n) + 1 if n else 0].view(np.int64))
                     sketches.append(sketch(own))
-                cols = [b.column("doc_id"), b.column("th"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "node", "n", "prefix", "sketch"])
+                    fps.append(simhash.fingerprint(t, size) if prints else 0)
+                cols = [b.column("doc_id"), b.column("th"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "node", "n", "prefix", "sketch", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)).alias("th"))
-    return rows.mapInArrow(run, "doc_id long, th long, node long, n long, prefix array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, th long, node long, n long, prefix array<long>, sketch array<long>, fp long")
 
 
 def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, text_col: str, likeness: float, size: int) -> DataFrame:
@@ -148,12 +151,24 @@ def _reachable(counted: DataFrame, likeness: float) -> DataFrame:
     return counted.where(most >= likeness / (1 + likeness) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
 
 
-def near_copies(docs: DataFrame, likeness: float = LIKENESS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _by_fingerprints(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b): pairs of nodes whose SimHash fingerprints are equal or linked at `radius` bits, one node standing for all of its fingerprint. Candidates, which whole shingle sets verify."""
+    nodes = checkpointed(rows.where("n > 0").select("node", "n", "fp").distinct())
+    first = checkpointed(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("m")).select("fp", F.col("m.node").alias("first"), F.col("m.n").alias("size")))
+    same = nodes.join(first.hint("merge"), "fp").where(F.col("node") != F.col("first")).select("node", "first")
+    linked = simhash.linked_pairs(first.select("fp"), radius)
+    at = lambda c, out: first.select(F.col("fp").alias(c), F.col("first").alias(out)).hint("merge")
+    apart = linked.join(at("a", "x"), "a").join(at("b", "y"), "b").select("x", "y")
+    return same.union(apart).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, likeness: float = LIKENESS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
     """doc_id, th, root: equal for rows whose texts are linked, directly or over others. One row per row of docs.
 
-    Texts link at a Jaccard likeness of `likeness` or more of their sets of `size`-word shingles. Texts without words are one component.
+    Texts link at a Jaccard likeness of `likeness` or more of their sets of `size`-word shingles. Texts without words are one component. With radius, SimHash
+    fingerprints within that many bits are the first candidates; the result is the same.
     """
-    rows = checkpointed(_prefixes(docs, id_col, text_col, likeness, size))
+    rows = checkpointed(_prefixes(docs, id_col, text_col, likeness, size, radius is not None))
     named = rows.where("n > 0").groupBy("node").agg(F.min("th").alias("th"))
     by = Window.partitionBy("h")
     met = rows.where("n > 0").select("node", "n", F.explode("prefix").alias("h"))
@@ -161,6 +176,11 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS, size: int = SHINGLE
     shared = checkpointed(met.where("lo <> hi").select("h", "node", "n").distinct())
     sized = lambda x, y: F.least(x, y) >= likeness * F.greatest(x, y) - 1e-9
     links, tried, comp = None, None, shared.withColumn("c", F.col("node"))
+    if radius is not None:
+        tried = checkpointed(_by_fingerprints(rows, radius))
+        links = checkpointed(_verified(tried, named, docs, text_col, likeness, size))
+        sweep(docs.sparkSession)
+        comp = checkpointed(shared.join(connected_components(links).hint("merge"), "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("c")))
     for k in range(ROUNDS):
         head = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("o"), "node", "n", "c")).over(by)
         pairs = comp.withColumn("head", head).where((F.col("c") != F.col("head.c")) & sized(F.col("n"), F.col("head.n")))

@@ -82,3 +82,15 @@ def test_different_texts_under_one_id_stay(spark):
     docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, b), (4, c)], "doc_id long, text string")
     assert sorted(map(tuple, simhash.keep_one(docs).collect())) == sorted([(1, a), (1, b), (4, c)])
     assert sorted(map(tuple, simhash.one_of_each(docs, likeness.near_copies(docs)).collect())) == sorted([(1, a), (1, b), (4, c)])
+
+
+def test_fingerprints_link_first_and_change_nothing(spark, tmp_path, monkeypatch):
+    said = planted(12)
+    want, _ = components(said)
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in enumerate(said)], SCHEMA)
+    asked, verified, pairs, check = [], [], simhash.linked_pairs, likeness._verified
+    monkeypatch.setattr(simhash, "linked_pairs", lambda nodes, radius: asked.append(radius) or pairs(nodes, radius))
+    monkeypatch.setattr(likeness, "_verified", lambda found, *rest: verified.append(check(found, *rest)) or verified[-1])
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    assert asked == [simhash.RADIUS] and verified[0].count()
