@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GRAM = 3
 WINDOW = 10
-#: Scripts that put no blanks between words.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
-SPACED = rf"[^\x20\x09-\x0D{UNSPACED}]"
+#: Scripts that put no blanks between words. None has a character below U+0E00, so those are told by one comparison; a script is a search among all scripts.
+SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+LOW = r"\x00-\x{DFF}"
+UNSPACED = rf"[[^{LOW}]&&[{SCRIPTS}]]"
+SPACED = rf"[[\x21-\x{{DFF}}\x00-\x08\x0E-\x1F][^{LOW}{SCRIPTS}]]"
 #: A run of at most 16 characters is a word; in a longer one, and in scripts without blanks, every character is.
-UNIT = rf"[{UNSPACED}]|(?<!{SPACED}){SPACED}{{1,16}}(?!{SPACED})|{SPACED}"
+UNIT = rf"(?<!{SPACED}){SPACED}{{1,16}}+(?!{SPACED})|{SPACED}|{UNSPACED}"
 #: Texts of fewer characters are winnowed over characters too.
 SHORT = 128
 
@@ -32,9 +34,22 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def _chosen(grams: Column, window: Column) -> Column:
-    """Of every window of grams (struct<h, p>) the least, each once."""
-    picks = _let(grams, lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - window + 1, F.lit(1))), lambda j: F.array_min(F.slice(g, j, window))))
+def _chosen(grams: Column, window: Column, most: int) -> Column:
+    """Of every window of grams (struct<h, p>) the least, each once. A window has at most `most` grams.
+
+    Least ones of 1, 2, 4, ... grams and at last of the window's are made of two shorter windows each; the right one counts where they tie.
+    """
+
+    def joined(m: Column, by: Column) -> Column:
+        n = F.size(m) - by
+        return F.zip_with(F.slice(m, 1, n), F.slice(m, by + 1, n), lambda x, y: F.when(x["h"] < y["h"], x).otherwise(y))
+
+    def widened(m: Column, w: Column, wide: int) -> Column:
+        if wide >= most:
+            return m
+        return _let(F.when(w > wide, joined(m, F.least(F.lit(wide), w - wide))).otherwise(m), lambda x: widened(x, w, 2 * wide))
+
+    picks = _let(grams, lambda g: _let(F.least(window, F.size(g)), lambda w: widened(g, w, 1)))
     # Windows slide, so equal picks are neighbours.
     return _let(picks, lambda ps: F.filter(ps, lambda x, i: (i == 0) | (x["p"] != F.get(ps, i - 1)["p"])))
 
@@ -48,7 +63,7 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     hashed = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda x: F.xxhash64(x))
     grams = _let(hashed, lambda hs: F.transform(F.sequence(F.lit(0), F.greatest(F.size(hs) - gram, F.lit(0))), lambda i: F.struct(F.xxhash64(*[F.get(hs, i + d) for d in range(gram)]).alias("h"), (-i).alias("p"))))
     room = F.least(F.lit(window), F.greatest(F.lit(1), F.floor(F.char_length(text) / 32).cast("int") - 2))
-    chosen = _let(room, lambda w: _chosen(grams, w))
+    chosen = _let(room, lambda w: _chosen(grams, w, window))
     return F.when(F.regexp_like(text, F.lit(WORD)), chosen).otherwise(F.slice(chosen, 1, 0))
 
 
@@ -57,7 +72,7 @@ def winnow_characters(text: Column, gram: int = 3, window: int = 4) -> Column:
     n = F.char_length(text)
     grams = F.transform(F.sequence(F.lit(0), F.greatest(n - gram, F.lit(0))), lambda i: F.struct(F.xxhash64(F.lit("characters"), F.substring(text, i + 1, F.lit(gram))).alias("h"), (-i).alias("p")))
     room = F.least(F.lit(window), F.greatest(F.lit(1), F.floor(n / 2).cast("int") - 1))
-    chosen = _let(room, lambda w: _chosen(grams, w))
+    chosen = _let(room, lambda w: _chosen(grams, w, window))
     return F.when((n < SHORT) & F.regexp_like(text, F.lit(WORD)), chosen).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
 
 
