@@ -26,6 +26,10 @@ from pathloom.functions.ranking import buckets_for, running_total
 
 #: Entries that a task holds before it hands its partial counts on.
 HELD = 400_000
+#: Matches that a task holds, at 4 bytes each, before it counts them and hands the counts on.
+HELD_MATCHES = 1 << 22
+#: Rows of a batch of them.
+SENT = 1 << 17
 #: Bytes of terms, 16 for each term besides, in one automaton.
 UNIT_BYTES = 8 << 20
 #: Postings of a block of terms whose pairs of sources are counted together.
@@ -87,31 +91,40 @@ def _units(kept: DataFrame, rows: int, size: int) -> DataFrame:
 _automata: dict = {}
 
 
-def _automaton(terms: list[str]) -> ahocorasick.Automaton:
-    """Matches each term between blanks, whose number in the list is the value. A node tries its branches in the order of the list, so frequent terms come first."""
+def _automaton(terms: list[tuple[str, int]]) -> ahocorasick.Automaton:
+    """Matches each term between blanks, whose number is the value. A node tries its branches in the order of the list, so frequent terms come first."""
     made = ahocorasick.Automaton()
-    for i, t in enumerate(terms):
+    for t, i in terms:
         made.add_word(f" {t} ", i)
     made.make_automaton()
     return made
 
 
 def occurrences(texts: DataFrame, kept: DataFrame, size: int = UNIT_BYTES) -> DataFrame:
-    """lang, source, term, n: how often each kept(lang, term) occurs in each group, where it does. One pass over the texts of a unit's languages per unit of the vocabulary."""
+    """lang, source, term, n: how often each kept(lang, term) occurs in each group, where it does. One pass over the texts of a unit's languages per unit of the vocabulary.
+
+    Tasks count a unit's terms by their numbers, which name the language too; the terms are joined to the sums.
+    """
     spark, rows = texts.sparkSession, kept.count()
-    units = checkpointed(_units(kept, rows, size))
+    # A unit's terms are ranked in one task, which holds no more of them than an automaton does.
+    nth = F.row_number().over(Window.partitionBy("unit").orderBy("lang", F.desc("df"), "term"))
+    units = checkpointed(_units(kept, rows, size).withColumn("_i", nth - 1))
     last = units.agg(F.max("unit")).first()[0]
     found = [spark.createDataFrame([], "lang string, source string, term string, n long")]
     for u in range(0 if last is None else last + 1):
         # At most `size` bytes: what one automaton holds.
-        vocabulary: dict[str, list[str]] = defaultdict(list)
-        for r in units.where(F.col("unit") == u).orderBy("lang", F.desc("df"), "term").collect():
-            vocabulary[r["lang"]].append(r["term"])
-        if not vocabulary:
+        terms = units.where(F.col("unit") == u).select("lang", "term", "_i").orderBy("_i").collect()
+        if not terms:
             continue
+        vocabulary: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for r in terms:
+            vocabulary[r["lang"]].append((r["term"], r["_i"]))
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, dict(vocabulary)))
-        one = texts.where(F.col("lang").isin(list(vocabulary))).mapInArrow(_recount(sent), "lang string, source string, term string, n long")
-        found.append(checkpointed(one.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))))
+        one = texts.where(F.col("lang").isin(list(vocabulary))).mapInArrow(_recount(sent), "source string, i int, k long")
+        # Tasks have combined their counts, so rows move as they are, and the terms meet the sums where these lie.
+        summed = one.repartition("i").groupBy("source", "i").agg(F.sum("k").alias("n"))
+        named = units.where(F.col("unit") == u).select("lang", "term", "_i").hint("merge")
+        found.append(checkpointed(summed.join(named, F.col("i") == F.col("_i")).select("lang", "source", "term", "n")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -119,30 +132,41 @@ def occurrences(texts: DataFrame, kept: DataFrame, size: int = UNIT_BYTES) -> Da
 
 
 def _recount(sent):
-    """Partial counts of a task; a Python worker builds a unit's automata once and forgets those of other units."""
+    """Partial counts of a task: source, number of a term, count. A Python worker builds a unit's automata once and forgets those of other units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, vocabulary = sent.value
         if _automata.get("unit") != unit:
             _automata.clear()
             _automata["unit"] = unit
-        held: dict[tuple, Counter] = defaultdict(Counter)
-
-        def handed() -> pa.RecordBatch:
-            named = {key: Counter({vocabulary[key[0]][i].encode(): n for i, n in counts.items()}) for key, counts in held.items()}
+        held: dict[str, list[np.ndarray]] = defaultdict(list)
+        size = 0
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            sources, numbers, counts = [pa.array([], pa.string())], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+            for source, met in held.items():
+                i, k = np.unique(np.concatenate(met), return_counts=True)
+                sources.append(pa.repeat(pa.scalar(source, pa.string()), len(i)))
+                numbers.append(i)
+                counts.append(k)
             held.clear()
-            return _handed(named, ("lang", "source", "term", "n"))
+            rows = pa.RecordBatch.from_arrays([pa.concat_arrays(sources), pa.array(np.concatenate(numbers)), pa.array(np.concatenate(counts))], names=["source", "i", "k"])
+            for at in range(0, rows.num_rows, SENT):
+                yield rows.slice(at, SENT)
 
         for b in batches:
-            for key, said in _grouped(b, ("lang", "source")).items():
-                if key[0] not in _automata:
-                    _automata[key[0]] = _automaton(vocabulary[key[0]])
+            for (lang, source), said in _grouped(b, ("lang", "source")).items():
+                if lang not in _automata:
+                    _automata[lang] = _automaton(vocabulary[lang])
                 # A blank between any two terms and at the ends; terms hold none, so nothing matches across documents.
                 text = b" ".join([b"", *said, b""]).decode("utf-8", "replace")
-                held[key].update(map(itemgetter(1), _automata[key[0]].iter(text)))
-            if sum(map(len, held.values())) > HELD:
-                yield handed()
-        yield handed()
+                met = np.fromiter(map(itemgetter(1), _automata[lang].iter(text)), np.int32)
+                held[source].append(met)
+                size += len(met)
+            if size > HELD_MATCHES:
+                yield from handed()
+                size = 0
+        yield from handed()
 
     return run
 
