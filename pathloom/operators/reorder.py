@@ -40,7 +40,7 @@ def bfs_order(edges: DataFrame, n: int, root: int = 0, run_edges: int = 1 << 18)
     """new_id, old_id, level: the order in which a queue finds vertices; edges of a row in the order of eid.
 
     A vertex is found by the earliest parent and there by its earliest edge. What the root doesn't reach follows by old id
-    with a null level. Levels come from a solve by owners. Then only edges from one level to the next matter: they lie by level, and consecutive levels with at most
+    with a null level. Levels come from a solve by owners. Then only edges from one level to the next matter: they lie by level, a wide level in ranges of its parents, and consecutive levels with at most
     `run_edges` of them together are ranked in one task, a wider level by a join. So rounds count such runs, each edge is read in one of them, and nothing found is written again.
     """
     if not 0 <= root < n:
@@ -49,7 +49,7 @@ def bfs_order(edges: DataFrame, n: int, root: int = 0, run_edges: int = 1 << 18)
     reached = checkpointed(sssp.solve(edges.select("src", "dst", F.lit(1).cast("long").alias("weight")), sssp.sources_frame(edges, [root]), "owner", n=n).select("v", F.col("dist").cast("int").alias("level")))
     placed = in_order(edges.where(F.col("src") != F.col("dst"))).select("src", "dst", F.col("pos").cast("long").alias("pos"))
     above, below = reached.select(F.col("v").alias("src"), F.col("level").alias("_up")), reached.select(F.col("v").alias("dst"), "level")
-    down = Stored(placed.join(above, "src").join(below, "dst").where("level = _up + 1").select("src", "dst", "pos", "level").repartitionByRange("level").sortWithinPartitions("level"), "layers")
+    down = Stored(placed.join(above, "src").join(below, "dst").where("level = _up + 1").select("src", "dst", "pos", "level").repartitionByRange("level", "src", "pos").sortWithinPartitions("level"), "layers")
     folder = shared_folder(spark, "order")
     kinds = "new_id long, old_id long, level int"
     at = lambda i: f"{folder}/run={i}"

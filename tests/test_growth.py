@@ -7,7 +7,10 @@ from graphs import dijkstra, frame, random_graph
 
 from pyspark.sql.classic.dataframe import DataFrame
 
-from pathloom.operators import sssp
+from pyspark.sql import functions as F
+
+from pathloom.functions.lineage import Stored
+from pathloom.operators import reorder, sssp
 from pathloom.operators.adjacency import Adjacency, Layers
 from pathloom.sources import gr, mtx
 from pathloom.streaming import updates
@@ -52,3 +55,24 @@ def test_files_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch, m):
     want = struct.pack("<4Q", 1, 4, 40, k) + struct.pack("<40Q", *ends) + struct.pack(f"<{k}I", *dst) + b"\0" * 4 * (k % 2) + struct.pack(f"<{k}i", *weights)
     assert (tmp_path / "g.gr").read_bytes() == want
     assert (tmp_path / "g.mtx").read_text().splitlines() == ["%%MatrixMarket matrix coordinate integer general", f"40 40 {k}", *[f"{s + 1} {d + 1} {w}" for s, d, w in edges]]
+
+
+def test_a_wide_level_is_many_tasks(spark, monkeypatch):
+    """Vertices 1 to 400 below the root, each with three further ones: two levels, of which one has three quarters of the edges."""
+    edges = [(0, v, 1) for v in range(1, 401)] + [(v, 400 + 3 * v + k, 1) for v in range(1, 401) for k in range(3)]
+    seen = []
+
+    class Watched(Stored):
+        def __init__(self, df, purpose="stored", *args, **options):
+            super().__init__(df, purpose, *args, **options)
+            if purpose == "layers":
+                seen.append(self.frame.select("level", F.input_file_name().alias("file")).groupBy("level").agg(F.count_distinct("file").alias("files")).collect())
+
+    monkeypatch.setattr(reorder, "Stored", Watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = reorder.bfs_order(frame(spark, edges), 1603, run_edges=100).orderBy("new_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(r) for r in got] == [(v, v, 0 if v == 0 else 1 if v < 401 else 2) for v in range(401)] + [(v - 2, v, 2) for v in range(403, 1603)] + [(1601 + i, v, None) for i, v in enumerate((401, 402))]
+    assert max(r["files"] for r in seen[0]) > 1
