@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.lineage import Stored, checkpointed, shared_folder
@@ -100,20 +100,66 @@ def layer_split(order: DataFrame, n: int) -> DataFrame:
     return met.select(place.cast("long").alias("new_id"), "old_id")
 
 
-def rebuild(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """edges with both ends renumbered; rows follow the new ids, within a row the old order."""
+class RowSizes:
+    """How many edges each row has, counted in one pass and stored: frame(src, d). edges is their number, most the largest row's, least and top the ends' bounds (None without edges)."""
+
+    def __init__(self, edges: DataFrame):
+        watch = Observation()
+        seen = edges.observe(watch, F.min(F.least("src", "dst")).alias("least"), F.max(F.greatest("src", "dst")).alias("top"))
+        sized = seen.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+        self.stored = Stored(sized, "rows", seen={"edges": F.sum("d"), "most": F.max("d")})
+        self.frame, self.edges, self.most = self.stored.frame, self.stored.seen["edges"] or 0, self.stored.seen["most"] or 0
+        # Without rows what was observed below the shuffle may be left out.
+        self.least, self.top = (watch.get["least"], watch.get["top"]) if self.edges else (None, None)
+
+    def drop(self) -> None:
+        self.stored.drop()
+
+
+def _covers(mapping: DataFrame, sizes: RowSizes) -> int | None:
+    """The greatest new id if the mapping gives each id from its least to its greatest, and all ends of edges, a new id of its own; else None."""
+    ids = [F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("old_id", "new_id") for k, f in (("own", F.count_distinct), ("lo", F.min), ("hi", F.max))]]
+    x = mapping.agg(*ids).first()
+    if not x["n"] or not x["n"] == x["own_old_id"] == x["own_new_id"] == x["hi_old_id"] - x["lo_old_id"] + 1 or x["lo_new_id"] < 0:
+        return None
+    return x["hi_new_id"] if sizes.edges and x["lo_old_id"] <= sizes.least and sizes.top <= x["hi_old_id"] else None
+
+
+def rebuild(edges: DataFrame, mapping: DataFrame, sizes: RowSizes | None = None, most: int = 1 << 20) -> DataFrame:
+    """edges with both ends renumbered; rows follow the new ids, within a row the old order. Edges whose ends the mapping lacks are left out.
+
+    A row's first eid is the sum of the rows before it, over vertices. So edges move twice: to the new ids of their heads, and to their row, where they are numbered
+    and get its new id. Both joins are merged at any size. A mapping that lacks or repeats ids, or a row of more than `most` edges, takes joins and an
+    ordered rank over edges instead. sizes, if given, are those of edges and not counted again.
+    """
+    own = sizes or RowSizes(edges)
+    top = _covers(mapping, own) if own.most <= most else None
+    if top is None:
+        return _rebuild_any(edges, mapping)
+    to_map = mapping.select(F.col("old_id").alias("_p"), F.col("new_id").alias("_dst")).hint("merge")
+    rows = checkpointed(own.frame.join(mapping, F.col("src") == F.col("old_id")).select(F.col("src").alias("_o"), F.col("new_id").cast("long").alias("_src"), "d", F.lit(0).alias("_all")))
+    first = running_total(rows, ["_all"], F.col("_src"), ["_src"], F.col("d"), "_first", buckets_for(rows.count()), max(1, int(top).bit_length()))
+    first = checkpointed(first.select("_o", "_src", "_first"))
+    moved = edges.join(to_map, F.col("dst") == F.col("_p")).select("src", "_dst", "weight", F.col("eid").alias("_old"))
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("_old"))
+    met = moved.withColumn("_nth", nth).join(first.hint("merge"), F.col("src") == F.col("_o"))
+    return met.select((F.col("_first") + F.col("_nth") - 1).alias("eid"), F.col("_src").alias("src"), F.col("_dst").alias("dst"), "weight")
+
+
+def _rebuild_any(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     from_map = mapping.select(F.col("old_id").alias("_o"), F.col("new_id").alias("_src"))
     to_map = mapping.select(F.col("old_id").alias("_p"), F.col("new_id").alias("_dst"))
     moved = edges.join(from_map, F.col("src") == F.col("_o")).join(to_map, F.col("dst") == F.col("_p")).select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "weight", "eid")
     return ordered_rank(moved.withColumnRenamed("eid", "_old"), "src", ["_old"], "eid").select("eid", "src", "dst", "weight")
 
 
-def check_mapping(edges: DataFrame, rebuilt: DataFrame, mapping: DataFrame, n: int) -> None:
-    """Raise ValueError unless the mapping is a permutation of 0..n-1 and edges and degrees are preserved."""
+def check_mapping(edges: DataFrame, rebuilt: DataFrame, mapping: DataFrame, n: int, sizes: RowSizes | None = None) -> None:
+    """Raise ValueError unless the mapping is a permutation of 0..n-1 and edges and degrees are preserved. sizes, if given, are those of edges and not counted again."""
     ids = mapping.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("new_id").alias("a"), F.count_distinct("old_id").alias("b"), F.min("new_id").alias("lo"), F.max("new_id").alias("hi")).first()
     if n and tuple(ids) != (n, n, n, 0, n - 1):
         raise ValueError("the mapping is not a permutation")
-    old = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d")).join(mapping, F.col("src") == F.col("old_id")).select("new_id", "d")
-    new = rebuilt.groupBy(F.col("src").alias("new_id")).agg(F.count(F.lit(1)).alias("d"))
-    if old.exceptAll(new).limit(1).count() or new.exceptAll(old).limit(1).count():
+    had = sizes.frame if sizes else edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    old = had.join(mapping, F.col("src") == F.col("old_id")).select("new_id", "d")
+    new = rebuilt.groupBy(F.col("src").alias("new_id")).agg((-F.count(F.lit(1))).alias("d"))
+    if old.unionByName(new).groupBy("new_id").agg(F.sum("d").alias("d")).where("d <> 0").limit(1).count():
         raise ValueError("degrees changed")

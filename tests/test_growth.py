@@ -76,3 +76,41 @@ def test_a_wide_level_is_many_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [tuple(r) for r in got] == [(v, v, 0 if v == 0 else 1 if v < 401 else 2) for v in range(401)] + [(v - 2, v, 2) for v in range(403, 1603)] + [(1601 + i, v, None) for i, v in enumerate((401, 402))]
     assert max(r["files"] for r in seen[0]) > 1
+
+
+def test_rebuilding_moves_edges_twice_and_ranks_none(spark, monkeypatch):
+    """Edges are numbered in their rows and never ranked over all; joins are merged though the mapping is small. Rows that are too long, and mappings that lack or repeat ids, give what they gave."""
+    edges = random_graph(14)
+    df, n = frame(spark, edges), 40
+    mapping = [(n - 1 - v, v) for v in range(n)]
+
+    def want(pairs):
+        moved = sorted((a, i, b, w) for i, (s, d, w) in enumerate(edges) for a, x in pairs if x == s for b, y in pairs if y == d)
+        return [(k, a, b, w) for k, (a, _, b, w) in enumerate(moved)]
+
+    def got(pairs, **options):
+        return [tuple(r) for r in reorder.rebuild(df, spark.createDataFrame(pairs, "new_id long, old_id long"), **options).orderBy("eid").collect()]
+
+    assert got(mapping[3:]) == want(mapping[3:]) and got(mapping[:20]) == want(mapping[:20]) and got(mapping, most=2) == want(mapping)
+    same = [(v // 2, v) for v in range(n)]
+    assert got(same) == want(same)
+    monkeypatch.setattr(reorder, "ordered_rank", None)
+    assert got(mapping) == want(mapping)
+    far = [(5 * v + 7, v - 3) for v in range(n + 3, -1, -1)]
+    assert got(far) == want(far)
+    plan = reorder.rebuild(df, spark.createDataFrame(mapping, "new_id long, old_id long"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan and plan.count("Exchange hashpartitioning") == 4
+
+
+def test_mappings_are_checked_by_degrees_that_were_counted(spark):
+    df = frame(spark, random_graph(15))
+    mapping = spark.range(40).select((39 - F.col("id")).alias("new_id"), F.col("id").alias("old_id"))
+    sizes = reorder.RowSizes(df)
+    after = reorder.rebuild(df, mapping, sizes)
+    reorder.check_mapping(df, after, mapping, 40, sizes)
+    for wrong in (after.where("eid > 0"), after.withColumn("src", (F.col("src") + 1) % 40)):
+        for given in (None, sizes):
+            with pytest.raises(ValueError):
+                reorder.check_mapping(df, wrong, mapping, 40, given)
+    empty = df.where("eid < 0")
+    assert reorder.RowSizes(empty).top is None and reorder.rebuild(empty, mapping).count() == 0
