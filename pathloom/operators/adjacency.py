@@ -72,10 +72,10 @@ class Adjacency:
         met = rows.join(self._near(self.hubs), F.col("v") == F.col("hub"), "left")
         return met.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1))).withColumn("k", F.xxhash64("v", "block")).drop("hub", "blocks", "block")
 
-    def expand(self, rows: DataFrame, heavy: bool | None = None) -> DataFrame:
-        """q, v, dist, hops offered to the heads of the edges of rows(q, v, dist, hops). Only rows move: the join is on the key alone, by which the edges lie."""
+    def expand(self, rows: DataFrame, heavy: bool | None = None, tail: str | None = None) -> DataFrame:
+        """q, v, dist, hops offered to the heads of the edges of rows(q, v, dist, hops); with tail a column of that name has the vertex that offers. Only rows move: the join is on the key alone, by which the edges lie."""
         met = self.around(rows).alias("r").join(self.frame(heavy).alias("e"), F.col("r.k") == F.col("e.k")).where(F.col("r.v") - F.col("e.s") == 0)
-        return met.select("q", F.col("t").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"))
+        return met.select("q", F.col("t").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), *([F.col("e.s").alias(tail)] if tail else []))
 
     def of_few(self, vertices: list[int], most: int, heavy: bool | None = None) -> list | None:
         """The edges (s, t, w) of a few vertices that are no hubs, read from their buckets; None if there are more than that."""
@@ -109,8 +109,8 @@ class Layers:
         """What is a hub in one of them."""
         return None if any(x.hub_ids is None for x in self.parts) else set().union(*(x.hub_ids for x in self.parts))
 
-    def expand(self, rows: DataFrame, heavy: bool | None = None) -> DataFrame:
-        return reduce(DataFrame.unionByName, [x.expand(rows, heavy) for x in self.parts])
+    def expand(self, rows: DataFrame, heavy: bool | None = None, tail: str | None = None) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x.expand(rows, heavy, tail) for x in self.parts])
 
     def of_few(self, vertices: list[int], most: int, heavy: bool | None = None) -> list | None:
         found = []

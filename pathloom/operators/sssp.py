@@ -605,27 +605,38 @@ def _merge(rows: DataFrame) -> DataFrame:
     return rows.groupBy("q", "v").agg(F.min(F.struct("dist", "hops", "open")).alias("m")).select("q", "v", "m.*")
 
 
-def predecessors(solved: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """solved with pred: the least vertex before v on a shortest path of the fewest hops; null for seeds that are their own start."""
-    before = solved.select("q", F.col("v").alias("u"), F.col("dist").alias("du"), F.col("hops").alias("hu"))
-    tight = before.join(edges.hint("merge"), F.col("u") == F.col("src")).select("q", F.col("dst").alias("v"), (F.col("du") + F.col("weight")).alias("dist"), (F.col("hu") + 1).alias("hops"), "u")
-    best = tight.join(solved.hint("merge"), ["q", "v", "dist", "hops"]).groupBy("q", "v").agg(F.min("u").alias("pred"))
-    return solved.join(best.hint("merge"), ["q", "v"], "left").select("q", "v", "dist", "hops", F.when(F.col("hops") > 0, F.col("pred")).alias("pred"))
+def predecessors(solved: DataFrame, edges: DataFrame | Layers, seeds: DataFrame) -> DataFrame:
+    """solved with pred: the least vertex before v on a shortest path of the fewest hops; null for seeds that are their own start. Stored edges don't move."""
+    if isinstance(edges, Layers):
+        offers = edges.expand(solved.select("q", "v", "dist", "hops"), tail="u")
+    else:
+        before = solved.select("q", F.col("v").alias("u"), F.col("dist").alias("du"), F.col("hops").alias("hu"))
+        offers = before.join(edges.hint("merge"), F.col("u") == F.col("src")).select("q", F.col("dst").alias("v"), (F.col("du") + F.col("weight")).alias("dist"), (F.col("hu") + 1).alias("hops"), "u")
+    # Equal offers are few rows before they are sorted for the join.
+    best = offers.groupBy("q", "v", "dist", "hops").agg(F.min("u").alias("pred"))
+    return solved.join(best.hint("merge"), ["q", "v", "dist", "hops"], "left").select("q", "v", "dist", "hops", F.when(F.col("hops") > 0, F.col("pred")).alias("pred"))
 
 
 def sssp(edges: DataFrame, source: int, vertices: DataFrame | None = None, strategy: str = "frontier", compat_int32: bool = False, **options) -> DataFrame:
-    """v, dist, hops, pred from one source. With vertices, one row for each, null where it isn't reached.
+    """v, dist, hops, pred from one source. With vertices, one row for each, null where it isn't reached. Edges are stored once for distances and predecessors, and the result is written, so what follows reads no edges.
 
     Raises ValueError if the source isn't in vertices (or, without vertices, negative), and with compat_int32 if a distance reaches INT_MAX.
     """
     known = vertices is None and source >= 0 or vertices is not None and vertices.where(F.col("id") == source).limit(1).count() == 1
     if not known:
         raise ValueError(f"source {source} is not a vertex")
-    seeds = sources_frame(edges, [source])
-    solved = solve(edges, seeds, strategy, **options)
-    if compat_int32 and solved.where(F.col("dist") >= INT_MAX).limit(1).count():
-        raise ValueError("a distance does not fit 32 bits")
-    found = predecessors(solved, edges, seeds).drop("q")
+    seeds, name, stored = sources_frame(edges, [source]), planner.QUEUES.get(strategy, strategy), edges
+    if name in STRATEGIES and name not in ("owner", "delta_stepping"):
+        stored = Layers(edges.sparkSession)
+        stored.add(Adjacency(edges, "double" if dict(edges.dtypes)["weight"] in ("double", "float") else "long", options.pop("block_edges", BLOCK_EDGES)))
+    try:
+        solved = solve(stored, seeds, strategy, **options)
+        if compat_int32 and solved.where(F.col("dist") >= INT_MAX).limit(1).count():
+            raise ValueError("a distance does not fit 32 bits")
+        found = checkpointed(predecessors(solved, stored, seeds).drop("q"))
+    finally:
+        if stored is not edges:
+            stored.drop()
     return found if vertices is None else vertices.select(F.col("id").alias("v")).join(found, "v", "left")
 
 

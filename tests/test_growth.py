@@ -114,3 +114,20 @@ def test_mappings_are_checked_by_degrees_that_were_counted(spark):
                 reorder.check_mapping(df, wrong, mapping, 40, given)
     empty = df.where("eid < 0")
     assert reorder.RowSizes(empty).top is None and reorder.rebuild(empty, mapping).count() == 0
+
+
+@pytest.mark.parametrize("hub", [1 << 16, 4])
+def test_predecessors_take_the_stored_edges_and_are_found_once(spark, hub):
+    """What follows a solve reads its rows and no edges; predecessors of stored edges are those of a table, hubs or not."""
+    edges = random_graph(16)
+    df = frame(spark, edges)
+    found = sssp.sssp(df, 0, block_edges=hub)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    best = dijkstra(edges, [(0, 0)])
+    want = {}
+    for v, (dist, hops) in best.items():
+        near = [s for s, d, w in edges if d == v and s in best and (best[s][0] + w, best[s][1] + 1) == (dist, hops)]
+        want[v] = (dist, hops, min(near) if hops else None)
+    assert {r["v"]: (r["dist"], r["hops"], r["pred"]) for r in found.collect()} == want
+    solved_rows = sssp.solve(df, sssp.sources_frame(df, [0]))
+    assert {r["v"]: r["pred"] for r in sssp.predecessors(solved_rows, df, sssp.sources_frame(df, [0])).collect()} == {v: x[2] for v, x in want.items()}
