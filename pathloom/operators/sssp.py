@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.hashing import hash_of
 from pathloom.functions.lineage import Stored, checkpointed
 from pathloom.operators import partition
-from pathloom.operators.adjacency import BLOCK_EDGES, FEW_HUBS, Adjacency, Layers, local_rows
+from pathloom.operators.adjacency import BLOCK_EDGES, FEW_HUBS, Adjacency, Layers, among, in_order, local_rows
 from pathloom.operators.graph import INT_MAX, check
 from pathloom.plans import planner
 
@@ -52,6 +52,8 @@ WIDE = 16
 FEW, MET, LATE = 1024, 4096, 32_768
 #: Rows of a level that lies in buckets.
 BUCKETED = 1 << 20
+#: Open rows, one for each block of edges, that are sent to all edges at once.
+NEAR = 1 << 17
 
 
 def batch_sources(n: int, count: int) -> list[int]:
@@ -131,6 +133,8 @@ class _Known:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[Stored] = []
         self.late: dict[tuple[int, int], tuple] = {}
+        #: Bits of hops where distance and hops fit one number.
+        self.bits = 0
 
     def _stored(self, rows: DataFrame, about: int, seen: dict | None = None) -> Stored:
         """rows with kk as a level; large ones in buckets of 2 ** 21 rows or so."""
@@ -145,7 +149,7 @@ class _Known:
             while keep and self.levels[keep - 1].about <= 4 * later + 1_000_000:
                 keep -= 1
                 later += self.levels[keep].about
-            old, merged = self.levels[keep:], self._stored(_least(self._union(self.levels[keep:])), later)
+            old, merged = self.levels[keep:], self._stored(_least(self._union(self.levels[keep:]), self.bits), later)
             self.levels = [*self.levels[:keep], merged]
             for x in old:
                 x.drop()
@@ -174,7 +178,7 @@ class _Known:
             same = (F.col("r.kk") == F.col("_k")) & (F.col("r.q") - F.col("_q") == 0) & (F.col("r.v") - F.col("_v") == 0)
             left = left.alias("r").join(found, same, "left").where(less).select(*own)
         if small:
-            found = _least(self._union(small)).select(F.xxhash64("q", "v").alias("_k"), F.col("q").alias("_q"), F.col("v").alias("_v"), F.col("dist").alias("_d"), F.col("hops").alias("_h"))
+            found = _least(self._union(small), self.bits).select(F.xxhash64("q", "v").alias("_k"), F.col("q").alias("_q"), F.col("v").alias("_v"), F.col("dist").alias("_d"), F.col("hops").alias("_h"))
             left = left.alias("r").join(found, (F.col("r.q") == F.col("_q")) & (F.col("r.v") == F.col("_v")), "left").where(less).select(*own)
         return left.select("q", "v", "dist", "hops")
 
@@ -183,7 +187,7 @@ class _Known:
         found = {at: self.late[at] for at in pairs if at in self.late}
         keys = [hash_of(*at) for at in pairs if at not in found]
         if keys:
-            for r in reduce(DataFrame.unionByName, [x.frame.where(F.col("kk").isin(keys)).select("q", "v", "dist", "hops") for x in self.levels]).collect():
+            for r in reduce(DataFrame.unionByName, [x.frame.where(among("kk", keys)).select("q", "v", "dist", "hops") for x in self.levels]).collect():
                 at, has = (r["q"], r["v"]), (r["dist"], r["hops"])
                 if at in pairs and (at not in found or has < found[at]):
                     found[at] = has
@@ -200,7 +204,7 @@ class _Known:
         # What waits is known with the same values; it wins over the closed row.
         rows = rows if rest is None else rows.unionByName(rest.withColumn("open", F.lit(-1)))
         seen = {"n": F.count_if(F.col("open") != 0), "least": F.min(F.when(F.col("open") != 0, F.col("dist")))}
-        old, merged = self.levels, self._stored(_merge(rows), self.about, seen)
+        old, merged = self.levels, self._stored(_merge(rows, self.bits), self.about, seen)
         self.levels = [merged]
         for x in old:
             x.drop()
@@ -208,7 +212,7 @@ class _Known:
 
     def result(self) -> DataFrame:
         self.written()
-        return checkpointed(_least(self._union(self.levels)))
+        return checkpointed(_least(self._union(self.levels), self.bits))
 
     def drop(self) -> None:
         for x in self.levels:
@@ -216,8 +220,20 @@ class _Known:
         self.levels = []
 
 
-def _least(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("q", "v").agg(F.min(F.struct("dist", "hops")).alias("m")).select("q", "v", "m.*")
+def _bits(kind: str, top: float, hops: int) -> int:
+    """How many bits hops of at most that many take where a distance up to top and two further bits fit the number with them, else 0."""
+    bits = max(1, hops.bit_length())
+    return bits if kind == "long" and top < 1 << (61 - bits) else 0
+
+
+def _least(rows: DataFrame, bits: int = 0, *more: str) -> DataFrame:
+    """The least (dist, hops) of each (q, v, *more). Rows are sorted for a least struct and hashed for a least number, so with bits both are one number."""
+    keys = ["q", "v", *more]
+    if not bits:
+        return rows.groupBy(*keys).agg(F.min(F.struct("dist", "hops")).alias("m")).select("q", "v", "m.*", *more)
+    m = F.col("m")
+    least = rows.groupBy(*keys).agg(F.min(F.shiftleft("dist", bits) + F.col("hops")).alias("m"))
+    return least.select("q", "v", F.shiftright(m, bits).alias("dist"), m.bitwiseAND(F.lit((1 << bits) - 1)).alias("hops"), *more)
 
 
 @dataclass(frozen=True)
@@ -265,7 +281,8 @@ class _Rounds:
         self.settled_rows: dict[tuple[int, int], tuple] = {}
         self.settled: list[Stored] = []
         self.ends: float | None = None
-        first = Stored(start.withColumn("kk", F.xxhash64("q", "v")), "level", seen={"least": F.min("dist")})
+        first = Stored(start.withColumn("kk", F.xxhash64("q", "v")), "level", seen={"least": F.min("dist"), "top": F.max("dist")})
+        self.top = first.seen["top"] or 0
         self.known.add(first)
         self.table, self.n, self.least, self.rows = first.frame.drop("kk"), first.about, first.seen["least"], None
 
@@ -367,7 +384,7 @@ class _Rounds:
 
     def by_tables(self, expanded: DataFrame, rest: DataFrame | None, heavy: bool | None) -> None:
         """A round of a table's rows: expanded along their edges; rest stays open."""
-        grown = self.edges.expand(expanded, heavy)
+        grown = self.edges.expand(expanded, heavy, near=self.n * self.edges.most_blocks <= NEAR)
         if self.watched:
             watch = Observation()
             grown = grown.observe(watch, F.count(F.lit(1)).alias("n"))
@@ -376,7 +393,7 @@ class _Rounds:
             self.forget()
             self.table, self.n, self.least = merged.frame.where("open <> 0").select("q", "v", "dist", "hops"), merged.seen["n"], merged.seen["least"]
         else:
-            fresh = self.known._stored(self.known.better(_least(grown)), self.n, {"least": F.min("dist")})
+            fresh = self.known._stored(self.known.better(_least(grown, self.known.bits)), self.n, {"least": F.min("dist")})
             if rest is None:
                 # A level may be merged away while it is still the frontier: that is read first.
                 if len(self.known.levels) >= LEVELS:
@@ -397,6 +414,9 @@ class _Rounds:
 
     def step(self) -> None:
         """One round: the chosen rows along their edges; with light and heavy edges, along light ones until the bucket has no open row, then what it settled along heavy ones."""
+        # A round adds one edge to a path.
+        rounds = self.counts["rounds"] + 1
+        self.known.bits = _bits(self.kind, self.top + rounds * self.edges.top_weight, rounds)
         self.gather()
         split = self.strategy == "delta_stepping"
         if split and self.ends is not None and (self.n == 0 or self.least >= self.ends):
@@ -432,23 +452,27 @@ class _Rounds:
             return
         self.spill()
         frames = [x.frame for x in tables] + ([self._frame(rows)] if rows else [])
-        self.by_tables(_least(reduce(DataFrame.unionByName, frames)), self.table, True)
+        self.by_tables(_least(reduce(DataFrame.unionByName, frames), self.known.bits), self.table, True)
         for x in tables:
             x.drop()
 
     def run(self, max_rounds: int | None) -> DataFrame:
         try:
+            return self._run(max_rounds)
+        finally:
+            self.known.drop()
+            self.forget()
+            for x in self.settled:
+                x.drop()
+
+    def _run(self, max_rounds: int | None) -> DataFrame:
+        with in_order(self.spark):
             while self.n or self.ends is not None:
                 if self.counts["rounds"] == max_rounds:
                     raise RuntimeError(f"{self.n} vertices are still open after {max_rounds} rounds")
                 self.step()
                 self.counts["rounds"] += 1
             return self.known.result()
-        finally:
-            self.known.drop()
-            self.forget()
-            for x in self.settled:
-                x.drop()
 
 
 def solve(edges: DataFrame | Layers, seeds: DataFrame, strategy: str = "frontier", delta: float | None = None, k: int = 10_000, n: int | None = None, owners: int | None = None, owner_edges: int = 1_000_000, max_rounds: int | None = None, parts: int = 8, bucket_rows: int | None = None, block_edges: int = BLOCK_EDGES, query_block: int = 8, counts: dict | None = None) -> DataFrame:
@@ -600,8 +624,12 @@ def _by_owner(edges: DataFrame, start: DataFrame, kind: str, n: int | None, owne
         plain.unpersist()
 
 
-def _merge(rows: DataFrame) -> DataFrame:
+def _merge(rows: DataFrame, bits: int = 0) -> DataFrame:
     """Of equal distances and hops a closed row wins, so only improvements stay open."""
+    if bits:
+        m = F.col("m")
+        least = rows.groupBy("q", "v").agg(F.min(F.shiftleft(F.shiftleft("dist", bits) + F.col("hops"), 2) + F.col("open") + 1).alias("m"))
+        return least.select("q", "v", F.shiftright(m, bits + 2).alias("dist"), F.shiftright(m, 2).bitwiseAND(F.lit((1 << bits) - 1)).alias("hops"), (m.bitwiseAND(F.lit(3)) - 1).cast("int").alias("open"))
     return rows.groupBy("q", "v").agg(F.min(F.struct("dist", "hops", "open")).alias("m")).select("q", "v", "m.*")
 
 

@@ -18,13 +18,16 @@ STORE = {
 }
 
 
-def absorb(solved: DataFrame, edges: DataFrame | Layers, new_edges: DataFrame, seeds: DataFrame, strategy: str = "frontier", **options) -> DataFrame:
+def absorb(solved: DataFrame, edges: DataFrame | Layers, new_edges: DataFrame | Adjacency, seeds: DataFrame, strategy: str = "frontier", **options) -> DataFrame:
     """q, v, dist, hops after new_edges joined the graph; edges already holds them.
 
-    edges may be stored adjacency. Only heads of new edges that offer less than a vertex has are seeds of the update; what they reach merges with the former distances.
+    Both may be stored adjacency, whose edges do not move. Only heads of new edges that offer less than a vertex has are seeds of the update; what they reach merges with the former distances.
     """
-    at = solved.select("q", F.col("v").alias("u"), "dist", "hops")
-    offers = at.join(new_edges.hint("merge"), F.col("u") == F.col("src")).select("q", F.col("dst").alias("v"), (F.col("dist") + F.col("weight")).alias("dist"))
+    if isinstance(new_edges, Adjacency):
+        offers = new_edges.expand(solved.select("q", "v", "dist", "hops")).select("q", "v", "dist")
+    else:
+        at = solved.select("q", F.col("v").alias("u"), "dist", "hops")
+        offers = at.join(new_edges.hint("merge"), F.col("u") == F.col("src")).select("q", F.col("dst").alias("v"), (F.col("dist") + F.col("weight")).alias("dist"))
     better = offers.groupBy("q", "v").agg(F.min("dist").alias("dist")).join(solved.select("q", "v", F.col("dist").alias("had")), ["q", "v"], "left").where("had IS NULL OR dist < had").select("q", "v", "dist")
     found = sssp.solve(edges, checkpointed(better), strategy, **options)
     merged = solved.select("q", "v", "dist", "hops").unionByName(found)
@@ -66,8 +69,8 @@ class Followed:
                 # A micro-batch has a session of its own; what is read again belongs to the solves' session.
                 new = self.spark.read.schema(batch.schema).parquet(held.path)
                 self.kept.append(new)
-                self.layers.add(Adjacency(new, "double" if dict(new.dtypes)["weight"] in ("double", "float") else "long"))
-                self.solved = absorb(self.solved, self.layers, new, self.seeds)
+                self.layers.add(Adjacency(new, "double" if dict(new.dtypes)["weight"] in ("double", "float") else "long", purpose="arrived_edges"))
+                self.solved = absorb(self.solved, self.layers, self.layers.parts[-1], self.seeds)
 
         had = {k: self.spark.conf.get(k, None) for k in STORE}
         try:
@@ -81,3 +84,7 @@ class Followed:
 
     def distances(self) -> DataFrame:
         return self.solved
+
+    def close(self) -> None:
+        """Delete the adjacency; the distances stay."""
+        self.layers.drop()
