@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
+from pathloom.functions.lineage import sweep
 from pathloom.operators.graph import INT_MAX, check
 from pathloom.operators.partition import row_starts
 from pathloom.sources.pieces import Pieces
@@ -183,6 +184,8 @@ def write_gr(edges: DataFrame, n: int, path: str, floats: bool = False, overwrit
     try:
         ends = pieces.write(row_starts(edges, n).select("id", (F.col("first") + F.col("degree")).alias("end")).orderBy("id").select("end"), lambda b: {"end": whole(b, "end", "<u8")})["end"]
         arrays = pieces.write(edges.select("src", "eid", "dst", F.col("weight").cast("double" if floats else "long").alias("weight")).orderBy("src", "eid").select("dst", "weight"), lambda b: {"dst": whole(b, "dst", "<u4"), "weight": whole(b, "weight", form)})
+        # What was shuffled to sort is not needed beside the file.
+        sweep(edges.sparkSession)
         m = sum(rows for _, _, rows in arrays["dst"])
         pieces.join([struct.pack("<4Q", 1, 4, n, m), ends, arrays["dst"], b"\0" * 4 * (m % 2), arrays["weight"]], path)
     finally:

@@ -6,6 +6,9 @@ from graphs import dijkstra, frame, random_graph, solved
 from pathloom.functions.lineage import Stored
 from pathloom.operators import sssp
 from pathloom.operators.adjacency import IN_ORDER, Adjacency, among, in_order
+from pathloom.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -46,3 +49,13 @@ def test_keys_are_found_by_one_expression(spark):
     keys = [-(2**63), -1, 0, 2**63 - 1]
     df = spark.createDataFrame([(k,) for k in [*keys, 5]], "k long")
     assert sorted(r["k"] for r in df.where(among("k", keys)).collect()) == keys and df.where(among("k", [])).count() == 0
+
+
+@pytest.mark.parametrize("query", ["gr_round_trip"])
+def test_pairs_are_found_once(spark, monkeypatch, query):
+    read, keep = [], registry.Stored.__init__
+    monkeypatch.setattr(registry, "size_of", None)
+    monkeypatch.setattr(registry, "ordered_rank", None)
+    monkeypatch.setattr(Stored, "__init__", lambda self, df, purpose="stored", *a, **o: read.append(purpose) or keep(self, df, purpose, *a, **o))
+    rows = registry.QUERIES[query](spark, SF).collect()
+    assert rows and read[0] in ("unsorted", "edges", "unsolved")
