@@ -4,8 +4,8 @@ import pytest
 from graphs import dijkstra, frame, random_graph, solved
 
 from pathloom.functions.lineage import Stored
-from pathloom.operators import sssp
-from pathloom.operators.adjacency import IN_ORDER, Adjacency, among, in_order
+from pathloom.operators import sssp, validate
+from pathloom.operators.adjacency import IN_ORDER, Adjacency, Layers, among, in_order
 from pathloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +51,24 @@ def test_keys_are_found_by_one_expression(spark):
     assert sorted(r["k"] for r in df.where(among("k", keys)).collect()) == keys and df.where(among("k", [])).count() == 0
 
 
-@pytest.mark.parametrize("query", ["gr_round_trip"])
+@pytest.mark.parametrize("hub", [1 << 16, 4])
+def test_certificates_of_stored_edges(spark, hub):
+    edges = random_graph(22)
+    df, stored = frame(spark, edges), Layers(spark)
+    stored.add(Adjacency(df, "long", hub))
+    seeds = sssp.sources_frame(df, [0])
+    found = sssp.solve(stored, seeds)
+    top = max(r["v"] for r in found.collect())
+    for rows in (found, found.where(f"v <> {top}"), found.selectExpr("q", "v", f"dist + CAST(v = {top} AS LONG) AS dist", "hops"), found.selectExpr("q", "v", "dist", "hops + 1 AS hops")):
+        has = {r["v"]: (r["dist"], r["hops"]) for r in rows.collect()}
+        loose = sum(s in has and (d not in has or has[s][0] + w < has[d][0]) for s, d, w in edges)
+        held = {d for s, d, w in edges if s in has and d in has and (has[s][0] + w, has[s][1] + 1) == has[d]} | ({0} if has.get(0) == (0, 0) else set())
+        for given in (df, stored):
+            assert tuple(validate.certificate(rows, given, seeds).first()) == (loose, len(has) - len(held), len(has))
+    stored.drop()
+
+
+@pytest.mark.parametrize("query", ["gr_round_trip", "fixpoint_certificate"])
 def test_pairs_are_found_once(spark, monkeypatch, query):
     read, keep = [], registry.Stored.__init__
     monkeypatch.setattr(registry, "size_of", None)
