@@ -52,6 +52,10 @@ WIDE = 16
 FEW, MET, LATE = 1024, 4096, 32_768
 #: Rows of a level that lies in buckets.
 BUCKETED = 1 << 20
+#: Pointers that are followed outside tables.
+HELD = 512
+#: Whether the optimizer infers what holds for rows.
+PROPAGATED = "spark.sql.constraintPropagation.enabled"
 #: Open rows, one for each block of edges, that are sent to all edges at once.
 NEAR = 1 << 17
 
@@ -687,15 +691,47 @@ def path_to(solved: DataFrame, targets: DataFrame) -> DataFrame:
 
     solved(v, hops, pred) is one query. A target that isn't reached gives no rows. Pointers over 2, 4, 8, ... steps are made only for vertices whose hops they divide, so
     all of them together are no more rows than there are vertices. A target goes down by the bits of its hops, which leaves gaps of
-    such lengths; gaps are then halved until they are single steps. Rounds are as many as twice the bits of the longest path.
+    such lengths; gaps are then halved until they are single steps. Rounds are as many as twice the bits of the longest path, less those in which at most HELD pointers are left.
     Pointers and ways grow with the graph and compress well, so a few MB of them in a shuffle are many in a driver: they are merged, never broadcast.
     """
+    spark = solved.sparkSession
+    had = spark.conf.get(PROPAGATED, None)
+    # Checkpoints keep what is known of their rows, which doubles with each step that unites and joins them: minutes of planning.
+    spark.conf.set(PROPAGATED, "false")
+    try:
+        return _paths(solved, targets)
+    finally:
+        spark.conf.set(PROPAGATED, had) if had is not None else spark.conf.unset(PROPAGATED)
+
+
+def _ways(rows: list) -> list[tuple[int, int, int]]:
+    """(v, a, hops of a) of all vertices that pointers (v, hops, up) lead to, step by step."""
+    up, hops = {r["v"]: r["up"] for r in rows}, {r["v"]: r["hops"] for r in rows}
+    step, out = min(hops.values(), default=0), []
+    for v in up:
+        a, k = v, 0
+        while a in up:
+            a, k = up[a], k + 1
+            out.append((v, a, hops[v] - k * step))
+    return out
+
+
+def _paths(solved: DataFrame, targets: DataFrame) -> DataFrame:
     near = solved.select("v", "hops", F.col("pred").alias("up"))
     front = checkpointed(targets.select(F.col("v").alias("target")).distinct().join(near.hint("merge"), F.col("target") == F.col("v")).select("target", "v", "hops"))
     most = front.agg(F.max("hops")).first()[0] or 0
     jump, jumps, gaps, size = near.where((F.col("hops") > 0) & (F.col("hops") <= most)), [], [], 1
     passed = [front]
     while size <= most:
+        if size > 2:
+            # A bounded number of pointers is followed to the end at once.
+            few = jump.limit(HELD + 1).collect()
+            if len(few) <= HELD:
+                ways = local_rows(solved.sparkSession, _ways(few), {"v": "long", "a": "long", "h": "long"})
+                ends = checkpointed(front.join(ways.hint("merge"), "v").select("target", F.col("a").alias("v"), F.col("h").alias("hops")))
+                passed.append(ends)
+                gaps.append(checkpointed(front.unionByName(ends).where("hops > 0")))
+                break
         jumps.append(jump)
         odd = front.where(F.col("hops").bitwiseAND(F.lit(size)) != 0)
         moved = checkpointed(odd.join(jump.select("v", "up").hint("merge"), "v").select("target", F.col("up").alias("v"), (F.col("hops") - size).alias("hops")))
@@ -706,10 +742,10 @@ def path_to(solved: DataFrame, targets: DataFrame) -> DataFrame:
         jump = checkpointed(even.join(jump.select(F.col("v").alias("m"), F.col("up").alias("up2")).hint("merge"), F.col("up") == F.col("m")).select("v", "hops", F.col("up2").alias("up")))
         size *= 2
     inner = None
-    for i in range(len(jumps) - 1, 0, -1):
-        size //= 2
+    # gaps[i] are 2 ** i steps long, jumps[i] go over as many.
+    for i in range(len(gaps) - 1, 0, -1):
         open_gaps = gaps[i] if inner is None else gaps[i].unionByName(inner)
-        middle = checkpointed(open_gaps.join(jumps[i - 1].select("v", "up").hint("merge"), "v").select("target", F.col("up").alias("v"), (F.col("hops") - size // 2).alias("hops")))
+        middle = checkpointed(open_gaps.join(jumps[i - 1].select("v", "up").hint("merge"), "v").select("target", F.col("up").alias("v"), (F.col("hops") - (1 << (i - 1))).alias("hops")))
         passed.append(middle)
-        inner = checkpointed(open_gaps.unionByName(middle))
+        inner = checkpointed(open_gaps.unionByName(middle)) if i > 1 else None
     return reduce(DataFrame.unionByName, passed).select("target", F.col("hops").alias("step"), "v").distinct()

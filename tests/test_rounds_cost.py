@@ -76,3 +76,25 @@ def test_pairs_are_found_once(spark, monkeypatch, query):
     monkeypatch.setattr(Stored, "__init__", lambda self, df, purpose="stored", *a, **o: read.append(purpose) or keep(self, df, purpose, *a, **o))
     rows = registry.QUERIES[query](spark, SF).collect()
     assert rows and read[0] in ("unsorted", "edges", "unsolved")
+
+
+@pytest.mark.parametrize("held", [0, 6, 512])
+def test_paths_take_few_steps_and_keep_no_constraints(spark, monkeypatch, held):
+    """A path of 70 vertices, a branch from its vertex 20, and a root of its own: the same paths however many pointers are followed at once, in fewer steps."""
+    kept, keep = [], sssp.checkpointed
+    monkeypatch.setattr(sssp, "HELD", held)
+    monkeypatch.setattr(sssp, "checkpointed", lambda df: kept.append(spark.conf.get(sssp.PROPAGATED)) or keep(df))
+    pred = {v: v - 1 if v else None for v in range(71)} | {100: 20} | {v: v - 1 for v in range(101, 130)} | {500: None}
+    hops = {}
+    for v, p in pred.items():
+        hops[v] = 0 if p is None else hops[p] + 1
+    rows = spark.createDataFrame([(v, hops[v], p) for v, p in pred.items()], "v long, hops long, pred long")
+    targets, want = [70, 69, 64, 40, 129, 0, 500], set()
+    for t in targets:
+        v = t
+        while v is not None:
+            want.add((t, hops[v], v))
+            v = pred[v]
+    found = [tuple(r) for r in sssp.path_to(rows, spark.createDataFrame([(t,) for t in [*targets, 999]], "v long")).collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert set(kept) == {"false"} and spark.conf.get(sssp.PROPAGATED) == "true" and len(kept) <= {0: 99, 6: 24, 512: 12}[held]
