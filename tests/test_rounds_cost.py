@@ -68,7 +68,7 @@ def test_certificates_of_stored_edges(spark, hub):
     stored.drop()
 
 
-@pytest.mark.parametrize("query", ["gr_round_trip", "fixpoint_certificate"])
+@pytest.mark.parametrize("query", ["gr_round_trip", "fixpoint_certificate", "strategy_errors"])
 def test_pairs_are_found_once(spark, monkeypatch, query):
     read, keep = [], registry.Stored.__init__
     monkeypatch.setattr(registry, "size_of", None)
